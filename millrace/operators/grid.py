@@ -265,14 +265,15 @@ def infer_step(df: DataFrame, series_cols: Sequence[str], time_col: str, chunk:
 
 def process_series(
     df: DataFrame, series_cols: Sequence[str], time_col: str, cols: Sequence[str], *, step: str = "1 minute",
-    hold: bool = False, start=None, end=None, smooth: int = 15, order: Sequence[str] = (), chunk: str = DEFAULT_CHUNK,
+    hold: bool = False, hold_until=None, start=None, end=None, smooth: int = 15, order: Sequence[str] = (),
+    chunk: str = DEFAULT_CHUNK,
 ) -> DataFrame:
     """First row per time, range, numeric, then either held values or mean + linear fill + centred mean."""
     base = filter_time_range(df, time_col, start, end).select(*series_cols, time_col, *order, *cols)
     base = to_numeric(base, cols)
     base = dedup_keep_first(base, [*series_cols, time_col], list(order) or list(cols)).select(*series_cols, time_col, *cols)
     if hold:
-        return resample_step(base, series_cols, time_col, cols, step, chunk=chunk)
+        return resample_step(base, series_cols, time_col, cols, step, hold_until=hold_until, chunk=chunk)
     grid = resample_mean(base, series_cols, time_col, cols, step, chunk=chunk)
     filled = fill_gaps(grid, series_cols, time_col, cols, "linear", step=step, chunk=chunk)
     back, ahead = smooth - 1 - (smooth - 1) // 2, (smooth - 1) // 2

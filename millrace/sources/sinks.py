@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from millrace.functions.columns import to_numeric
 from millrace.operators.joins import semi_new_rows
 
+# written with microseconds, so that a round trip is exact
+TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
 # one row per day and shift
 ORE_QUALITY_SCHEMA = T.StructType([
     T.StructField("Date", T.DateType()), T.StructField("Shift", T.IntegerType()), T.StructField("TimeStamp", T.TimestampType()),
@@ -81,7 +84,7 @@ def write_typed(df: DataFrame, path: str, rejected_path: str, schema: T.StructTy
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("timestampFormat", TIME_FORMAT).csv(path)
 
 
 def write_bin_info(info: DataFrame, path: str) -> None:
