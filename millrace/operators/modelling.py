@@ -135,11 +135,11 @@ def train_gbt(
     gbt = GBTRegressor(
         maxIter=n_estimators, stepSize=learning_rate, maxDepth=max_depth, subsamplingRate=subsample,
         featureSubsetStrategy=str(colsample) if colsample < 1 else "all", lossType="absolute" if absolute_error else "squared",
-        seed=seed)
+        validationTol=0.001, seed=seed)
     watched = early_stop and "is_train" in df.columns
     if watched:
         base = df.withColumn("__watch", ~F.col("is_train"))
-        gbt = gbt.setValidationIndicatorCol("__watch").setValidationTol(0.001)
+        gbt = gbt.setValidationIndicatorCol("__watch")
     elif "is_train" in df.columns:
         base = df.filter("is_train")
     # scaling is fitted on training rows only

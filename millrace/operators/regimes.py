@@ -508,8 +508,9 @@ def extract_regimes(
     earlier = chunk_window(series_cols, [time_col]).rowsBetween(W.unboundedPreceding, -1)
     previous = F.coalesce(F.max("__bound").over(earlier), F.col("__carried"))
     # a boundary row ends one regime and begins the next
-    member = F.filter(F.array(previous, F.col("__bound")), lambda b: b.isNotNull())
-    rows = joined.withColumn("__start", F.explode(member))
+    placed = joined.withColumn("__previous", previous)
+    member = F.filter(F.array(F.col("__previous"), F.col("__bound")), lambda b: b.isNotNull())
+    rows = placed.withColumn("__start", F.explode(member))
     stats = rows.groupBy(*series_cols, "__start").agg(
         F.min(time_col).alias("start_time"), F.max(time_col).alias("end_time"), F.max(INDEX).alias("end_idx"),
         F.avg(col).alias("mean_value"), F.stddev_samp(col).alias("std_value"), F.count(F.lit(1)).alias("sample_count"))

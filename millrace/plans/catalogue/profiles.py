@@ -176,14 +176,15 @@ def _number(c: str, inner: list[str], lo: str, hi: str) -> str:
     return f"CASE WHEN {c} BETWEEN {lo} AND {hi} THEN ({' + '.join(f'({c} > {e})::INT' for e in inner)})::INT END"
 
 
-def _edge_rows(c: str, method: str, edges: str) -> str:
-    return f"SELECT '{c}' AS feature, '{method}' AS method, list_transform(list_sort(list_distinct({edges})), e -> {R('e')}) AS bins FROM lineitem"
+def _edge_rows(c: str, method: str, edges: str, src: str = "lineitem") -> str:
+    """One row per distinct edge."""
+    return f"SELECT DISTINCT '{c}' AS feature, '{method}' AS method, {R('e')} AS edge FROM (SELECT unnest({edges}) AS e FROM {src})"
 
 
 def _info(spark, d, method, target=None):
     li = lineitem(spark, d).select(*_BINNED, "l_tax")
     edges = B.bin_edges(li, _BINNED, 5, method, target)
-    return B.bin_info(li, edges, method).drop("bin_counts")
+    return B.bin_info(li, edges, method).select("feature", "method", F.explode("bins").alias("edge"))
 
 
 @query(_union([_edge_rows(c, "quantile", "[" + ", ".join(f"quantile_cont({c}, {k / 5})" for k in range(6)) + "]") for c in _BINNED]))
@@ -198,8 +199,8 @@ def bins_equal_width(spark, d):
 
 def _supervised_edges(c: str) -> str:
     picks = ", ".join(f"max({c}) FILTER (r = (n * {i}) // 5)" for i in range(1, 5))
-    return (f"SELECT '{c}' AS feature, 'entropy' AS method, list_transform(list_sort(list_distinct([min({c}), {picks}, max({c})])), e -> {R('e')}) AS bins FROM "
-            f"(SELECT {c}, row_number() OVER (ORDER BY {c}) - 1 AS r, count(*) OVER () AS n FROM lineitem)")
+    ranked = f"(SELECT {c}, row_number() OVER (ORDER BY {c}) - 1 AS r, count(*) OVER () AS n FROM lineitem)"
+    return _edge_rows(c, "entropy", f"[min({c}), {picks}, max({c})]", ranked)
 
 
 @query(_union([_supervised_edges(c) for c in _BINNED]))
@@ -250,11 +251,11 @@ def compare_binnings(spark, d):
     return B.compare_binnings(lineitem(spark, d).select(*_BINNED, "l_tax"), _BINNED, 5, "l_tax")
 
 
-@query(_union([f"""SELECT '{c}' AS feature, list(n ORDER BY b) AS bin_counts FROM (SELECT {_number(c, [f'lo + {k} * ((hi - lo) / 5)' for k in range(1, 5)], 'lo', 'hi')} AS b, count(*) AS n
+@query(_union([f"""SELECT '{c}' AS feature, b::INT AS bin, n AS bin_count FROM (SELECT {_number(c, [f'lo + {k} * ((hi - lo) / 5)' for k in range(1, 5)], 'lo', 'hi')} AS b, count(*) AS n
       FROM lineitem, (SELECT min({c}) AS lo, max({c}) AS hi FROM lineitem) GROUP BY 1)""" for c in _BINNED]))
 def write_bin_info(spark, d):
     """The bin table through its file."""
     _, info = B.smart_binning(lineitem(spark, d).select(*_BINNED), 5, "equal_width")
     path = work_folder(spark, "bins")
     sinks.write_bin_info(info, path)
-    return sinks.read_bin_info(spark, path).select("feature", "bin_counts")
+    return sinks.read_bin_info(spark, path).select("feature", F.posexplode("bin_counts").alias("bin", "bin_count"))

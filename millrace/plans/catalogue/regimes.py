@@ -1 +1,137 @@
+"""Change points, segments and regime summaries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from millrace.operators import dedup as D
+from millrace.operators import regimes as C
+from millrace.operators.chunks import row_index
+from millrace.plans.catalogue.base import HU, TYPES, W, R, events, hourly_by_user, query, wide
+from millrace.plans.regime_run import regime_study as study
+
+USER = ["user_id"]
+FEATURES = ["error", "purchase", "signup"]
+
+
+def hourly_users(spark, d):
+    return hourly_by_user(spark, d)
+
+
+@query()
+def detect_pelt(spark, d):
+    """Exact segmentation of every user's hourly means."""
+    return C.detect_regimes(hourly_users(spark, d), USER, "ts", ["value"], method="pelt", min_size=4, jump=1, pen=2000.0)
+
+
+@query()
+def detect_binseg(spark, d):
+    return C.detect_regimes(hourly_users(spark, d), USER, "ts", ["value"], method="binseg", min_size=4, jump=1, pen=2000.0)
+
+
+@query()
+def detect_binseg_count(spark, d):
+    """A fixed number of changes in one long series of several features."""
+    return C.detect_regimes(wide(spark, d), [], "ts", FEATURES, method="binseg", min_size=24, jump=2, n_bkps=5)
+
+
+@query()
+def detect_window(spark, d):
+    return C.detect_regimes(wide(spark, d), [], "ts", FEATURES, method="window", min_size=12, jump=2, pen=300.0)
+
+
+def _filled(c: str) -> str:
+    return (f"coalesce(last_value({c} IGNORE NULLS) OVER (ORDER BY ts), first_value({c} IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))")
+
+
+def _window_gain_sql(width: int, jump: int) -> str:
+    h = width // 2
+    terms = " + ".join(
+        f"{h / 2} * pow(avg({c}) OVER (ORDER BY i ROWS BETWEEN {h} PRECEDING AND 1 PRECEDING) - avg({c}) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND {h - 1} FOLLOWING), 2)" for c in FEATURES)
+    return f"""WITH {W}, f AS (SELECT row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n, {', '.join(_filled(c) + f' AS {c}' for c in FEATURES)} FROM w),
+      g AS (SELECT i, n, {terms} AS gain FROM f) SELECT i AS row_index, n AS n_rows, {R('gain', 4)} AS gain FROM g WHERE i >= {h} AND i < n - {h} AND i % {jump} = 0"""
+
+
+@query(_window_gain_sql(36, 2), digits=4)
+def window_gain(spark, d):
+    """Cost saved by a change at each admissible hour."""
+    return C.window_gain(wide(spark, d), [], "ts", FEATURES, 36, 2)
+
+
+@query()
+def tune_penalty(spark, d):
+    return C.tune_penalty(wide(spark, d), [], "ts", FEATURES, [200.0, 400.0, 800.0, 1600.0, 3200.0], min_size=12, jump=2, target="click")
+
+
+@query()
+def pick_penalty(spark, d):
+    tuning = C.tune_penalty(hourly_users(spark, d).withColumn("target", F.col("value")), USER, "ts", ["value"], [500.0, 1000.0, 2000.0, 4000.0], min_size=4, jump=1, target="target")
+    return C.pick_penalty(tuning, USER, min_regimes=3, max_regimes=12, min_avg_len=5)
+
+
+def _weekly(spark, d):
+    w = wide(spark, d)
+    return w.withColumn("regime", F.floor(F.datediff("ts", F.lit("2024-01-01")) / 7).cast("int"))
+
+
+@query(f"""WITH {W}, s AS (SELECT date_diff('day', TIMESTAMP '2024-01-01', ts) // 7 AS regime, min(ts) AS start_time, max(ts) AS end_time, count(*) AS n_samples,
+      (epoch_us(max(ts)) - epoch_us(min(ts))) / 60e6 AS duration_min, avg(click) AS cm, stddev_pop(click) AS cs, avg(error) AS em, avg(view) AS vm FROM w GROUP BY 1)
+      SELECT regime::INT AS regime, start_time, end_time, n_samples, {R('duration_min')} AS duration_min, {R('cm')} AS click_mean, {R('cs')} AS click_std, {R('em')} AS error_mean, {R('vm')} AS view_mean,
+      {R('cm - lag(cm) OVER (ORDER BY start_time)')} AS delta FROM s""")
+def summarize_segments(spark, d):
+    """Regimes are calendar weeks."""
+    return C.summarize_segments(_weekly(spark, d), [], "ts", target="click", features=["error", "view"], delta_name="delta")
+
+
+@query(f"WITH {W} SELECT ts, {R('click')} AS click, (date_diff('day', TIMESTAMP '2024-01-01', ts) // 7)::INT AS regime, {R('''avg(click) OVER (PARTITION BY date_diff('day', TIMESTAMP '2024-01-01', ts) // 7)''')} AS click_segment_mean FROM w")
+def segment_mean_overlay(spark, d):
+    return C.segment_mean_overlay(_weekly(spark, d).select("ts", "click", "regime"), ["click"], ["regime"])
+
+
+@query(f"""WITH {W}, s AS (SELECT ts::DATE AS day, avg(click) AS m FROM w GROUP BY 1), j AS (SELECT day, m - lag(m) OVER (ORDER BY day) AS jump FROM s)
+      SELECT day::VARCHAR AS day, {R('jump')} AS jump FROM j ORDER BY abs(jump) DESC NULLS LAST, day LIMIT 10""")
+def largest_jumps(spark, d):
+    """Ten largest changes between consecutive segments, here days."""
+    daily = C.summarize_segments(wide(spark, d).withColumn("regime", F.to_date("ts")), [], "ts", target="click", features=[], delta_name="jump")
+    return D.top_k(daily.select(F.col("regime").cast("string").alias("day"), "jump"), 10, [F.abs(F.col("jump")).desc_nulls_last(), "day"])
+
+
+@query()
+def detect_rolling_z(spark, d):
+    return C.detect_rolling_z(hourly_users(spark, d), USER, "ts", "value", window=10, threshold=1.5)
+
+
+_MARKS = f"""{HU}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM hu),
+      b AS (SELECT user_id, i AS a, lead(i) OVER (PARTITION BY user_id ORDER BY i) AS z FROM n WHERE i % 20 = 0 OR i = n - 1),
+      s AS (SELECT b.user_id, b.a AS start_idx, b.z AS end_idx, min(ts) AS start_time, max(ts) AS end_time, avg(value) AS mean_value, stddev_samp(value) AS std_value, count(*) AS sample_count
+        FROM b JOIN n ON n.user_id = b.user_id AND n.i BETWEEN b.a AND b.z WHERE b.z IS NOT NULL GROUP BY 1, 2, 3),
+      k AS (SELECT *, (epoch_us(end_time) - epoch_us(start_time)) / 3600e6 AS h FROM s)"""
+
+
+@query(f"WITH {_MARKS} SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY start_idx) - 1)::INT AS regime_id, start_time, end_time, start_idx, end_idx, {R('h')} AS duration_hours, "
+       f"{R('mean_value')} AS mean_value, {R('std_value')} AS std_value, sample_count FROM k WHERE h >= 48")
+def extract_regimes(spark, d):
+    """Boundaries at every twentieth row; neighbours share their boundary row; only regimes of two days or more."""
+    h = hourly_users(spark, d)
+    marks = row_index(h, USER, "ts").filter((F.col("row_index") % 20 == 0) & (F.col("row_index") > 0)).select("user_id", "row_index")
+    return C.extract_regimes(h, marks, USER, "ts", "value", min_minutes=48 * 60)
+
+
+@query()
+def regime_summary_all(spark, d):
+    return C.regime_summary_all(wide(spark, d), [], "ts", TYPES, window=30, threshold=2.0, min_minutes=180)
+
+
+@query()
+def regime_study(spark, d):
+    """Sweep, pick, segment, label, summarise: the summary."""
+    s = study(wide(spark, d), "ts", features=FEATURES, target="click", penalties=[200.0, 400.0, 800.0, 1600.0], min_size=12, jump=2,
+              step="1 hour", min_regimes=3, max_regimes=40, min_avg_minutes=600)
+    return s.summary
+
+
+@query()
+def regime_study_correlations(spark, d):
+    s = study(wide(spark, d), "ts", features=FEATURES, target="click", penalties=[400.0, 1600.0], min_size=24, jump=2, step="1 hour",
+              min_regimes=2, max_regimes=40, min_avg_minutes=600, corr_method="spearman")
+    return s.correlations

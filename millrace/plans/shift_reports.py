@@ -90,7 +90,7 @@ def assemble_shift_ordinal(
     date = F.try_make_timestamp(y, m, n, F.lit(0), F.lit(0), F.lit(0)).cast("date")
     dated = both.filter(fits).withColumn("__date", date)
     return dated.select(
-        *[c for c in rows.columns if c != "sheet"], shift_time(F.col("__date"), F.col("shift")).alias("TimeStamp"),
+        *[F.col(f"`{c}`") for c in rows.columns if c != "sheet"], shift_time(F.col("__date"), F.col("shift")).alias("TimeStamp"),
         F.date_format("__date", "dd.MM.yyyy").alias("date_text"), "shift", F.col("sheet").alias("OriginalSheet"))
 
 
