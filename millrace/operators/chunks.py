@@ -55,8 +55,10 @@ def carry(
     """Join to each row of a chunked frame what the chunks before or after it pass on.
 
     ``summary`` is aggregated per chunk with map-side combine. ``before`` and ``after`` are window expressions over
-    the earlier (later) summary rows of the series; both frames grow one row at a time, never shrink. The join keys
-    are those of the chunk windows that follow, so the data is shuffled once.
+    the earlier (later) summary rows of the series; both frames grow one row at a time, never shrink.
+
+    The join is a shuffled hash join on (series, chunk) with the summary as the built side: nothing is broadcast on an
+    estimate, the data is shuffled once by the keys of the chunk windows that follow, and never by the series alone.
     """
     per_chunk = df.groupBy(*_keys(series_cols)).agg(*[c.alias(n) for n, c in summary.items()])
     up = W.partitionBy(*series_cols).orderBy(F.col(CHUNK)).rowsBetween(W.unboundedPreceding, -1)
@@ -66,7 +68,7 @@ def carry(
         *[make(up).alias(n) for n, make in (before or {}).items()],
         *[make(down).alias(n) for n, make in (after or {}).items()],
     )
-    return df.join(passed, _keys(series_cols), "inner")
+    return df.join(passed.hint("shuffle_hash"), _keys(series_cols), "inner")
 
 
 def row_index(
@@ -150,6 +152,11 @@ def with_halo(df: DataFrame, position: Column, length: int, before: int, after:
     return placed.withColumn(CHUNK, F.explode(F.sequence(first, last))).withColumn(HOME, F.col(CHUNK) == own)
 
 
+def by_chunk(df: DataFrame, series_cols: Sequence[str]) -> DataFrame:
+    """Partition by (series, chunk) explicitly: input that is already partitioned by series would not be split."""
+    return df.repartition(*_keys(series_cols))
+
+
 def home_rows(df: DataFrame) -> DataFrame:
     return df.filter(F.col(HOME)).drop(CHUNK, HOME, POSITION)
 
@@ -181,5 +188,5 @@ def framed(
         length = max(rows_per_chunk, before + after, 1)
         placed = with_halo(numbered, F.col("__i"), length, before, after)
     w = W.partitionBy(*_keys(series_cols)).orderBy(POSITION, *([] if step is None else tie_cols))
-    out = placed.select("*", *[c.alias(n) for n, c in build(w).items()])
+    out = by_chunk(placed, series_cols).select("*", *[c.alias(n) for n, c in build(w).items()])
     return home_rows(out).drop("__i")

@@ -55,10 +55,12 @@ def change_table(
         row = means.first()
         centred = filled.withColumns({f"__m_{c}": F.lit(row[f"__m_{c}"]).cast("double") for c in cols})
     sums: dict[str, Column] = {}
+    squares = F.lit(0.0)
     for c in features:
         d = F.col(c) - F.col(f"__m_{c}")
         sums[f"s_{c}"] = d
-        sums[f"q_{c}"] = d * d
+        squares = squares + d * d
+    sums["squares"] = squares
     if target:
         d = F.col(target) - F.col(f"__m_{target}")
         sums["y_n"], sums["y_s"], sums["y_q"] = F.col(target).isNotNull().cast("double"), d, d * d
@@ -82,34 +84,38 @@ def _segments_schema(points: DataFrame, series_cols: Sequence[str], extra: Seque
 def optimal_cuts(idx: np.ndarray, s: np.ndarray, q: np.ndarray, pen: float, min_size: int) -> list[int]:
     """Positions (into ``idx``) of the boundaries that minimise squared error plus ``pen`` per segment.
 
-    ``idx`` are admissible row numbers with 0 first and the series' length last; ``s`` and ``q`` are prefix sums per
-    feature. An old start is discarded for an end ``e`` once some ``m`` at least ``min_size`` before ``e`` proved it
+    ``idx`` are admissible row numbers with 0 first and the series' length last; ``s`` are prefix sums per feature and
+    ``q`` those of squares over all features. An old start is discarded for an end ``e`` once some ``m`` at least ``min_size`` before ``e`` proved it
     cannot win, which keeps the search exact.
     """
     m = len(idx)
     best = np.full(m, np.inf)
     back = np.full(m, -1)
     best[0] = -pen
-    alive = np.array([0], dtype=int)
-    death: dict[int, float] = {0: np.inf}
-    waiting = 1
+    starts = np.empty(0, dtype=int)  # candidate starts of the last segment
+    until = np.empty(0)  # row number from which a start is out
+    waiting = 0
     for e in range(1, m):
-        while waiting < e and idx[waiting] <= idx[e] - min_size:
-            if np.isfinite(best[waiting]):
-                alive = np.append(alive, waiting)
-                death[waiting] = np.inf
+        here = idx[e]
+        first = waiting
+        while waiting < e and idx[waiting] <= here - min_size:
             waiting += 1
-        usable = alive[idx[alive] <= idx[e] - min_size]
-        if len(usable):
-            n = (idx[e] - idx[usable]).astype(float)
-            ds = s[e] - s[usable]
-            cost = (q[e] - q[usable] - ds * ds / n[:, None]).sum(axis=1)
-            value = best[usable] + cost + pen
-            k = int(np.argmin(value))
-            best[e], back[e] = value[k], usable[k]
-            for start in usable[best[usable] + cost > best[e]]:
-                death[start] = min(death[start], idx[e] + min_size)
-        alive = np.array([a for a in alive if death[a] > idx[e]], dtype=int)
+        if waiting > first:
+            fresh = np.arange(first, waiting)
+            fresh = fresh[np.isfinite(best[fresh])]
+            starts = np.concatenate([starts, fresh])
+            until = np.concatenate([until, np.full(len(fresh), np.inf)])
+        if not len(starts):
+            continue
+        ds = s[e] - s[starts]
+        spread = (ds * ds).sum(axis=1) / (here - idx[starts])
+        reach = best[starts] + (q[e] - q[starts]) - spread
+        k = int(np.argmin(reach))
+        best[e], back[e] = reach[k] + pen, starts[k]
+        until = np.where(reach > best[e], np.minimum(until, here + min_size), until)
+        if until.min() <= here:
+            keep = until > here
+            starts, until = starts[keep], until[keep]
     cuts = [m - 1]
     while cuts[-1] > 0 and back[cuts[-1]] >= 0:
         cuts.append(int(back[cuts[-1]]))
@@ -127,7 +133,7 @@ def detect_pelt(
     rows: use resampled series and ``jump``. More than ``max_points`` candidates in a series is an error.
     """
     features = [c[2:] for c in points.columns if c.startswith("s_")]
-    slim = points.select(*series_cols, "n_rows", "i", *[f"s_{f}" for f in features], *[f"q_{f}" for f in features])
+    slim = points.select(*series_cols, "n_rows", "i", *[f"s_{f}" for f in features], "squares")
     spread = slim.withColumn("penalty", F.explode(F.array(*[F.lit(float(p)) for p in penalties])))
     schema = _segments_schema(points, series_cols, [T.StructField("penalty", T.DoubleType())])
     names = [f.name for f in schema.fields]
@@ -138,7 +144,7 @@ def detect_pelt(
             raise ValueError(f"{len(pdf)} candidate changes in one series: resample or raise jump")
         idx = pdf["i"].to_numpy()
         s = pdf[[f"s_{f}" for f in features]].to_numpy()
-        q = pdf[[f"q_{f}" for f in features]].to_numpy()
+        q = pdf["squares"].to_numpy()
         cuts = idx[optimal_cuts(idx, s, q, float(pdf["penalty"].iloc[0]), min_size)]
         out = pd.DataFrame({"regime": np.arange(len(cuts) - 1, dtype="int32"), "start_idx": cuts[:-1], "end_idx": cuts[1:]})
         for c in [*series_cols, "penalty"]:
