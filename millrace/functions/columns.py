@@ -107,14 +107,15 @@ def year_from_name(path: Column | str) -> Column:
 
 
 def month_from_sheet(name: Column | str, numeric_names: bool = False) -> Column:
-    """Month number of a sheet name; ``numeric_names`` also accepts a number, held within 1..12."""
+    """Month number of a sheet name; ``numeric_names`` also accepts a number, held within 1..12, and takes any other
+    name as the first month."""
     name = _col(name)
     pairs = [F.lit(v) for item in fixed.MONTH_NUMBERS.items() for v in item]
     month = F.try_element_at(F.create_map(*pairs), name)
     if numeric_names:
         number = F.trim(name).try_cast("int")
-        month = F.coalesce(month, F.greatest(F.lit(1), F.least(F.lit(12), number)))
-        month = F.when(name.isNotNull() & number.isNull() & month.isNull(), F.lit(1)).otherwise(month)
+        held = F.when(number.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(12), number))).otherwise(F.lit(1))
+        month = F.coalesce(month, F.when(name.isNotNull(), held))
     return month
 
 
