@@ -18,8 +18,7 @@ from pyspark.sql import types as T
 
 from millrace import fixed_values as fixed
 from millrace.operators.chunks import (
-    CHUNK, DEFAULT_CHUNK, DEFAULT_ROWS, POSITION, carry, chunk_window, home_rows, prefix_sums, row_index, with_halo,
-    with_time_chunk,
+    CHUNK, DEFAULT_CHUNK, DEFAULT_ROWS, POSITION, carry, chunk_window, home_rows, row_index, with_halo, with_time_chunk,
 )
 from millrace.operators.grid import fill_gaps
 from millrace.operators.joins import asof_join
@@ -36,43 +35,78 @@ def regime_features(df: DataFrame, exclude: Sequence[str] = fixed.TARGET_AND_LAB
     return numeric_columns(df, exclude)
 
 
+def settled_features(
+    df: DataFrame, series_cols: Sequence[str], time_col: str, features: Sequence[str], target: str | None = None,
+    chunk: str = DEFAULT_CHUNK,
+) -> DataFrame:
+    """Filled features (and the target as it is), written once: detection passes over them several times."""
+    extra = [target] if target and target not in features else []
+    slim = df.select(*series_cols, time_col, *features, *extra)
+    return cut_lineage(fill_gaps(slim, series_cols, time_col, list(features), "both", chunk=chunk))
+
+
 def change_table(
-    df: DataFrame, series_cols: Sequence[str], time_col: str, features: Sequence[str], jump: int, *,
+    filled: DataFrame, series_cols: Sequence[str], time_col: str, features: Sequence[str], jump: int, *,
     target: str | None = None, chunk: str = DEFAULT_CHUNK,
 ) -> DataFrame:
     """Prefix sums at the rows where a change may happen.
 
-    Rows are every ``jump``-th row of each series plus one row at the series' end that holds the totals. With it
-    the cost of any candidate segment takes two rows; the data itself is not read again. Features are centred first,
-    which changes no cost and keeps sums small.
+    Rows are every ``jump``-th row of each series plus one at the series' end that holds the totals; ``t_here`` and
+    ``t_before`` are the times of that row and of the one before it. With it the cost of any candidate segment takes
+    two rows, and the data is not read again. Values are taken relative to their series' mean, which changes no cost
+    and keeps sums small; the mean, too, comes from the chunk summary, so nothing is joined or shuffled by series.
     """
-    filled = fill_gaps(df, series_cols, time_col, list(features), "both", chunk=chunk)
     cols = [*features, *([target] if target and target not in features else [])]
-    means = filled.groupBy(*series_cols).agg(*[F.avg(c).alias(f"__m_{c}") for c in cols])
-    if series_cols:
-        centred = filled.join(means, list(series_cols))
-    else:
-        row = means.first()
-        centred = filled.withColumns({f"__m_{c}": F.lit(row[f"__m_{c}"]).cast("double") for c in cols})
-    sums: dict[str, Column] = {}
-    squares = F.lit(0.0)
+    keys = [*series_cols, CHUNK]
+    chunked = with_time_chunk(filled, time_col, chunk)
+    per_chunk = chunked.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"), F.max(time_col).alias("__t"),
+        *[F.struct(F.count(c).alias("n"), F.avg(c).alias("m"), (F.var_pop(c) * F.count(c)).alias("q")).alias(f"__c_{c}") for c in cols])
+    whole = W.partitionBy(*series_cols)
+    up = whole.orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    centred = per_chunk.select(
+        *keys, "__n", "__t", F.sum("__n").over(whole).alias("__total"), *[f"__c_{c}" for c in cols],
+        *[F.try_divide(F.sum(F.col(f"__c_{c}.n") * F.col(f"__c_{c}.m")).over(whole), F.sum(f"__c_{c}.n").over(whole)).alias(f"__m_{c}") for c in cols])
+
+    def chunk_sum(c: str) -> Column:
+        return F.coalesce(F.col(f"__c_{c}.n") * (F.col(f"__c_{c}.m") - F.col(f"__m_{c}")), F.lit(0.0))
+
+    def chunk_squares(c: str) -> Column:
+        shift = F.col(f"__c_{c}.m") - F.col(f"__m_{c}")
+        return F.coalesce(F.col(f"__c_{c}.q") + F.col(f"__c_{c}.n") * shift * shift, F.lit(0.0))
+
+    # terms per name: (sum over a chunk, value of a row)
+    terms: dict[str, tuple[Column, Column]] = {}
+    squares, row_squares = F.lit(0.0), F.lit(0.0)
     for c in features:
-        d = F.col(c) - F.col(f"__m_{c}")
-        sums[f"s_{c}"] = d
-        squares = squares + d * d
-    sums["squares"] = squares
+        d = F.coalesce(F.col(c) - F.col(f"__m_{c}"), F.lit(0.0))
+        terms[f"s_{c}"] = (chunk_sum(c), d)
+        squares, row_squares = squares + chunk_squares(c), row_squares + d * d
+    terms["squares"] = (squares, row_squares)
     if target:
-        d = F.col(target) - F.col(f"__m_{target}")
-        sums["y_n"], sums["y_s"], sums["y_q"] = F.col(target).isNotNull().cast("double"), d, d * d
-    rows = prefix_sums(centred, series_cols, time_col, sums, index=INDEX, total=TOTAL, chunk=chunk)
-    last = F.col(INDEX) == F.col(TOTAL) - 1
-    names = list(sums)
-    at_row = F.struct(F.col(INDEX).alias("i"), *[F.col(n).alias(n) for n in names])
-    at_end = F.struct(F.col(TOTAL).alias("i"), *[(F.col(n) + F.coalesce(sums[n].cast("double"), F.lit(0.0))).alias(n) for n in names])
+        d = F.coalesce(F.col(target) - F.col(f"__m_{target}"), F.lit(0.0))
+        terms["y_n"] = (F.col(f"__c_{target}.n").cast("double"), F.col(target).isNotNull().cast("double"))
+        terms["y_s"], terms["y_q"] = (chunk_sum(target), d), (chunk_squares(target), d * d)
+    passed = centred.select(
+        *keys, "__total", *[f"__m_{c}" for c in cols], F.coalesce(F.sum("__n").over(up), F.lit(0)).alias("__base"),
+        F.last("__t").over(up).alias("__t_up"),
+        *[F.coalesce(F.sum(per).over(up), F.lit(0.0)).alias(f"__b_{n}") for n, (per, _) in terms.items()])
+    joined = chunked.join(passed.hint("shuffle_hash"), keys)
+    joined = joined.withColumns({f"__v_{n}": row for n, (_, row) in terms.items()})
+    w = chunk_window(series_cols, [time_col])
+    earlier = w.rowsBetween(W.unboundedPreceding, -1)
+    rows = joined.select(
+        *series_cols, F.col("__total").alias("n_rows"), (F.col("__base") + F.row_number().over(w) - 1).alias(INDEX),
+        F.col(time_col).alias("t_here"), F.coalesce(F.lag(time_col).over(w), F.col("__t_up")).alias("t_before"),
+        *[(F.col(f"__b_{n}") + F.coalesce(F.sum(f"__v_{n}").over(earlier), F.lit(0.0))).alias(n) for n in terms],
+        *[f"__v_{n}" for n in terms])
+    at_row = F.struct(F.col(INDEX).alias("i"), "t_here", "t_before", *terms)
+    at_end = F.struct(F.col("n_rows").alias("i"), F.lit(None).cast("timestamp").alias("t_here"), F.col("t_here").alias("t_before"),
+                      *[(F.col(n) + F.col(f"__v_{n}")).alias(n) for n in terms])
     wanted = F.filter(
-        F.array(F.when(F.col(INDEX) % jump == 0, at_row), F.when(last, at_end)), lambda s: s.isNotNull())
-    return rows.select(*series_cols, F.col(TOTAL).alias("n_rows"), F.explode(wanted).alias("__s")).select(
-        *series_cols, "n_rows", "__s.*")
+        F.array(F.when(F.col(INDEX) % jump == 0, at_row), F.when(F.col(INDEX) == F.col("n_rows") - 1, at_end)),
+        lambda r: r.isNotNull())
+    return rows.select(*series_cols, "n_rows", F.explode(wanted).alias("__s")).select(*series_cols, "n_rows", "__s.*")
 
 
 def _segments_schema(points: DataFrame, series_cols: Sequence[str], extra: Sequence[T.StructField] = ()) -> T.StructType:
@@ -132,9 +166,20 @@ def detect_pelt(
     The recursion is sequential in a series, so its group holds one row of sums per admissible change, never data
     rows: use resampled series and ``jump``. More than ``max_points`` candidates in a series is an error.
     """
+    tried = F.explode(F.array(*[F.lit(float(p)) for p in penalties]))
+    return _search_exactly(points.withColumn("penalty", tried), series_cols, min_size, max_points)
+
+
+def search_chosen(points: DataFrame, chosen: DataFrame, series_cols: Sequence[str], min_size: int, max_points: int = 2_000_000) -> DataFrame:
+    """The exact search with one penalty per series, given as a table."""
+    if series_cols:
+        return _search_exactly(points.join(chosen, list(series_cols)), series_cols, min_size, max_points)
+    return _search_exactly(points.withColumn("penalty", F.lit(chosen.first()["penalty"])), series_cols, min_size, max_points)
+
+
+def _search_exactly(points: DataFrame, series_cols: Sequence[str], min_size: int, max_points: int) -> DataFrame:
     features = [c[2:] for c in points.columns if c.startswith("s_")]
-    slim = points.select(*series_cols, "n_rows", "i", *[f"s_{f}" for f in features], "squares")
-    spread = slim.withColumn("penalty", F.explode(F.array(*[F.lit(float(p)) for p in penalties])))
+    spread = points.select(*series_cols, "i", "penalty", *[f"s_{f}" for f in features], "squares")
     schema = _segments_schema(points, series_cols, [T.StructField("penalty", T.DoubleType())])
     names = [f.name for f in schema.fields]
 
@@ -276,13 +321,12 @@ def _segments_from_cuts(cuts: DataFrame, totals: DataFrame, series_cols: Sequenc
         F.lead("cut").over(w).alias("end_idx")).filter("end_idx is not null")
 
 
-def window_gain(df: DataFrame, series_cols: Sequence[str], time_col: str, features: Sequence[str], width: int, jump: int, chunk: str = DEFAULT_CHUNK) -> DataFrame:
+def window_gain(filled: DataFrame, series_cols: Sequence[str], time_col: str, features: Sequence[str], width: int, jump: int, chunk: str = DEFAULT_CHUNK) -> DataFrame:
     """Cost saved by splitting the window of ``width`` rows around each candidate at its middle.
 
-    Half-window sums come from prefix sums of neighbouring candidates' rows, so the frame is two offsets.
+    Two half-window means per row inside chunks with a halo of half a window; ``filled`` has no NULL features.
     """
     half = width // 2
-    filled = fill_gaps(df, series_cols, time_col, list(features), "both", chunk=chunk)
     numbered = row_index(filled, series_cols, time_col, name=INDEX, total=TOTAL, chunk=chunk)
     placed = with_halo(numbered, F.col(INDEX), max(DEFAULT_ROWS, width), half, half)
     w = W.partitionBy(*series_cols, CHUNK).orderBy(POSITION)
@@ -297,15 +341,16 @@ def window_gain(df: DataFrame, series_cols: Sequence[str], time_col: str, featur
 
 
 def detect_window(
-    df: DataFrame, series_cols: Sequence[str], time_col: str, features: Sequence[str], min_size: int, jump: int, *,
-    pen: float | None = None, n_bkps: int | None = None, width: int | None = None, chunk: str = DEFAULT_CHUNK,
+    filled: DataFrame, series_cols: Sequence[str], time_col: str, features: Sequence[str], min_size: int, jump: int, *,
+    pen: float | None = None, n_bkps: int | None = None, width: int | None = None, points: DataFrame | None = None,
+    chunk: str = DEFAULT_CHUNK,
 ) -> DataFrame:
     """Sliding-window detection: candidates are gain maxima within half a window, taken from the highest gain down.
 
     A candidate is accepted while it lowers the total cost by more than ``pen``; the first failure stops the series.
     """
     width = width or max(3 * min_size, min_size + 1)
-    gains = cut_lineage(window_gain(df, series_cols, time_col, features, width, jump, chunk))
+    gains = cut_lineage(window_gain(filled, series_cols, time_col, features, width, jump, chunk))
     order = max(max(width, 2 * min_size) // (2 * jump), 1)
     # number of candidates per series, to compare gains across the ends as on a ring
     slots = gains.groupBy(*series_cols).agg(F.count(F.lit(1)).alias("__m"), F.min(INDEX).alias("__first"))
@@ -326,7 +371,7 @@ def detect_window(
         best = W.partitionBy(*series_cols).orderBy(F.col("gain").desc(), F.col(INDEX).desc())
         cuts = peaks.withColumn("__r", F.row_number().over(best)).filter(F.col("__r") <= n_bkps)
         return _segments_from_cuts(cuts.select(*series_cols, F.col(INDEX).alias("cut")), totals, series_cols)
-    points = change_table(df, series_cols, time_col, features, jump, chunk=chunk)
+    points = points if points is not None else change_table(filled, series_cols, time_col, features, jump, chunk=chunk)
     sums = [f"s_{f}" for f in features]
     joined = points.select(*series_cols, "n_rows", "i", *sums).join(
         peaks.withColumnRenamed(INDEX, "i"), [*series_cols, "i"], "left")
@@ -360,18 +405,12 @@ def detect_window(
     return _segments_from_cuts(cuts, totals, series_cols)
 
 
-def segment_times(df: DataFrame, segments: DataFrame, series_cols: Sequence[str], time_col: str, chunk: str = DEFAULT_CHUNK) -> DataFrame:
-    """Add ``start_time``, ``end_time`` and ``change_time`` (the row before the next segment) to segments."""
-    numbered = row_index(df.select(*series_cols, time_col), series_cols, time_col, name="__i", chunk=chunk)
-    # only boundary rows take part
-    wanted = segments.select(*series_cols, "regime", F.explode(F.array(
-        F.struct(F.lit("start_time").alias("k"), F.col("start_idx").alias("__i")),
-        F.struct(F.lit("end_time").alias("k"), (F.col("end_idx") - 1).alias("__i")))).alias("__w")).select(
-        *series_cols, "regime", "__w.*")
-    times = wanted.join(numbered, [*series_cols, "__i"]).groupBy(*series_cols, "regime").agg(
-        F.max(F.when(F.col("k") == "start_time", F.col(time_col))).alias("start_time"),
-        F.max(F.when(F.col("k") == "end_time", F.col(time_col))).alias("end_time"))
-    return segments.join(times, [*series_cols, "regime"])
+def segment_times(segments: DataFrame, points: DataFrame, series_cols: Sequence[str]) -> DataFrame:
+    """Add ``start_time`` and ``end_time`` to segments from the candidate rows of the change table."""
+    first = points.select(*series_cols, F.col("i").alias("start_idx"), F.col("t_here").alias("start_time"))
+    last = points.select(*series_cols, F.col("i").alias("end_idx"), F.col("t_before").alias("end_time"))
+    timed = segments.join(first, [*series_cols, "start_idx"]).join(last, [*series_cols, "end_idx"])
+    return timed.select(*segments.columns, "start_time", "end_time", (F.col("end_idx") - F.col("start_idx")).alias("n_samples"))
 
 
 def detect_regimes(
@@ -388,15 +427,15 @@ def detect_regimes(
     penalty = 10.0 if pen is None else float(pen)
     if method == "pelt" and n_bkps is not None:
         raise ValueError("the exact search cannot take a number of changes: use method='binseg'")
+    filled = settled_features(df, series_cols, time_col, features, chunk=chunk)
+    points = cut_lineage(change_table(filled, series_cols, time_col, features, jump, chunk=chunk))
     if method == "window":
-        found = detect_window(df, series_cols, time_col, features, min_size, jump, pen=penalty, n_bkps=n_bkps, chunk=chunk)
+        found = detect_window(filled, series_cols, time_col, features, min_size, jump, pen=penalty, n_bkps=n_bkps, points=points, chunk=chunk)
+    elif method == "pelt":
+        found = detect_pelt(points, series_cols, [penalty], min_size).drop("penalty")
     else:
-        points = change_table(df, series_cols, time_col, features, jump, chunk=chunk)
-        if method == "pelt":
-            found = detect_pelt(points, series_cols, [penalty], min_size).drop("penalty")
-        else:
-            found = detect_binseg(cut_lineage(points), series_cols, min_size, pen=None if n_bkps is not None else penalty, n_bkps=n_bkps)
-    return segment_times(df, found, series_cols, time_col, chunk)
+        found = detect_binseg(points, series_cols, min_size, pen=None if n_bkps is not None else penalty, n_bkps=n_bkps)
+    return segment_times(found, points, series_cols)
 
 
 def label_rows(df: DataFrame, segments: DataFrame, series_cols: Sequence[str], time_col: str, chunk: str = DEFAULT_CHUNK) -> DataFrame:
@@ -417,24 +456,30 @@ def tune_penalty(
     """
     features = list(features) if features is not None else regime_features(df)
     target = target if target in df.columns else None
-    points = cut_lineage(change_table(df, series_cols, time_col, features, jump, target=target, chunk=chunk))
-    found = detect_pelt(points, series_cols, penalties, min_size)
-    if target is None:
-        out = found.groupBy(*series_cols, "penalty").agg(
-            F.count(F.lit(1)).cast("int").alias("n_regimes"), F.max("end_idx").alias("__n"))
-        return out.select(*series_cols, "penalty", "n_regimes", (F.col("__n") / F.col("n_regimes")).alias("avg_seg_len"),
-                          F.lit(None).cast("double").alias("r2_target"))
+    filled = settled_features(df, series_cols, time_col, features, target, chunk)
+    points = cut_lineage(change_table(filled, series_cols, time_col, features, jump, target=target, chunk=chunk))
+    return sweep_penalties(points, series_cols, penalties, min_size)[0]
+
+
+def sweep_penalties(points: DataFrame, series_cols: Sequence[str], penalties: Sequence[float], min_size: int) -> tuple[DataFrame, DataFrame]:
+    """Measures per penalty, and the segmentations they describe, from one grouped job over a change table."""
+    found = cut_lineage(detect_pelt(points, series_cols, penalties, min_size))
+    size = (F.col("__n") / F.col("n_regimes")).alias("avg_seg_len")
+    counts = [F.count(F.lit(1)).cast("int").alias("n_regimes"), F.max("end_idx").alias("__n")]
+    if "y_n" not in points.columns:
+        out = found.groupBy(*series_cols, "penalty").agg(*counts)
+        return out.select(*series_cols, "penalty", "n_regimes", size, F.lit(None).cast("double").alias("r2_target")), found
     side = points.select(*series_cols, "i", F.struct("y_n", "y_s", "y_q").alias("y"))
     at_start = side.select(*series_cols, F.col("i").alias("start_idx"), F.col("y").alias("__a"))
     at_end = side.select(*series_cols, F.col("i").alias("end_idx"), F.col("y").alias("__b"))
     seg = found.join(at_start, [*series_cols, "start_idx"]).join(at_end, [*series_cols, "end_idx"])
     n, s, q = (F.col(f"__b.{x}") - F.col(f"__a.{x}") for x in ("y_n", "y_s", "y_q"))
     out = seg.groupBy(*series_cols, "penalty").agg(
-        F.count(F.lit(1)).cast("int").alias("n_regimes"), F.max("end_idx").alias("__n"),
-        F.sum(q - F.coalesce(F.try_divide(s * s, n), F.lit(0.0))).alias("__sse"), F.sum(n).alias("__yn"), F.sum(s).alias("__ys"), F.sum(q).alias("__yq"))
+        *counts, F.sum(q - F.coalesce(F.try_divide(s * s, n), F.lit(0.0))).alias("__sse"), F.sum(n).alias("__yn"), F.sum(s).alias("__ys"),
+        F.sum(q).alias("__yq"))
     sst = F.col("__yq") - F.coalesce(F.try_divide(F.col("__ys") * F.col("__ys"), F.col("__yn")), F.lit(0.0))
     r2 = F.when(sst <= 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.try_divide(F.col("__sse"), sst)))
-    return out.select(*series_cols, "penalty", "n_regimes", (F.col("__n") / F.col("n_regimes")).alias("avg_seg_len"), r2.alias("r2_target"))
+    return out.select(*series_cols, "penalty", "n_regimes", size, r2.alias("r2_target")), found
 
 
 def pick_penalty(

@@ -55,7 +55,7 @@ def _window_gain_sql(width: int, jump: int) -> str:
 @query(_window_gain_sql(36, 2), digits=4)
 def window_gain(spark, d):
     """Cost saved by a change at each admissible hour."""
-    return C.window_gain(wide(spark, d), [], "ts", FEATURES, 36, 2)
+    return C.window_gain(C.settled_features(wide(spark, d), [], "ts", FEATURES), [], "ts", FEATURES, 36, 2)
 
 
 @query()

@@ -183,7 +183,7 @@ def _ccf_sql(max_lag: int, detrend: int | None) -> str:
         value = (lambda c: f"{c} - avg({c}) OVER (ORDER BY ts ROWS BETWEEN {detrend - 1} PRECEDING AND CURRENT ROW)") if detrend else (lambda c: c)
         parts.append(f"SELECT '{f}' AS feature, row_number() OVER (ORDER BY ts) AS i, {value(f)} AS x, {value('click')} AS y FROM w WHERE {f} IS NOT NULL AND click IS NOT NULL")
     return f"""{W}, p AS ({' UNION ALL '.join(parts)}),
-      c AS (SELECT a.feature, l.lag::INT AS lag, count(*) AS n, corr(a.y, b.x) AS corr FROM p a JOIN range(-{max_lag}, {max_lag + 1}) l(lag) ON true
+      c AS (SELECT a.feature, l.lag::INT AS lag, count(*) AS n, nullif(corr(a.y, b.x), 'nan'::DOUBLE) AS corr FROM p a JOIN range(-{max_lag}, {max_lag + 1}) l(lag) ON true
         JOIN p b ON b.feature = a.feature AND b.i = a.i - l.lag GROUP BY 1, 2)"""
 
 
@@ -192,13 +192,13 @@ def ccf_table(spark, d):
     return L.ccf_table(wide(spark, d), [], "ts", "click", _FEATURES, max_lag=24, rows_per_chunk=100)
 
 
-@query(f"""WITH {_ccf_sql(48, None)}, r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY abs(corr) DESC, lag) AS r FROM c)
+@query(f"""WITH {_ccf_sql(48, None)}, r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY abs(corr) DESC NULLS LAST, lag) AS r FROM c)
       SELECT feature, lag AS best_lag, {R('corr', 5)} AS best_corr FROM r WHERE r = 1""", digits=5)
 def estimate_lag_ccf(spark, d):
     return L.estimate_lag_ccf(wide(spark, d), [], "ts", "click", _FEATURES, max_lag=48, detrend_rows=None)
 
 
-@query(f"""WITH {_ccf_sql(24, 60)}, r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY abs(corr) DESC, lag) AS r FROM c),
+@query(f"""WITH {_ccf_sql(24, 60)}, r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY abs(corr) DESC NULLS LAST, lag) AS r FROM c),
       k AS (SELECT max(lag) FILTER (feature = 'error') AS ke, max(lag) FILTER (feature = 'purchase') AS kp, max(lag) FILTER (feature = 'view') AS kv FROM r WHERE r = 1),
       u AS (SELECT *, row_number() OVER (ORDER BY ts) AS i, count(*) OVER () AS n FROM w WHERE click IS NOT NULL AND error IS NOT NULL AND purchase IS NOT NULL AND view IS NOT NULL)
       SELECT u.ts, {R('u.click')} AS click, {R('e.error')} AS error, {R('p.purchase')} AS purchase, {R('v.view')} AS view FROM u, k

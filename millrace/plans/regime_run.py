@@ -14,8 +14,8 @@ from millrace import fixed_values as fixed
 from millrace.operators.chunks import DEFAULT_CHUNK
 from millrace.operators.dedup import top_k
 from millrace.operators.regimes import (
-    change_table, detect_pelt, detect_regimes, label_rows, pick_penalty, regime_features, segment_times, summarize_segments,
-    tune_penalty,
+    change_table, detect_regimes, label_rows, pick_penalty, regime_features, search_chosen, segment_times, settled_features,
+    summarize_segments, sweep_penalties,
 )
 from millrace.operators.stats import regime_corr
 from millrace.session import cut_lineage
@@ -50,17 +50,19 @@ def regime_study(
     if min_minutes is not None:
         min_size = max(min_size, samples(min_minutes, step))
     base = cut_lineage(df)
-    tuning = cut_lineage(tune_penalty(base, series_cols, time_col, chosen, penalties, min_size=min_size, jump=jump, target=target, chunk=chunk))
+    filled = settled_features(base, series_cols, time_col, chosen, target if target in base.columns else None, chunk)
+    points = cut_lineage(change_table(
+        filled, series_cols, time_col, chosen, jump, target=target if target in base.columns else None, chunk=chunk))
+    tuning, every = sweep_penalties(points, series_cols, penalties, min_size)
+    tuning = cut_lineage(tuning)
     penalty = pick_penalty(tuning, series_cols, min_regimes=min_regimes, max_regimes=max_regimes, min_avg_len=samples(min_avg_minutes, step))
     if method == "pelt" and target_regimes is None:
-        points = change_table(base, series_cols, time_col, chosen, jump, chunk=chunk)
-        every = detect_pelt(points, series_cols, penalties, min_size)
-        # a median between two tried penalties is not among them: then search with exactly that value
-        if series_cols:
-            found = every.join(penalty, [*series_cols, "penalty"]).drop("penalty")
-        else:
-            found = detect_pelt(points, [], [penalty.first()["penalty"]], min_size).drop("penalty")
-        segments = segment_times(base, found, series_cols, time_col, chunk)
+        penalty = cut_lineage(penalty)
+        # segmentations of the sweep are reused; a median between two tried penalties needs a search of its own
+        known = every.join(penalty, [*series_cols, "penalty"])
+        untried = penalty.filter(~F.col("penalty").isin([float(p) for p in penalties]))
+        found = known if untried.isEmpty() else known.unionByName(search_chosen(points, untried, series_cols, min_size))
+        segments = segment_times(found.drop("penalty"), points, series_cols)
     else:
         n = None if target_regimes is None else max(0, target_regimes - 1)
         segments = detect_regimes(base, series_cols, time_col, chosen, method="binseg" if method == "pelt" else method,

@@ -5,7 +5,7 @@ import pytest
 from millrace.plans.catalogue import ORACLES, QUERIES
 from tests.compare import DATA, connect, differences
 
-SF = "0.001"
+SF = "0.01"
 
 
 @pytest.fixture(scope="module")
