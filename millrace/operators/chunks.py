@@ -42,6 +42,9 @@ def chunk_window(series_cols: Sequence[str], order: Sequence[Column | str]) -> W
 
 
 def with_time_chunk(df: DataFrame, time_col: str, chunk: str = DEFAULT_CHUNK) -> DataFrame:
+    """Add the chunk number; a frame that was chunked earlier keeps its chunks."""
+    if CHUNK in df.columns:
+        return df
     return df.withColumn(CHUNK, chunk_of(time_position(time_col), duration_micros(chunk)))
 
 

@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import calendar_parts as calendar_columns
-from millrace.functions.columns import duration_micros, floor_time
+from millrace.functions.columns import chunk_of, duration_micros, floor_time
 from millrace.operators.chunks import (
-    DEFAULT_CHUNK, carry, chunk_window, framed, row_index, time_position, with_time_chunk,
+    CHUNK, DEFAULT_CHUNK, by_chunk, carry, chunk_window, framed, row_index, time_position, with_time_chunk,
 )
 from millrace.operators.dedup import dedup_keep_first
 from millrace.operators.select import filter_time_range, numeric_columns, to_numeric
@@ -24,6 +24,17 @@ AGGREGATES: dict[str, Aggregate] = {
 }
 
 
+def chunk_first(df: DataFrame, series_cols: Sequence[str], time_col: str, step: str, chunk: str = DEFAULT_CHUNK) -> DataFrame:
+    """Shuffle raw rows once by (series, chunk).
+
+    Chunks hold whole ``step`` buckets, so deduplication, filling and means per bucket that follow, all keyed by chunk
+    as well, find their rows in place.
+    """
+    unit = duration_micros(step)
+    span = -(-max(duration_micros(chunk), unit) // unit) * unit
+    return by_chunk(df.withColumn(CHUNK, chunk_of(time_position(time_col), span)), series_cols)
+
+
 def pivot_tags(
     df: DataFrame, row_cols: Sequence[str], tag_col: str, value_col: str, tags: Sequence, order: Sequence[str] | None = None
 ) -> DataFrame:
@@ -79,13 +90,20 @@ def reindex_grid(df: DataFrame, series_cols: Sequence[str], time_col: str, step:
 
 def resample_mean(
     df: DataFrame, series_cols: Sequence[str], time_col: str, cols: Sequence[str], step: str = "1 minute",
-    keep_empty: bool = True, chunk: str = DEFAULT_CHUNK,
+    keep_empty: bool = True, chunk: str = DEFAULT_CHUNK, span_of: DataFrame | None = None,
 ) -> DataFrame:
-    """Mean per bucket; empty buckets between the first and the last one are kept as NULL rows."""
-    means = resample_agg(df, series_cols, time_col, step, "mean", cols)
+    """Mean per bucket; empty buckets between the first and the last one are kept as NULL rows.
+
+    ``span_of`` is a cheaper frame with the same first and last time per series, if there is one. A frame that is
+    already partitioned by chunk is averaged where it lies.
+    """
+    if CHUNK in df.columns:
+        means = resample_agg(df, [*series_cols, CHUNK], time_col, step, "mean", cols).drop(CHUNK)
+    else:
+        means = resample_agg(df, series_cols, time_col, step, "mean", cols)
     if not keep_empty:
         return means
-    grid = time_grid(df, series_cols, time_col, step, chunk)
+    grid = time_grid(span_of if span_of is not None else df, series_cols, time_col, step, chunk)
     return grid.join(means, [*series_cols, time_col], "left")
 
 
@@ -165,7 +183,7 @@ def fill_gaps(
             if leading == "bfill":
                 options.append(f["val"])
         filled[c] = F.coalesce(*options)
-    return wide.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
+    return wide.select(*[filled[c].alias(c) if c in filled else F.col(f"`{c}`") for c in df.columns])
 
 
 def ffill(df, series_cols, time_col, cols, **options) -> DataFrame:
@@ -271,10 +289,13 @@ def process_series(
     """First row per time, range, numeric, then either held values or mean + linear fill + centred mean."""
     base = filter_time_range(df, time_col, start, end).select(*series_cols, time_col, *order, *cols)
     base = to_numeric(base, cols)
-    base = dedup_keep_first(base, [*series_cols, time_col], list(order) or list(cols)).select(*series_cols, time_col, *cols)
+    ranked = list(order) or list(cols)
     if hold:
-        return resample_step(base, series_cols, time_col, cols, step, hold_until=hold_until, chunk=chunk)
-    grid = resample_mean(base, series_cols, time_col, cols, step, chunk=chunk)
+        single = dedup_keep_first(base, [*series_cols, time_col], ranked).select(*series_cols, time_col, *cols)
+        return resample_step(single, series_cols, time_col, cols, step, hold_until=hold_until, chunk=chunk)
+    placed = chunk_first(base, series_cols, time_col, step, chunk)
+    single = dedup_keep_first(placed, [*series_cols, CHUNK, time_col], ranked).select(*series_cols, CHUNK, time_col, *cols)
+    grid = resample_mean(single, series_cols, time_col, cols, step, chunk=chunk, span_of=base)
     filled = fill_gaps(grid, series_cols, time_col, cols, "linear", step=step, chunk=chunk)
     back, ahead = smooth - 1 - (smooth - 1) // 2, (smooth - 1) // 2
 

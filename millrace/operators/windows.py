@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.chunks import (
-    CHUNK, DEFAULT_CHUNK, DEFAULT_ROWS, HOME, framed, row_index, with_halo,
+    CHUNK, DEFAULT_CHUNK, DEFAULT_ROWS, HOME, by_chunk, framed, row_index, with_halo,
 )
 from millrace.operators.grid import fill_gaps
 from millrace.session import cut_lineage
@@ -123,28 +123,29 @@ def diff_prev(df: DataFrame, series_cols: Sequence[str], time_col: str, col: str
     return framed(df, series_cols, time_col, 1, 0, lambda w: {name: F.col(col) - F.lag(col).over(w)}, **options)
 
 
-def average_rank(df: DataFrame, by: Sequence[str], col: str, name: str, pieces: int = 256) -> DataFrame:
+def average_rank(df: DataFrame, by: Sequence[str], col: str, name: str, per_piece: int = 200_000) -> DataFrame:
     """Rank from 1 with ties sharing their mean rank, NULLs unranked.
 
-    Ranks come from counts per distinct value. Values are cut into ``pieces`` equal-width ranges per group so that a
-    large group's distinct values are ranked by many tasks; ranges are chained by their counts.
+    Ranks come from counts per distinct value. A group's distinct values are cut into equal-width ranges, about
+    ``per_piece`` values each if they spread evenly, ranked per range, and ranges are chained by their counts: a large
+    group is ranked by many tasks. The table of ranges is one row per group.
     """
     counts = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("__n"))
-    range_of = counts.groupBy(*by).agg(F.min(col).alias("__lo"), F.max(col).alias("__hi"))
-    width = (F.col("__hi") - F.col("__lo")) / F.lit(float(pieces))
-    piece = F.coalesce(F.try_divide(F.col(col) - F.col("__lo"), width), F.lit(0.0)).cast("int")
+    spans = counts.groupBy(*by).agg(
+        F.min(col).cast("double").alias("__lo"), F.max(col).cast("double").alias("__hi"), F.count(F.lit(1)).alias("__k"))
     if by:
-        placed = counts.join(range_of, list(by)).withColumn("__piece", piece)
+        placed = counts.join(spans, list(by))
     else:
-        low, high = range_of.first()
-        low, high = float(low or 0.0), float(high or 0.0)
-        step = (high - low) / pieces
-        placed = counts.withColumn("__piece", ((F.col(col) - low) / F.lit(step)).cast("int") if step else F.lit(0))
+        one = spans.first()
+        placed = counts.withColumns({c: F.lit(one[c]) for c in ("__lo", "__hi", "__k")})
+    share = F.try_divide(F.col(col) - F.col("__lo"), F.col("__hi") - F.col("__lo"))
+    piece = F.floor(F.coalesce(share, F.lit(0.0)) * F.ceil(F.col("__k") / F.lit(float(per_piece)))).cast("long")
+    placed = placed.select(*by, col, "__n", piece.alias("__piece"))
     sums = placed.groupBy(*by, "__piece").agg(F.sum("__n").alias("__sum"))
     earlier = W.partitionBy(*by).orderBy("__piece").rowsBetween(W.unboundedPreceding, -1)
     base = sums.select(*by, "__piece", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
     upto = F.sum("__n").over(W.partitionBy(*by, "__piece").orderBy(col).rowsBetween(W.unboundedPreceding, 0))
-    ranked = placed.join(base, [*by, "__piece"]).select(
+    ranked = placed.join(base.hint("shuffle_hash"), [*by, "__piece"]).select(
         *by, col, (F.col("__base") + upto - (F.col("__n") - 1) / F.lit(2.0)).alias(name))
     return df.join(ranked, [*by, col], "left")
 
@@ -159,6 +160,7 @@ def _per_chunk(
     """Run ``compute(values, positions, n_rows)`` on each chunk and column; only the chunk's own rows are returned."""
     numbered = row_index(df, series_cols, time_col, tie_cols=tie_cols, name="__i", total="__n", chunk=chunk)
     placed = with_halo(numbered, F.col("__i"), max(rows_per_chunk, before + after), before, after).drop("__pos")
+    placed = by_chunk(placed, series_cols)
     fields = [f for f in df.schema.fields] + [T.StructField(f"{c}{suffix}", T.DoubleType()) for c in cols]
     names = [f.name for f in fields]
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace import fixed_values as fixed
-from millrace.operators.chunks import DEFAULT_CHUNK
-from millrace.operators.grid import fill_gaps, resample_mean, resample_median, shift_time
+from millrace.operators.chunks import CHUNK, DEFAULT_CHUNK
+from millrace.operators.grid import chunk_first, fill_gaps, resample_mean, resample_median, shift_time
 from millrace.operators.joins import join_tag_dim, semi_new_rows
 from millrace.operators.select import filter_bounds, filter_time_range, select_existing
 from millrace.sources.sinks import path_has_data, stored_max, write_replace
@@ -40,12 +40,12 @@ def compose_features(
         per_time = tagged.groupBy("feature", "src_priority", "ts").agg(winner)
         tagged = tagged.join(per_time, ["feature", "src_priority", "ts"]).filter(
             (F.col("tag_id") == F.col("__win.tag_id")) & (F.col("seq") == F.col("__win.seq")))
-    # deduplication and pivot are one aggregate
-    wide = tagged.groupBy("feature", "src_priority", "ts").pivot("mill", list(mills)).agg(
-        F.max_by("value", F.struct("seq", "value")))
+    # one shuffle of the log: deduplication with pivot, holding and averaging all stay within (source, chunk)
     source = ["feature", "src_priority"]
+    placed = chunk_first(tagged.select(*source, "mill", "ts", "seq", "value"), source, "ts", step, chunk)
+    wide = placed.groupBy(*source, CHUNK, "ts").pivot("mill", list(mills)).agg(F.max_by("value", F.struct("seq", "value")))
     held = fill_gaps(wide, source, "ts", list(mills), "both", leading=leading, chunk=chunk)
-    minutes = resample_mean(held, source, "ts", list(mills), step, chunk=chunk)
+    minutes = resample_mean(held, source, "ts", list(mills), step, chunk=chunk, span_of=tagged)
     merged = minutes.groupBy("feature", "ts").agg(F.min_by(F.struct(*mills), "src_priority").alias("__m"))
     moved = shift_time(merged.select("feature", "ts", *[F.col(f"__m.{m}").alias(m) for m in mills]), "ts", shift)
     return fill_gaps(moved, ["feature"], "ts", list(mills), "both", leading=leading, step=step, chunk=chunk)

@@ -95,7 +95,7 @@ def test_rank_of_a_large_group(spark):
     pdf = pd.DataFrame({"g": np.where(np.arange(len(v)) % 5 == 0, "b", "a"), "i": np.arange(len(v)), "v": v})
     df = spark.createDataFrame(pdf).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
     for by in (["g"], []):
-        got = average_rank(df, by, "v", "r", pieces=16).toPandas().sort_values("i")["r"].to_numpy(dtype=float)
+        got = average_rank(df, by, "v", "r", per_piece=4).toPandas().sort_values("i")["r"].to_numpy(dtype=float)
         want = (pdf.groupby("g")["v"].rank() if by else pdf["v"].rank()).to_numpy()
         np.testing.assert_allclose(got, want)
 
