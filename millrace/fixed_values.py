@@ -23,6 +23,31 @@ SHIFT_HEADER_RULES = [
     ("shisti", ["шисти"]),
 ]
 
+# Sheet headers, without line breaks and outer blanks, and their names in the translated table.
+SHEET_HEADERS = {
+    "Дата": "Date",
+    "Смяна": "Shift",
+    "Диспечер": "Dispatcher",
+    "Подадена руда от МГТЛ за денонощието": "Ore_fed_from_MGTL_per_day",
+    "Състояние на склад №2": "State_of_warehouse_2",
+    "Натрошена руда от Цех ССТ": "Crushed_ore_from_SST_plant",
+    "Класа  +   15,0мм.": "Class_+15.0mm",
+    "Класа  +   12,5мм.": "Class_+12.5mm",
+    "Превозена руда до междинни бункери": "Ore_transported_to_intermediate_bins",
+    "Състояние на междинни бункери": "State_of_intermediate_bins",
+    "Преработена руда в цех МФЦ": "Processed_ore_in_MFC_plant",
+    "Влага на преработената руда": "Moisture_of_processed_ore",
+    "Суха преработена руда": "Dry_processed_ore",
+    "Гранодиорити": "Granodiorites",
+    "Дайки": "Dikes",
+    "Шисти": "Shales",
+    "Плътност на пулпа": "Pulp_density",
+    "Добит меден концентрат": "Extracted_copper_concentrate",
+    "Влага на медния концентрат": "Moisture_of_copper_concentrate",
+    "TimeStamp": "Timestamp",
+    "OriginalSheet": "OriginalSheet",
+}
+
 # Laboratory measures, and columns kept out of change-point features.
 LAB_COLUMNS = ["Class_15", "Class_12", "Grano", "Daiki", "Shisti"]
 TARGET_AND_LAB_COLUMNS = ["PSI200", "Class_15", "Class_12", "Grano", "Daiki", "Shisti"]

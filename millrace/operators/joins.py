@@ -76,7 +76,7 @@ def asof_join(
     """Each left row takes the latest right row at or before it (values as they are, NULLs included).
 
     Both sides are stacked and the last right row is carried along time, so there is no range join. A right row at the
-    same time counts. ``right_time`` names an output column with the matched time.
+    same time counts; of several at one time the largest values win. ``right_time`` names an output column with the matched time.
     """
     rest = [c for c in left.columns if c not in (*series_cols, time_col)]
     stacked = left.select(
@@ -88,9 +88,9 @@ def asof_join(
     chunked = with_time_chunk(ordered, time_col, chunk)
     joined = carry(
         chunked, series_cols,
-        {"__last": F.max_by("__r", F.when(F.col("__r").isNotNull(), F.col(time_col)))},
+        {"__last": F.max_by("__r", F.when(F.col("__r").isNotNull(), F.struct(time_col, "__r")))},
         before={"__carried": lambda w: F.last("__last", ignorenulls=True).over(w)})
-    up = chunk_window(series_cols, [time_col, "__side"]).rowsBetween(W.unboundedPreceding, 0)
+    up = chunk_window(series_cols, [time_col, "__side", "__r"]).rowsBetween(W.unboundedPreceding, 0)
     found = joined.withColumn("__hit", F.coalesce(F.last("__r", ignorenulls=True).over(up), F.col("__carried")))
     hit = F.col("__hit")
     if tolerance is not None:

@@ -272,7 +272,9 @@ def detect_binseg(
         if n_bkps is None:
             best = best.filter(F.col("__gain") > pen)
             small = best.filter(F.col("__size") <= local_points)
-            local = work.join(small.select(*segment, F.lit(True).alias("__local")), segment).groupBy(*segment).applyInPandas(
+            ends_flat = [F.col(f"{side}.{c}").alias(f"__{side}_{c}") for side in ("left", "right") for c in ("i", *sums)]
+            mine = work.select(*segment, "i", *sums, *ends_flat).join(small.select(*segment), segment)
+            local = mine.groupBy(*segment).applyInPandas(
                 _local_task(series_cols, sums, pen, min_size, cut_schema), cut_schema)
             best = best.filter(F.col("__size") > local_points)
             settled = best.select(*series_cols, F.col("__cut.i").alias("cut")).unionByName(local)
@@ -301,9 +303,9 @@ def detect_binseg(
 def _local_task(series_cols: Sequence[str], sums: Sequence[str], pen: float, min_size: int, schema: T.StructType):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
-        left, right = pdf["left"].iloc[0], pdf["right"].iloc[0]
-        idx = np.concatenate([[left["i"]], pdf["i"].to_numpy(), [right["i"]]])
-        s = np.vstack([[left[c] for c in sums], pdf[list(sums)].to_numpy(), [right[c] for c in sums]])
+        one = pdf.iloc[0]
+        idx = np.concatenate([[one["__left_i"]], pdf["i"].to_numpy(), [one["__right_i"]]]).astype("int64")
+        s = np.vstack([[one[f"__left_{c}"] for c in sums], pdf[list(sums)].to_numpy(), [one[f"__right_{c}"] for c in sums]]).astype(float)
         out = pd.DataFrame({"cut": np.array(local_binary_cuts(idx, s, pen, min_size), dtype="int64")})
         for c in series_cols:
             out[c] = pdf[c].iloc[0]

@@ -177,13 +177,13 @@ def _per_chunk(
 
 def ewm(
     df: DataFrame, series_cols: Sequence[str], time_col: str, cols: Sequence[str], *, alpha: float | None = None,
-    span: float | None = None, adjust: bool = False, suffix: str = "_ewm", rows_per_chunk: int = DEFAULT_ROWS,
-    chunk: str = DEFAULT_CHUNK, tie_cols: Sequence[str] = (),
+    span: float | None = None, adjust: bool = False, gaps: bool = True, suffix: str = "_ewm",
+    rows_per_chunk: int = DEFAULT_ROWS, chunk: str = DEFAULT_CHUNK, tie_cols: Sequence[str] = (),
 ) -> DataFrame:
     """Exponentially weighted mean, recursive (``adjust=False``) or as a weighted mean (``adjust=True``).
 
     A row's weight falls below double precision after a fixed number of rows, which is the halo a chunk needs.
-    NULL rows repeat the last result.
+    NULL rows repeat the last result, over any distance; ``gaps=False`` promises that there are none and saves a pass.
     """
     if (alpha is None) == (span is None):
         raise ValueError("give either alpha or span")
@@ -195,6 +195,8 @@ def ewm(
         return pd.Series(values).ewm(alpha=factor, adjust=adjust).mean().to_numpy()
 
     out = _per_chunk(df, series_cols, time_col, cols, reach, 0, compute, suffix, rows_per_chunk, chunk, tie_cols)
+    if not gaps:
+        return out
     return fill_gaps(out, series_cols, time_col, [f"{c}{suffix}" for c in cols], "ffill", tie_cols=tie_cols, chunk=chunk)
 
 

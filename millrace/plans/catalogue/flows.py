@@ -188,6 +188,15 @@ def scan_sheets(spark, d):
     return landed.groupBy("file_year").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("Смяна") == "Общо").alias("n_totals"))
 
 
+@query("SELECT year(o_orderdate)::INT AS year, o_orderkey, o_totalprice_text, CASE WHEN year(o_orderdate) >= 1998 THEN o_orderstatus END AS status FROM "
+       "(SELECT *, o_orderkey::VARCHAR AS o_totalprice_text FROM orders)")
+def union_sheets(spark, d):
+    """Sheets with different columns under each other; a column a sheet lacks is NULL."""
+    o = table(spark, d, "orders").select(F.year("o_orderdate").alias("year"), "o_orderkey", F.col("o_orderkey").cast("string").alias("o_totalprice_text"),
+                                         F.col("o_orderstatus").alias("status"))
+    return shift_reports.union_sheets([o.filter("year >= 1998"), o.filter("year < 1998").drop("status")])
+
+
 # --- streams --------------------------------------------------------------------------------------------------------
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"

@@ -99,6 +99,21 @@ def train_linear(spark, d):
     return M.predict_batch(model, li).select(*KEYS, "prediction")
 
 
+@query(f"""WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS s, regr_intercept(l_extendedprice, l_quantity) AS i FROM lineitem)
+      SELECT p_partkey, {R('i + s * 12', 3)} AS prediction FROM part, f""", digits=3)
+def predict_batch(spark, d):
+    """Rows without the feature are scored with a given default."""
+    model = M.train_linear(lineitem(spark, d), ["l_quantity"], TARGET)
+    return M.predict_batch(model, table(spark, d, "part").select("p_partkey"), {"l_quantity": 12.0}).select("p_partkey", "prediction")
+
+
+@query(f"""WITH f AS (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS s, regr_slope(l_extendedprice, l_quantity) AS b FROM lineitem)
+      SELECT 'l_quantity' AS feature, {R('b * s', 2)} AS coefficient FROM f""", digits=2)
+def linear_coefficients(spark, d):
+    """Coefficient per deviation of the feature."""
+    return M.linear_coefficients(spark, M.train_linear(lineitem(spark, d), ["l_quantity"], TARGET))
+
+
 def _boosted(spark, d, **options):
     li = lineitem(spark, d).select(*KEYS, *FEATURES, TARGET, F.col("l_shipdate").cast("timestamp").alias("ts"))
     split = cut_lineage(M.split_chronological(li, "ts", 0.2, tie_cols=KEYS, chunk="30 days"))

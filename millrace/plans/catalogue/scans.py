@@ -74,6 +74,13 @@ def scan_csv_series(spark, d):
     return logs.scan_csv_series(spark, path, "event_id bigint, ts timestamp, event_type string, value double")
 
 
+@query("SELECT event_type, ts, " + R("value", 4) + f" AS value FROM (WITH {HT} SELECT * FROM ht)", digits=4)
+def write_csv(spark, d):
+    path = work_folder(spark, "results")
+    sinks.write_csv(hourly_by_type(spark, d), path)
+    return logs.scan_csv_series(spark, path, "event_type string, ts timestamp, value double")
+
+
 @query("SELECT user_id, ts, " + R("value") + f" AS value FROM (WITH {HU} SELECT * FROM hu)")
 def write_replace(spark, d):
     path = work_folder(spark, "replace")

@@ -72,13 +72,13 @@ _REACH = 104  # weights below 1e-18 for alpha 0.3 lie beyond this many rows
       FROM fu a JOIN fu b ON a.user_id = b.user_id AND b.i BETWEEN a.i - {_REACH} AND a.i)
       SELECT user_id, ts, {R('sum(value * wt)', 5)} AS smooth FROM pairs GROUP BY 1, 2""", digits=5)
 def ewm_recursive(spark, d):
-    return V.ewm_recursive(filled(spark, d), USER, "ts", ["value"], 0.3).select("user_id", "ts", F.col("value_ewm").alias("smooth"))
+    return V.ewm_recursive(filled(spark, d), USER, "ts", ["value"], 0.3, gaps=False).select("user_id", "ts", F.col("value_ewm").alias("smooth"))
 
 
 @query(f"""WITH {FU}, pairs AS (SELECT a.user_id, a.ts, b.value, pow(1 - 2.0 / 16, a.i - b.i) AS wt FROM fu a JOIN fu b ON a.user_id = b.user_id AND b.i BETWEEN a.i - 250 AND a.i)
       SELECT user_id, ts, {R('sum(value * wt) / sum(wt)', 5)} AS smooth FROM pairs GROUP BY 1, 2""", digits=5)
 def ewm_span(spark, d):
-    return V.ewm_span(filled(spark, d), USER, "ts", ["value"], 15).select("user_id", "ts", F.col("value_ewm").alias("smooth"))
+    return V.ewm_span(filled(spark, d), USER, "ts", ["value"], 15, gaps=False).select("user_id", "ts", F.col("value_ewm").alias("smooth"))
 
 
 def _savgol_sql(width: int = 11, poly: int = 2) -> str:

@@ -51,8 +51,13 @@ def insert_only_newer(path: str, late_path: str, series_cols: Sequence[str], tim
         spark = batch.sparkSession
         batch = batch.persist()
         try:
+            first = batch.agg(F.min(time_col)).first()[0]
+            if first is None:
+                return
             if path_has_data(spark, path):
-                limits = stored_max(spark.read.parquet(path), series_cols, time_col)
+                # a stored maximum older than the whole batch decides nothing, so older files are not read
+                recent = spark.read.parquet(path).filter(F.col(time_col) >= F.lit(first))
+                limits = stored_max(recent, series_cols, time_col)
                 fresh = semi_new_rows(batch, limits, series_cols, time_col).select(*batch.columns)
                 joined = batch.join(limits, list(series_cols)).filter(F.col(time_col) <= F.col("max_ts"))
                 joined.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(late_path)
