@@ -41,11 +41,49 @@ SHEET_HEADERS = {
     "Гранодиорити": "Granodiorites",
     "Дайки": "Dikes",
     "Шисти": "Shales",
+    "Показания на Гранулометър PSI500i руда, +0,20мм": "PSI500i_granulometer_reading_ore_+0.20mm",
+    "Смилане  класа + 0,20мм": "Grinding_class_+0.20mm",
+    "Смилане  класа -0,08мм": "Grinding_class_-0.08mm",
     "Плътност на пулпа": "Pulp_density",
+    "Съдържание на мед в рудите по Куриер": "Copper_content_in_ores_by_Courier",
+    "Метал  мед в рудите по Куриер": "Metal_copper_in_ores_by_Courier",
+    "Коригирана съдържание на мед в рудите": "Corrected_copper_content_in_ores",
+    "Съдържание на мед в отпадъка по Куриер": "Copper_content_in_waste_by_Courier",
+    "Метал мед в отпадъка по Куриер": "Metal_copper_in_waste_by_Courier",
+    "Съдържание на медв медния к-т Куриер": "Copper_content_in_copper_concentrate_Courier",
+    "Метал мед в концентрата по Куриер": "Metal_copper_in_concentrate_by_Courier",
+    "Технологично извличане по Куриер": "Technological_extraction_by_Courier",
+    "Товарно извличане": "Cargo_extraction",
     "Добит меден концентрат": "Extracted_copper_concentrate",
     "Влага на медния концентрат": "Moisture_of_copper_concentrate",
+    "Съдържание на медв медния к-т": "Copper_content_in_copper_concentrate",
+    "Съдържание на медв медния к-т  /химия-товарен/": "Copper_content_in_copper_concentrate_chemistry_cargo",
+    "Метал мед в медния концентрат": "Metal_copper_in_copper_concentrate",
+    "Метал мед в медния концентрат /химия/": "Metal_copper_in_copper_concentrate_chemistry",
+    "Литрово тегло в сгъстителя": "Specific_gravity_in_thickener",
+    "Меден концентра, автомобилна везна": "Copper_concentrate_vehicle_scale",
+    "Меден концентрат в склад": "Copper_concentrate_in_warehouse",
+    "Меден концентрат в склад.1": "Copper_concentrate_in_warehouse_1",
+    "Добит молибденов концентрат": "Molybdenum_concentrate_extracted",
+    "Съдържание на Мо в молибденовия к-т": "Molybdenum_content_in_molybdenum_concentrate",
+    "последни данни за съдържания в 8-ма пречистка": "Latest_data_on_content_in_8th_purification",
+    "последни данни за съдържания във 2-ра пречистка": "Latest_data_on_content_in_2nd_purification",
     "TimeStamp": "Timestamp",
     "OriginalSheet": "OriginalSheet",
+    "Съдържание на медв медния к-т (Bruker)": "Copper_content_in_copper_concentrate_Bruker",
+    "Метал мед в медния концентрат  (Bruker)": "Metal_copper_in_copper_concentrate_Bruker",
+    "Класа +15,0мм.": "Class_+15.0mm",
+    "Класа  +12,5мм.": "Class_+12.5mm",
+    "Смилане  класа     +0,20мм": "Grinding_class_+0.20mm",
+    "Смилане  класа      -0,08мм": "Grinding_class_-0.08mm",
+    "Съдържание на мед в рудите по Химия": "Copper_content_in_ores_by_Chemistry",
+    "Метал  мед в рудите по Химия": "Metal_copper_in_ores_by_Chemistry",
+    "Съдържание на медв медния к-т (Брукер)": "Copper_content_in_copper_concentrate_Bruker",
+    "Метал мед в медния концентрат (Брукер)": "Metal_copper_in_copper_concentrate_Bruker",
+    "Меден концентрат, автомобилна везна": "Copper_concentrate_vehicle_scale",
+    "Класа  +15,0мм.": "Class_+15.0mm",
+    "Смилане  класа        +0,20мм": "Grinding_class_+0.20mm",
+    "Смилане  класа        -0,08мм": "Grinding_class_-0.08mm",
 }
 
 # Laboratory measures, and columns kept out of change-point features.

@@ -37,7 +37,7 @@ def _plain_header(name: str) -> str:
     return name.replace("\n", "").replace("\r", "").strip()
 
 
-def rename_normalized(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
+def rename_normalized(df: DataFrame, names: Mapping[str, str] = fixed.SHEET_HEADERS) -> DataFrame:
     """Rename by header text without line breaks and outer blanks; columns without a match are dropped."""
     wanted = {_plain_header(k): v for k, v in names.items()}
     picked = [F.col(f"`{c}`").alias(wanted[_plain_header(c)]) for c in df.columns if _plain_header(c) in wanted]
