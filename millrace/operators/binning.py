@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,10 +43,17 @@ def bins_quantile(df: DataFrame, cols: Sequence[str], n_bins: int, direct_rows:
     return {**edges, **(bins_equal_width(df, flat, n_bins) if flat else {})}
 
 
-def bins_kmeans(df: DataFrame, cols: Sequence[str], n_bins: int, rounds: int = 100, direct_rows: int = 1_000_000) -> Edges:
+def _nearest(c: str, centres: Sequence[float], span: tuple[float, float]) -> Column:
+    return right_closed_bin(c, [span[0], *[(a + b) / 2 for a, b in zip(centres, centres[1:])], span[1]])
+
+
+def bins_kmeans(
+    df: DataFrame, cols: Sequence[str], n_bins: int, rounds: int = 100, tolerance: float = 1e-4, direct_rows: int = 1_000_000,
+) -> Edges:
     """One-dimensional k-means: edges midway between sorted centres.
 
-    Lloyd rounds from quantile starts, all features in one aggregate per round; a centre that loses its rows stays.
+    Lloyd rounds from quantile starts, all features in one aggregate per round, until the squared moves of a feature's
+    centres are below ``tolerance`` of its variance; a centre that loses its rows stays.
     Features with fewer distinct values than bins take quantile bins.
     """
     distinct = df.agg(*[F.size(F.collect_set(F.when(F.col(c).isNotNull(), F.pmod(F.xxhash64(c), F.lit(4096))))).alias(c) for c in cols]).first()
@@ -61,22 +68,19 @@ def bins_kmeans(df: DataFrame, cols: Sequence[str], n_bins: int, rounds: int = 1
         if len(set(values)) < len(values):  # tied quantiles: start from evenly spaced centres
             low, high = ranges[c]
             centres[c] = [low + (high - low) * (k + 0.5) / n_bins for k in range(n_bins)]
+    spread = df.agg(*[F.var_pop(c).alias(c) for c in able]).first() if able else {}
     moving = set(centres)
     for _ in range(rounds):
         if not moving:
             break
-        sums = []
-        for c in sorted(moving):
-            borders = [(a + b) / 2 for a, b in zip(centres[c], centres[c][1:])]
-            low, high = ranges[c]
-            where = right_closed_bin(c, [low, *borders, high])
-            sums += [F.avg(F.when(where == k, F.col(c))).alias(f"{c}__{k}") for k in range(n_bins)]
-        row = df.agg(*sums).first()
+        placed = df.select(*[x for c in sorted(moving) for x in (F.col(c), _nearest(c, centres[c], ranges[c]).alias(f"__b_{c}"))])
+        row = placed.agg(*[
+            F.avg(F.when(F.col(f"__b_{c}") == k, F.col(c))).alias(f"{c}__{k}") for c in sorted(moving) for k in range(n_bins)]).first()
         for c in sorted(moving):
             updated = sorted(row[f"{c}__{k}"] if row[f"{c}__{k}"] is not None else centres[c][k] for k in range(n_bins))
-            drift = max(abs(a - b) for a, b in zip(updated, centres[c]))
+            drift = sum((a - b) ** 2 for a, b in zip(updated, centres[c]))
             centres[c] = updated
-            if drift <= 1e-9 * max(1.0, abs(ranges[c][1] - ranges[c][0])):
+            if drift <= tolerance * spread[c]:
                 moving.discard(c)
     edges = {
         c: sorted({ranges[c][0], *[(a + b) / 2 for a, b in zip(v, v[1:])], ranges[c][1]}) for c, v in centres.items()}

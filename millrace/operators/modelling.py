@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import fixed_values as fixed
-from millrace.functions.columns import sum_of_squares
+from millrace.functions.columns import adjusted_kurtosis, adjusted_skewness, sum_of_squares
 from millrace.operators.chunks import DEFAULT_CHUNK, row_index
+from millrace.operators.quality import per_column
 from millrace.operators.quantiles import exact_quantiles
 from millrace.operators.select import filter_bounds_strict
-from millrace.operators.stats import skew_kurt
 from millrace.session import cut_lineage
 
 PREDICTION = "prediction"
@@ -210,9 +210,9 @@ def prediction_frame(scored: DataFrame, time_col: str, actual: str, keep: Sequen
 
 
 def residual_stats(frame: DataFrame, residual: str = "residual") -> DataFrame:
-    basics = frame.agg(F.avg(residual).alias("mean"), F.stddev_pop(residual).alias("std"))
-    shape = skew_kurt(frame, [residual]).select("n", "skew", "kurtosis")
-    return basics.join(F.broadcast(shape))  # one row each
+    """Mean, population deviation, adjusted skewness and kurtosis in one aggregate."""
+    return per_column(frame, [residual], {
+        "n": F.count, "mean": F.avg, "std": F.stddev_pop, "skew": adjusted_skewness, "kurtosis": adjusted_kurtosis}).drop("column")
 
 
 def range_bias(frame: DataFrame, actual: str = "actual", predicted: str = "predicted", direct_rows: int = 1_000_000) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -50,59 +50,57 @@ def _no_values(probs: Sequence[float]):
 
 
 def order_statistics(df: DataFrame, ranks: dict[str, Sequence[int]], small: int = 1_000_000) -> dict[tuple[str, int], float]:
-    """Value at each 0-based rank per column. What reaches the driver is a few numbers per wanted rank."""
-    targets = [(c, r) for c, rs in ranks.items() for r in rs]
-    # bracket per target: values in (low, high], and how many values are <= low
-    box = {t: (-math.inf, math.inf, 0) for t in targets}
+    """Value at each 0-based rank per column. What reaches the driver is a few numbers per wanted rank.
+
+    A bracket is (column, low, high, rows at or below low); ranks that fall into the same bracket share its work. A
+    round costs one pass for the approximate cuts and one for the exact counts, whatever the number of ranks.
+    """
+    box = {(c, r): (c, -math.inf, math.inf, 0) for c, rs in ranks.items() for r in rs}
     done: dict[tuple[str, int], float] = {}
+    ready: set = set()
     while True:
-        open_targets = [t for t in targets if t not in done]
-        if not open_targets:
-            return done
-        inside = {
-            t: F.when((F.col(t[0]) > F.lit(box[t][0])) & (F.col(t[0]) <= F.lit(box[t][1])), F.col(t[0]).cast("double"))
-            for t in open_targets
-        }
+        opened = sorted({b for t, b in box.items() if t not in done and b not in ready})
+        if not opened:
+            break
+        inside = [_inside(b) for b in opened]
         cuts_at = F.array(*[F.lit(k / PIECES) for k in range(PIECES + 1)])
-        first = df.agg(*[
-            F.struct(F.count(inside[t]).alias("n"), F.min(inside[t]).alias("lo"), F.max(inside[t]).alias("hi"),
-                     F.percentile_approx(inside[t], cuts_at, 10_000).alias("cuts")).alias(f"t{i}")
-            for i, t in enumerate(open_targets)
-        ]).first()
-        ready, narrow = [], []
-        for i, t in enumerate(open_targets):
-            stat = first[f"t{i}"]
+        stats = df.agg(*[
+            F.struct(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"),
+                     F.percentile_approx(v, cuts_at, 10_000).alias("cuts")).alias(f"b{i}")
+            for i, v in enumerate(inside)]).first()
+        narrow = []
+        for i, b in enumerate(opened):
+            stat = stats[f"b{i}"]
             if stat["lo"] == stat["hi"]:
-                done[t] = stat["lo"]
+                done.update({t: stat["lo"] for t, own in box.items() if own == b})
             elif stat["n"] <= small:
-                ready.append(t)
+                ready.add(b)
             else:
-                narrow.append((t, sorted({*stat["cuts"], stat["hi"]})))
-        for t in ready:
-            values = df.select(inside[t].alias("v")).filter("v is not null").groupBy("v").count()
-            seen = F.sum("count").over(W.orderBy("v"))  # at most `small` distinct values
-            hit = values.select("v", seen.alias("upto")).filter(F.col("upto") > t[1] - box[t][2])
-            done[t] = hit.agg(F.min("v")).first()[0]
+                # the middle by value makes sure that a bracket shrinks even where approximate cuts coincide
+                narrow.append((i, b, sorted({*stat["cuts"], stat["lo"] / 2 + stat["hi"] / 2, stat["hi"]})))
         if narrow:
             sums = df.agg(*[
-                F.count_if((inside[t] <= F.lit(cut))).alias(f"t{i}_{k}")
-                for i, (t, cuts) in enumerate(narrow) for k, cut in enumerate(cuts)
-            ]).first()
-            for i, (t, cuts) in enumerate(narrow):
-                low, high, below = box[t]
-                upto = [sums[f"t{i}_{k}"] for k in range(len(cuts))]
-                k = next(k for k in range(len(cuts)) if below + upto[k] > t[1])
-                if k > 0:
-                    low, below = cuts[k - 1], below + upto[k - 1]
-                previous = box[t]
-                box[t] = (low, cuts[k], below)
-                if box[t] == previous:
-                    # the bracket could not be cut by approximate quantiles: halve it by value
-                    middle = stat_middle(first, i, open_targets, t)
-                    n_low = df.agg(F.count_if(inside[t] <= F.lit(middle))).first()[0]
-                    box[t] = (low, middle, below) if below + n_low > t[1] else (middle, cuts[k], below + n_low)
+                F.count_if(inside[i] <= F.lit(cut)).alias(f"b{i}_{k}") for i, _, cuts in narrow for k, cut in enumerate(cuts)]).first()
+            for i, b, cuts in narrow:
+                upto = [b[3] + sums[f"b{i}_{k}"] for k in range(len(cuts))]
+                for t in [t for t, own in box.items() if own == b]:
+                    k = next(k for k in range(len(cuts)) if upto[k] > t[1])
+                    box[t] = (b[0], cuts[k - 1], cuts[k], upto[k - 1]) if k else (b[0], b[1], cuts[0], b[3])
+    wanted = {t: b for t, b in box.items() if b in ready}
+    if wanted:
+        boxes = sorted(ready & set(wanted.values()))
+        hits = F.filter(F.array(*[F.struct(F.lit(i).alias("box"), _inside(b).alias("v")) for i, b in enumerate(boxes)]), lambda h: h["v"].isNotNull())
+        counts = df.select(F.explode(hits).alias("h")).groupBy("h.box", "h.v").count()
+        seen = F.sum("count").over(W.partitionBy("box").orderBy("v"))  # at most `small` values per bracket
+        ranked = counts.select("box", "v", seen.alias("upto"))
+        targets = list(wanted)
+        row = ranked.agg(*[
+            F.min(F.when((F.col("box") == boxes.index(wanted[t])) & (F.col("upto") > t[1] - wanted[t][3]), F.col("v"))).alias(f"t{i}")
+            for i, t in enumerate(targets)]).first()
+        done.update({t: row[f"t{i}"] for i, t in enumerate(targets)})
+    return done
 
 
-def stat_middle(first, _i: int, open_targets, target) -> float:
-    stat = first[f"t{open_targets.index(target)}"]
-    return stat["lo"] / 2 + stat["hi"] / 2
+def _inside(box: tuple) -> Column:
+    column, low, high, _ = box
+    return F.when((F.col(column) > F.lit(low)) & (F.col(column) <= F.lit(high)), F.col(column).cast("double"))

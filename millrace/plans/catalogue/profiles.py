@@ -158,7 +158,7 @@ def quantiles(spark, d):
 @query(_union([f'SELECT \'{c}\' AS "column", {p}::DOUBLE AS prob, {R(f"quantile_cont({c}, {p})", 4)} AS value FROM lineitem' for c in M4 for p in _PROBS]), digits=4)
 def quantiles_bracketed(spark, d):
     """The way for columns that do not fit one buffer: rounds of exact counting."""
-    return exact_quantiles(lineitem(spark, d), M4, _PROBS, direct_rows=5_000)
+    return exact_quantiles(lineitem(spark, d), M4, _PROBS, direct_rows=20_000)
 
 
 @query(_union([f'SELECT \'{c}\' AS "column", count({c}) AS n, {R(f"skewness({c})", 5)} AS skew, {R(f"kurtosis({c})", 5)} AS kurtosis FROM lineitem' for c in M4]), digits=5)
