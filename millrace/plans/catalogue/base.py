@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.columns import clean_double, floor_time
-from millrace.session import ensure_checkpoint_dir
+from millrace.session import ensure_checkpoint_dir, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,7 @@ def query(sql: str | None = None, name: str | None = None, digits: int = 6):
         key = name or fn.__name__
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
             return tidy(fn(spark, sf_dir), digits)
 
         run.__name__ = key

@@ -76,44 +76,44 @@ def stream_incremental(stream: DataFrame, path: str, late_path: str, checkpoint:
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-class LastValue(StatefulProcessor):
-    """Holds the newest non-null value of a key; each row leaves with the value that holds at its time."""
-
-    def __init__(self, key_names: Sequence[str], ttl_ms: int | None):
-        self.key_names = list(key_names)
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType([T.StructField("ts", T.TimestampType()), T.StructField("value", T.DoubleType())])
-        self.last = handle.getValueState("last", schema, ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        held = self.last.get() if self.last.exists() else None
-        # rows of one batch arrive in pieces; a piece is small, the group's order is kept by the caller's sort key
-        pieces = [r for r in rows]
-        frame = pd.concat(pieces).sort_values(["ts", "seq"])
-        values = frame["value"]
-        if held is not None:
-            start_at = pd.Timestamp(held[0])
-            values = values.where(values.notna() | (frame["ts"] < start_at), values)
-            seeded = pd.concat([pd.Series([held[1]]), values]).ffill().iloc[1:]
-            early = (frame["ts"] < start_at).to_numpy()
-            filled = seeded.where(~(early & values.isna().to_numpy()))
-        else:
-            filled = values.ffill()
-        known = frame.loc[frame["value"].notna()]
-        if len(known):
-            newest = known.iloc[-1]
-            if held is None or newest["ts"] >= pd.Timestamp(held[0]):
-                self.last.update((newest["ts"].to_pydatetime(), float(newest["value"])))
-        out = frame[["ts", "seq"]].copy()
-        out["value"] = filled.to_numpy()
-        for name, part in zip(self.key_names, key):
-            out[name] = part
-        yield out[[*self.key_names, "ts", "seq", "value"]]
-
-    def close(self) -> None:
-        pass
+def last_value_processor(key_names: Sequence[str], ttl_ms: int | None) -> StatefulProcessor:
+    """Processor that holds the newest non-null value of a key; each row leaves with the value that holds at its time.
+
+    A local class travels to the workers by value, also to the one that prepares state and gets no shipped files.
+    Rows of a key within one micro-batch are put in time order; bound a batch with ``maxFilesPerTrigger``.
+    """
+    names = list(key_names)
+
+    class LastValue(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            schema = T.StructType([T.StructField("ts", T.TimestampType()), T.StructField("value", T.DoubleType())])
+            self.last = handle.getValueState("last", schema, ttlDurationMs=ttl_ms)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+            held = self.last.get() if self.last.exists() else None
+            frame = pd.concat(list(rows)).sort_values(["ts", "seq"])
+            known = frame.loc[frame["value"].notna()]
+            if held is None:
+                filled = frame["value"].ffill()
+            else:
+                # the held value takes its place in time: older rows do not see it, newer ones not what came before it
+                before = (frame["ts"] < pd.Timestamp(held[0])).to_numpy()
+                later = pd.concat([pd.Series([held[1]]), frame["value"][~before]]).ffill().iloc[1:]
+                filled = pd.concat([frame["value"][before].ffill(), later])
+            if len(known):
+                newest = known.iloc[-1]
+                if held is None or newest["ts"] >= pd.Timestamp(held[0]):
+                    self.last.update((newest["ts"].to_pydatetime(), float(newest["value"])))
+            out = frame[["ts", "seq"]].copy()
+            out["value"] = filled.to_numpy()
+            for name, part in zip(names, key):
+                out[name] = part
+            yield out[[*names, "ts", "seq", "value"]]
+
+        def close(self) -> None:
+            pass
+
+    return LastValue()
 
 
 def stream_step_fill(log: DataFrame, key_cols: Sequence[str], ttl_ms: int | None = None, late: str = LATE) -> DataFrame:
@@ -126,4 +126,4 @@ def stream_step_fill(log: DataFrame, key_cols: Sequence[str], ttl_ms: int | None
                            T.StructField("seq", T.LongType()), T.StructField("value", T.DoubleType())])
     mode = "ProcessingTime" if ttl_ms else "None"
     return log.select(*key_cols, "ts", "seq", "value").groupBy(*key_cols).transformWithStateInPandas(
-        LastValue(key_cols, ttl_ms), schema, "append", mode)
+        last_value_processor(key_cols, ttl_ms), schema, "append", mode)

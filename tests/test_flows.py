@@ -207,10 +207,12 @@ def test_stream_fill_across_batches(spark, tmp_path):
     source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
     schema = "tag string, ts timestamp, seq bigint, value double"
     minute = timedelta(minutes=1)
-    batches = [[("a", D0, 1, 5.0), ("a", D0 + minute, 2, None), ("b", D0, 3, None)], [("a", D0 + 2 * minute, 4, None), ("b", D0 + minute, 5, 7.0), ("b", D0 + 2 * minute, 6, None)]]
+    batches = [[("a", D0, 1, 5.0), ("a", D0 + minute, 2, None), ("b", D0, 3, None)], [("a", D0 + 2 * minute, 4, None), ("b", D0 + minute, 5, 7.0), ("b", D0 + 2 * minute, 6, None)],
+               # a late value and rows on both sides of the held one
+               [("b", D0 + timedelta(seconds=30), 7, 1.0), ("b", D0 + timedelta(seconds=40), 8, None), ("b", D0 + 3 * minute, 9, None)]]
     for batch in batches:
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
         filled = streams.stream_step_fill(spark.readStream.schema(schema).parquet(source), ["tag"])
         filled.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
     got = {r["seq"]: r["value"] for r in spark.read.parquet(out).collect()}
-    assert got == {1: 5.0, 2: 5.0, 3: None, 4: 5.0, 5: 7.0, 6: 7.0}
+    assert got == {1: 5.0, 2: 5.0, 3: None, 4: 5.0, 5: 7.0, 6: 7.0, 7: 1.0, 8: 1.0, 9: 7.0}
