@@ -14,6 +14,7 @@ from millrace.operators.chunks import (
     CHUNK, DEFAULT_CHUNK, by_chunk, carry, chunk_window, framed, row_index, time_position, with_time_chunk,
 )
 from millrace.operators.dedup import dedup_keep_first
+from millrace.operators.quantiles import grouped_quantile
 from millrace.operators.select import filter_time_range, numeric_columns, to_numeric
 
 Aggregate = Callable[[Column], Column]
@@ -277,8 +278,7 @@ def infer_step(df: DataFrame, series_cols: Sequence[str], time_col: str, chunk:
     """Median distance in seconds between consecutive rows, per series."""
     gaps = next_time(df, series_cols, time_col, "__next", chunk).select(
         *series_cols, ((F.unix_micros("__next") - F.unix_micros(time_col)) / F.lit(1e6)).alias("__gap"))
-    return gaps.filter(F.col("__gap").isNotNull()).groupBy(*series_cols).agg(
-        F.percentile("__gap", F.lit(0.5)).alias("step_seconds"))
+    return grouped_quantile(gaps, series_cols, "__gap", 0.5, "step_seconds")
 
 
 def process_series(

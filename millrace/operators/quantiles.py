@@ -104,3 +104,51 @@ def order_statistics(df: DataFrame, ranks: dict[str, Sequence[int]], small: int
 def _inside(box: tuple) -> Column:
     column, low, high, _ = box
     return F.when((F.col(column) > F.lit(low)) & (F.col(column) <= F.lit(high)), F.col(column).cast("double"))
+
+
+def cumulative_counts(df: DataFrame, by: Sequence[str], col: str, per_piece: int = 200_000) -> DataFrame:
+    """Per group and distinct value: ``__n`` rows of the value and ``__upto`` rows at or below it.
+
+    A group's distinct values are cut into equal-width ranges, about ``per_piece`` values each if they spread evenly,
+    accumulated per range, and ranges are chained by their counts: a large group is worked on by many tasks. The table
+    of ranges is one row per group.
+    """
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("__n"))
+    spans = counts.groupBy(*by).agg(
+        F.min(col).cast("double").alias("__lo"), F.max(col).cast("double").alias("__hi"), F.count(F.lit(1)).alias("__k"))
+    if by:
+        placed = counts.join(spans, list(by))
+    else:
+        one = spans.first()
+        placed = counts.withColumns({c: F.lit(one[c]) for c in ("__lo", "__hi", "__k")})
+    share = F.try_divide(F.col(col) - F.col("__lo"), F.col("__hi") - F.col("__lo"))
+    piece = F.floor(F.coalesce(share, F.lit(0.0)) * F.ceil(F.col("__k") / F.lit(float(per_piece)))).cast("long")
+    placed = placed.select(*by, col, "__n", piece.alias("__piece"))
+    sums = placed.groupBy(*by, "__piece").agg(F.sum("__n").alias("__sum"))
+    earlier = W.partitionBy(*by).orderBy("__piece").rowsBetween(W.unboundedPreceding, -1)
+    base = sums.select(*by, "__piece", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
+    inside = F.sum("__n").over(W.partitionBy(*by, "__piece").orderBy(col).rowsBetween(W.unboundedPreceding, 0))
+    return placed.join(base.hint("shuffle_hash"), [*by, "__piece"]).select(
+        *by, col, "__n", (F.col("__base") + inside).alias("__upto"))
+
+
+def average_rank(df: DataFrame, by: Sequence[str], col: str, name: str, per_piece: int = 200_000) -> DataFrame:
+    """Rank from 1 with ties sharing their mean rank, NULLs unranked."""
+    rank = F.col("__upto") - (F.col("__n") - 1) / F.lit(2.0)
+    ranked = cumulative_counts(df, by, col, per_piece).select(*by, col, rank.alias(name))
+    return df.join(ranked, [*by, col], "left")
+
+
+def grouped_quantile(df: DataFrame, by: Sequence[str], col: str, prob: float, name: str, per_piece: int = 200_000) -> DataFrame:
+    """Exact linear-interpolation quantile per group, for groups that may be too large for one buffer."""
+    table = cumulative_counts(df, by, col, per_piece)
+    total = table.groupBy(*by).agg(F.max("__upto").alias("__total"))
+    spot = F.lit(float(prob)) * (F.col("__total") - 1)
+    if by:
+        both = table.join(total, list(by))
+    else:
+        both = table.withColumn("__total", F.lit(total.first()[0]))
+    low = F.min(F.when(F.col("__upto") > F.floor(spot), F.col(col)))
+    high = F.min(F.when(F.col("__upto") > F.ceil(spot), F.col(col)))
+    found = both.groupBy(*by).agg(low.cast("double").alias("__a"), high.cast("double").alias("__b"), F.first(spot).alias("__s"))
+    return found.select(*by, (F.col("__a") + (F.col("__b") - F.col("__a")) * (F.col("__s") - F.floor("__s"))).alias(name))

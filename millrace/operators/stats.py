@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from millrace.functions.columns import adjusted_kurtosis, adjusted_skewness, floor_time, safe_corr, sum_of_squares
 from millrace.operators.joins import pair_features
 from millrace.operators.quality import per_column
-from millrace.operators.quantiles import exact_quantiles
+from millrace.operators.quantiles import average_rank, exact_quantiles
 from millrace.operators.select import numeric_columns
-from millrace.operators.windows import average_rank
 
 
 def _long(df: DataFrame, rows: Sequence[Sequence[Column]]) -> DataFrame:

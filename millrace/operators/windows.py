@@ -16,6 +16,7 @@ from millrace.operators.chunks import (
     CHUNK, DEFAULT_CHUNK, DEFAULT_ROWS, HOME, by_chunk, framed, row_index, with_halo,
 )
 from millrace.operators.grid import fill_gaps
+from millrace.operators.quantiles import grouped_quantile
 from millrace.session import cut_lineage
 
 FRAME_AGGREGATES = {
@@ -123,33 +124,6 @@ def diff_prev(df: DataFrame, series_cols: Sequence[str], time_col: str, col: str
     return framed(df, series_cols, time_col, 1, 0, lambda w: {name: F.col(col) - F.lag(col).over(w)}, **options)
 
 
-def average_rank(df: DataFrame, by: Sequence[str], col: str, name: str, per_piece: int = 200_000) -> DataFrame:
-    """Rank from 1 with ties sharing their mean rank, NULLs unranked.
-
-    Ranks come from counts per distinct value. A group's distinct values are cut into equal-width ranges, about
-    ``per_piece`` values each if they spread evenly, ranked per range, and ranges are chained by their counts: a large
-    group is ranked by many tasks. The table of ranges is one row per group.
-    """
-    counts = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("__n"))
-    spans = counts.groupBy(*by).agg(
-        F.min(col).cast("double").alias("__lo"), F.max(col).cast("double").alias("__hi"), F.count(F.lit(1)).alias("__k"))
-    if by:
-        placed = counts.join(spans, list(by))
-    else:
-        one = spans.first()
-        placed = counts.withColumns({c: F.lit(one[c]) for c in ("__lo", "__hi", "__k")})
-    share = F.try_divide(F.col(col) - F.col("__lo"), F.col("__hi") - F.col("__lo"))
-    piece = F.floor(F.coalesce(share, F.lit(0.0)) * F.ceil(F.col("__k") / F.lit(float(per_piece)))).cast("long")
-    placed = placed.select(*by, col, "__n", piece.alias("__piece"))
-    sums = placed.groupBy(*by, "__piece").agg(F.sum("__n").alias("__sum"))
-    earlier = W.partitionBy(*by).orderBy("__piece").rowsBetween(W.unboundedPreceding, -1)
-    base = sums.select(*by, "__piece", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
-    upto = F.sum("__n").over(W.partitionBy(*by, "__piece").orderBy(col).rowsBetween(W.unboundedPreceding, 0))
-    ranked = placed.join(base.hint("shuffle_hash"), [*by, "__piece"]).select(
-        *by, col, (F.col("__base") + upto - (F.col("__n") - 1) / F.lit(2.0)).alias(name))
-    return df.join(ranked, [*by, col], "left")
-
-
 # --- filters that need a whole neighbourhood: Arrow grouped maps over chunks with a halo ---------------------------
 
 
@@ -269,7 +243,7 @@ def lowess(
             break
         joined = points.drop("__w").join(fitted, [*series_cols, "__i"])
         residual = F.abs(F.col(col) - F.col("__fit"))
-        scale = joined.groupBy(*series_cols).agg(F.percentile(residual, F.lit(0.5)).alias("__med"))
+        scale = grouped_quantile(joined.withColumn("__res", residual), series_cols, "__res", 0.5, "__med")
         joined = joined.join(scale, list(series_cols)) if series_cols else joined.withColumn("__med", F.lit(scale.first()[0]))
         u = F.try_divide(residual, 6.0 * F.col("__med"))
         # an exact median fit leaves no scale: rows on the fit keep full weight, others none

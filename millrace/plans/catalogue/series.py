@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.operators import grid as G
 from millrace.operators import lags as L
 from millrace.operators import peaks as P
+from millrace.operators import quantiles as K
 from millrace.operators import windows as V
 from millrace.operators.chunks import prefix_sums as prefix_sums_of
 from millrace.operators.chunks import row_index as number_rows
@@ -148,7 +149,7 @@ def diff_prev(spark, d):
 @query(f"""SELECT event_type, event_id, {R("rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0")} AS value_rank FROM events""")
 def average_rank(spark, d):
     e = events(spark, d).select("event_type", "event_id", "value")
-    return V.average_rank(e, ["event_type"], "value", "value_rank").drop("value")
+    return K.average_rank(e, ["event_type"], "value", "value_rank").drop("value")
 
 
 _TOPS = f"""WITH {FU}, runs AS (SELECT *, sum(CASE WHEN value = p THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i) AS run

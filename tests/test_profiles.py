@@ -9,8 +9,7 @@ from millrace.operators import binning as B
 from millrace.operators import quality as Q
 from millrace.operators import stats as S
 from millrace.operators.dedup import top_k
-from millrace.operators.quantiles import exact_quantiles, order_statistics
-from millrace.operators.windows import average_rank
+from millrace.operators.quantiles import average_rank, exact_quantiles, grouped_quantile, order_statistics
 
 
 def values(kind, n=3000):
@@ -100,6 +99,17 @@ def test_rank_of_a_large_group(spark):
         np.testing.assert_allclose(got, want)
 
 
+@pytest.mark.parametrize("kind", ["normal", "ties", "heavy", "hot"])
+def test_quantile_per_group(spark, kind):
+    v = values(kind, 1201)
+    pdf = pd.DataFrame({"g": np.where(np.arange(len(v)) % 6 == 0, "b", "a"), "v": v})
+    df = spark.createDataFrame(pdf).repartition(5)
+    for prob in (0.0, 0.3, 0.5, 1.0):
+        got = {r["g"]: r["q"] for r in grouped_quantile(df, ["g"], "v", prob, "q", per_piece=9).collect()}
+        assert got == pytest.approx(pdf.groupby("g")["v"].quantile(prob).to_dict(), rel=1e-12)
+    assert grouped_quantile(df, [], "v", 0.5, "q").first()[0] == pytest.approx(np.median(v))
+
+
 def test_top_k_of_a_hot_group(spark):
     pdf = pd.DataFrame({"g": ["hot"] * 5000 + ["cold"] * 3, "i": np.arange(5003), "v": np.arange(5003) % 97})
     got = top_k(spark.createDataFrame(pdf), 7, [F.col("v").desc(), "i"], by=["g"]).toPandas()
