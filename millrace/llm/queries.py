@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, quality, templates
+from millrace.llm import mixing, pieces, quality, search, simhash, templates, urls
 from millrace.llm.common import table
 from millrace.session import ship_package
 
@@ -102,3 +102,62 @@ FROM l LEFT JOIN g USING (doc_id, i) GROUP BY doc_id
 """)
 def op3_line_templates(spark: SparkSession, folder: str) -> DataFrame:
     return templates.drop_recurring_lines(table(spark, folder, "documents"), counts=True)
+
+
+@query()
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v, row_number() OVER () AS r FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+""")
+def op7_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"),
+         ("com", "/de/", "block")]
+
+
+@query(r"""
+WITH RECURSIVE p AS (SELECT page_id, url, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+k(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+  ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+t AS (SELECT url, unnest([regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+  regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*([^"''\s>]+)', 1)]) AS link FROM p),
+e AS (SELECT DISTINCT regexp_replace(url, '#.*$', '') AS a, regexp_replace(CASE WHEN link LIKE '/%' THEN regexp_extract(url, '^(.*?://[^/?#]*)', 1) || link ELSE link END, '#.*$', '') AS b
+  FROM t WHERE link <> '' AND contains(url, '://')),
+b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+c AS (SELECT a AS node, a AS other FROM b UNION SELECT c.node, b.b FROM c JOIN b ON c.other = b.a),
+n AS (SELECT DISTINCT node, other, regexp_extract(other, '(?s)^.*?://([^/?#]*)', 1) AS host, regexp_extract(other, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM c),
+f AS (SELECT node, arg_max(k.verdict, length(k.host) + length(k.path)) AS v FROM n JOIN k ON (n.host = k.host OR n.host LIKE '%.' || k.host) AND starts_with(n.path, k.path)
+  GROUP BY node, other),
+g AS (SELECT node, CASE WHEN bool_or(v = 'allow') THEN 'allow' ELSE 'block' END AS v FROM f GROUP BY node),
+r AS (SELECT p.page_id, p.url, p.host, p.path, arg_max(k.host || k.path, length(k.host) + length(k.path)) AS rule,
+  arg_max(k.verdict, length(k.host) + length(k.path)) AS v
+  FROM p LEFT JOIN k ON (p.host = k.host OR p.host LIKE '%.' || k.host) AND starts_with(p.path, k.path) GROUP BY ALL)
+SELECT page_id, host, path, rule, coalesce(r.v, g.v, 'allow') AS verdict FROM r LEFT JOIN g ON g.node = regexp_replace(r.url, '#.*$', '')
+""")
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
+
+
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query()
+def op1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encoded(table(spark, folder, "documents"), pieces.Segmenter(pieces.load_vocabulary(VOCABULARY)))
+
+
+@query()
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.token_counts(table(spark, folder, "documents"), pieces.Segmenter(pieces.load_vocabulary(VOCABULARY)))
