@@ -1,13 +1,15 @@
-"""From raw documents to a training mix: STAGES, each reading what the stage before it wrote."""
+"""From raw documents to an encoded training mix: STAGES, each reading what the stage before it wrote."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import mixing, quality, templates
+from millrace.llm import mixing, pieces, quality, simhash, templates
 from millrace.llm.common import kept, table
 from millrace.session import ship_package
 
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; of the others, lines too frequent in their source."""
@@ -19,12 +21,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return templates.drop_recurring_lines(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    return simhash.one_of_each(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source near its target: documents repeated whole."""
     return mixing.mix_documents(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("mix", mix)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_pieces and whether decoding gives the text back."""
+    return pieces.encoded(docs, pieces.Segmenter(pieces.load_vocabulary(VOCABULARY)))
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix", mix), ("encode", encode)]
+#: The near-duplicate and encoding stages have no SQL; tests hold the whole against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
