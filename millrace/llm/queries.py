@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, pieces, quality, repeats, search, simhash, templates, urls
+from millrace.llm import mixing, passages, pieces, quality, repeats, search, simhash, templates, urls
 from millrace.llm.common import table
 from millrace.session import ship_package
 
@@ -169,3 +169,8 @@ def op5_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op10_near_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.near_passages(table(spark, folder, "documents"))
