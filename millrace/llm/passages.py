@@ -157,33 +157,53 @@ def longest_match(hit: np.ndarray, size: np.ndarray, middle: np.ndarray, share:
     return best_a, best_b
 
 
-def match_group(keys: np.ndarray, starts: np.ndarray, middles: np.ndarray, bodies: list[bytes], width: int, share: float) -> list[tuple[int, int, int, int]]:
-    """(key, start, end, partner) in shingles, for the windows of one min-hash, by leaders."""
+def _matches(rows: np.ndarray, against: np.ndarray, tokens: np.ndarray, size: np.ndarray, middles: np.ndarray, width: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Per pair (row, row to hold it against) the interval [a, b) of the first that matches; b = 0 if there is none of ``width``."""
+    first, last = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    place = np.arange(tokens.shape[1])
+    for at in range(0, len(rows), 2048):
+        own, other = rows[at:at + 2048], against[at:at + 2048]
+        held, pair = np.unique(other, return_inverse=True)
+        inside = place[None, :] < size[held][:, None]
+        known = np.unique((np.arange(len(held))[:, None] << 16 | tokens[held])[inside])
+        asked = pair[:, None] << 16 | tokens[own]
+        spot = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+        hit = (known[spot] == asked) & (place[None, :] < size[own][:, None])
+        some = np.flatnonzero(hit.sum(axis=1) >= share * width)
+        if len(some):
+            a, b = longest_match(hit[some], size[own[some]], middles[own[some]], share)
+            good = b - a >= width
+            first[at + some[good]], last[at + some[good]] = a[good], b[good]
+    return first, last
+
+
+def match_groups(group: np.ndarray, keys: np.ndarray, starts: np.ndarray, middles: np.ndarray, bodies: list[bytes], width: int, share: float) -> np.ndarray:
+    """Rows (key, start, end, partner) in shingles, for windows in order of ``group``: each round has a leader per group."""
     size = np.array([len(b) // 2 for b in bodies])
-    tokens = np.zeros((len(bodies), int(size.max())), np.uint16)
-    for i, b in enumerate(bodies):
-        tokens[i, :size[i]] = np.frombuffer(b, np.uint16)
-    inside = np.arange(tokens.shape[1])[None, :] < size[:, None]
-    found, left = [], np.arange(len(bodies))
-    present = np.zeros(65536, bool)
-    while len(left) > 1:
-        leader, rest = left[0], left[1:]
-        own = tokens[leader, :size[leader]]
-        present[own] = True
-        matched = np.zeros(len(rest), bool)
-        for at in range(0, len(rest), 1024):
-            some = rest[at:at + 1024]
-            a, b = longest_match(present[tokens[some]] & inside[some], size[some], middles[some], share)
-            good = (b - a >= width) & (keys[some] != keys[leader])
-            matched[at:at + 1024] = good
-            found += zip(keys[some][good].tolist(), (starts[some] + a)[good].tolist(), (starts[some] + b)[good].tolist(), [int(keys[leader])] * int(good.sum()), strict=True)
-        present[own] = False
-        for i in rest[matched][:8]:  # the leader's own passage, seen from some that match it
-            a, b = longest_match(np.isin(own, tokens[i, :size[i]])[None, :], size[leader:leader + 1], middles[leader:leader + 1], share)
-            if b[0] - a[0] >= width:
-                found.append((int(keys[leader]), int(starts[leader] + a[0]), int(starts[leader] + b[0]), int(keys[i])))
-        left = rest[~matched]
-    return found
+    tokens = np.zeros((len(bodies), int(size.max())), np.int64)
+    flat = np.frombuffer(b"".join(bodies), np.uint16)
+    tokens[np.arange(tokens.shape[1])[None, :] < size[:, None]] = flat
+    found, left = [np.zeros((0, 4), np.int64)], np.arange(len(bodies))
+
+    def note(rows: np.ndarray, a: np.ndarray, b: np.ndarray, partner: np.ndarray) -> None:
+        found.append(np.column_stack([keys[rows], starts[rows] + a, starts[rows] + b, keys[partner]]))
+
+    while len(left):
+        new = np.append(True, group[left][1:] != group[left][:-1])
+        leader = left[new][np.cumsum(new) - 1]
+        rest, leader = left[~new], leader[~new]
+        a, b = _matches(rest, leader, tokens, size, middles, width, share)
+        near = (b > 0) & (keys[rest] != keys[leader])
+        note(rest[near], a[near], b[near], leader[near])
+        # the leaders' own passages, seen from the first and the last that match them
+        hits, heads = rest[near], leader[near]
+        for turned in (1, -1):
+            _, one = np.unique(heads[::turned], return_index=True)
+            own, other = heads[::turned][one], hits[::turned][one]
+            a, b = _matches(own, other, tokens, size, middles, width, share)
+            note(own[b > 0], a[b > 0], b[b > 0], other[b > 0])
+        left = rest[~near]
+    return np.concatenate(found)
 
 
 def compared(rows: DataFrame, width: int, share: float) -> DataFrame:
@@ -195,13 +215,14 @@ def compared(rows: DataFrame, width: int, share: float) -> DataFrame:
             sort = joined.column(0).to_numpy()
             whole = len(sort) if end else int(np.searchsorted(sort, sort[-1]))
             held[:] = [] if end or whole == len(sort) else joined.slice(whole).to_batches()
-            cuts = np.append(np.flatnonzero(np.append(True, sort[1:whole] != sort[:whole - 1])), whole) if whole else []
-            key, start, middle = (joined.column(i).to_numpy() for i in (1, 2, 3))
-            body, found = joined.column(4), []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b - a > 1:
-                    found += match_group(key[a:b], start[a:b].astype(np.int64), middle[a:b].astype(np.int64), body.slice(a, b - a).to_pylist(), width, share)
-            columns = np.array(found, np.int64).reshape(-1, 4)
+            if not whole:
+                return
+            key, start, middle = (joined.column(i).to_numpy()[:whole].astype(np.int64) for i in (1, 2, 3))
+            group = np.cumsum(np.append(0, np.diff(sort[:whole]) != 0))
+            # a min-hash of one document only has nothing to be compared with
+            shared = np.bincount(group)[group] > 1
+            columns = match_groups(group[shared], key[shared], start[shared], middle[shared],
+                                   joined.column(4).slice(0, whole).filter(pa.array(shared)).to_pylist(), width, share) if shared.any() else np.zeros((0, 4), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(columns[:, i]) for i in range(4)], ["key", "start", "end", "partner"])
 
         for batch in batches:
