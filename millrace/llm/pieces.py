@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 MARKER = "▁"
@@ -311,7 +312,7 @@ class Segmenter:
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about SLICE_CHARS of text (column 1)."""
-    size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         end = int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_CHARS, "right"))
@@ -338,7 +339,7 @@ def encoded(docs: DataFrame, segmenter: Segmenter, check: bool = True) -> DataFr
                 ends = np.cumsum([0] + [len(j) // 4 for j in joined])
                 blank = pa.array([t is None for t in texts])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                columns = [part.column(0), pa.compute.if_else(blank, pa.scalar(None, lists.type), lists), pa.array(np.diff(ends))]
+                columns = [part.column(0), pc.if_else(blank, pa.scalar(None, lists.type), lists), pa.array(np.diff(ends))]
                 names = ["doc_id", "ids", "n_pieces"]
                 if check:
                     every = flat.tolist()

@@ -29,39 +29,53 @@ from millrace.llm.common import kept
 from millrace.llm.graph import components
 
 SAMPLE = 4096
+SKETCH = 128
 LEVELS = 7
 LEAF = 4096
 VISITORS = 200_000
 
 
-def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
-    """64 bits: set where over half of the shingles' hashes have it set. ASCII letters are lower-cased."""
+def fingerprint(text: bytes, shingle: int = 4, seed: int = 42, mins: int = 0) -> tuple[int, list[int], bytes]:
+    """64 bits, set where over half of the shingles' hashes have them set, ``mins`` min-hashes of the shingles, and a sketch.
+
+    The sketch deals hashes into SKETCH bins and keeps 16 bits of the least in each, 0 where a bin is empty.
+    ASCII letters are lower-cased; text without words has fingerprint 0.
+    """
     plain = b" ".join(text.lower().split())
     if not plain:
-        return 0
+        return 0, [0] * mins, bytes(2 * SKETCH)
     gaps = np.flatnonzero(np.frombuffer(plain, np.uint8) == 32)
     starts, ends = np.append(0, gaps + 1), np.append(gaps, len(plain))
     if len(starts) >= shingle:
         starts, ends = starts[:len(starts) - shingle + 1], ends[shingle - 1:]
     else:
         starts, ends = starts[:1], ends[-1:]
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest, ones, least = xxhash.xxh64_intdigest, np.zeros(64, np.int64), [2 ** 64 - 1] * mins
+    bins = np.full(SKETCH, 2 ** 64 - 1, np.uint64)
     for at in range(0, len(starts), 65536):
         part = zip(starts[at:at + 65536].tolist(), ends[at:at + 65536].tolist(), strict=True)
-        hashes = np.array([digest(plain[a:b], seed) for a, b in part], ">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
-
-
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+        hashes = np.array([digest(plain[a:b], seed) for a, b in part], np.uint64)
+        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        least = [min(m, int((hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * j * 0x632BE59BD9B4E019 & 2 ** 64 - 1 | 1)).min())) for j, m in enumerate(least)]
+        if mins:
+            mixed = hashes * np.uint64(0xD6E8FEB86659FD93)
+            np.minimum.at(bins, (mixed >> np.uint64(57)).astype(np.int64), mixed)
+    sketch = np.where(bins == 2 ** 64 - 1, 0, (bins >> np.uint64(20)).astype(np.uint16) | 1).astype(np.uint16)
+    return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big"), least, sketch.tobytes()
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, mins: int = 0) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long), keys (``mins`` min-hashes) and sketch (NULL without them)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x or b"", shingle, seed) for x in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = [fingerprint(x or b"", shingle, seed, mins) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            keys = [np.array(k, np.uint64).view(np.int64) for _, k, _ in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.array([f for f, _, _ in found], np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())),
+                 pa.array([s if mins else None for _, _, s in found], pa.binary())], ["doc_id", "fp", "keys", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long, keys array<long>, sketch binary")
 
 
 def vantage_tree(points: np.ndarray, levels: int) -> list | None:
@@ -122,8 +136,8 @@ class Groups:
                 self.root = higher
 
 
-def link_within(points: np.ndarray, home: np.ndarray, visiting: np.ndarray, radius: int, groups: Groups) -> None:
-    """Link every visiting point to every home point within ``radius``; both are indices of ``points``."""
+def link_within(points: np.ndarray, home: np.ndarray, visiting: np.ndarray, radius: int, groups: Groups, agree=None) -> None:
+    """Link every visiting point to every home point within ``radius`` for which ``agree`` holds; both are indices of ``points``."""
     stack = [(home, visiting)]
     while stack:
         home, visiting = stack.pop()
@@ -143,7 +157,13 @@ def link_within(points: np.ndarray, home: np.ndarray, visiting: np.ndarray, radi
             for v in range(0, len(visiting), 256):
                 some = visiting[v:v + 256]
                 q, s = np.nonzero(np.bitwise_count(points[some][:, None] ^ points[block][None, :]) <= radius)
-                groups.link(some[q], block[s])
+                a, b = some[q], block[s]
+                if agree is not None:
+                    apart = groups.root[a] != groups.root[b]
+                    a, b = a[apart], b[apart]
+                    held = agree(a, b)
+                    a, b = a[held], b[held]
+                groups.link(a, b)
 
 
 def similar_links(distinct: DataFrame, radius: int = 4) -> DataFrame:
@@ -182,11 +202,68 @@ def similar_links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     return dealt.repartition(min(2000, max(leaves * blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))), "part").groupBy("part").applyInPandas(solve, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
-    """One row per document: doc_id, fp (signed long), component_id."""
-    marked = kept(fingerprints(docs, shingle, seed))
+def similar_sketches(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Rows of sketches that agree in ``least`` of the bins that either fills."""
+    filled = ((a | b) != 0).sum(axis=1)
+    return ((a == b) & (a != 0)).sum(axis=1) >= least * np.maximum(1, filled)
+
+
+def links_in_shards(marked: DataFrame, radius: int, least: float) -> DataFrame:
+    """Edges between fingerprints within ``radius`` that have a min-hash in common and sketches that agree in ``least``."""
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def shards(end: bool) -> pa.RecordBatch:
+            joined = pa.Table.from_batches(held).combine_chunks()
+            key = joined.column(0).to_numpy()
+            whole = len(key) if end else int(np.searchsorted(key, key[-1]))
+            held[:] = [] if end or whole == len(key) else joined.slice(whole).to_batches()
+            cuts = np.append(np.flatnonzero(np.append(True, key[1:whole] != key[:max(0, whole - 1)])), whole) if whole else np.zeros(1, int)
+            several = np.flatnonzero(np.diff(cuts) > 1)
+            rows = np.concatenate([np.arange(cuts[i], cuts[i + 1]) for i in several]) if len(several) else np.zeros(0, int)
+            part = joined.take(pa.array(rows)) if len(rows) else joined.slice(0, 0)
+            key, signed = key[rows], part.column(1).to_numpy()
+            points, sketches = signed.view(np.uint64), np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(-1, SKETCH)
+            a, b = [], []
+            # neighbours settle shards of two; larger ones are searched
+            near = np.flatnonzero((key[1:] == key[:-1]) & (np.bitwise_count(points[1:] ^ points[:-1]) <= radius))
+            near = near[similar_sketches(sketches[near], sketches[near + 1], least)]
+            a.append(signed[near + 1])
+            b.append(signed[near])
+            cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)) if len(key) else np.zeros(1, int)
+            for i in np.flatnonzero(np.diff(cuts) > 2):
+                some = np.arange(cuts[i], cuts[i + 1])
+                groups = Groups(len(some))
+                link_within(points[some], np.arange(len(some)), np.arange(len(some)), radius, groups,
+                            lambda x, y, some=some: similar_sketches(sketches[some[x]], sketches[some[y]], least))
+                member = np.flatnonzero(groups.root != np.arange(len(some)))
+                a.append(signed[some[member]])
+                b.append(signed[some[groups.root[member]]])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= 65536:
+                yield shards(False)
+        if held:
+            yield shards(True)
+
+    rows = marked.select(F.explode("keys").alias("key"), "fp", "sketch").dropDuplicates(["key", "fp"])
+    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(solve, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 42, shards: int = 0, least: float = 0.75) -> DataFrame:
+    """One row per document: doc_id, fp (signed long), component_id.
+
+    Without ``shards`` all fingerprints within ``radius`` are linked, through the vantage-point tree. Its bounds prune nothing
+    once the radius nears the spread of distances (4 around 32 for unrelated texts); for such radii ``shards`` min-hashes say
+    which fingerprints are compared: texts whose shingles are similar by s share none with probability (1 - s) ** shards. There
+    sketches must agree in ``least`` of their bins too; their share estimates s with a deviation of 0.035 at 0.8.
+    """
+    marked = kept(fingerprints(docs, shingle, seed, shards))
     distinct = kept(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    reach = kept(components(similar_links(distinct, radius)))
+    edges = links_in_shards(marked, radius, least) if shards else similar_links(distinct, radius)
+    reach = kept(components(edges))
     named = distinct.join(reach.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return marked.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACE, kept, lines, with_text, without_lines
+from millrace.llm.common import SPACE, kept, let, lines, with_text, without_lines
 
 
 def _tokens(masked):
@@ -27,11 +27,11 @@ def _tokens(masked):
 
 def line_leaves(docs: DataFrame, depth: int) -> DataFrame:
     """Every line with a token: doc_id, position, masked line, number of tokens, and its leaf as a hash."""
-    each = docs.select("doc_id", F.posexplode(lines(F.col("text"))).alias("__i", "__line"))
-    masked = each.select("doc_id", "__i", F.regexp_replace("__line", "[0-9]+", "<*>").alias("__m")).filter(
-        F.col("__m").rlike(r"[^\x20\x09-\x0D]"))
-    tokens = masked.withColumn("__t", _tokens(F.col("__m")))
-    return tokens.select("doc_id", "__i", "__m", F.size("__t").alias("__n"), F.xxhash64(F.size("__t"), F.slice("__t", 1, depth)).alias("__leaf"))
+    leaf = lambda m: let(_tokens(m), lambda t: F.struct(
+        m.alias("m"), F.size(t).alias("n"), F.xxhash64(F.size(t), F.slice(t, 1, depth)).alias("leaf")))
+    each = F.transform(lines(F.col("text")), lambda x: let(F.regexp_replace(x, "[0-9]+", "<*>"), leaf))
+    found = docs.select("doc_id", F.posexplode(each).alias("__i", "__x")).filter(F.col("__x.n") > 0)
+    return found.select("doc_id", "__i", F.col("__x.m").alias("__m"), F.col("__x.n").alias("__n"), F.col("__x.leaf").alias("__leaf"))
 
 
 def recurring_lines(docs: DataFrame, depth: int = 4, similarity: float = 0.7, min_docs: int = 10) -> DataFrame:
