@@ -22,8 +22,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    return simhash.one_of_each(docs)
+    """Of each group of near duplicates the document with the smallest doc_id stays.
+
+    Five-word shingles; a similarity of 0.8 is 9.6 differing bits in the mean, with a deviation of 2.9, and is
+    confirmed by sketches.
+    """
+    return simhash.one_of_each(docs, shingle=5, radius=14, shards=6, least=0.75)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
