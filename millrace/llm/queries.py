@@ -66,7 +66,7 @@ c AS (SELECT *, 2.0::DOUBLE * n AS cap, coalesce(sum(2.0::DOUBLE * n) OVER befor
   FROM s WINDOW before AS (ORDER BY 2.0::DOUBLE * n / w RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP)),
 l AS (SELECT arg_min((1.5::DOUBLE * (SELECT sum(n) FROM s)::DOUBLE - full_before) / free, cap / w) FILTER
   ((1.5::DOUBLE * (SELECT sum(n) FROM s)::DOUBLE - full_before) / free <= cap / w) AS level FROM c),
-t AS (SELECT source, n, least(w * level, cap) AS target FROM s JOIN c USING (source, n, w), l),
+t AS (SELECT source, n, least(w * level, cap) AS target FROM c, l),
 u AS (SELECT *, floor(target / n)::BIGINT AS whole, target - floor(target / n) * n AS rest FROM t),
 o AS (SELECT d.*, n, target, whole, rest, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id) - size AS before
   FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source),

@@ -270,8 +270,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: in
 
 
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """The document with the smallest doc_id of each component; documents with NULL doc_id stay. Columns as in ``docs``."""
+    """The document with the smallest doc_id of each component, once if its row is repeated; documents with NULL doc_id stay. Columns as in ``docs``."""
     found = near_duplicates(docs, **settings)
     first = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    stay = docs.join(first, F.col("doc_id") == F.col("__id"), "left_semi")
+    stay = docs.join(first, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
     return stay.unionByName(docs.filter(F.col("doc_id").isNull()))
