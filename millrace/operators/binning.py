@@ -56,7 +56,7 @@ def bins_kmeans(
     centres are below ``tolerance`` of its variance; a centre that loses its rows stays.
     Features with fewer distinct values than bins take quantile bins.
     """
-    distinct = df.agg(*[F.size(F.collect_set(F.when(F.col(c).isNotNull(), F.pmod(F.xxhash64(c), F.lit(4096))))).alias(c) for c in cols]).first()
+    distinct = df.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
     able = [c for c in cols if distinct[c] >= n_bins]
     rest = [c for c in cols if c not in able]
     starts = exact_quantiles(df, able, [(k + 0.5) / n_bins for k in range(n_bins)], direct_rows).collect() if able else []

@@ -8,6 +8,7 @@ quantiles, counts rows per piece exactly, and keeps the piece that holds the wan
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,8 @@ PIECES = 64
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], direct_rows: int = 1_000_000) -> DataFrame:
-    """Linear-interpolation quantiles, one row per (column, prob); NULLs are ignored."""
+    """Linear-interpolation quantiles, one row per (column, prob); NULL and NaN are ignored, infinities are values."""
+    df = df.select(*[_known(df, c) for c in dict.fromkeys(cols)])
     counts = df.agg(*[F.count(c).alias(c) for c in cols]).first()
     if max(counts) <= direct_rows:
         pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.percentile(c, F.array(*[F.lit(float(p)) for p in probs])).alias("q")) for c in cols])
@@ -41,10 +43,16 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                 continue
             spot = p * (counts[c] - 1)
             low, high = found[c, math.floor(spot)], found[c, math.ceil(spot)]
-            rows.append((c, float(p), low + (high - low) * (spot - math.floor(spot))))
+            part = spot - math.floor(spot)
+            rows.append((c, float(p), low if low == high or not part else (1 - part) * low + part * high))
     return df.sparkSession.createDataFrame(rows, OUT_SCHEMA)
 
 
+def _known(df: DataFrame, c: str) -> Column:
+    """The column with NaN as NULL."""
+    return F.when(~F.isnan(c), F.col(c)).alias(c) if dict(df.dtypes)[c] in ("double", "float") else F.col(c)
+
+
 def _no_values(probs: Sequence[float]):
     return F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.lit(None).cast("double").alias("value")) for p in probs])
 
@@ -55,11 +63,12 @@ def order_statistics(df: DataFrame, ranks: dict[str, Sequence[int]], small: int
     A bracket is (column, low, high, rows at or below low); ranks that fall into the same bracket share its work. A
     round costs one pass for the approximate cuts and one for the exact counts, whatever the number of ranks.
     """
-    box = {(c, r): (c, -math.inf, math.inf, 0) for c, rs in ranks.items() for r in rs}
+    df = df.select(*[_known(df, c) for c in ranks])
+    box = {(c, r): (c, None, math.inf, 0) for c, rs in ranks.items() for r in rs}
     done: dict[tuple[str, int], float] = {}
     ready: set = set()
     while True:
-        opened = sorted({b for t, b in box.items() if t not in done and b not in ready})
+        opened = sorted({b for t, b in box.items() if t not in done and b not in ready}, key=_bracket_order)
         if not opened:
             break
         inside = [_inside(b) for b in opened]
@@ -77,7 +86,8 @@ def order_statistics(df: DataFrame, ranks: dict[str, Sequence[int]], small: int
                 ready.add(b)
             else:
                 # the middle by value makes sure that a bracket shrinks even where approximate cuts coincide
-                narrow.append((i, b, sorted({*stat["cuts"], stat["lo"] / 2 + stat["hi"] / 2, stat["hi"]})))
+                low, high = max(stat["lo"], -sys.float_info.max), min(stat["hi"], sys.float_info.max)
+                narrow.append((i, b, sorted({*stat["cuts"], stat["lo"], low / 2 + high / 2, high, stat["hi"]})))
         if narrow:
             sums = df.agg(*[
                 F.count_if(inside[i] <= F.lit(cut)).alias(f"b{i}_{k}") for i, _, cuts in narrow for k, cut in enumerate(cuts)]).first()
@@ -88,7 +98,7 @@ def order_statistics(df: DataFrame, ranks: dict[str, Sequence[int]], small: int
                     box[t] = (b[0], cuts[k - 1], cuts[k], upto[k - 1]) if k else (b[0], b[1], cuts[0], b[3])
     wanted = {t: b for t, b in box.items() if b in ready}
     if wanted:
-        boxes = sorted(ready & set(wanted.values()))
+        boxes = sorted(ready & set(wanted.values()), key=_bracket_order)
         hits = F.filter(F.array(*[F.struct(F.lit(i).alias("box"), _inside(b).alias("v")) for i, b in enumerate(boxes)]), lambda h: h["v"].isNotNull())
         counts = df.select(F.explode(hits).alias("h")).groupBy("h.box", "h.v").count()
         seen = F.sum("count").over(W.partitionBy("box").orderBy("v"))  # at most `small` values per bracket
@@ -103,7 +113,13 @@ def order_statistics(df: DataFrame, ranks: dict[str, Sequence[int]], small: int
 
 def _inside(box: tuple) -> Column:
     column, low, high, _ = box
-    return F.when((F.col(column) > F.lit(low)) & (F.col(column) <= F.lit(high)), F.col(column).cast("double"))
+    above = F.lit(True) if low is None else F.col(column) > F.lit(low)
+    return F.when(above & (F.col(column) <= F.lit(high)), F.col(column).cast("double"))
+
+
+def _bracket_order(box: tuple) -> tuple:
+    column, low, high, below = box
+    return column, low is not None, low or 0.0, high, below
 
 
 def cumulative_counts(df: DataFrame, by: Sequence[str], col: str, per_piece: int = 200_000) -> DataFrame:

@@ -199,24 +199,24 @@ def savgol(
     suffix: str = "_smooth", larger: bool = False, rows_per_chunk: int = DEFAULT_ROWS, chunk: str = DEFAULT_CHUNK,
     tie_cols: Sequence[str] = (),
 ) -> DataFrame:
-    """Least-squares polynomial smoothing; the ends use the fit of the first and last full window."""
+    """Least-squares polynomial smoothing; the ends use the fit of the first and last full window.
+
+    A series shorter than the window gets the largest odd window that it fills.
+    """
     width = odd_window(width, larger)
-    poly = min(poly, width - 1)
-    half = width // 2
 
     def compute(values: np.ndarray, positions: np.ndarray, total: int) -> np.ndarray:
-        n = len(values)
-        if total < width:
-            raise ValueError(f"a series of {total} rows is shorter than the window of {width}")
-        fitted = savgol_matrix(width, poly)
+        n, own = len(values), min(width, total - 1 + total % 2)
+        half = own // 2
+        fitted = savgol_matrix(own, min(poly, own - 1))
         out = np.full(n, np.nan)
-        if n >= width:
-            views = np.lib.stride_tricks.sliding_window_view(values, width)
+        if n >= own:
+            views = np.lib.stride_tricks.sliding_window_view(values, own)
             out[half:n - half] = views @ fitted[half]
             if positions[0] == 0:
-                out[:half] = fitted[:half] @ values[:width]
+                out[:half] = fitted[:half] @ values[:own]
             if positions[-1] == total - 1:
-                out[n - half:] = fitted[width - half:] @ values[n - width:]
+                out[n - half:] = fitted[own - half:] @ values[n - own:]
         return out
 
     return _per_chunk(df, series_cols, time_col, cols, width - 1, width - 1, compute, suffix, rows_per_chunk, chunk, tie_cols)

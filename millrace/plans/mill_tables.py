@@ -82,11 +82,15 @@ def new_mill_rows(
     """
     if stored is None:
         return build_mill_table(log, tag_dim, mills=mills, features=features, **options)
-    known = stored.filter(F.col("mill").isin(list(mills))).agg(F.count(F.lit(1)).alias("n"), F.min("max_ts").alias("lo")).first()
-    recent = log
-    if known["n"] == len(mills):
-        recent = log.filter(F.col("ts") > F.lit(known["lo"] - pd.Timedelta(overlap).to_pytimedelta()))
-    built = build_mill_table(recent, tag_dim, mills=mills, features=features, **options)
+    known = {r["mill"]: r["max_ts"] for r in stored.filter(F.col("mill").isin(list(mills))).collect()}  # a row per mill asked for
+    new = [m for m in mills if m not in known]
+    parts = []
+    if known:
+        recent = log.filter(F.col("ts") > F.lit(min(known.values()) - pd.Timedelta(overlap).to_pytimedelta()))
+        parts.append(build_mill_table(recent, tag_dim, mills=[m for m in mills if m in known], features=features, **options))
+    if new:  # mills without stored rows are built from the whole log, the others are not
+        parts.append(build_mill_table(log, tag_dim, mills=new, features=features, **options))
+    built = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return semi_new_rows(built, stored, ["mill"], "ts").select("mill", "ts", *features)
 
 

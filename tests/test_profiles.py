@@ -32,6 +32,14 @@ def test_bracketed_quantiles(spark, kind):
     assert [found["v", r] for r in ranks] == [np.sort(v)[r] for r in ranks]
 
 
+def test_quantiles_with_infinities_in_both_branches(spark):
+    values = [float("-inf")] * 2 + [float(i) for i in range(100)] + [float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    direct, bracketed = (
+        {r.prob: r.value for r in exact_quantiles(df, ["v"], [0.0, 0.01, 0.25, 0.5, 1.0], n).collect()} for n in (1000, 5))
+    assert direct == bracketed and direct[0.0] == float("-inf") and direct[1.0] == float("inf") and direct[0.5] == 49.0
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None, 1.0)], "a double, b double")
     rows = {(r["column"], r["prob"]): r["value"] for r in exact_quantiles(df, ["a", "b"], [0.5]).collect()}
