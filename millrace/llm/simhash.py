@@ -1,14 +1,18 @@
-"""SimHash near-dedup with a vantage-point tree over fingerprints.
-
-A tree of at most 128 leaves is laid over a bounded sample (4096 fingerprints with the smallest hash). At each node a
-fingerprint is at home on one side of the median distance from the node's vantage point; by the triangle inequality
-anything within the radius can only be on the other side if that distance is within the radius of the median, and only
-then the fingerprint visits there too. Each leaf compares its visitors with those at home, going on with trees of its own
-below. The sample decides how even the leaves are, never which pairs are found: all pairs within the radius are compared.
+"""SimHash near-dedup with vantage-point trees over fingerprints.
+
+The 64 bits are cut into parts, one more than the radius, so two fingerprints within the radius are equal in a part at least
+(in two of one part more, for very many fingerprints). Each part has a tree whose metric is the Hamming distance of its bits,
+where only ``reach`` has to be looked for: what the radius leaves to a part, which is none at that number of parts. At each
+node a fingerprint is at home on one side of the median distance from the node's vantage point; by the triangle inequality
+anything within reach can only be on the other side if that distance is within reach of the median, and only then the
+fingerprint visits there too. Each leaf compares whole fingerprints of its visitors with those at home, going on with trees of
+its own below. One tree over all bits (``parts=1``) gives the same links, but 64 random bits leave its bounds little to prune.
+Trees are laid over a bounded sample, the fingerprints with the smallest hash. It decides how even the leaves are, never which
+pairs are found: all pairs within the radius are compared.
 
 Only distinct fingerprints are compared, and a leaf returns links to the smallest fingerprint of each group that it sees,
-not pairs; groups across leaves are joined as connected components. Radius 4 around a fingerprint holds at most 679,121
-others, so no group of copies grows without bound within a leaf; visitors are dealt over tasks by hash.
+not pairs; groups across leaves are joined as connected components. A leaf or shard of more than TILE fingerprints is cut
+into blocks by hash, and each pair of blocks is a task of its own.
 
 Defined cases: NULL or blank text has fingerprint zero, which links like any other; repeated rows and equal texts share a
 fingerprint; a component's id is its smallest doc_id, NULL only if all its doc_ids are NULL. Only doc_id and text are read.
@@ -17,6 +21,7 @@ fingerprint; a component's id is its smallest doc_id, NULL only if all its doc_i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -30,9 +35,9 @@ from millrace.llm.graph import components
 
 SAMPLE = 4096
 SKETCH = 128
-LEVELS = 7
+LEVELS = 13
 LEAF = 4096
-VISITORS = 200_000
+TILE = 16384
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42, mins: int = 0) -> tuple[int, list[int], bytes]:
@@ -136,21 +141,26 @@ class Groups:
                 self.root = higher
 
 
-def link_within(points: np.ndarray, home: np.ndarray, visiting: np.ndarray, radius: int, groups: Groups, agree=None) -> None:
-    """Link every visiting point to every home point within ``radius`` for which ``agree`` holds; both are indices of ``points``."""
+def link_within(points: np.ndarray, home: np.ndarray, visiting: np.ndarray, radius: int, groups: Groups, agree=None,
+                mask: int = 2 ** 64 - 1, reach: int | None = None) -> None:
+    """Link visiting points to home points within ``radius`` for which ``agree`` holds; both are indices of ``points``.
+
+    Pairs within ``reach`` in the bits of ``mask`` are looked for; others may be passed over.
+    """
+    reach = radius if reach is None else reach
+    seen = points & np.uint64(mask)
     stack = [(home, visiting)]
     while stack:
         home, visiting = stack.pop()
         if not len(home) or not len(visiting):
             continue
         if len(home) > 2048:
-            sample = points[home[:: max(1, len(home) // 256)]]
-            tree = vantage_tree(sample, 1)
+            tree = vantage_tree(seen[home[:: max(1, len(home) // 256)]], 1)
             if tree is not None:
-                d, e = (np.bitwise_count(points[x] ^ np.uint64(tree[0])).astype(np.int64) for x in (home, visiting))
+                d, e = (np.bitwise_count(seen[x] ^ np.uint64(tree[0])).astype(np.int64) for x in (home, visiting))
                 near = d <= tree[1]
                 if 0.05 < near.mean() < 0.95:
-                    stack += [(home[near], visiting[e - radius <= tree[1]]), (home[~near], visiting[e + radius > tree[1]])]
+                    stack += [(home[near], visiting[e - reach <= tree[1]]), (home[~near], visiting[e + reach > tree[1]])]
                     continue
         for at in range(0, len(home), 2048):
             block = home[at:at + 2048]
@@ -166,40 +176,73 @@ def link_within(points: np.ndarray, home: np.ndarray, visiting: np.ndarray, radi
                 groups.link(a, b)
 
 
-def similar_links(distinct: DataFrame, radius: int = 4) -> DataFrame:
-    """Edges (a, b) between fingerprints (column fp): enough of them to connect all within ``radius``."""
-    spark = distinct.sparkSession
+def in_tiles(rows: DataFrame, key: str, overlap: bool = False, tile: int = TILE) -> DataFrame:
+    """Rows (key, fp, home, ...) with __i, __j and visits: what a task (key, __i, __j) compares, its home rows with its visiting ones.
+
+    Every row at home meets every other row of its key in some task. Keys of ``tile`` rows or less have one task; larger ones
+    one for each pair of blocks. Without ``overlap`` all rows must be at home, and a pair of blocks is taken once.
+    """
+    size = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > tile)
+    large = size.select(key, F.ceil(F.col("__n") / tile).cast("int").alias("__b"))
+    own = F.pmod(F.xxhash64("fp"), F.col("__b")).cast("int")
+    every = F.sequence(F.lit(0), F.col("__b") - 1)
+    as_home = F.transform(every, lambda x: F.struct(own.alias("i"), x.alias("j"), F.lit(True).alias("h"), (x == own).alias("v")))
+    as_visit = F.transform(every, lambda x: F.struct(x.alias("i"), own.alias("j"), F.lit(False).alias("h"), F.lit(True).alias("v")))
+    met = F.concat(F.filter(as_home, lambda x: F.lit(overlap) | (x["j"] >= x["i"])), F.filter(as_visit, lambda x: x["i"] < x["j"]))
+    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("home").alias("h"), F.lit(True).alias("v")))
+    tasks = F.when(F.col("__b").isNull(), alone).when(F.col("home"), met).otherwise(as_visit)
+    spread = rows.join(large, key, "left").withColumn("__x", F.explode(tasks)).drop("__b", "home")
+    return spread.select("*", F.col("__x.i").alias("__i"), F.col("__x.j").alias("__j"), F.col("__x.h").alias("home"), F.col("__x.v").alias("visits")).drop("__x")
+
+
+def parts_of(n: int, radius: int) -> list[int]:
+    """Masks of which any two of ``n`` fingerprints within ``radius`` have equal bits in one at least."""
+    equal = 1 if n <= 2 ** 25 else 2
+    cuts = [round(64 * i / (radius + equal)) for i in range(radius + equal + 1)]
+    parts = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [sum(some) for some in combinations(parts, equal)]
+
+
+def similar_links(distinct: DataFrame, radius: int = 4, parts: int | None = None, leaf: int = LEAF, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) between fingerprints (column fp): enough of them to connect all within ``radius``.
+
+    ``parts`` cuts the bits into fewer parts than the radius asks for; then leaves overlap by ``radius // parts``.
+    """
     n = distinct.count()
-    sample = [r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
-    levels = min(LEVELS, max(0, int(np.ceil(np.log2(max(1, n) / LEAF)))))
-    tree, leaves = number_leaves(vantage_tree(np.array(sample, np.int64).view(np.uint64), levels))
-    blocks = max(1, int(np.ceil(n * 1.7 ** levels / leaves / VISITORS)))
+    if parts is None:
+        masks, reach = parts_of(n, radius), 0
+    else:
+        cuts = [round(64 * i / parts) for i in range(parts + 1)]
+        masks, reach = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)], radius // parts
+    levels = min(LEVELS, max(0, int(np.ceil(np.log2(max(1, n) / leaf)))))
+    some = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(max(SAMPLE, 16 * 2 ** levels)).collect()
+    sample, trees, leaves = np.array([r[0] for r in some], np.int64).view(np.uint64), [], [0]
+    for mask in masks:
+        tree, last = number_leaves(vantage_tree(sample & np.uint64(mask), levels), leaves[-1])
+        trees.append(tree)
+        leaves.append(last)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             signed = batch.column(0).to_numpy(zero_copy_only=False)
-            points = signed.view(np.uint64)
-            mixed = ((points * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
-            for leaf, own, other in route(tree, points, radius):
-                for b in range(blocks):  # those at home go to every task of the leaf, as visitors only to one
-                    visits = np.append(own, other)
-                    visits = visits[mixed[visits] == b]
-                    rows = np.append(own, visits)
-                    at_home = np.arange(len(rows)) < len(own)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(rows), leaf * blocks + b, np.int32)), pa.array(signed[rows]), pa.array(at_home)],
-                        ["part", "fp", "home"])
+            for mask, tree in zip(masks, trees, strict=True):
+                found = [(np.full(len(own) + len(other), at, np.int32), np.append(own, other), np.arange(len(own) + len(other)) < len(own))
+                         for at, own, other in route(tree, signed.view(np.uint64) & np.uint64(mask), reach)]
+                if found:
+                    at, rows, home = (np.concatenate(x) for x in zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(signed[rows]), pa.array(home)], ["part", "fp", "home"])
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        signed, at_home = rows["fp"].to_numpy(np.int64), rows["home"].to_numpy(bool)
-        points, where = np.unique(signed, return_inverse=True)
+        mask = masks[int(np.searchsorted(leaves, rows["part"].iloc[0], side="right")) - 1]
+        points, where = np.unique(rows["fp"].to_numpy(np.int64), return_inverse=True)
+        home, visits = (np.unique(where[rows[x].to_numpy(bool)]) for x in ("home", "visits"))
         groups = Groups(len(points))
-        link_within(points.view(np.uint64), np.unique(where[at_home]), np.unique(where[~at_home]), radius, groups)
+        link_within(points.view(np.uint64), home, visits, radius, groups, mask=mask, reach=reach)
         member = np.flatnonzero(groups.root != np.arange(len(points)))
         return pd.DataFrame({"a": points[member], "b": points[groups.root[member]]})
 
-    dealt = distinct.select("fp").mapInArrow(deal, "part int, fp long, home boolean")
-    return dealt.repartition(min(2000, max(leaves * blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))), "part").groupBy("part").applyInPandas(solve, "a long, b long")
+    dealt = kept(distinct.select("fp").mapInArrow(deal, "part int, fp long, home boolean"))
+    return in_tiles(dealt, "part", reach > 0, tile).groupBy("part", "__i", "__j").applyInPandas(solve, "a long, b long")
 
 
 def similar_sketches(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -208,8 +251,19 @@ def similar_sketches(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     return ((a == b) & (a != 0)).sum(axis=1) >= least * np.maximum(1, filled)
 
 
-def links_in_shards(marked: DataFrame, radius: int, least: float) -> DataFrame:
-    """Edges between fingerprints within ``radius`` that have a min-hash in common and sketches that agree in ``least``."""
+def links_in_shards(marked: DataFrame, radius: int, least: float, tile: int = TILE) -> DataFrame:
+    """Edges between fingerprints within ``radius`` that have a min-hash in common and sketches that agree in ``least``.
+
+    Shards of up to ``tile`` fingerprints are streamed through tasks by the batch, larger ones are cut into tiles.
+    """
+    def solve_tile(rows: pd.DataFrame) -> pd.DataFrame:
+        signed, sketches = rows["fp"].to_numpy(np.int64), np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(-1, SKETCH)
+        groups = Groups(len(rows))
+        link_within(signed.view(np.uint64), *(np.flatnonzero(rows[x].to_numpy(bool)) for x in ("home", "visits")), radius, groups,
+                    lambda x, y: similar_sketches(sketches[x], sketches[y], least))
+        member = np.flatnonzero(groups.root != np.arange(len(rows)))
+        return pd.DataFrame({"a": signed[member], "b": signed[groups.root[member]]})
+
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -248,15 +302,22 @@ def links_in_shards(marked: DataFrame, radius: int, least: float) -> DataFrame:
         if held:
             yield shards(True)
 
-    rows = marked.select(F.explode("keys").alias("key"), "fp", "sketch").dropDuplicates(["key", "fp"])
-    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(solve, "a long, b long")
+    rows = marked.select(F.explode("keys").alias("key"), "fp", "sketch")
+    sizes = rows.select("key", "fp").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("__n"))
+    large = kept(sizes.filter(F.col("__n") > tile).select("key"))
+    streamed = rows.join(large, "key", "left_anti").dropDuplicates(["key", "fp"]).repartition("key").sortWithinPartitions("key", "fp")
+    links = streamed.mapInArrow(solve, "a long, b long")
+    if large.isEmpty():
+        return links
+    hot = rows.join(large, "key", "left_semi").dropDuplicates(["key", "fp"]).withColumn("home", F.lit(True))
+    return links.union(in_tiles(hot, "key", tile=tile).groupBy("key", "__i", "__j").applyInPandas(solve_tile, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 42, shards: int = 0, least: float = 0.75) -> DataFrame:
     """One row per document: doc_id, fp (signed long), component_id.
 
-    Without ``shards`` all fingerprints within ``radius`` are linked, through the vantage-point tree. Its bounds prune nothing
-    once the radius nears the spread of distances (4 around 32 for unrelated texts); for such radii ``shards`` min-hashes say
+    Without ``shards`` all fingerprints within ``radius`` are linked, through the vantage-point trees. Their bounds prune little
+    once parts of the bits are as short as at larger radii (four bits at 14); for such radii ``shards`` min-hashes say
     which fingerprints are compared: texts whose shingles are similar by s share none with probability (1 - s) ** shards. There
     sketches must agree in ``least`` of their bins too; their share estimates s with a deviation of 0.035 at 0.8.
     """

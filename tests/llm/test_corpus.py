@@ -115,19 +115,43 @@ def test_fingerprints_and_components(docs, rows):
     assert got == want
 
 
-def test_tree_finds_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "LEAF", 64)
+@pytest.mark.parametrize(("parts", "tile"), [(None, 16384), (None, 40), (1, 16384), (1, 40), (2, 40), (3, 16384)])
+def test_trees_find_all_pairs(spark, parts, tile):
     draw = np.random.default_rng(5)
     base = draw.integers(0, 2 ** 63, 600, dtype=np.uint64)
-    points = np.unique(np.concatenate([base, base[:300] ^ (np.uint64(1) << draw.integers(0, 63, 300).astype(np.uint64)), base[:100] ^ np.uint64(0b11110000)])).view(np.int64)
-    got = components(simhash.similar_links(spark.createDataFrame([(int(p),) for p in points], "fp long"))).collect()
-    far = np.bitwise_count(points[:, None] ^ points[None, :])
+    flips = [np.bitwise_or.reduce(np.uint64(1) << draw.choice(64, k, replace=False).astype(np.uint64)) for k in draw.integers(1, 7, 400)]
+    points = np.unique(np.concatenate([base, base[:400] ^ np.array(flips, np.uint64), base[:100] ^ np.uint64(0b11110000)])).view(np.int64)
+    edges = simhash.similar_links(spark.createDataFrame([(int(p),) for p in points], "fp long"), parts=parts, leaf=64, tile=tile)
+    got = components(edges).collect()
+    far = np.bitwise_count(points.view(np.uint64)[:, None] ^ points.view(np.uint64)[None, :])
     groups = simhash.Groups(len(points))
     groups.link(*np.nonzero(far <= 4))
     want = {int(points[i]): int(points[groups.root == groups.root[i]].min()) for i in range(len(points)) if (groups.root == groups.root[i]).sum() > 1}
     assert {r.node: r.root for r in got} == want
 
 
+@pytest.mark.parametrize("n", [1000, 2 ** 30])
+def test_parts_hold_every_pair_within_the_radius(n):
+    draw = np.random.default_rng(3)
+    masks = simhash.parts_of(n, 4)
+    for _ in range(2000):
+        apart = sum(1 << int(b) for b in draw.choice(64, 4, replace=False))
+        assert any(not apart & m for m in masks)
+
+
+def test_a_shard_of_many_texts_is_cut_into_tiles(spark):
+    draw = np.random.default_rng(11)
+    common = " ".join(f"c{i}" for i in range(60))
+    rows = []
+    for i in range(120):
+        own = common + " " + " ".join(f"w{x}" for x in draw.integers(0, 10 ** 6, 15))
+        rows += [(3 * i, own), (3 * i + 1, own + " end"), (3 * i + 2, own if i % 2 else None)]
+    marked = simhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), 5, mins=6).cache()
+    assert marked.selectExpr("explode(keys) AS k", "fp").distinct().groupBy("k").count().agg({"count": "max"}).first()[0] > 100
+    whole, cut = ({(r.node, r.root) for r in components(simhash.links_in_shards(marked, 14, 0.75, tile)).collect()} for tile in (10 ** 6, 16))
+    assert cut == whole and len(whole) > 100
+
+
 def test_components_of_a_path(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (5, 5), (None, 3), (101, 100)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
