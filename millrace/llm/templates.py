@@ -7,7 +7,9 @@ of the tokens; a line that has all its fixed tokens is of that template, and any
 found in ``min_docs`` documents or more recur: only their first line (smallest doc_id, then position) stays.
 
 Only lines of leaves that recur are looked at token by token, and what is grouped by leaf, position or template is counted
-with map-side combine, so a line that a third of all documents hold is no more than a large count.
+with map-side combine, so a line that a third of all documents hold is no more than a large count. What is joined back to
+lines and documents is written first, so its true size is known when the join is planned: Spark broadcasts it up to
+spark.sql.autoBroadcastJoinThreshold and shuffles both sides beyond.
 
 Defined cases: NULL text stays NULL; lines without a token stay and belong to no template; rows with the same doc_id count
 as one document and lose the same lines; NULL doc_id is one document; other columns pass through.
@@ -38,7 +40,7 @@ def recurring_lines(docs: DataFrame, depth: int = 4, similarity: float = 0.7, mi
     """The lines to drop: doc_id and the sorted positions in that document."""
     own = F.coalesce("doc_id", F.lit(-1))
     found = line_leaves(docs, depth)
-    recur = found.groupBy("__leaf").agg(F.countDistinct(own).alias("__d")).filter(F.col("__d") >= min_docs).select("__leaf")
+    recur = kept(found.groupBy("__leaf").agg(F.countDistinct(own).alias("__d")).filter(F.col("__d") >= min_docs).select("__leaf"))
     held = kept(found.join(recur, "__leaf", "left_semi"))
     tokens = held.select("__leaf", "__n", F.posexplode(_tokens(F.col("__m"))).alias("__p", "__t")).filter(F.col("__p") >= depth)
     votes = tokens.groupBy("__leaf", "__n", "__p", "__t").agg(F.count(F.lit(1)).alias("__c"))
@@ -46,18 +48,18 @@ def recurring_lines(docs: DataFrame, depth: int = 4, similarity: float = 0.7, mi
         F.max(F.struct("__c", "__t")).alias("__top"), F.sum("__c").alias("__all")).filter(2 * F.col("__top.__c") >= F.col("__all"))
     fixed = most.groupBy("__leaf", "__n").agg(F.collect_list(F.struct(F.col("__p"), F.col("__top.__t").alias("__t"))).alias("__fixed"))
     fixed = fixed.filter(F.size("__fixed") + F.least(F.lit(depth), F.col("__n")) >= similarity * F.col("__n")).select("__leaf", "__fixed")
-    split = held.withColumn("__t", _tokens(F.col("__m"))).join(fixed, "__leaf", "left")
+    split = held.withColumn("__t", _tokens(F.col("__m"))).join(kept(fixed), "__leaf", "left")
     fits = F.coalesce(F.forall("__fixed", lambda x: F.get("__t", x["__p"]) == x["__t"]), F.lit(False))
     named = kept(split.select("doc_id", "__i", F.when(fits, F.xxhash64(F.lit(1), "__leaf")).otherwise(F.xxhash64(F.lit(2), "__t")).alias("__template")))
     spread = named.groupBy("__template").agg(
         F.countDistinct(own).alias("__d"), F.min(F.struct("doc_id", "__i")).alias("__first")).filter(F.col("__d") >= min_docs)
-    gone = named.join(spread.drop("__d"), "__template").filter(~F.struct("doc_id", "__i").eqNullSafe(F.col("__first")))
+    gone = named.join(kept(spread.drop("__d")), "__template").filter(~F.struct("doc_id", "__i").eqNullSafe(F.col("__first")))
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("__i")).alias("__gone"))
 
 
 def drop_recurring_lines(docs: DataFrame, counts: bool = False, **settings) -> DataFrame:
     """Documents without recurring lines; ``counts`` adds n_lines and n_dropped."""
-    gone = recurring_lines(docs, **settings).select(F.col("doc_id").alias("__id"), "__gone")
+    gone = kept(recurring_lines(docs, **settings).select(F.col("doc_id").alias("__id"), "__gone"))
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     out = with_text(joined, without_lines(F.col("text"), F.col("__gone")))
     if not counts:
