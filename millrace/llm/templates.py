@@ -8,7 +8,7 @@ found in ``min_docs`` documents or more recur: only their first line (smallest d
 
 Only lines of leaves that recur are looked at token by token, and what is grouped by leaf, position or template is counted
 with map-side combine, so a line that a third of all documents hold is no more than a large count. What is joined back to
-lines and documents is written first, so its true size is known when the join is planned: Spark broadcasts it up to
+lines is written first, so its true size is known when the join is planned: Spark broadcasts it up to
 spark.sql.autoBroadcastJoinThreshold and shuffles both sides beyond.
 
 Defined cases: NULL text stays NULL; lines without a token stay and belong to no template; rows with the same doc_id count
@@ -59,7 +59,8 @@ def recurring_lines(docs: DataFrame, depth: int = 4, similarity: float = 0.7, mi
 
 def drop_recurring_lines(docs: DataFrame, counts: bool = False, **settings) -> DataFrame:
     """Documents without recurring lines; ``counts`` adds n_lines and n_dropped."""
-    gone = kept(recurring_lines(docs, **settings).select(F.col("doc_id").alias("__id"), "__gone"))
+    # grows with the documents, so both are shuffled by document at every size
+    gone = recurring_lines(docs, **settings).select(F.col("doc_id").alias("__id"), "__gone").hint("merge")
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     out = with_text(joined, without_lines(F.col("text"), F.col("__gone")))
     if not counts:
