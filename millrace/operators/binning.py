@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import right_closed_bin, safe_corr
+from millrace.functions.columns import right_closed_bin
 from millrace.operators.quantiles import exact_quantiles, order_statistics
 from millrace.operators.select import numeric_columns
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace import fixed_values as fixed
 from millrace.operators import modelling as M
 from millrace.operators.grid import fill_gaps, resample_mean
 from millrace.plans import combined, mill_tables, shift_reports
@@ -119,7 +120,7 @@ def combine_mill_and_lab(spark, d):
 
 # --- shift reports: a sheet per month, a file per year, rows made from orders ---------------------------------------
 
-_MONTHS = ["Януари", "Февруари", "Март", "Април", "Май", "Юни", "Юли", "Август", "Септември", "Октомври", "Ноември", "Декември"]
+_MONTHS = list(fixed.MONTH_NUMBERS)
 
 
 def sheet_rows(spark, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace import fixed_values as fixed
 from millrace.functions.columns import month_from_sheet, year_from_name
 from millrace.operators import dedup as D
 from millrace.operators import select as S
@@ -235,7 +236,7 @@ def valid_shift(spark, d):
     return table(spark, d, "orders").select("o_orderkey", S.valid_shift(_shift_text()).alias("shift"))
 
 
-_MONTHS = ["Януари", "Февруари", "Март", "Април", "Май", "Юни", "Юли", "Август", "Септември", "Октомври", "Ноември", "Декември"]
+_MONTHS = list(fixed.MONTH_NUMBERS)
 
 
 @query("SELECT o_orderkey, year(o_orderdate)::INT AS year, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE month(o_orderdate)::INT END AS month "
