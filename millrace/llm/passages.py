@@ -10,7 +10,7 @@ Windows meet by min-hash. Where the whole window, by the hash of its shingles, o
 passage as it stands. Of the others one per kind is looked at with its shingles to both sides: in each group a leader
 is compared with all that are left, and the longest interval around c in which the shingles of both agree in 8/9 (a
 similarity of 0.8 at equal lengths) is a match if it has at least 50 words; those that do not match get leaders of their
-own, until none are left. A large group is dealt by hash into groups of bounded size.
+own, until none are left. A large group is dealt by hash into blocks, and each pair of blocks is a task of its own.
 
 Defined cases: NULL and short texts have no passages; rows equal in doc_id and text count as one document, and repetition within a
 document is none; a document's overlapping passages are joined; NULL doc_ids are kept apart by their texts; only doc_id and text are read.
@@ -100,7 +100,10 @@ def windows_of(docs: DataFrame, functions: int, width: int) -> DataFrame:
 
 
 def settle(found: DataFrame, many: int) -> DataFrame:
-    """Windows whose min-hash occurs in two documents: ``partner`` if the whole window does, ``asked`` if it must be looked at."""
+    """Windows whose min-hash occurs in two documents: ``partner`` if the whole window does, ``asked`` if it must be looked at.
+
+    A min-hash with more than ``many`` windows to be looked at has its documents dealt into ``shares`` blocks.
+    """
     same, every = W.partitionBy("route", "same"), W.partitionBy("route")
     low, high = F.col("low"), F.col("high")
     classed = found.withColumn("one", F.row_number().over(same.orderBy("key", "c")) == 1).withColumns(
@@ -110,12 +113,15 @@ def settle(found: DataFrame, many: int) -> DataFrame:
         F.max(low == high).over(every).alias("open"), F.sum(F.col("one").cast("long")).over(every).alias("kinds"))
     return totals.filter(F.col("first") < F.col("last")).select(
         "key", "route", "l", "c", "r", F.when(low < high, F.when(F.col("key") == low, high).otherwise(low)).alias("partner"),
-        (F.col("one") & F.col("open")).alias("asked"), F.ceil(F.col("kinds") / many).cast("int").alias("shares")).filter(
+        (F.col("one") & F.col("open")).alias("asked"), F.when(F.col("kinds") > many, F.ceil(2 * F.col("kinds") / many)).otherwise(1).cast("int").alias("shares")).filter(
         F.col("asked") | F.col("partner").isNotNull())
 
 
 def around(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """For each asked window its shingles up to REACH to both sides of c, two bytes each."""
+    """For each asked window its shingles up to REACH to both sides of c, two bytes each, once for every task (sort) it is compared in.
+
+    Each pair of blocks of a min-hash is a task, so every window meets every other one in some task.
+    """
     listed = asked.groupBy("key").agg(F.collect_set(F.struct("route", "l", "c", "r", "shares")).alias("own"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,12 +134,14 @@ def around(docs: DataFrame, asked: DataFrame) -> DataFrame:
                     tokens = (_mixed(shingles(text, hashes)) >> U(48)).astype(np.uint16)
                     for w in own:
                         low, high = max(w["l"], w["c"] - REACH), min(w["r"], w["c"] + REACH) + 1
-                        share = (k >> 7) % w["shares"]
-                        route.append((w["route"] + share * 0x51ED270B7F4A7C15 + 2 ** 63) % 2 ** 64 - 2 ** 63)
-                        key.append(k)
-                        start.append(low)
-                        middle.append(w["c"] - low)
-                        body.append(tokens[low:high].tobytes())
+                        n, held = w["shares"], tokens[low:high].tobytes()
+                        block = (k >> 7) % n
+                        for pair in [(min(block, x), max(block, x)) for x in range(n) if x != block] or [(0, 0)]:
+                            route.append((w["route"] + (pair[0] * n + pair[1]) * 0x51ED270B7F4A7C15 + 2 ** 63) % 2 ** 64 - 2 ** 63)
+                            key.append(k)
+                            start.append(low)
+                            middle.append(w["c"] - low)
+                            body.append(held)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(route, pa.int64()), pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(middle, pa.int32()), pa.array(body, pa.binary())],
                     ["sort", "key", "start", "middle", "body"])

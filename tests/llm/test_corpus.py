@@ -264,6 +264,23 @@ def test_near_passages(spark, docs):
     assert {12, 13, 14, 15, 16, 17} <= {r.doc_id for r in own} and all(r.end - r.start >= 50 for r in own)
 
 
+def hot_phrase() -> list[tuple[int, str]]:
+    """A phrase too short for a passage in all documents; around it every two documents have a passage in common, but for a word."""
+    draw = random.Random(21)
+    words = lambda n: ["".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    phrase, rows = words(40), []
+    for i in range(30):
+        left, right = words(24), words(24)
+        rows += [(2 * i + j, " ".join(words(80) + left[:3] + words(1) + left[4:] + phrase + right[:20] + words(1) + right[21:] + words(80))) for j in range(2)]
+    return rows
+
+
+def test_blocks_of_a_hot_min_hash_lose_no_pair(spark):
+    table = spark.createDataFrame(hot_phrase(), "doc_id long, text string")
+    few, all_in_one = ({(r.doc_id, r.start, r.end) for r in passages.near_passages(table, many=many).collect()} for many in (4, 4096))
+    assert few == all_in_one and {i for i, _, _ in few} == set(range(60))
+
+
 def test_empty_tables(empty):
     own = pieces.Segmenter(pieces.load_vocabulary(VOCABULARY))
     for made in (quality.quality_rules(empty), quality.keep_good(empty), templates.drop_recurring_lines(empty), simhash.near_duplicates(empty),
