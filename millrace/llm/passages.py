@@ -7,10 +7,10 @@ of their shingles share the min-hash with probability s under each function: wit
 with probability 0.96, and a longer one has more windows to be found by.
 
 Windows meet by min-hash. Where the whole window, by the hash of its shingles, occurs in two documents it is a repeated
-passage as it stands. Of the others one per kind is looked at with its shingles to both sides: in each group a leader
-is compared with all that are left, and the longest interval around c in which the shingles of both agree in 8/9 (a
-similarity of 0.8 at equal lengths) is a match if it has at least 50 words; those that do not match get leaders of their
-own, until none are left. A large group is dealt by hash into blocks, and each pair of blocks is a task of its own.
+passage as it stands. Of the others one per kind is looked at with its shingles to both sides: every two of a group are
+compared, and an interval around c in which the shingles of both agree in 8/9 (a similarity of 0.8 at equal lengths) is a
+match if it has at least 50 words; a passage is all its matches together. Only pairs that can add nothing are passed over: both windows are linked
+already, and neither can reach further, even if all its shingles that occur in another document of the group agreed. A large group is dealt by hash into blocks, and each pair of blocks is a task of its own.
 
 Defined cases: NULL and short texts have no passages; rows equal in doc_id and text count as one document, and repetition within a
 document is none; a document's overlapping passages are joined; NULL doc_ids are kept apart by their texts; only doc_id and text are read.
@@ -28,9 +28,12 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import kept
 from millrace.llm.repeats import Hashes, _mixed
+from millrace.llm.simhash import Groups
 
 SHINGLE = 5
 REACH = 60
+#: Groups of so many windows are worth the bounds of what each can reach.
+BOUNDED = 8
 U = np.uint64
 
 
@@ -118,7 +121,7 @@ def settle(found: DataFrame, many: int) -> DataFrame:
 
 
 def around(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """For each asked window its shingles up to REACH to both sides of c, two bytes each, once for every task (sort) it is compared in.
+    """For each asked window its shingles up to REACH to both sides of c, four bytes each, once for every task (sort) it is compared in.
 
     Each pair of blocks of a min-hash is a task, so every window meets every other one in some task.
     """
@@ -131,7 +134,7 @@ def around(docs: DataFrame, asked: DataFrame) -> DataFrame:
                 part = batch.slice(at, 128)
                 route, key, start, middle, body = [], [], [], [], []
                 for k, text, own in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    tokens = (_mixed(shingles(text, hashes)) >> U(48)).astype(np.uint16)
+                    tokens = (_mixed(shingles(text, hashes)) >> U(32)).astype(np.uint32)
                     for w in own:
                         low, high = max(w["l"], w["c"] - REACH), min(w["r"], w["c"] + REACH) + 1
                         n, held = w["shares"], tokens[low:high].tobytes()
@@ -149,69 +152,93 @@ def around(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return docs.join(listed, "key").select("key", "text", "own").mapInArrow(cut, "sort long, key long, start int, middle int, body binary")
 
 
-def longest_match(hit: np.ndarray, size: np.ndarray, middle: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Per row of ``hit`` the longest interval [a, b) around ``middle`` with at least ``share`` of hits; rows are ``size`` long."""
+def bounds(hit: np.ndarray, size: np.ndarray, middle: np.ndarray, share: float, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of ``hit`` the least start and the largest end of all intervals of ``width`` around ``middle`` with ``share`` of hits; end 0 if there are none."""
     n, wide = hit.shape
     sums = np.zeros((n, wide + 1))
     np.cumsum(hit - share, axis=1, out=sums[:, 1:])
-    place = np.arange(wide + 1)
-    sums[:, :][place[None, :] > size[:, None]] = -np.inf
-    best_a, best_b = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for a in range(int(middle.max(initial=-1)) + 1):
-        ok = (sums >= sums[:, a:a + 1] - 1e-9) & (place[None, :] > middle[:, None]) & (a <= middle)[:, None]
-        b = np.where(ok.any(axis=1), wide - ok[:, ::-1].argmax(axis=1), 0)
-        better = b - a > best_b - best_a
-        best_a[better], best_b[better] = a, b[better]
-    return best_a, best_b
+    place, middle = np.arange(wide + 1)[None, :], middle[:, None]
+    sums[place > size[:, None]] = -np.inf
+    # a start holds if the largest sum from its first possible end on is not below its own, an end by the least sum up to its last possible start
+    highest = np.maximum.accumulate(sums[:, ::-1], axis=1)[:, ::-1]
+    lowest = np.minimum.accumulate(sums, axis=1)
+    ends, begins = np.maximum(place + width, middle + 1), np.minimum(place - width, middle)
+    starts = (place <= middle) & (ends <= wide) & (np.take_along_axis(highest, np.minimum(ends, wide), axis=1) >= sums - 1e-9)
+    stops = (place > middle) & (begins >= 0) & (place <= size[:, None]) & (np.take_along_axis(lowest, np.maximum(begins, 0), axis=1) <= sums + 1e-9)
+    return np.where(starts.any(axis=1), starts.argmax(axis=1), wide + 1), np.where(stops.any(axis=1), wide - stops[:, ::-1].argmax(axis=1), 0)
 
 
 def _matches(rows: np.ndarray, against: np.ndarray, tokens: np.ndarray, size: np.ndarray, middles: np.ndarray, width: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Per pair (row, row to hold it against) the interval [a, b) of the first that matches; b = 0 if there is none of ``width``."""
+    """Per pair (row, row to hold it against) the interval [a, b) of the first that matches, all of its matches together; b = 0 if there is none of ``width``."""
     first, last = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
     place = np.arange(tokens.shape[1])
     for at in range(0, len(rows), 2048):
         own, other = rows[at:at + 2048], against[at:at + 2048]
         held, pair = np.unique(other, return_inverse=True)
         inside = place[None, :] < size[held][:, None]
-        known = np.unique((np.arange(len(held))[:, None] << 16 | tokens[held])[inside])
-        asked = pair[:, None] << 16 | tokens[own]
+        known = np.unique((np.arange(len(held))[:, None] << 32 | tokens[held])[inside])
+        asked = pair[:, None] << 32 | tokens[own]
         spot = np.minimum(np.searchsorted(known, asked), len(known) - 1)
         hit = (known[spot] == asked) & (place[None, :] < size[own][:, None])
         some = np.flatnonzero(hit.sum(axis=1) >= share * width)
         if len(some):
-            a, b = longest_match(hit[some], size[own[some]], middles[own[some]], share)
-            good = b - a >= width
+            a, b = bounds(hit[some], size[own[some]], middles[own[some]], share, width)
+            good = b > 0
             first[at + some[good]], last[at + some[good]] = a[good], b[good]
     return first, last
 
 
+def reachable(group: np.ndarray, keys: np.ndarray, tokens: np.ndarray, size: np.ndarray, middles: np.ndarray, width: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of what each window can match in its group: all its shingles that another document of the group has are taken as hits."""
+    place = np.arange(tokens.shape[1])
+    inside = place[None, :] < size[:, None]
+    number = np.unique(group, return_inverse=True)[1]
+    kinds, where = np.unique((number[:, None] << 32 | tokens)[inside], return_inverse=True)
+    owner = np.broadcast_to(keys[:, None], tokens.shape)[inside]
+    low, high = np.full(len(kinds), np.iinfo(np.int64).max), np.full(len(kinds), np.iinfo(np.int64).min)
+    np.minimum.at(low, where, owner)
+    np.maximum.at(high, where, owner)
+    hit = np.zeros(tokens.shape, bool)
+    hit[inside] = (low < high)[where]
+    found = [bounds(hit[i:i + 2048], size[i:i + 2048], middles[i:i + 2048], share, width) for i in range(0, len(hit), 2048)]
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
 def match_groups(group: np.ndarray, keys: np.ndarray, starts: np.ndarray, middles: np.ndarray, bodies: list[bytes], width: int, share: float) -> np.ndarray:
-    """Rows (key, start, end, partner) in shingles, for windows in order of ``group``: each round has a leader per group."""
-    size = np.array([len(b) // 2 for b in bodies])
+    """Rows (key, start, end, partner) in shingles, for windows in order of ``group``: round by round one window of each group is compared with those behind it."""
+    size = np.array([len(b) // 4 for b in bodies])
     tokens = np.zeros((len(bodies), int(size.max())), np.int64)
-    flat = np.frombuffer(b"".join(bodies), np.uint16)
+    flat = np.frombuffer(b"".join(bodies), np.uint32)
     tokens[np.arange(tokens.shape[1])[None, :] < size[:, None]] = flat
-    found, left = [np.zeros((0, 4), np.int64)], np.arange(len(bodies))
-
-    def note(rows: np.ndarray, a: np.ndarray, b: np.ndarray, partner: np.ndarray) -> None:
-        found.append(np.column_stack([keys[rows], starts[rows] + a, starts[rows] + b, keys[partner]]))
-
-    while len(left):
-        new = np.append(True, group[left][1:] != group[left][:-1])
-        leader = left[new][np.cumsum(new) - 1]
-        rest, leader = left[~new], leader[~new]
-        a, b = _matches(rest, leader, tokens, size, middles, width, share)
-        near = (b > 0) & (keys[rest] != keys[leader])
-        note(rest[near], a[near], b[near], leader[near])
-        # the leaders' own passages, seen from the first and the last that match them
-        hits, heads = rest[near], leader[near]
-        for turned in (1, -1):
-            _, one = np.unique(heads[::turned], return_index=True)
-            own, other = heads[::turned][one], hits[::turned][one]
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    length = np.diff(np.append(first, len(group)))
+    head, rank = np.repeat(first, length), np.arange(len(group)) - np.repeat(first, length)
+    least, most = np.full(len(group), -1), np.full(len(group), np.iinfo(np.int64).max)
+    large = np.repeat(length, length) >= BOUNDED
+    if large.any():
+        least[large], most[large] = reachable(group[large], keys[large], tokens[large], size[large], middles[large], width, share)
+    low, high, partner = np.full(len(group), tokens.shape[1] + 1), np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
+    # what can match nothing at all has nothing left to reach; it is never linked, so it is passed over by itself
+    idle, linked, left = most == 0, Groups(len(group)), np.arange(len(group))
+    for at in range(int(length.max()) - 1):
+        left = left[rank[left] > at]
+        leader = head[left] + at
+        done = (low <= least) & (high >= most)
+        use = (keys[left] != keys[leader]) & ~(done[left] & done[leader] & (linked.root[left] == linked.root[leader])) & ~(idle[left] | idle[leader])
+        rest, leader = left[use], leader[use]
+        if not len(rest):
+            continue
+        near = np.zeros(len(rest), bool)
+        for own, other in ((rest, leader), (leader, rest)):
             a, b = _matches(own, other, tokens, size, middles, width, share)
-            note(own[b > 0], a[b > 0], b[b > 0], other[b > 0])
-        left = rest[~near]
-    return np.concatenate(found)
+            hits = b > 0
+            near |= hits
+            np.minimum.at(low, own[hits], a[hits])
+            np.maximum.at(high, own[hits], b[hits])
+            partner[own[hits]] = keys[other[hits]]
+        linked.link(rest[near], leader[near])
+    found = np.flatnonzero(high > 0)
+    return np.column_stack([keys[found], starts[found] + low[found], starts[found] + high[found], partner[found]])
 
 
 def compared(rows: DataFrame, width: int, share: float) -> DataFrame:

@@ -281,6 +281,34 @@ def test_blocks_of_a_hot_min_hash_lose_no_pair(spark):
     assert few == all_in_one and {i for i, _, _ in few} == set(range(60))
 
 
+def test_matched_windows_are_held_against_all_others():
+    draw = np.random.default_rng(4)
+    word = lambda n: draw.integers(1, 2 ** 32, n, dtype=np.uint32)
+    middle, share = 60, 8 / 9
+    left, right, core = word(55), word(55), word(1)
+    leader, a, b = np.concatenate([left, word(5), core, word(60)]), np.concatenate([left, word(5), core, right, word(5)]), np.concatenate([word(60), core, right, word(5)])
+    rows = [leader, a, b] + [np.concatenate([word(60), core, word(60)]) for _ in range(3)]
+    windows = []
+    for _ in range(14):  # near copies of one text and of parts of it
+        own = a.copy()
+        own[draw.integers(0, 121, draw.integers(0, 12))] = word(1)[0]
+        cut = int(draw.integers(0, 121))
+        own[:cut // 2 * int(draw.integers(0, 2))] = word(1)[0]
+        windows.append(own)
+    for some in (rows, rows[::-1], windows, windows[:5]):
+        keys, n = np.arange(len(some)) // 2 * (len(some) > 6) + np.arange(len(some)) * (len(some) <= 6), len(some)
+        got = passages.match_groups(np.zeros(n, int), keys, np.zeros(n, int), np.full(n, middle), [x.tobytes() for x in some], 46, share)
+        want = set()
+        for i, x in enumerate(some):
+            hits = [np.isin(x, y) for j, y in enumerate(some) if keys[i] != keys[j]]
+            sums = [np.append(0, np.cumsum(h)) for h in hits]
+            spans = [(p, q) for s in sums for p in range(middle + 1) for q in range(max(p + 46, middle + 1), 122) if s[q] - s[p] >= share * (q - p) - 1e-9]
+            if spans:
+                want.add((int(keys[i]), min(p for p, _ in spans), max(q for _, q in spans)))
+        assert {tuple(map(int, r[:3])) for r in got} == want
+    assert len(want) > 0
+
+
 def test_empty_tables(empty):
     own = pieces.Segmenter(pieces.load_vocabulary(VOCABULARY))
     for made in (quality.quality_rules(empty), quality.keep_good(empty), templates.drop_recurring_lines(empty), simhash.near_duplicates(empty),
