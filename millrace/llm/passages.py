@@ -7,13 +7,14 @@ of their shingles share the min-hash with probability s under each function: wit
 with probability 0.96, and a longer one has more windows to be found by.
 
 Windows meet by min-hash. Where the whole window, by the hash of its shingles, occurs in two documents it is a repeated
-passage as it stands. Of the others one per kind is looked at with its shingles to both sides: every two of a group are
-compared, and an interval around c in which the shingles of both agree in 8/9 (a similarity of 0.8 at equal lengths) is a
+passage as it stands. Where there are several kinds, windows of one document only and two documents of each other kind
+are looked at with their shingles to both sides: every two of a group are compared, and an interval around c in which the shingles of both agree in 8/9 (a similarity of 0.8 at equal lengths) is a
 match if it has at least 50 words; a passage is all its matches together. Only pairs that can add nothing are passed over: both windows are linked
 already, and neither can reach further, even if all its shingles that occur in another document of the group agreed. A large group is dealt by hash into blocks, and each pair of blocks is a task of its own.
 
 Defined cases: NULL and short texts have no passages; rows equal in doc_id and text count as one document, and repetition within a
-document is none; a document's overlapping passages are joined; NULL doc_ids are kept apart by their texts; only doc_id and text are read.
+document is none; a document's overlapping passages are joined, and each such run has the id of its component, the runs that matches
+and whole repeats connect, as one partner is named only; NULL doc_ids are kept apart by their texts; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.common import kept
+from millrace.llm.graph import components
 from millrace.llm.repeats import Hashes, _mixed
 from millrace.llm.simhash import Groups
 
@@ -103,20 +105,22 @@ def windows_of(docs: DataFrame, functions: int, width: int) -> DataFrame:
 
 
 def settle(found: DataFrame, many: int) -> DataFrame:
-    """Windows whose min-hash occurs in two documents: ``partner`` if the whole window does, ``asked`` if it must be looked at.
+    """Windows whose min-hash occurs in two documents: ``partner`` and ``link`` if the whole window does, ``asked`` if it must be looked at.
 
     A min-hash with more than ``many`` windows to be looked at has its documents dealt into ``shares`` blocks.
     """
     same, every = W.partitionBy("route", "same"), W.partitionBy("route")
-    low, high = F.col("low"), F.col("high")
-    classed = found.withColumn("one", F.row_number().over(same.orderBy("key", "c")) == 1).withColumns(
-        {"low": F.min("key").over(same), "high": F.max("key").over(same)})
-    totals = classed.select(
+    low, high, several = F.col("low"), F.col("high"), F.col("low") < F.col("high")
+    row, before = F.row_number().over(same.orderBy("key", "c")), F.lag("key").over(same.orderBy("key", "c"))
+    classed = found.withColumns({"one": row == 1, "new": F.coalesce(before != F.col("key"), F.lit(True)), "low": F.min("key").over(same), "high": F.max("key").over(same)})
+    # two documents of a kind, so that kinds which have one document in common are compared by another
+    totals = classed.withColumn("look", ~several | F.col("new") & F.col("key").isin(low, high)).select(
         "*", F.min("key").over(every).alias("first"), F.max("key").over(every).alias("last"),
-        F.max(low == high).over(every).alias("open"), F.sum(F.col("one").cast("long")).over(every).alias("kinds"))
+        F.sum(F.col("one").cast("long")).over(every).alias("kinds"), F.sum(F.col("look").cast("long")).over(every).alias("looks"))
     return totals.filter(F.col("first") < F.col("last")).select(
-        "key", "route", "l", "c", "r", F.when(low < high, F.when(F.col("key") == low, high).otherwise(low)).alias("partner"),
-        (F.col("one") & F.col("open")).alias("asked"), F.when(F.col("kinds") > many, F.ceil(2 * F.col("kinds") / many)).otherwise(1).cast("int").alias("shares")).filter(
+        "key", "route", "l", "c", "r", F.when(several, F.when(F.col("key") == low, high).otherwise(low)).alias("partner"),
+        F.when(several, F.xxhash64("route", "same")).alias("link"), (F.col("look") & (F.col("kinds") > 1)).alias("asked"),
+        F.when(F.col("looks") > many, F.ceil(2 * F.col("looks") / many)).otherwise(1).cast("int").alias("shares")).filter(
         F.col("asked") | F.col("partner").isNotNull())
 
 
@@ -205,7 +209,10 @@ def reachable(group: np.ndarray, keys: np.ndarray, tokens: np.ndarray, size: np.
 
 
 def match_groups(group: np.ndarray, keys: np.ndarray, starts: np.ndarray, middles: np.ndarray, bodies: list[bytes], width: int, share: float) -> np.ndarray:
-    """Rows (key, start, end, partner) in shingles, for windows in order of ``group``: round by round one window of each group is compared with those behind it."""
+    """Rows (key, start, end, partner, link) in shingles, for windows in order of ``group``: round by round one window of each group is compared with those behind it.
+
+    Windows that matches connect have the same link.
+    """
     size = np.array([len(b) // 4 for b in bodies])
     tokens = np.zeros((len(bodies), int(size.max())), np.int64)
     flat = np.frombuffer(b"".join(bodies), np.uint32)
@@ -238,7 +245,9 @@ def match_groups(group: np.ndarray, keys: np.ndarray, starts: np.ndarray, middle
             partner[own[hits]] = keys[other[hits]]
         linked.link(rest[near], leader[near])
     found = np.flatnonzero(high > 0)
-    return np.column_stack([keys[found], starts[found] + low[found], starts[found] + high[found], partner[found]])
+    root = linked.root[found]
+    link = _mixed(_mixed(group[root].astype(np.int64).view(U)) + _mixed(keys[root].view(U)) * U(3) + (starts[root] + middles[root]).astype(np.int64).view(U)).view(np.int64)
+    return np.column_stack([keys[found], starts[found] + low[found], starts[found] + high[found], partner[found], link])
 
 
 def compared(rows: DataFrame, width: int, share: float) -> DataFrame:
@@ -256,9 +265,9 @@ def compared(rows: DataFrame, width: int, share: float) -> DataFrame:
             group = np.cumsum(np.append(0, np.diff(sort[:whole]) != 0))
             # a min-hash of one document only has nothing to be compared with
             shared = np.bincount(group)[group] > 1
-            columns = match_groups(group[shared], key[shared], start[shared], middle[shared],
-                                   joined.column(4).slice(0, whole).filter(pa.array(shared)).to_pylist(), width, share) if shared.any() else np.zeros((0, 4), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[:, i]) for i in range(4)], ["key", "start", "end", "partner"])
+            columns = match_groups(sort[:whole][shared], key[shared], start[shared], middle[shared],
+                                   joined.column(4).slice(0, whole).filter(pa.array(shared)).to_pylist(), width, share) if shared.any() else np.zeros((0, 5), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[:, i]) for i in range(5)], ["key", "start", "end", "partner", "link"])
 
         for batch in batches:
             held.append(batch)
@@ -267,16 +276,16 @@ def compared(rows: DataFrame, width: int, share: float) -> DataFrame:
         if held:
             yield from groups(True)
 
-    return rows.repartition("sort").sortWithinPartitions("sort").mapInArrow(solve, "key long, start long, end long, partner long")
+    return rows.repartition("sort").sortWithinPartitions("sort").mapInArrow(solve, "key long, start long, end long, partner long, link long")
 
 
 def near_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, functions: int = 2, many: int = 4096) -> DataFrame:
-    """doc_id, start, end (words [start, end)), partner_id: the passages that another document nearly repeats, joined per document."""
+    """doc_id, start, end (words [start, end)), partner_id, component_id: the passages that another document nearly repeats, joined per document."""
     width, share = min_words - SHINGLE + 1, 2 * similarity / (1 + similarity)
     keyed = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", "text").alias("key"))
     texts = keyed.select("key", "text")
     marks = kept(settle(windows_of(texts, functions, width), many))
-    whole = marks.filter(F.col("partner").isNotNull()).select("key", F.col("l").cast("long").alias("start"), (F.col("r") + 1).cast("long").alias("end"), "partner")
+    whole = marks.filter(F.col("partner").isNotNull()).select("key", F.col("l").cast("long").alias("start"), (F.col("r") + 1).cast("long").alias("end"), "partner", "link")
     found = whole.union(compared(around(texts, marks.filter("asked")), width, share))
 
     # runs of overlapping passages of a document: a run begins where a start lies beyond all ends before it
@@ -284,8 +293,13 @@ def near_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8,
     before = F.max("end").over(sweep.rowsBetween(W.unboundedPreceding, -1))
     numbered = found.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(sweep.rowsBetween(W.unboundedPreceding, 0)))
     joined = kept(numbered.groupBy("key", "run").agg(
-        F.min("start").alias("start"), (F.max("end") + (SHINGLE - 1)).alias("end"), F.min("partner").alias("partner")))
+        F.min("start").alias("start"), (F.max("end") + (SHINGLE - 1)).alias("end"), F.min("partner").alias("partner"),
+        F.collect_set("link").alias("links")).withColumn("node", F.xxhash64("key", "run")))
+    ends = joined.select("node", F.explode("links").alias("link"))
+    least = ends.groupBy("link").agg(F.min("node").alias("a"))
+    reach = kept(components(ends.join(least, "link").select("a", F.col("node").alias("b"))))
+    linked = joined.drop("links").join(reach, "node", "left").withColumn("component_id", F.coalesce("root", "node"))
     names = keyed.select("key", "doc_id").distinct()
     return (
-        joined.join(names, "key").join(names.select(F.col("key").alias("partner"), F.col("doc_id").alias("partner_id")), "partner")
-        .select("doc_id", "start", "end", "partner_id"))
+        linked.join(names, "key").join(names.select(F.col("key").alias("partner"), F.col("doc_id").alias("partner_id")), "partner")
+        .select("doc_id", "start", "end", "partner_id", "component_id"))

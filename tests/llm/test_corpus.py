@@ -309,6 +309,23 @@ def test_matched_windows_are_held_against_all_others():
     assert len(want) > 0
 
 
+def test_sets_of_copies_are_linked_by_component(spark):
+    draw = random.Random(9)
+    words = lambda n: ["".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    passage, other = words(110), words(70)
+    near = [*passage[:55], *words(1), *passage[56:]]
+    # the same passage, nearly, in two sets of copies; a pair apart from them; a chain of passages that touch
+    rows = [(i, words(1) + t) for t, ids in ((passage, (1, 2)), (near, (3, 4)), (other, (5, 6))) for i in ids]
+    one, two, three = words(70), words(70), words(70)
+    rows += [(7, one), (8, one + two), (9, two + three), (10, three)]
+    copies = {1: rows[0][1], 2: rows[0][1], 3: rows[2][1], 4: rows[2][1]}
+    table = [(i, " ".join(copies.get(i, t))) for i, t in rows]
+    groups: dict = {}
+    for r in passages.near_passages(spark.createDataFrame(table, "doc_id long, text string")).collect():
+        groups.setdefault(r.component_id, set()).add(r.doc_id)
+    assert sorted(map(sorted, groups.values())) == [[1, 2, 3, 4], [5, 6], [7, 8, 9, 10]]
+
+
 def test_empty_tables(empty):
     own = pieces.Segmenter(pieces.load_vocabulary(VOCABULARY))
     for made in (quality.quality_rules(empty), quality.keep_good(empty), templates.drop_recurring_lines(empty), simhash.near_duplicates(empty),
