@@ -235,11 +235,13 @@ def match_groups(group: np.ndarray, keys: np.ndarray, starts: np.ndarray, middle
         rest, leader = left[use], leader[use]
         if not len(rest):
             continue
-        near = np.zeros(len(rest), bool)
-        for own, other in ((rest, leader), (leader, rest)):
+        near, same = np.zeros(len(rest), bool), linked.root[rest] == linked.root[leader]
+        for one, two in ((rest, leader), (leader, rest)):
+            some = np.flatnonzero(~(done[one] & same))
+            own, other = one[some], two[some]
             a, b = _matches(own, other, tokens, size, middles, width, share)
             hits = b > 0
-            near |= hits
+            near[some[hits]] = True
             np.minimum.at(low, own[hits], a[hits])
             np.maximum.at(high, own[hits], b[hits])
             partner[own[hits]] = keys[other[hits]]
