@@ -34,53 +34,52 @@ from millrace.llm.common import kept
 from millrace.llm.graph import components
 
 SAMPLE = 4096
-SKETCH = 128
 LEVELS = 13
 LEAF = 4096
 TILE = 16384
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42, mins: int = 0) -> tuple[int, list[int], bytes]:
-    """64 bits, set where over half of the shingles' hashes have them set, ``mins`` min-hashes of the shingles, and a sketch.
+    """64 bits, set where over half of the shingles' hashes have them set, ``mins`` min-hashes of the shingles, and their sorted set.
 
-    The sketch deals hashes into SKETCH bins and keeps 16 bits of the least in each, 0 where a bin is empty.
-    ASCII letters are lower-cased; text without words has fingerprint 0.
+    With ``mins`` all three are of the set of shingles, and without the set is empty. ASCII letters are lower-cased; text without words has fingerprint 0.
     """
     plain = b" ".join(text.lower().split())
     if not plain:
-        return 0, [0] * mins, bytes(2 * SKETCH)
+        return 0, [0] * mins, b""
     gaps = np.flatnonzero(np.frombuffer(plain, np.uint8) == 32)
     starts, ends = np.append(0, gaps + 1), np.append(gaps, len(plain))
     if len(starts) >= shingle:
         starts, ends = starts[:len(starts) - shingle + 1], ends[shingle - 1:]
     else:
         starts, ends = starts[:1], ends[-1:]
-    digest, ones, least = xxhash.xxh64_intdigest, np.zeros(64, np.int64), [2 ** 64 - 1] * mins
-    bins = np.full(SKETCH, 2 ** 64 - 1, np.uint64)
-    for at in range(0, len(starts), 65536):
-        part = zip(starts[at:at + 65536].tolist(), ends[at:at + 65536].tolist(), strict=True)
-        hashes = np.array([digest(plain[a:b], seed) for a, b in part], np.uint64)
+    digest, ones, least, held = xxhash.xxh64_intdigest, np.zeros(64, np.int64), [2 ** 64 - 1] * mins, np.zeros(0, np.uint64)
+    parts = (np.array([digest(plain[a:b], seed) for a, b in zip(starts[at:at + 65536].tolist(), ends[at:at + 65536].tolist(), strict=True)], np.uint64)
+             for at in range(0, len(starts), 65536))
+    if mins:
+        held = np.unique(np.concatenate(list(parts)))
+        parts = (held[at:at + 65536] for at in range(0, len(held), 65536))
+    for hashes in parts:
         ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         least = [min(m, int((hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * j * 0x632BE59BD9B4E019 & 2 ** 64 - 1 | 1)).min())) for j, m in enumerate(least)]
-        if mins:
-            mixed = hashes * np.uint64(0xD6E8FEB86659FD93)
-            np.minimum.at(bins, (mixed >> np.uint64(57)).astype(np.int64), mixed)
-    sketch = np.where(bins == 2 ** 64 - 1, 0, (bins >> np.uint64(20)).astype(np.uint16) | 1).astype(np.uint16)
-    return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big"), least, sketch.tobytes()
+    total = len(held) if mins else len(starts)
+    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big"), least, held.tobytes()
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, mins: int = 0) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long), keys (``mins`` min-hashes) and sketch (NULL without them)."""
+    """doc_id, fp (the fingerprint as a signed long), keys (``mins`` min-hashes), grams (the set of shingles, NULL without them) and id: equal for equal sets, or fp without them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(x or b"", shingle, seed, mins) for x in batch.column(1).cast(pa.binary()).to_pylist()]
             keys = [np.array(k, np.uint64).view(np.int64) for _, k, _ in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.array([f for f, _, _ in found], np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())),
-                 pa.array([s if mins else None for _, _, s in found], pa.binary())], ["doc_id", "fp", "keys", "sketch"])
+                 pa.array([s if mins else None for _, _, s in found], pa.binary()),
+                 pa.array(np.array([xxhash.xxh64_intdigest(s, seed) if mins else f for f, _, s in found], np.uint64).view(np.int64))],
+                ["doc_id", "fp", "keys", "grams", "id"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long, keys array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long, keys array<long>, grams binary, id long")
 
 
 def vantage_tree(points: np.ndarray, levels: int) -> list | None:
@@ -168,11 +167,13 @@ def link_within(points: np.ndarray, home: np.ndarray, visiting: np.ndarray, radi
                 some = visiting[v:v + 256]
                 q, s = np.nonzero(np.bitwise_count(points[some][:, None] ^ points[block][None, :]) <= radius)
                 a, b = some[q], block[s]
-                if agree is not None:
+                # what is linked meanwhile is not asked again
+                while agree is not None and len(a):
                     apart = groups.root[a] != groups.root[b]
                     a, b = a[apart], b[apart]
-                    held = agree(a, b)
-                    a, b = a[held], b[held]
+                    held = agree(a[:4096], b[:4096])
+                    groups.link(a[:4096][held], b[:4096][held])
+                    a, b = a[4096:], b[4096:]
                 groups.link(a, b)
 
 
@@ -245,24 +246,42 @@ def similar_links(distinct: DataFrame, radius: int = 4, parts: int | None = None
     return in_tiles(dealt, "part", reach > 0, tile).groupBy("part", "__i", "__j").applyInPandas(solve, "a long, b long")
 
 
-def similar_sketches(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Rows of sketches that agree in ``least`` of the bins that either fills."""
-    filled = ((a | b) != 0).sum(axis=1)
-    return ((a == b) & (a != 0)).sum(axis=1) >= least * np.maximum(1, filled)
+def similar_sets(sets: list[bytes], a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether the sets of shingles of each pair (a, b) have a Jaccard similarity of ``least`` or more; two empty sets have."""
+    size = np.array([len(x) // 8 for x in sets], np.int64)
+    out = np.zeros(len(a), bool)
+    order = np.flatnonzero(np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]))
+    while len(order):
+        # so many pairs that their sets fit in memory
+        some = order[:max(1, int(np.searchsorted(np.cumsum(size[a[order]] + size[b[order]]), 2_000_000)))]
+        order = order[len(some):]
+        rows, where = np.unique(np.append(a[some], b[some]), return_inverse=True)
+        x, y = where[:len(some)], where[len(some):]
+        flat, own = np.frombuffer(b"".join(sets[i] for i in rows), np.uint64), size[rows]
+        kinds, number = np.unique(flat, return_inverse=True)
+        begin, wide = np.cumsum(own) - own, len(kinds) + 1
+        known = np.repeat(np.arange(len(rows)), own) * wide + number
+        count = own[x]
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[x], count)
+        asked = np.repeat(y, count) * wide + number[at]
+        hit = known[np.minimum(np.searchsorted(known, asked), max(0, len(known) - 1))] == asked if len(known) else np.zeros(0, bool)
+        both = np.bincount(np.repeat(np.arange(len(some)), count), hit, len(some))
+        out[some] = both >= least * (own[x] + own[y] - both) - 1e-9
+    return out
 
 
 def links_in_shards(marked: DataFrame, radius: int, least: float, tile: int = TILE) -> DataFrame:
-    """Edges between fingerprints within ``radius`` that have a min-hash in common and sketches that agree in ``least``.
+    """Edges between fingerprints (by id) within ``radius`` that have a min-hash in common and a Jaccard similarity of their sets of ``least``.
 
-    Shards of up to ``tile`` fingerprints are streamed through tasks by the batch, larger ones are cut into tiles.
+    Sets of shingles go only to shards of more than one text. Shards of up to ``tile`` fingerprints are streamed through tasks by the batch, larger ones are cut into tiles.
     """
     def solve_tile(rows: pd.DataFrame) -> pd.DataFrame:
-        signed, sketches = rows["fp"].to_numpy(np.int64), np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(-1, SKETCH)
+        signed, ids, sets = rows["fp"].to_numpy(np.int64), rows["id"].to_numpy(np.int64), [bytes(x) for x in rows["grams"]]
         groups = Groups(len(rows))
         link_within(signed.view(np.uint64), *(np.flatnonzero(rows[x].to_numpy(bool)) for x in ("home", "visits")), radius, groups,
-                    lambda x, y: similar_sketches(sketches[x], sketches[y], least))
+                    lambda x, y: similar_sets(sets, x, y, least))
         member = np.flatnonzero(groups.root != np.arange(len(rows)))
-        return pd.DataFrame({"a": signed[member], "b": signed[groups.root[member]]})
+        return pd.DataFrame({"a": ids[member], "b": ids[groups.root[member]]})
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -277,39 +296,42 @@ def links_in_shards(marked: DataFrame, radius: int, least: float, tile: int = TI
             rows = np.concatenate([np.arange(cuts[i], cuts[i + 1]) for i in several]) if len(several) else np.zeros(0, int)
             part = joined.take(pa.array(rows)) if len(rows) else joined.slice(0, 0)
             key, signed = key[rows], part.column(1).to_numpy()
-            points, sketches = signed.view(np.uint64), np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(-1, SKETCH)
+            points, ids, sets = signed.view(np.uint64), part.column(2).to_numpy(), part.column(3).to_pylist()
             a, b = [], []
             # neighbours settle shards of two; larger ones are searched
             near = np.flatnonzero((key[1:] == key[:-1]) & (np.bitwise_count(points[1:] ^ points[:-1]) <= radius))
-            near = near[similar_sketches(sketches[near], sketches[near + 1], least)]
-            a.append(signed[near + 1])
-            b.append(signed[near])
+            near = near[similar_sets(sets, near, near + 1, least)]
+            a.append(ids[near + 1])
+            b.append(ids[near])
             cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)) if len(key) else np.zeros(1, int)
             for i in np.flatnonzero(np.diff(cuts) > 2):
                 some = np.arange(cuts[i], cuts[i + 1])
                 groups = Groups(len(some))
                 link_within(points[some], np.arange(len(some)), np.arange(len(some)), radius, groups,
-                            lambda x, y, some=some: similar_sketches(sketches[some[x]], sketches[some[y]], least))
+                            lambda x, y, some=some: similar_sets(sets, some[x], some[y], least))
                 member = np.flatnonzero(groups.root != np.arange(len(some)))
-                a.append(signed[some[member]])
-                b.append(signed[some[groups.root[member]]])
+                a.append(ids[some[member]])
+                b.append(ids[some[groups.root[member]]])
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
         for batch in batches:
             held.append(batch)
-            if sum(x.num_rows for x in held) >= 65536:
+            if sum(x.num_rows for x in held) >= 16384:
                 yield shards(False)
         if held:
             yield shards(True)
 
-    rows = marked.select(F.explode("keys").alias("key"), "fp", "sketch")
-    sizes = rows.select("key", "fp").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("__n"))
+    pairs = marked.select("id", F.explode("keys").alias("key")).distinct()
+    sizes = kept(pairs.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1))
+    shared = pairs.join(sizes, "key").groupBy("id").agg(F.collect_list("key").alias("keys"))
+    texts = marked.select("id", "fp", "grams").dropDuplicates(["id"])
+    rows = kept(texts.join(shared, "id")).select(F.explode("keys").alias("key"), "fp", "id", "grams")
     large = kept(sizes.filter(F.col("__n") > tile).select("key"))
-    streamed = rows.join(large, "key", "left_anti").dropDuplicates(["key", "fp"]).repartition("key").sortWithinPartitions("key", "fp")
+    streamed = rows.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key", "fp")
     links = streamed.mapInArrow(solve, "a long, b long")
     if large.isEmpty():
         return links
-    hot = rows.join(large, "key", "left_semi").dropDuplicates(["key", "fp"]).withColumn("home", F.lit(True))
+    hot = rows.join(large, "key", "left_semi").withColumn("home", F.lit(True))
     return links.union(in_tiles(hot, "key", tile=tile).groupBy("key", "__i", "__j").applyInPandas(solve_tile, "a long, b long"))
 
 
@@ -318,16 +340,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: in
 
     Without ``shards`` all fingerprints within ``radius`` are linked, through the vantage-point trees. Their bounds prune little
     once parts of the bits are as short as at larger radii (four bits at 14); for such radii ``shards`` min-hashes say
-    which fingerprints are compared: texts whose shingles are similar by s share none with probability (1 - s) ** shards. There
-    sketches must agree in ``least`` of their bins too; their share estimates s with a deviation of 0.035 at 0.8.
+    which fingerprints are compared: texts whose shingles are similar by s share none with probability (1 - s) ** shards. Both only
+    search: a link needs a Jaccard similarity of ``least`` of the sets of shingles, and only texts with equal sets are one text.
     """
     marked = kept(fingerprints(docs, shingle, seed, shards))
-    distinct = kept(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    edges = links_in_shards(marked, radius, least) if shards else similar_links(distinct, radius)
+    distinct = kept(marked.groupBy("id").agg(F.min("doc_id").alias("first")))
+    edges = links_in_shards(marked, radius, least) if shards else similar_links(distinct.select(F.col("id").alias("fp")), radius)
     reach = kept(components(edges))
-    named = distinct.join(reach.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = distinct.join(reach.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return marked.join(named.join(ids, "root").select("id", "component_id"), "id").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:

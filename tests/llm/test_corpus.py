@@ -152,6 +152,22 @@ def test_a_shard_of_many_texts_is_cut_into_tiles(spark):
     assert cut == whole and len(whole) > 100
 
 
+def test_near_dedup_decides_by_exact_similarity(spark):
+    draw = np.random.default_rng(17)
+    rows, pairs = [], {}
+    for i in range(300):
+        own = [f"w{x}" for x in draw.integers(0, 10 ** 9, 104)]
+        other, changed = list(own), draw.choice(20, int(draw.integers(1, 7)), replace=False)
+        for c in changed:
+            other[5 * c + 2] = f"n{draw.integers(0, 10 ** 9)}"
+        a, b = ({tuple(t[k:k + 5]) for k in range(100)} for t in (own, other))
+        pairs[i] = len(a & b) / len(a | b)
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(other))]
+    left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert {i for i, s in pairs.items() if 2 * i + 1 not in left} == {i for i, s in pairs.items() if s >= 0.8}
+    assert all(2 * i in left for i in pairs) and {s >= 0.8 for s in pairs.values()} == {True, False}
+
+
 def test_components_of_a_path(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (5, 5), (None, 3), (101, 100)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
