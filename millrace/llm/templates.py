@@ -46,7 +46,9 @@ def recurring_lines(docs: DataFrame, depth: int = 4, similarity: float = 0.7, mi
     votes = tokens.groupBy("__leaf", "__n", "__p", "__t").agg(F.count(F.lit(1)).alias("__c"))
     most = votes.groupBy("__leaf", "__n", "__p").agg(
         F.max(F.struct("__c", "__t")).alias("__top"), F.sum("__c").alias("__all")).filter(2 * F.col("__top.__c") >= F.col("__all"))
-    fixed = most.groupBy("__leaf", "__n").agg(F.collect_list(F.struct(F.col("__p"), F.col("__top.__t").alias("__t"))).alias("__fixed"))
+    # a leaf without a fixed position beyond the leading tokens has a template too
+    fixed = votes.select("__leaf", "__n").distinct().join(most, ["__leaf", "__n"], "left").groupBy("__leaf", "__n").agg(
+        F.collect_list(F.when(F.col("__p").isNotNull(), F.struct(F.col("__p"), F.col("__top.__t").alias("__t")))).alias("__fixed"))
     fixed = fixed.filter(F.size("__fixed") + F.least(F.lit(depth), F.col("__n")) >= similarity * F.col("__n")).select("__leaf", "__fixed")
     split = held.withColumn("__t", _tokens(F.col("__m"))).join(kept(fixed), "__leaf", "left")
     fits = F.coalesce(F.forall("__fixed", lambda x: F.get("__t", x["__p"]) == x["__t"]), F.lit(False))

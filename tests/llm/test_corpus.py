@@ -85,6 +85,13 @@ def test_line_templates(spark, rows):
     assert differences(got, sql("op3_line_templates", clean)) is None
 
 
+def test_a_line_whose_only_free_token_varies_is_a_template(spark):
+    clean = [(i, f"Written by the author {name}\nown text number {name}", "en", "s", 1) for i, name in enumerate("abcdefghijkl")]
+    got = templates.drop_recurring_lines(spark.createDataFrame(clean, "doc_id long, text string, lang string, source string, n_chars long"), counts=True).toPandas()
+    assert differences(got, sql("op3_line_templates", clean)) is None
+    assert got.n_dropped.sum() == 11
+
+
 def test_mixing(spark, rows):
     clean = sane(rows)
     docs = spark.createDataFrame(clean, SCHEMA)
