@@ -117,7 +117,7 @@ def linear_coefficients(spark, d):
 def _boosted(spark, d, **options):
     li = lineitem(spark, d).select(*KEYS, *FEATURES, TARGET, F.col("l_shipdate").cast("timestamp").alias("ts"))
     split = cut_lineage(M.split_chronological(li, "ts", 0.2, tie_cols=KEYS, chunk="30 days"))
-    return M.train_gbt(split, FEATURES, TARGET, n_estimators=8, max_depth=4, **options), split
+    return M.train_gbt(split, FEATURES, TARGET, **options), split
 
 
 @query(digits=4)
@@ -171,7 +171,7 @@ def scan_model_registry(spark, d):
 def train_per_mill(spark, d):
     """One model per order status of the mill column."""
     li = lineitem(spark, d).select(F.col("l_returnflag").alias("mill"), *FEATURES, TARGET, F.col("l_shipdate").cast("timestamp").alias("ts"))
-    models = M.train_per_mill(li, ["A", "N", "R"], [TARGET], FEATURES, "ts", n_estimators=3, max_depth=3, early_stop=False)
+    models = M.train_per_mill(li, ["A", "N", "R"], [TARGET], FEATURES, "ts", early_stop=False)
     out = None
     for (mill, target), model in models.items():
         part = M.regression_metrics(M.predict_batch(model, li.filter(F.col("mill") == mill)), target).withColumn("mill", F.lit(mill))

@@ -106,7 +106,7 @@ def lowess(spark, d):
     h = G.fill_gaps(wide(spark, d), [], "ts", TYPES, "both")
     cells = F.explode(F.array(*[F.struct(F.lit(t).alias("event_type"), F.col(t).alias("value")) for t in TYPES]))
     long = h.select("ts", cells.alias("c")).select("c.event_type", "ts", "c.value")
-    return V.lowess(long, ["event_type"], "ts", "value", 0.1, iterations=1)
+    return V.lowess(long, ["event_type"], "ts", "value", 0.1)
 
 
 @query(f"WITH {GU} SELECT user_id, ts, {R('value - ' + _frame('avg', 59, 0))} AS value_detrended FROM gu")

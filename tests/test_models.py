@@ -120,3 +120,14 @@ def test_search_directions_constraints_and_rounds(spark):
     assert O.param_effects(low.limit(5), ["p", "q"]).count() == 0
     with pytest.raises(ValueError):
         O.default_bounds(["Shisti"])
+
+
+def test_registered_queries_keep_the_operators_rounds_and_depth():
+    import inspect
+
+    from millrace.plans.catalogue import models, series
+
+    default = lambda f, name: inspect.signature(f).parameters[name].default
+    text = "".join(inspect.getsource(getattr(f, "__wrapped__", f)) for f in (models._boosted, models.train_per_mill, series.lowess))
+    assert not any(x in text for x in ("n_estimators", "max_depth", "iterations"))
+    assert (default(M.train_gbt, "n_estimators"), default(M.train_gbt, "max_depth"), default(series.V.lowess, "iterations")) == (300, 6, 3)
