@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, passages, pieces, quality, repeats, search, simhash, templates, urls
+from millrace.llm import bytepairs, mixing, passages, pieces, quality, repeats, search, simhash, templates, urls, whitening
 from millrace.llm.common import table
 from millrace.session import ship_package
 
@@ -174,3 +174,18 @@ def op5_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_near_passages(spark: SparkSession, folder: str) -> DataFrame:
     return passages.near_passages(table(spark, folder, "documents"))
+
+
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query()
+def op11_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    codec = bytepairs.Codec(spark, RANKS)
+    both = bytepairs.decoded(bytepairs.encoded(table(spark, folder, "documents"), codec, packed=True), codec)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@query()
+def op13_whitened(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
