@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bytepairs, mixing, passages, pieces, quality, repeats, search, simhash, templates, urls, whitening
-from millrace.llm.common import table
+from millrace.llm import bytepairs, mixing, passages, pieces, quality, repeats, search, simhash, templates, turns, urls, whitening
+from millrace.llm.common import kept, table
 from millrace.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -189,3 +189,24 @@ def op11_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op13_whitened(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened(table(spark, folder, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id, length(coalesce(text, '')) AS chars
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({'id': id, 'chars': chars} ORDER BY turn NULLS FIRST, id) AS ts,
+  [4294967295::BIGINT] || flatten(list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: [ord((conv_id::VARCHAR)[i]), -1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])) AS bits
+  FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, ts, xor(list_reduce(bits, lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 6 AS h FROM o),
+r AS (SELECT c.conv_id, coalesce(b.ts[1:c.h], []) || c.ts[c.h + 1:] AS ts FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 100),
+m AS (SELECT conv_id, len(ts) AS n, d, ts[1:d] AS k FROM (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS d FROM r)),
+g AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '') AS e FROM m GROUP BY k, d),
+b AS (SELECT k[1:d - 1] AS k, count(*) AS n_children FROM g WHERE d > 0 GROUP BY ALL),
+f AS (SELECT g.*, coalesce(n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * g.k[d].chars END AS own FROM g LEFT JOIN b ON g.k = b.k),
+a AS (SELECT k[1:j] AS k, sum((n_children = 0)::INT) AS n_leaves, sum(own) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM f) GROUP BY k[1:j])
+SELECT f.conv_id, f.d::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+  saved::BIGINT AS saved_tokens, sha256(f.e) AS ends_sha256
+FROM f JOIN a ON f.k = a.k LEFT JOIN f p ON f.d > 0 AND p.k = f.k[1:f.d - 1]
+""")
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return turns.prefix_trie(turns.rebuilt(kept(turns.numbered(table(spark, folder, "conversations")))))
