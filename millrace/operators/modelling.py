@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from millrace import fixed_values as fixed
 from millrace.functions.columns import adjusted_kurtosis, adjusted_skewness, sum_of_squares
@@ -23,7 +25,7 @@ from millrace.session import cut_lineage
 PREDICTION = "prediction"
 
 # Training parameters.
-BOOSTING = {"n_estimators": 300, "learning_rate": 0.05, "max_depth": 6, "subsample": 0.8, "colsample": 0.8}
+BOOSTING = {"n_estimators": 300, "learning_rate": 0.05, "max_depth": 6, "subsample": 0.8, "colsample": 0.8, "early_stopping_rounds": 30}
 METADATA_SCHEMA = (
     "features array<string>, target_col string, model_params map<string,string>, "
     "feature_importance struct<Feature: map<string,string>, Importance: map<string,double>>, "
@@ -99,11 +101,14 @@ def scaling_stage(scaling: Scaling, cols: Sequence[str]) -> SQLTransformer:
 
 @dataclass
 class FittedModel:
+    """``best_iteration`` is the best round, from 0, and ``best_score`` the error of the watched rows there."""
+
     pipeline: PipelineModel
     features: list[str]
     target: str
     params: dict[str, Any] = field(default_factory=dict)
     best_score: float | None = None
+    best_iteration: int | None = None
 
     @property
     def regressor(self):
@@ -120,42 +125,92 @@ def _fit(train: DataFrame, features: Sequence[str], target: str, regressor, para
     return FittedModel(model, list(features), target, params)
 
 
+def first_rounds(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The ensemble of the first ``rounds`` trees."""
+    own = model._java_obj
+    sc = SparkSession.active().sparkContext
+    ml = sc._jvm.org.apache.spark.ml
+    trees, weights = own.trees(), own.treeWeights()
+    kept_trees = sc._gateway.new_array(ml.regression.DecisionTreeRegressionModel, rounds)
+    kept_weights = sc._gateway.new_array(sc._jvm.double, rounds)
+    for i in range(rounds):
+        kept_trees[i], kept_weights[i] = trees[i], weights[i]
+    cut = ml.regression.GBTRegressionModel(own.uid(), kept_trees, kept_weights, own.numFeatures())
+    own.copyValues(cut, ml.param.ParamMap.empty())
+    return GBTRegressionModel(cut)
+
+
+def best_round(errors: Sequence[float], patience: int) -> tuple[int, bool]:
+    """The round with the least error before ``patience`` rounds in a row brought none, and whether that happened."""
+    best = 0
+    for i, error in enumerate(errors):
+        if error < errors[best]:
+            best = i
+        elif i - best >= patience:
+            return best, True
+    return best, False
+
+
+def _boost(gbt: GBTRegressor, train: DataFrame, watched: DataFrame | None, rounds: int, patience: int) -> tuple[GBTRegressionModel, int | None, float | None]:
+    """Fitted trees, the best round and its absolute error on the watched rows.
+
+    A run of fewer rounds has the first trees of a longer one, so twice the patience is tried first, and then twice as many rounds
+    each time: at most twice the rounds of the whole are trained, and far fewer where the best round comes early.
+    """
+    if watched is None:
+        return gbt.setMaxIter(rounds).fit(train), None, None
+    now = min(rounds, 2 * patience)
+    while True:
+        model = gbt.setMaxIter(now).fit(train)
+        errors = model.evaluateEachIteration(watched, "absolute")
+        best, settled = best_round(errors, patience)
+        if settled or now == rounds:
+            return first_rounds(model, best + 1), best, float(errors[best])
+        now = min(rounds, 2 * now)
+
+
 def train_gbt(
     df: DataFrame, features: Sequence[str], target: str, *, n_estimators: int = BOOSTING["n_estimators"],
     learning_rate: float = BOOSTING["learning_rate"], max_depth: int = BOOSTING["max_depth"],
     subsample: float = BOOSTING["subsample"], colsample: float = BOOSTING["colsample"], absolute_error: bool = False,
-    early_stop: bool = True, seed: int = 42,
+    early_stop: bool = True, patience: int = BOOSTING["early_stopping_rounds"], seed: int = 42, rows_per_partition: int = 100_000,
 ) -> FittedModel:
     """Boosted trees. Rows with ``is_train`` false watch for early stopping; without the column all rows train.
 
-    Columns are drawn per node and stopping follows MLlib's tolerance rule.
+    Training goes on until ``patience`` rounds in a row have not lowered the absolute error of the watched rows, and the model
+    keeps its trees up to the best round. Columns are drawn per node. Each round is a few short jobs over the training rows, so these are
+    persisted in partitions of about ``rows_per_partition``: few for a small table, as many as it takes for a large one.
     """
     require_columns(df, [*features, target])
-    base = df
+    split = "is_train" in df.columns
+    train = df.filter("is_train") if split else df
+    n, scaling = train.count(), fit_scaling(train, features)
+    prepared = PipelineModel(stages=[
+        scaling_stage(scaling, features),
+        VectorAssembler(inputCols=[f"__z_{c}" for c in features], outputCol="__features", handleInvalid="error")])
+
+    def ready(rows: DataFrame, parts: int) -> DataFrame:
+        return prepared.transform(rows).select("__features", F.col(target).cast("double").alias(target)).repartition(parts).persist()
+
     gbt = GBTRegressor(
-        maxIter=n_estimators, stepSize=learning_rate, maxDepth=max_depth, subsamplingRate=subsample,
+        stepSize=learning_rate, maxDepth=max_depth, subsamplingRate=subsample,
         featureSubsetStrategy=str(colsample) if colsample < 1 else "all", lossType="absolute" if absolute_error else "squared",
-        validationTol=0.001, seed=seed)
-    watched = early_stop and "is_train" in df.columns
-    if watched:
-        base = df.withColumn("__watch", ~F.col("is_train"))
-        gbt = gbt.setValidationIndicatorCol("__watch")
-    elif "is_train" in df.columns:
-        base = df.filter("is_train")
-    # scaling is fitted on training rows only
-    scaling = fit_scaling(base.filter("is_train") if watched else base, features)
-    stages = [
-        scaling_stage(scaling, features),
-        VectorAssembler(inputCols=[f"__z_{c}" for c in features], outputCol="__features", handleInvalid="error"),
-        gbt.setFeaturesCol("__features").setLabelCol(target).setPredictionCol(PREDICTION),
-    ]
+        seed=seed, featuresCol="__features", labelCol=target, predictionCol=PREDICTION)
+    parts = max(1, -(-n // rows_per_partition))
+    fitted_on = ready(train, parts)
+    watched = ready(df.filter(~F.col("is_train")), parts) if split and early_stop else None
+    try:
+        model, best, score = _boost(gbt, fitted_on, watched, n_estimators, patience)
+    finally:
+        for held in (fitted_on, watched):
+            if held is not None:
+                held.unpersist()
     params = {
         "n_estimators": n_estimators, "learning_rate": learning_rate, "max_depth": max_depth, "subsample": subsample,
         "colsample": colsample, "loss": "absolute" if absolute_error else "squared"}
-    model = FittedModel(Pipeline(stages=stages).fit(base), list(features), target, params)
-    if watched:
-        model.best_score = regression_metrics(predict_batch(model, df.filter(~F.col("is_train"))), target).first()["mae"]
-    return model
+    if watched is not None:
+        params["early_stopping_rounds"] = patience
+    return FittedModel(PipelineModel(stages=[*prepared.stages, model]), list(features), target, params, score, best)
 
 
 def train_linear(df: DataFrame, features: Sequence[str], target: str) -> FittedModel:
@@ -235,9 +290,8 @@ def metadata_row(spark: SparkSession, model: FittedModel, trained_at: str) -> Da
         ranked = sorted(zip(model.features, model.regressor.featureImportances.toArray()), key=lambda t: -t[1])
         names = {str(i): f for i, (f, _) in enumerate(ranked)}
         values = {str(i): float(v) for i, (_, v) in enumerate(ranked)}
-    rounds = model.regressor.getNumTrees if hasattr(model.regressor, "getNumTrees") else None
     row = (model.features, model.target, {k: str(v) for k, v in model.params.items()}, (names, values),
-           (rounds, model.best_score), trained_at)
+           (model.best_iteration, model.best_score), trained_at)
     return spark.createDataFrame([row], METADATA_SCHEMA)
 
 
@@ -252,18 +306,23 @@ def load_model(folder: str, name: str) -> FittedModel:
     spark = SparkSession.active()
     row = spark.read.schema(METADATA_SCHEMA).json(f"{folder}/{name}_metadata.json").first()
     return FittedModel(PipelineModel.load(f"{folder}/{name}_model"), list(row["features"]), row["target_col"],
-                       dict(row["model_params"]), row["training_history"]["best_score"])
+                       dict(row["model_params"]), row["training_history"]["best_score"], row["training_history"]["best_iteration"])
 
 
 def train_per_mill(
     df: DataFrame, mills: Sequence[str], targets: Sequence[str], features: Sequence[str], time_col: str, *,
-    mill_col: str = "mill", limits=None, **options,
+    mill_col: str = "mill", limits=None, at_once: int = 4, **options,
 ) -> dict[tuple[str, str], FittedModel]:
-    """One distributed fit per (mill, target); each reads only its mill's partition."""
-    models = {}
-    for mill in mills:
-        for target in targets:
-            rows = prepare_features(df.filter(F.col(mill_col) == mill), [f for f in features if f != target], target, [time_col], limits)
-            split = cut_lineage(split_chronological(rows, time_col))
-            models[mill, target] = train_gbt(split, [f for f in features if f != target], target, **options)
-    return models
+    """One distributed fit per (mill, target), ``at_once`` of them side by side; each reads only its mill's partition.
+
+    A round of boosting is short jobs that leave most of a cluster idle, so fits share it: Spark runs jobs of several threads together.
+    """
+    def fit(mill: str, target: str) -> FittedModel:
+        own = [f for f in features if f != target]
+        rows = prepare_features(df.filter(F.col(mill_col) == mill), own, target, [time_col], limits)
+        return train_gbt(cut_lineage(split_chronological(rows, time_col)), own, target, **options)
+
+    wanted = [(mill, target) for mill in mills for target in targets]
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        fits = [pool.submit(inheritable_thread_target(df.sparkSession)(fit), *key) for key in wanted]
+        return {key: done.result() for key, done in zip(wanted, fits, strict=True)}

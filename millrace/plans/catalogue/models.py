@@ -258,11 +258,19 @@ def search_in_rounds(spark, d):
     return O.recommendations(_search(spark, d, rounds=3), _PARAMS, 5).drop("params")
 
 
-@query(digits=3)
-def search_with_model(spark, d):
-    """Candidates scored by a trained model."""
-    li = lineitem(spark, d)
-    model, _ = _boosted(spark, d, early_stop=False)
-    bounds = O.bounds_dict(O.bounds_from_data(li, FEATURES))
+def search_with(spark, d, model):
+    """As many candidates as there are parts, scored by a trained model: the five lowest predictions."""
+    bounds = O.bounds_dict(O.bounds_from_data(lineitem(spark, d), FEATURES))
     trials = O.search_setpoints(spark, bounds, lambda pool: M.predict_batch(model, pool), table(spark, d, "part").count(), maximize=False)
     return O.recommendations(trials, FEATURES, 5, maximize=False).drop("params")
+
+
+def search_model(spark, d):
+    """All rounds, no early stop."""
+    return _boosted(spark, d, early_stop=False)[0]
+
+
+@query(digits=3)
+def search_with_model(spark, d):
+    """Candidates scored by a model that is trained first."""
+    return search_with(spark, d, search_model(spark, d))

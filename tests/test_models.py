@@ -122,12 +122,34 @@ def test_search_directions_constraints_and_rounds(spark):
         O.default_bounds(["Shisti"])
 
 
-def test_registered_queries_keep_the_operators_rounds_and_depth():
-    import inspect
-
-    from millrace.plans.catalogue import models, series
-
-    default = lambda f, name: inspect.signature(f).parameters[name].default
-    text = "".join(inspect.getsource(getattr(f, "__wrapped__", f)) for f in (models._boosted, models.train_per_mill, series.lowess))
-    assert not any(x in text for x in ("n_estimators", "max_depth", "iterations"))
-    assert (default(M.train_gbt, "n_estimators"), default(M.train_gbt, "max_depth"), default(series.V.lowess, "iterations")) == (300, 6, 3)
+def test_best_round_with_patience():
+    assert M.best_round([5, 4, 3, 3, 3.5, 3.2, 1], 3) == (2, True)
+    assert M.best_round([5, 4, 3, 3, 3.5, 1], 4) == (5, False)
+    assert M.best_round([2.0], 1) == (0, False)
+    assert M.best_round([float("nan"), 1.0], 5)[1] is False
+
+
+@pytest.mark.parametrize(("rounds", "patience"), [(50, 4), (50, 30), (9, 30)])
+def test_boosting_keeps_the_best_round_of_the_whole_curve(data, rounds, patience):
+    split = M.split_chronological(data.filter("mill = 'm1'"), "ts").cache()
+    settings = {"n_estimators": rounds, "learning_rate": 0.3, "max_depth": 6}
+    model = M.train_gbt(split, ["a", "b"], "y", patience=patience, **settings)
+    whole = M.train_gbt(split, ["a", "b"], "y", early_stop=False, **settings)
+    assert whole.regressor.getNumTrees == rounds and whole.best_iteration is None
+    watched = split.filter(~F.col("is_train"))
+    curve = M.learning_curve(whole, watched, "absolute")
+    best, _ = M.best_round(curve, patience)
+    assert best > 1 and (model.best_iteration, model.regressor.getNumTrees) == (best, best + 1)
+    assert model.best_score == pytest.approx(curve[best])
+    assert M.regression_metrics(M.predict_batch(model, watched), "y").first()["mae"] == pytest.approx(curve[best])
+    assert M.metadata_row(data.sparkSession, model, "now").first()["training_history"]["best_iteration"] == best
+
+
+def test_models_side_by_side_equal_models_one_by_one(data):
+    options = {"n_estimators": 12, "max_depth": 3, "learning_rate": 0.3, "patience": 3}
+    together = M.train_per_mill(data, ["m1", "m2"], ["y", "a"], ["a", "b", "y"], "ts", at_once=4, **options)
+    apart = M.train_per_mill(data, ["m1", "m2"], ["y", "a"], ["a", "b", "y"], "ts", at_once=1, **options)
+    assert list(together) == list(apart) == [("m1", "y"), ("m1", "a"), ("m2", "y"), ("m2", "a")]
+    for key, model in together.items():
+        assert model.best_iteration == apart[key].best_iteration and model.best_score == pytest.approx(apart[key].best_score)
+        assert model.features == [f for f in ("a", "b", "y") if f != key[1]]
