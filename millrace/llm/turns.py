@@ -209,13 +209,13 @@ def prefix_trie(paths: DataFrame, most: int = MOST) -> DataFrame:
     lanes = [F.bit_xor(F.xxhash64(F.lit(k), "pos", "id")).alias(f"x{k}") for k in range(3)]
     same = ["n", "x0", "x1", "x2"]
     keyed = kept(paths.groupBy("conv_id").agg(F.max("pos").alias("n"), *lanes))
-    classes = kept(keyed.groupBy(*same).agg(F.min("conv_id").alias("rep"), F.count(F.lit(1)).alias("weight")))
+    root = F.lit(bytes(WIDTH))
+    classes = kept(keyed.groupBy(*same).agg(F.min("conv_id").alias("rep"), F.count(F.lit(1)).alias("weight")).withColumn("node", root))
     many = classes.filter(F.col("weight") > 1)
     ends = member_hashes(keyed.join(many, same).select("rep", "conv_id"))
     steps = kept(paths.filter(F.col("pos") > 0).join(classes.select(F.col("rep").alias("conv_id")), "conv_id").withColumnRenamed("conv_id", "rep"))
 
-    root = F.lit(bytes(WIDTH))
-    at = classes.select("rep", "weight", "n", root.alias("node"))
+    at = classes.select("rep", "weight", "n", "node")
     heads, closed, burst_ends, depth = [], [], [], 0
     level = at.agg(F.min("rep").alias("conv_id"), F.sum("weight").alias("n_convs")).filter(F.col("conv_id").isNotNull()).select(
         root.alias("node"), F.lit(None).cast("binary").alias("parent"), F.lit(0).cast("long").alias("chars"), "conv_id", "n_convs")
