@@ -67,7 +67,10 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42, mins: int = 0) ->
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, mins: int = 0) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long), keys (``mins`` min-hashes), grams (the set of shingles, NULL without them) and id: equal for equal sets, or fp without them."""
+    """doc_id, fp (the fingerprint as a signed long), keys (``mins`` min-hashes), grams (the set of shingles, NULL without them) and id: equal for equal sets, or fp without them.
+
+    With ``mins`` also own, a hash of doc_id and text.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(x or b"", shingle, seed, mins) for x in batch.column(1).cast(pa.binary()).to_pylist()]
@@ -75,11 +78,12 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, mins: int =
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.array([f for f, _, _ in found], np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())),
                  pa.array([s if mins else None for _, _, s in found], pa.binary()),
-                 pa.array(np.array([xxhash.xxh64_intdigest(s, seed) if mins else f for f, _, s in found], np.uint64).view(np.int64))],
-                ["doc_id", "fp", "keys", "grams", "id"])
+                 pa.array(np.array([xxhash.xxh64_intdigest(s, seed) if mins else f for f, _, s in found], np.uint64).view(np.int64)), *batch.columns[2:]],
+                ["doc_id", "fp", "keys", "grams", "id", *batch.schema.names[2:]])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long, keys array<long>, grams binary, id long")
+    own = [F.xxhash64("doc_id", "text").alias("own")] if mins else []
+    return docs.select("doc_id", "text", *own).mapInArrow(run, f"doc_id {kind}, fp long, keys array<long>, grams binary, id long" + ", own long" * len(own))
 
 
 def vantage_tree(points: np.ndarray, levels: int) -> list | None:
@@ -270,18 +274,74 @@ def similar_sets(sets: list[bytes], a: np.ndarray, b: np.ndarray, least: float)
     return out
 
 
-def links_in_shards(marked: DataFrame, radius: int, least: float, tile: int = TILE) -> DataFrame:
-    """Edges between fingerprints (by id) within ``radius`` that have a min-hash in common and a Jaccard similarity of their sets of ``least``.
+class Priors:
+    """For each row the keys smaller than that of its shard: a pair that has one in common meets, and is checked, in that shard."""
+
+    def __init__(self, keys: list) -> None:
+        size = np.array([len(k) for k in keys], np.int64)
+        self.keys = np.zeros((len(keys), int(size.max(initial=0))), np.int64)
+        self.there = np.arange(self.keys.shape[1]) < size[:, None]
+        self.keys[self.there] = np.concatenate([np.asarray(k, np.int64) for k in keys]) if len(keys) else 0
+
+    def first_meeting(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether each pair has no smaller key in common."""
+        out = np.ones(len(a), bool)
+        keys, there = self.keys[b], self.there[b]
+        for i in range(self.keys.shape[1]):
+            out &= ~((self.keys[a, i][:, None] == keys) & there & self.there[a, i][:, None]).any(axis=1)
+        return out
+
+    def most_shared(self, home: np.ndarray, visiting: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Which rows of both sides have a key that half of each have, if there is one."""
+        known, count = np.unique(self.keys[home][self.there[home]], return_counts=True)
+        frequent = known[2 * count >= len(home)]
+        if not len(frequent):
+            return None
+        has = [(self.keys[visiting] == k) & self.there[visiting] for k in frequent]
+        n = [int(h.any(axis=1).sum()) for h in has]
+        best = int(np.argmax(n))
+        if 2 * n[best] < len(visiting):
+            return None
+        return ((self.keys[home] == frequent[best]) & self.there[home]).any(axis=1), has[best].any(axis=1)
+
+
+def link_first_meetings(points: np.ndarray, priors: Priors, home: np.ndarray, visiting: np.ndarray, radius: int, groups: Groups, agree) -> None:
+    """``link_within`` for the pairs that meet in no shard before. Rows with the same smaller key need not be held against each other at all."""
+    stack = [(home, visiting)]
+    while stack:
+        home, visiting = stack.pop()
+        if not len(home) or not len(visiting):
+            continue
+        both = priors.most_shared(home, visiting) if len(home) * len(visiting) > 1024 else None
+        if both is not None:
+            stack += [(home[both[0]], visiting[~both[1]]), (home[~both[0]], visiting)]
+            continue
+        link_within(points, home, visiting, radius, groups, agree)
+
 
-    Sets of shingles go only to shards of more than one text. Shards of up to ``tile`` fingerprints are streamed through tasks by the batch, larger ones are cut into tiles.
+def _in_shards(rows: DataFrame, out: str, radius: int, tile: int, check, answer) -> DataFrame:
+    """Rows (key, fp, id, prior, ...) by key: ``answer`` on the groups that pairs within ``radius`` and in ``check`` make.
+
+    ``check(rest, a, b)`` says which pairs (indices) hold, ``rest`` being what the columns after prior hold. Shards of up to ``tile`` rows
+    are streamed through tasks by the batch, larger ones are cut into tiles.
     """
-    def solve_tile(rows: pd.DataFrame) -> pd.DataFrame:
-        signed, ids, sets = rows["fp"].to_numpy(np.int64), rows["id"].to_numpy(np.int64), [bytes(x) for x in rows["grams"]]
-        groups = Groups(len(rows))
-        link_within(signed.view(np.uint64), *(np.flatnonzero(rows[x].to_numpy(bool)) for x in ("home", "visits")), radius, groups,
-                    lambda x, y: similar_sets(sets, x, y, least))
-        member = np.flatnonzero(groups.root != np.arange(len(rows)))
-        return pd.DataFrame({"a": ids[member], "b": ids[groups.root[member]]})
+    more = rows.columns[4:]
+
+    def agree_on(priors: Priors, rest: list, shift=None):
+        def agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            x, y = (x, y) if shift is None else (shift[x], shift[y])
+            out = priors.first_meeting(x, y)
+            out[out] = check(rest, x[out], y[out])
+            return out
+        return agree
+
+    def solve_tile(part: pd.DataFrame) -> pd.DataFrame:
+        signed, ids, priors = part["fp"].to_numpy(np.int64), part["id"].to_numpy(np.int64), Priors(part["prior"].tolist())
+        groups = Groups(len(part))
+        link_first_meetings(signed.view(np.uint64), priors, *(np.flatnonzero(part[x].to_numpy(bool)) for x in ("home", "visits")), radius, groups,
+                            agree_on(priors, [[bytes(x) for x in part[c]] for c in more]))
+        a, b = answer(np.full(len(part), part["key"].iloc[0]), ids, groups.root)
+        return pd.DataFrame({"a": a, "b": b})
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -293,26 +353,22 @@ def links_in_shards(marked: DataFrame, radius: int, least: float, tile: int = TI
             held[:] = [] if end or whole == len(key) else joined.slice(whole).to_batches()
             cuts = np.append(np.flatnonzero(np.append(True, key[1:whole] != key[:max(0, whole - 1)])), whole) if whole else np.zeros(1, int)
             several = np.flatnonzero(np.diff(cuts) > 1)
-            rows = np.concatenate([np.arange(cuts[i], cuts[i + 1]) for i in several]) if len(several) else np.zeros(0, int)
-            part = joined.take(pa.array(rows)) if len(rows) else joined.slice(0, 0)
-            key, signed = key[rows], part.column(1).to_numpy()
-            points, ids, sets = signed.view(np.uint64), part.column(2).to_numpy(), part.column(3).to_pylist()
-            a, b = [], []
+            picked = np.concatenate([np.arange(cuts[i], cuts[i + 1]) for i in several]) if len(several) else np.zeros(0, int)
+            part = joined.take(pa.array(picked)) if len(picked) else joined.slice(0, 0)
+            key, signed = key[picked], part.column(1).to_numpy()
+            points, ids, priors = signed.view(np.uint64), part.column(2).to_numpy(), Priors(part.column(3).to_pylist())
+            rest = [part.column(4 + k).to_pylist() for k in range(len(more))]
+            groups = Groups(len(key))
             # neighbours settle shards of two; larger ones are searched
             near = np.flatnonzero((key[1:] == key[:-1]) & (np.bitwise_count(points[1:] ^ points[:-1]) <= radius))
-            near = near[similar_sets(sets, near, near + 1, least)]
-            a.append(ids[near + 1])
-            b.append(ids[near])
+            near = near[agree_on(priors, rest)(near, near + 1)]
+            groups.link(near, near + 1)
             cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)) if len(key) else np.zeros(1, int)
             for i in np.flatnonzero(np.diff(cuts) > 2):
                 some = np.arange(cuts[i], cuts[i + 1])
-                groups = Groups(len(some))
-                link_within(points[some], np.arange(len(some)), np.arange(len(some)), radius, groups,
-                            lambda x, y, some=some: similar_sets(sets, some[x], some[y], least))
-                member = np.flatnonzero(groups.root != np.arange(len(some)))
-                a.append(ids[some[member]])
-                b.append(ids[some[groups.root[member]]])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                link_first_meetings(points, priors, some, some, radius, groups, agree_on(priors, rest))
+            a, b = answer(key, ids, groups.root)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
             held.append(batch)
@@ -321,40 +377,71 @@ def links_in_shards(marked: DataFrame, radius: int, least: float, tile: int = TI
         if held:
             yield shards(True)
 
-    pairs = marked.select("id", F.explode("keys").alias("key")).distinct()
-    sizes = kept(pairs.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1))
-    shared = pairs.join(sizes, "key").groupBy("id").agg(F.collect_list("key").alias("keys"))
-    texts = marked.select("id", "fp", "grams").dropDuplicates(["id"])
-    rows = kept(texts.join(shared, "id")).select(F.explode("keys").alias("key"), "fp", "id", "grams")
-    large = kept(sizes.filter(F.col("__n") > tile).select("key"))
-    streamed = rows.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key", "fp")
-    links = streamed.mapInArrow(solve, "a long, b long")
+    large = kept(rows.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > tile).select("key"))
     if large.isEmpty():
-        return links
+        return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(solve, out)
+    streamed = rows.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key", "fp")
     hot = rows.join(large, "key", "left_semi").withColumn("home", F.lit(True))
-    return links.union(in_tiles(hot, "key", tile=tile).groupBy("key", "__i", "__j").applyInPandas(solve_tile, "a long, b long"))
+    return streamed.mapInArrow(solve, out).union(in_tiles(hot, "key", tile=tile).groupBy("key", "__i", "__j").applyInPandas(solve_tile, out))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 42, shards: int = 0, least: float = 0.75) -> DataFrame:
-    """One row per document: doc_id, fp (signed long), component_id.
+def links_in_shards(marked: DataFrame, radius: int, least: float, tile: int = TILE) -> DataFrame:
+    """Edges between texts (by id) within ``radius`` that have a min-hash in common and a Jaccard similarity of their sets of ``least``.
 
-    Without ``shards`` all fingerprints within ``radius`` are linked, through the vantage-point trees. Their bounds prune little
-    once parts of the bits are as short as at larger radii (four bits at 14); for such radii ``shards`` min-hashes say
-    which fingerprints are compared: texts whose shingles are similar by s share none with probability (1 - s) ** shards. Both only
-    search: a link needs a Jaccard similarity of ``least`` of the sets of shingles, and only texts with equal sets are one text.
+    A pair is checked in the shard of its smallest common min-hash alone. A first pass over fingerprints finds which texts have a
+    partner to be checked in which shard; the sets of shingles, longer than the texts, go there and nowhere else.
     """
+    pairs = marked.select("id", "fp", F.explode("keys").alias("key")).distinct()
+    sizes = kept(pairs.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1))
+    listed = kept(pairs.join(sizes, "key").groupBy("id", "fp").agg(F.sort_array(F.collect_set("key")).alias("keys")))
+    shards = listed.select(F.explode("keys").alias("key"), "fp", "id", F.col("keys").alias("__k")).withColumn(
+        "prior", F.filter("__k", lambda k: k < F.col("key"))).drop("__k")
+
+    def with_partner(key: np.ndarray, ids: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        some = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
+        return key[some], ids[some]
+
+    def links(key: np.ndarray, ids: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        member = np.flatnonzero(root != np.arange(len(root)))
+        return ids[member], ids[root[member]]
+
+    met = _in_shards(shards, "a long, b long", radius, tile, lambda rest, x, y: np.ones(len(x), bool), with_partner)
+    wanted = kept(met.groupBy(F.col("b").alias("id")).agg(F.collect_set("a").alias("at")).join(listed, "id"))
+    texts = marked.select("id", "grams").join(wanted, "id").dropDuplicates(["id"])
+    rows = texts.select(F.explode("at").alias("key"), "fp", "id", F.col("keys").alias("__k"), "grams").select(
+        "key", "fp", "id", F.filter("__k", lambda k: k < F.col("key")).alias("prior"), "grams")
+    return _in_shards(rows, "a long, b long", radius, tile, lambda rest, x, y: similar_sets(rest[0], x, y, least), links)
+
+
+def _grouped(docs: DataFrame, shingle: int, radius: int, seed: int, shards: int, least: float) -> DataFrame:
+    """A row per document as of ``fingerprints``, with root (the component) and component_id."""
     marked = kept(fingerprints(docs, shingle, seed, shards))
     distinct = kept(marked.groupBy("id").agg(F.min("doc_id").alias("first")))
     edges = links_in_shards(marked, radius, least) if shards else similar_links(distinct.select(F.col("id").alias("fp")), radius)
     reach = kept(components(edges))
     named = distinct.join(reach.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(named.join(ids, "root").select("id", "component_id"), "id").select("doc_id", "fp", "component_id")
+    return marked.drop("keys", "grams").join(named.join(ids, "root").select("id", "root", "component_id"), "id")
+
 
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 42, shards: int = 0, least: float = 0.75) -> DataFrame:
+    """One row per document: doc_id, fp (signed long), component_id.
 
-def one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """The document with the smallest doc_id of each component, once if its row is repeated; documents with NULL doc_id stay. Columns as in ``docs``."""
-    found = near_duplicates(docs, **settings)
-    first = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    stay = docs.join(first, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    Without ``shards`` all fingerprints within ``radius`` are linked, through the vantage-point trees. Their bounds prune little
+    once parts of the bits are as short as at larger radii (four bits at 14); for such radii ``shards`` min-hashes say
+    which fingerprints are compared: texts whose shingles are similar by s share none with probability (1 - s) ** shards. Both only
+    search: a link needs a Jaccard similarity of ``least`` of the sets of shingles, and only texts with equal sets are one text.
+    """
+    return _grouped(docs, shingle, radius, seed, shards, least).select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 22, seed: int = 42, shards: int = 8, least: float = 0.8) -> DataFrame:
+    """Of each component the document with the smallest doc_id, once if its row is repeated. Columns as in ``docs``.
+
+    A doc_id may stand for several texts: each is a document. Documents with NULL doc_id stay.
+    """
+    found = _grouped(docs, shingle, radius, seed, shards, least).filter(F.col("doc_id").isNotNull())
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "own"))["own"].alias("__own")).select("__own")
+    keyed = docs.filter(F.col("doc_id").isNotNull()).withColumn("__own", F.xxhash64("doc_id", "text"))
+    stay = keyed.join(first, "__own", "left_semi").dropDuplicates(["__own"]).drop("__own")
     return stay.unionByName(docs.filter(F.col("doc_id").isNull()))

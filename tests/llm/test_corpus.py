@@ -159,6 +159,43 @@ def test_a_shard_of_many_texts_is_cut_into_tiles(spark):
     assert cut == whole and len(whole) > 100
 
 
+@pytest.mark.parametrize("tile", [10 ** 6, 60])
+def test_links_in_shards_equal_brute_force(spark, tile):
+    """Groups of near copies with many min-hashes in common, each pair checked in one shard only."""
+    draw = np.random.default_rng(23)
+    rows = []
+    for g in range(6):
+        own = [f"g{g}w{x}" for x in draw.integers(0, 10 ** 6, 90)]
+        for _ in range(60):
+            other = list(own)
+            for c in draw.choice(90, int(draw.integers(0, 16)), replace=False):
+                other[c] = f"n{draw.integers(0, 10 ** 6)}"
+            rows.append((len(rows), " ".join(other)))
+    marked = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = simhash.fingerprints(marked, 5, mins=8).cache()
+    texts = {r.id: (r.fp % 2 ** 64, set(r["keys"]), set(np.frombuffer(r.grams, np.uint64).tolist())) for r in marked.collect()}
+    ids = list(texts)
+    groups = simhash.Groups(len(ids))
+    for i, a in enumerate(ids):
+        for j in range(i):
+            (x, k, s), (y, m, t) = texts[a], texts[ids[j]]
+            if bin(x ^ y).count("1") <= 18 and k & m and len(s & t) >= 0.7 * len(s | t):
+                groups.link(np.array([i]), np.array([j]))
+    want = {frozenset(ids[i] for i in np.flatnonzero(groups.root == r)) for r in set(groups.root.tolist()) if (groups.root == r).sum() > 1}
+    got: dict[int, set] = {}
+    for r in components(simhash.links_in_shards(marked, 18, 0.7, tile)).collect():
+        got.setdefault(r.root, set()).add(r.node)
+    assert 100 < sum(map(len, want)) < len(ids) - 20 and {frozenset(g) for g in got.values()} == want
+
+
+def test_one_doc_id_with_several_texts(spark):
+    one, two, three = (" ".join(f"{p}{i}" for i in range(60)) for p in "xyz")
+    rows = [(1, one, "a"), (1, two, "a"), (2, three, "a"), (2, three, "b"), (3, one + " more", "a"), (None, one, "a"), (None, two, "a")]
+    left = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, own string"))
+    assert left.columns == ["doc_id", "text", "own"]
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(1, one), (1, two), (2, three), (None, one), (None, two)], key=str)
+
+
 def test_near_dedup_decides_by_exact_similarity(spark):
     draw = np.random.default_rng(17)
     rows, pairs = [], {}
