@@ -27,8 +27,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import kept
 from millrace.llm.graph import components
@@ -39,6 +40,11 @@ LEAF = 4096
 TILE = 16384
 
 
+def own_key() -> Column:
+    """A document, whatever its doc_id: one may stand for several texts."""
+    return F.xxhash64("doc_id", "text")
+
+
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42, mins: int = 0) -> tuple[int, list[int], bytes]:
     """64 bits, set where over half of the shingles' hashes have them set, ``mins`` min-hashes of the shingles, and their sorted set.
 
@@ -67,7 +73,7 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42, mins: int = 0) ->
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, mins: int = 0) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long), keys (``mins`` min-hashes), grams (the set of shingles, NULL without them) and id: equal for equal sets, or fp without them.
+    """doc_id, fp (the fingerprint as a signed long), keys (``mins`` min-hashes) and id: equal for equal sets of shingles, or fp without them.
 
     With ``mins`` also own, a hash of doc_id and text.
     """
@@ -77,13 +83,24 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, mins: int =
             keys = [np.array(k, np.uint64).view(np.int64) for _, k, _ in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.array([f for f, _, _ in found], np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())),
-                 pa.array([s if mins else None for _, _, s in found], pa.binary()),
                  pa.array(np.array([xxhash.xxh64_intdigest(s, seed) if mins else f for f, _, s in found], np.uint64).view(np.int64)), *batch.columns[2:]],
-                ["doc_id", "fp", "keys", "grams", "id", *batch.schema.names[2:]])
+                ["doc_id", "fp", "keys", "id", *batch.schema.names[2:]])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    own = [F.xxhash64("doc_id", "text").alias("own")] if mins else []
-    return docs.select("doc_id", "text", *own).mapInArrow(run, f"doc_id {kind}, fp long, keys array<long>, grams binary, id long" + ", own long" * len(own))
+    own = [own_key().alias("own")] if mins else []
+    return docs.select("doc_id", "text", *own).mapInArrow(run, f"doc_id {kind}, fp long, keys array<long>, id long" + ", own long" * len(own))
+
+
+def with_sets(rows: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """Rows with a column grams, the sorted set of the text's shingles, eight bytes each, in place of their last column, the text."""
+    names = rows.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [fingerprint(x or b"", shingle, seed, 1)[2] for x in batch.column(len(names)).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.binary())], [*names, "grams"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("grams", T.BinaryType())]))
 
 
 def vantage_tree(points: np.ndarray, levels: int) -> list | None:
@@ -319,11 +336,11 @@ def link_first_meetings(points: np.ndarray, priors: Priors, home: np.ndarray, vi
         link_within(points, home, visiting, radius, groups, agree)
 
 
-def _in_shards(rows: DataFrame, out: str, radius: int, tile: int, check, answer) -> DataFrame:
+def _in_shards(rows: DataFrame, out: str, radius: int, tile: int, check, answer, keys: DataFrame | None = None) -> DataFrame:
     """Rows (key, fp, id, prior, ...) by key: ``answer`` on the groups that pairs within ``radius`` and in ``check`` make.
 
     ``check(rest, a, b)`` says which pairs (indices) hold, ``rest`` being what the columns after prior hold. Shards of up to ``tile`` rows
-    are streamed through tasks by the batch, larger ones are cut into tiles.
+    are streamed through tasks by the batch, larger ones are cut into tiles; ``keys`` are the keys of the rows, where that is cheaper to count.
     """
     more = rows.columns[4:]
 
@@ -377,7 +394,7 @@ def _in_shards(rows: DataFrame, out: str, radius: int, tile: int, check, answer)
         if held:
             yield shards(True)
 
-    large = kept(rows.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > tile).select("key"))
+    large = kept((rows if keys is None else keys).groupBy("key").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > tile).select("key"))
     if large.isEmpty():
         return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(solve, out)
     streamed = rows.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key", "fp")
@@ -385,15 +402,16 @@ def _in_shards(rows: DataFrame, out: str, radius: int, tile: int, check, answer)
     return streamed.mapInArrow(solve, out).union(in_tiles(hot, "key", tile=tile).groupBy("key", "__i", "__j").applyInPandas(solve_tile, out))
 
 
-def links_in_shards(marked: DataFrame, radius: int, least: float, tile: int = TILE) -> DataFrame:
+def links_in_shards(docs: DataFrame, ids: DataFrame, radius: int, least: float, tile: int = TILE, shingle: int = 5, seed: int = 42) -> DataFrame:
     """Edges between texts (by id) within ``radius`` that have a min-hash in common and a Jaccard similarity of their sets of ``least``.
 
-    A pair is checked in the shard of its smallest common min-hash alone. A first pass over fingerprints finds which texts have a
-    partner to be checked in which shard; the sets of shingles, longer than the texts, go there and nowhere else.
+    ``ids`` has a row (id, fp, keys, own) per text. A pair is checked in the shard of its smallest common min-hash alone. A first pass over
+    fingerprints finds which texts have a partner to be checked in which shard; only their sets of shingles, longer than the texts, are made,
+    and go there and nowhere else.
     """
-    pairs = marked.select("id", "fp", F.explode("keys").alias("key")).distinct()
+    pairs = ids.select("id", "fp", "own", F.explode(F.array_distinct("keys")).alias("key"))
     sizes = kept(pairs.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1))
-    listed = kept(pairs.join(sizes, "key").groupBy("id", "fp").agg(F.sort_array(F.collect_set("key")).alias("keys")))
+    listed = kept(pairs.join(sizes, "key").groupBy("id", "fp", "own").agg(F.sort_array(F.collect_list("key")).alias("keys")))
     shards = listed.select(F.explode("keys").alias("key"), "fp", "id", F.col("keys").alias("__k")).withColumn(
         "prior", F.filter("__k", lambda k: k < F.col("key"))).drop("__k")
 
@@ -407,21 +425,26 @@ def links_in_shards(marked: DataFrame, radius: int, least: float, tile: int = TI
 
     met = _in_shards(shards, "a long, b long", radius, tile, lambda rest, x, y: np.ones(len(x), bool), with_partner)
     wanted = kept(met.groupBy(F.col("b").alias("id")).agg(F.collect_set("a").alias("at")).join(listed, "id"))
-    texts = marked.select("id", "grams").join(wanted, "id").dropDuplicates(["id"])
-    rows = texts.select(F.explode("at").alias("key"), "fp", "id", F.col("keys").alias("__k"), "grams").select(
+    texts = docs.select(own_key().alias("own"), "text").dropDuplicates(["own"]).join(wanted, "own").select("id", "fp", "keys", "at", "text")
+    rows = with_sets(texts, shingle, seed).select(F.explode("at").alias("key"), "fp", "id", F.col("keys").alias("__k"), "grams").select(
         "key", "fp", "id", F.filter("__k", lambda k: k < F.col("key")).alias("prior"), "grams")
-    return _in_shards(rows, "a long, b long", radius, tile, lambda rest, x, y: similar_sets(rest[0], x, y, least), links)
+    sizes_met = wanted.select(F.explode("at").alias("key"))
+    return _in_shards(rows, "a long, b long", radius, tile, lambda rest, x, y: similar_sets(rest[0], x, y, least), links, sizes_met)
 
 
 def _grouped(docs: DataFrame, shingle: int, radius: int, seed: int, shards: int, least: float) -> DataFrame:
     """A row per document as of ``fingerprints``, with root (the component) and component_id."""
     marked = kept(fingerprints(docs, shingle, seed, shards))
-    distinct = kept(marked.groupBy("id").agg(F.min("doc_id").alias("first")))
-    edges = links_in_shards(marked, radius, least) if shards else similar_links(distinct.select(F.col("id").alias("fp")), radius)
+    more = [F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("own").alias("own")] if shards else []
+    distinct = kept(marked.groupBy("id").agg(F.min("doc_id").alias("first"), *more))
+    if shards:
+        edges = links_in_shards(docs, distinct, radius, least, shingle=shingle, seed=seed)
+    else:
+        edges = similar_links(distinct.select(F.col("id").alias("fp")), radius)
     reach = kept(components(edges))
-    named = distinct.join(reach.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = distinct.select("id", "first").join(reach.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.drop("keys", "grams").join(named.join(ids, "root").select("id", "root", "component_id"), "id")
+    return marked.drop("keys").join(named.join(ids, "root").select("id", "root", "component_id"), "id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 42, shards: int = 0, least: float = 0.75) -> DataFrame:
@@ -442,6 +465,6 @@ def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 22, seed: int =
     """
     found = _grouped(docs, shingle, radius, seed, shards, least).filter(F.col("doc_id").isNotNull())
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "own"))["own"].alias("__own")).select("__own")
-    keyed = docs.filter(F.col("doc_id").isNotNull()).withColumn("__own", F.xxhash64("doc_id", "text"))
+    keyed = docs.filter(F.col("doc_id").isNotNull()).withColumn("__own", own_key())
     stay = keyed.join(first, "__own", "left_semi").dropDuplicates(["__own"]).drop("__own")
     return stay.unionByName(docs.filter(F.col("doc_id").isNull()))

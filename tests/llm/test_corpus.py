@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import struct
+import time
 from collections import Counter
 
 import duckdb
@@ -153,9 +154,10 @@ def test_a_shard_of_many_texts_is_cut_into_tiles(spark):
     for i in range(120):
         own = common + " " + " ".join(f"w{x}" for x in draw.integers(0, 10 ** 6, 15))
         rows += [(3 * i, own), (3 * i + 1, own + " end"), (3 * i + 2, own if i % 2 else None)]
-    marked = simhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), 5, mins=6).cache()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = simhash.fingerprints(docs, 5, mins=6).dropDuplicates(["id"]).cache()
     assert marked.selectExpr("explode(keys) AS k", "fp").distinct().groupBy("k").count().agg({"count": "max"}).first()[0] > 100
-    whole, cut = ({(r.node, r.root) for r in components(simhash.links_in_shards(marked, 14, 0.75, tile)).collect()} for tile in (10 ** 6, 16))
+    whole, cut = ({(r.node, r.root) for r in components(simhash.links_in_shards(docs, marked, 14, 0.75, tile)).collect()} for tile in (10 ** 6, 16))
     assert cut == whole and len(whole) > 100
 
 
@@ -171,9 +173,9 @@ def test_links_in_shards_equal_brute_force(spark, tile):
             for c in draw.choice(90, int(draw.integers(0, 16)), replace=False):
                 other[c] = f"n{draw.integers(0, 10 ** 6)}"
             rows.append((len(rows), " ".join(other)))
-    marked = spark.createDataFrame(rows, "doc_id long, text string")
-    marked = simhash.fingerprints(marked, 5, mins=8).cache()
-    texts = {r.id: (r.fp % 2 ** 64, set(r["keys"]), set(np.frombuffer(r.grams, np.uint64).tolist())) for r in marked.collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = simhash.fingerprints(docs, 5, mins=8).dropDuplicates(["id"]).cache()
+    texts = {r.id: (r.fp % 2 ** 64, set(r["keys"]), {tuple(rows[r.doc_id][1].split()[k:k + 5]) for k in range(86)}) for r in marked.collect()}
     ids = list(texts)
     groups = simhash.Groups(len(ids))
     for i, a in enumerate(ids):
@@ -183,9 +185,9 @@ def test_links_in_shards_equal_brute_force(spark, tile):
                 groups.link(np.array([i]), np.array([j]))
     want = {frozenset(ids[i] for i in np.flatnonzero(groups.root == r)) for r in set(groups.root.tolist()) if (groups.root == r).sum() > 1}
     got: dict[int, set] = {}
-    for r in components(simhash.links_in_shards(marked, 18, 0.7, tile)).collect():
+    for r in components(simhash.links_in_shards(docs, marked, 18, 0.7, tile)).collect():
         got.setdefault(r.root, set()).add(r.node)
-    assert 100 < sum(map(len, want)) < len(ids) - 20 and {frozenset(g) for g in got.values()} == want
+    assert 50 < sum(map(len, want)) < len(ids) - 20 and {frozenset(g) for g in got.values()} == want
 
 
 def test_one_doc_id_with_several_texts(spark):
@@ -369,6 +371,50 @@ def test_matched_windows_are_held_against_all_others():
     assert len(want) > 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_classes_of_equal_windows_stand_for_their_members(seed):
+    """Keys repeated within a class and across classes, several middles and groups: every window has the span of its matches with other documents."""
+    draw = np.random.default_rng(seed)
+    word = lambda n: draw.integers(1, 2 ** 32, n, dtype=np.uint32)
+    share, rows = 8 / 9, []
+    for g in range(3):
+        base = word(121)
+        kinds = []
+        for _ in range(4):
+            own = base.copy()
+            own[draw.integers(0, 121, draw.integers(0, 14))] = word(1)[0]
+            own[:int(draw.integers(0, 50))] = word(1)[0]
+            cut = int(draw.integers(0, 14))
+            kinds.append((60 - cut, own[cut:]))
+        for _ in range(14):
+            middle, body = kinds[draw.integers(0, 4)]
+            rows.append((g, int(draw.integers(0, 5)), int(draw.integers(0, 900)), middle, body))
+    group, keys, starts, middles = (np.array([r[k] for r in rows]) for k in range(4))
+    got = passages.match_groups(group, keys, starts, middles, [r[4].tobytes() for r in rows], 46, share)
+    want, partners = Counter(), {}
+    for g, key, start, middle, x in rows:
+        spans = []
+        for h, other, _, _, y in rows:
+            if g == h and key != other:
+                s = np.append(0, np.cumsum(np.isin(x, y)))
+                own = [(p, q) for p in range(middle + 1) for q in range(max(p + 46, middle + 1), len(x) + 1) if s[q] - s[p] >= share * (q - p) - 1e-9]
+                spans += own
+                if own:
+                    partners.setdefault((g, key), set()).add(other)
+        if spans:
+            want[key, start + min(p for p, _ in spans), start + max(q for _, q in spans)] += 1
+    assert Counter(tuple(map(int, r[:3])) for r in got) == want and want
+    assert all(any(int(r[3]) in found for (_, key), found in partners.items() if key == r[0]) and r[3] != r[0] for r in got)
+
+
+def test_repetitive_texts_are_compared_in_little_time(spark):
+    rows = [(1, "y z " * 50_000), (2, "y z " * 50_000 + "end"), (3, "z y y " * 30_000), (4, "y " * 100_000)]
+    begin = time.perf_counter()
+    found = passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert time.perf_counter() - begin < 60
+    assert {(r.doc_id, r.start) for r in found} >= {(1, 0), (2, 0)} and all(r.end > 99_000 for r in found if r.doc_id in (1, 2))
+
+
 def test_sets_of_copies_are_linked_by_component(spark):
     draw = random.Random(9)
     words = lambda n: ["".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
