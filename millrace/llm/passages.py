@@ -192,16 +192,15 @@ def _matches(rows: np.ndarray, against: np.ndarray, tokens: np.ndarray, size: np
     return first, last
 
 
-def reachable(group: np.ndarray, keys: np.ndarray, tokens: np.ndarray, size: np.ndarray, middles: np.ndarray, width: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of what each window can match in its group: all its shingles that another document of the group has are taken as hits."""
+def reachable(group: np.ndarray, lows: np.ndarray, highs: np.ndarray, tokens: np.ndarray, size: np.ndarray, middles: np.ndarray, width: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of what each class can match in its group: all its shingles that another document of the group has are taken as hits."""
     place = np.arange(tokens.shape[1])
     inside = place[None, :] < size[:, None]
     number = np.unique(group, return_inverse=True)[1]
     kinds, where = np.unique((number[:, None] << 32 | tokens)[inside], return_inverse=True)
-    owner = np.broadcast_to(keys[:, None], tokens.shape)[inside]
     low, high = np.full(len(kinds), np.iinfo(np.int64).max), np.full(len(kinds), np.iinfo(np.int64).min)
-    np.minimum.at(low, where, owner)
-    np.maximum.at(high, where, owner)
+    np.minimum.at(low, where, np.broadcast_to(lows[:, None], tokens.shape)[inside])
+    np.maximum.at(high, where, np.broadcast_to(highs[:, None], tokens.shape)[inside])
     hit = np.zeros(tokens.shape, bool)
     hit[inside] = (low < high)[where]
     found = [bounds(hit[i:i + 2048], size[i:i + 2048], middles[i:i + 2048], share, width) for i in range(0, len(hit), 2048)]
@@ -209,10 +208,21 @@ def reachable(group: np.ndarray, keys: np.ndarray, tokens: np.ndarray, size: np.
 
 
 def match_groups(group: np.ndarray, keys: np.ndarray, starts: np.ndarray, middles: np.ndarray, bodies: list[bytes], width: int, share: float) -> np.ndarray:
-    """Rows (key, start, end, partner, link) in shingles, for windows in order of ``group``: round by round one window of each group is compared with those behind it.
+    """Rows (key, start, end, partner, link) in shingles, for windows in order of ``group``.
 
+    Windows of a group with the same shingles around the same middle are one class, known by its smallest and largest key: classes are
+    compared, and what one matches holds for its members. Round by round one class of each group is compared with those behind it.
     Windows that matches connect have the same link.
     """
+    known: dict[tuple, int] = {}
+    of = np.array([known.setdefault(x, len(known)) for x in zip(group.tolist(), middles.tolist(), bodies, strict=True)])
+    one = np.unique(of, return_index=True)[1]  # classes are numbered as they appear, so groups stay in order
+    windows, bodies = group, [bodies[i] for i in one]
+    group, middles_of, member_keys = group[one], middles[one], keys
+    lows, highs = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
+    np.minimum.at(lows, of, keys)
+    np.maximum.at(highs, of, keys)
+
     size = np.array([len(b) // 4 for b in bodies])
     tokens = np.zeros((len(bodies), int(size.max())), np.int64)
     flat = np.frombuffer(b"".join(bodies), np.uint32)
@@ -223,15 +233,20 @@ def match_groups(group: np.ndarray, keys: np.ndarray, starts: np.ndarray, middle
     least, most = np.full(len(group), -1), np.full(len(group), np.iinfo(np.int64).max)
     large = np.repeat(length, length) >= BOUNDED
     if large.any():
-        least[large], most[large] = reachable(group[large], keys[large], tokens[large], size[large], middles[large], width, share)
-    low, high, partner = np.full(len(group), tokens.shape[1] + 1), np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
+        least[large], most[large] = reachable(group[large], lows[large], highs[large], tokens[large], size[large], middles_of[large], width, share)
+    low, high = np.full(len(group), tokens.shape[1] + 1), np.zeros(len(group), np.int64)
+    below, above = np.full(len(group), np.iinfo(np.int64).max), np.full(len(group), np.iinfo(np.int64).min)
+    # the members of a class match each other from end to end
+    own = np.flatnonzero((lows < highs) & (size >= width))
+    low[own], high[own], below[own], above[own] = 0, size[own], lows[own], highs[own]
     # what can match nothing at all has nothing left to reach; it is never linked, so it is passed over by itself
     idle, linked, left = most == 0, Groups(len(group)), np.arange(len(group))
     for at in range(int(length.max()) - 1):
         left = left[rank[left] > at]
         leader = head[left] + at
         done = (low <= least) & (high >= most)
-        use = (keys[left] != keys[leader]) & ~(done[left] & done[leader] & (linked.root[left] == linked.root[leader])) & ~(idle[left] | idle[leader])
+        apart = (lows[left] < highs[left]) | (lows[leader] < highs[leader]) | (lows[left] != lows[leader])
+        use = apart & ~(done[left] & done[leader] & (linked.root[left] == linked.root[leader])) & ~(idle[left] | idle[leader])
         rest, leader = left[use], leader[use]
         if not len(rest):
             continue
@@ -239,17 +254,24 @@ def match_groups(group: np.ndarray, keys: np.ndarray, starts: np.ndarray, middle
         for one, two in ((rest, leader), (leader, rest)):
             some = np.flatnonzero(~(done[one] & same))
             own, other = one[some], two[some]
-            a, b = _matches(own, other, tokens, size, middles, width, share)
+            a, b = _matches(own, other, tokens, size, middles_of, width, share)
             hits = b > 0
             near[some[hits]] = True
             np.minimum.at(low, own[hits], a[hits])
             np.maximum.at(high, own[hits], b[hits])
-            partner[own[hits]] = keys[other[hits]]
+            np.minimum.at(below, own[hits], lows[other[hits]])
+            np.maximum.at(above, own[hits], highs[other[hits]])
         linked.link(rest[near], leader[near])
-    found = np.flatnonzero(high > 0)
-    root = linked.root[found]
-    link = _mixed(_mixed(group[root].astype(np.int64).view(U)) + _mixed(keys[root].view(U)) * U(3) + (starts[root] + middles[root]).astype(np.int64).view(U)).view(np.int64)
-    return np.column_stack([keys[found], starts[found] + low[found], starts[found] + high[found], partner[found], link])
+    found = np.flatnonzero(high[of] > 0)
+    mine, key = of[found], member_keys[found]
+    partner = np.where(below[mine] != key, below[mine], above[mine])
+    # a class of one document may have matched a class that holds nothing but that document and others: never itself alone
+    root = linked.root[mine]
+    head_of = np.full(len(group), len(windows))
+    np.minimum.at(head_of, of, np.arange(len(of)))
+    at = head_of[root]
+    link = _mixed(_mixed(windows[at].astype(np.int64).view(U)) + _mixed(member_keys[at].view(U)) * U(3) + (starts[at] + middles[at]).astype(np.int64).view(U)).view(np.int64)
+    return np.column_stack([key, starts[found] + low[mine], starts[found] + high[mine], partner, link])
 
 
 def compared(rows: DataFrame, width: int, share: float) -> DataFrame:
