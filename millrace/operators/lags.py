@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from millrace.functions.columns import duration_micros
 from millrace.operators.chunks import CHUNK, DEFAULT_CHUNK, HOME, POSITION, row_index, time_position, with_halo
-from millrace.operators.windows import detrend, shift_rows
+from millrace.operators.windows import detrend, shift_rows, shift_rows_by
+from millrace.session import cut_lineage
 
 SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
@@ -93,13 +94,11 @@ def align_by_best_lag(
     df: DataFrame, time_col: str, target: str, features: Sequence[str], *, series_cols: Sequence[str] = (),
     trim: bool = True, **options,
 ) -> DataFrame:
-    """Shift every feature by its own best lag, all at once; rows left without a value are trimmed."""
+    """Shift every feature of every series by its own best lag, all at once; rows left without a value are trimmed."""
     best = estimate_lag_ccf(df, series_cols, time_col, target, features, **options)
-    if series_cols:
-        # one lag per feature for all series: the strongest
-        pick = F.max_by("best_lag", F.struct(F.abs(F.col("best_corr")), -F.abs(F.col("best_lag"))))
-        best = best.groupBy("feature").agg(pick.alias("best_lag"))
-    lags = {r["feature"]: r["best_lag"] for r in best.select("feature", "best_lag").collect()}
     complete = df.dropna(subset=[target, *features]) if trim else df
-    shifts = {f: k for f, k in lags.items() if k}
+    if series_cols:
+        shifts = cut_lineage(best.select(*series_cols, "feature", F.col("best_lag").alias("shift")))
+        return shift_rows_by(complete, series_cols, time_col, shifts, list(features), trim=trim)
+    shifts = {r["feature"]: r["best_lag"] for r in best.select("feature", "best_lag").collect() if r["best_lag"]}
     return shift_rows(complete, series_cols, time_col, shifts, trim=trim) if shifts else complete

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.session import kept_table
+
 OUT_SCHEMA = "column string, prob double, value double"
 PIECES = 64
 
@@ -122,24 +124,16 @@ def _bracket_order(box: tuple) -> tuple:
     return column, low is not None, low or 0.0, high, below
 
 
-def cumulative_counts(df: DataFrame, by: Sequence[str], col: str, per_piece: int = 200_000) -> DataFrame:
+def cumulative_counts(df: DataFrame, by: Sequence[str], col: str, pieces: int | None = None) -> DataFrame:
     """Per group and distinct value: ``__n`` rows of the value and ``__upto`` rows at or below it.
 
-    A group's distinct values are cut into equal-width ranges, about ``per_piece`` values each if they spread evenly,
-    accumulated per range, and ranges are chained by their counts: a large group is worked on by many tasks. The table
-    of ranges is one row per group.
+    The counts are sorted by ranges that Spark samples over (group, value), so a range holds about as many distinct values as any other, however
+    the values are spread and whatever a group's share of them. They are written once, accumulated per range, and chained by the sums of a
+    group's ranges: a table of some rows per group and range. ``pieces`` sets the number of ranges.
     """
     counts = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("__n"))
-    spans = counts.groupBy(*by).agg(
-        F.min(col).cast("double").alias("__lo"), F.max(col).cast("double").alias("__hi"), F.count(F.lit(1)).alias("__k"))
-    if by:
-        placed = counts.join(spans, list(by))
-    else:
-        one = spans.first()
-        placed = counts.withColumns({c: F.lit(one[c]) for c in ("__lo", "__hi", "__k")})
-    share = F.try_divide(F.col(col) - F.col("__lo"), F.col("__hi") - F.col("__lo"))
-    piece = F.floor(F.coalesce(share, F.lit(0.0)) * F.ceil(F.col("__k") / F.lit(float(per_piece)))).cast("long")
-    placed = placed.select(*by, col, "__n", piece.alias("__piece"))
+    ranged = counts.repartitionByRange(*([pieces] if pieces else []), *by, col)
+    placed = kept_table(ranged.withColumn("__piece", F.spark_partition_id()))
     sums = placed.groupBy(*by, "__piece").agg(F.sum("__n").alias("__sum"))
     earlier = W.partitionBy(*by).orderBy("__piece").rowsBetween(W.unboundedPreceding, -1)
     base = sums.select(*by, "__piece", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
@@ -148,17 +142,35 @@ def cumulative_counts(df: DataFrame, by: Sequence[str], col: str, per_piece: int
         *by, col, "__n", (F.col("__base") + inside).alias("__upto"))
 
 
-def average_rank(df: DataFrame, by: Sequence[str], col: str, name: str, per_piece: int = 200_000) -> DataFrame:
+def average_rank(df: DataFrame, by: Sequence[str], col: str, name: str, pieces: int | None = None) -> DataFrame:
     """Rank from 1 with ties sharing their mean rank, NULLs unranked."""
-    rank = F.col("__upto") - (F.col("__n") - 1) / F.lit(2.0)
-    ranked = cumulative_counts(df, by, col, per_piece).select(*by, col, rank.alias(name))
-    return df.join(ranked, [*by, col], "left")
+    return average_ranks(df, by, {col: name}, pieces)
 
 
-def grouped_quantile(df: DataFrame, by: Sequence[str], col: str, prob: float, name: str, per_piece: int = 200_000) -> DataFrame:
+def average_ranks(df: DataFrame, by: Sequence[str], names: Mapping[str, str], pieces: int | None = None) -> DataFrame:
+    """``average_rank`` of several numeric columns together: one table of counts for all, joined back per column by its value."""
+    one = next(iter(names))
+    if len(names) == 1:
+        table, keys, value = df.select(*by, one), [*by], one
+    else:
+        keys, value = [*by, "__col"], "__value"
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("__col"), F.col(c).cast("double").alias("__value")) for c in names])).alias("__c")
+        table = df.select(*by, cells).select(*by, "__c.*")
+    rank = (F.col("__upto") - (F.col("__n") - 1) / F.lit(2.0)).alias("__rank")
+    ranked = cumulative_counts(table, keys, value, pieces).select(*keys, value, rank)
+    if len(names) > 1:
+        ranked = kept_table(ranked)
+    out = df
+    for c, name in names.items():
+        own = ranked.filter(F.col("__col") == c).drop("__col").withColumn(value, F.col(value).cast(df.schema[c].dataType)) if len(names) > 1 else ranked
+        out = out.join(own.withColumnRenamed(value, c).withColumnRenamed("__rank", name), [*by, c], "left")
+    return out
+
+
+def grouped_quantile(df: DataFrame, by: Sequence[str], col: str, prob: float, name: str, pieces: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantile per group, for groups that may be too large for one buffer."""
-    table = cumulative_counts(df, by, col, per_piece)
-    total = table.groupBy(*by).agg(F.max("__upto").alias("__total"))
+    table = cumulative_counts(df, by, col, pieces)
+    total = df.filter(F.col(col).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("__total"))
     spot = F.lit(float(prob)) * (F.col("__total") - 1)
     if by:
         both = table.join(total, list(by))

@@ -7,7 +7,7 @@ row per segment: series keys, ``regime`` from 0, ``start_idx``, ``end_idx`` (exc
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,8 +20,10 @@ from millrace import fixed_values as fixed
 from millrace.operators.chunks import (
     CHUNK, DEFAULT_CHUNK, DEFAULT_ROWS, POSITION, carry, chunk_window, home_rows, row_index, with_halo, with_time_chunk,
 )
+from millrace.operators.dedup import top_k
 from millrace.operators.grid import fill_gaps
 from millrace.operators.joins import asof_join
+from millrace.operators.optimal import BLOCK, search_exactly
 from millrace.operators.peaks import find_peaks
 from millrace.operators.select import numeric_columns
 from millrace.operators.windows import rolling_zscore
@@ -109,94 +111,19 @@ def change_table(
     return rows.select(*series_cols, "n_rows", F.explode(wanted).alias("__s")).select(*series_cols, "n_rows", "__s.*")
 
 
-def _segments_schema(points: DataFrame, series_cols: Sequence[str], extra: Sequence[T.StructField] = ()) -> T.StructType:
-    keys = [f for f in points.schema.fields if f.name in series_cols]
-    return T.StructType([*keys, *extra, T.StructField("regime", T.IntegerType()), T.StructField("start_idx", T.LongType()),
-                         T.StructField("end_idx", T.LongType())])
-
-
-def optimal_cuts(idx: np.ndarray, s: np.ndarray, q: np.ndarray, pen: float, min_size: int) -> list[int]:
-    """Positions (into ``idx``) of the boundaries that minimise squared error plus ``pen`` per segment.
-
-    ``idx`` are admissible row numbers with 0 first and the series' length last; ``s`` are prefix sums per feature and
-    ``q`` those of squares over all features. An old start is discarded for an end ``e`` once some ``m`` at least ``min_size`` before ``e`` proved it
-    cannot win, which keeps the search exact.
-    """
-    m = len(idx)
-    best = np.full(m, np.inf)
-    back = np.full(m, -1)
-    best[0] = -pen
-    starts = np.empty(0, dtype=int)  # candidate starts of the last segment
-    until = np.empty(0)  # row number from which a start is out
-    waiting = 0
-    for e in range(1, m):
-        here = idx[e]
-        first = waiting
-        while waiting < e and idx[waiting] <= here - min_size:
-            waiting += 1
-        if waiting > first:
-            fresh = np.arange(first, waiting)
-            fresh = fresh[np.isfinite(best[fresh])]
-            starts = np.concatenate([starts, fresh])
-            until = np.concatenate([until, np.full(len(fresh), np.inf)])
-        if not len(starts):
-            continue
-        ds = s[e] - s[starts]
-        spread = (ds * ds).sum(axis=1) / (here - idx[starts])
-        reach = best[starts] + (q[e] - q[starts]) - spread
-        k = int(np.argmin(reach))
-        best[e], back[e] = reach[k] + pen, starts[k]
-        until = np.where(reach > best[e], np.minimum(until, here + min_size), until)
-        if until.min() <= here:
-            keep = until > here
-            starts, until = starts[keep], until[keep]
-    cuts = [m - 1]
-    while cuts[-1] > 0 and back[cuts[-1]] >= 0:
-        cuts.append(int(back[cuts[-1]]))
-    if cuts[-1] != 0:
-        return [0, m - 1]
-    return cuts[::-1]
-
-
 def detect_pelt(
-    points: DataFrame, series_cols: Sequence[str], penalties: Sequence[float], min_size: int, max_points: int = 2_000_000,
+    points: DataFrame, series_cols: Sequence[str], penalties: Sequence[float], min_size: int, block: int = BLOCK,
 ) -> DataFrame:
-    """Exact penalised segmentation per (series, penalty), all of them in parallel.
-
-    The recursion is sequential in a series, so its group holds one row of sums per admissible change, never data
-    rows: use resampled series and ``jump``. More than ``max_points`` candidates in a series is an error.
-    """
+    """Exact penalised segmentation per (series, penalty), all of them together, in blocks of ``block`` rows."""
     tried = F.explode(F.array(*[F.lit(float(p)) for p in penalties]))
-    return _search_exactly(points.withColumn("penalty", tried), series_cols, min_size, max_points)
+    return search_exactly(points.withColumn("penalty", tried), series_cols, min_size, block)
 
 
-def search_chosen(points: DataFrame, chosen: DataFrame, series_cols: Sequence[str], min_size: int, max_points: int = 2_000_000) -> DataFrame:
+def search_chosen(points: DataFrame, chosen: DataFrame, series_cols: Sequence[str], min_size: int, block: int = BLOCK) -> DataFrame:
     """The exact search with one penalty per series, given as a table."""
     if series_cols:
-        return _search_exactly(points.join(chosen, list(series_cols)), series_cols, min_size, max_points)
-    return _search_exactly(points.withColumn("penalty", F.lit(chosen.first()["penalty"])), series_cols, min_size, max_points)
-
-
-def _search_exactly(points: DataFrame, series_cols: Sequence[str], min_size: int, max_points: int) -> DataFrame:
-    features = [c[2:] for c in points.columns if c.startswith("s_")]
-    spread = points.select(*series_cols, "i", "penalty", *[f"s_{f}" for f in features], "squares")
-    schema = _segments_schema(points, series_cols, [T.StructField("penalty", T.DoubleType())])
-    names = [f.name for f in schema.fields]
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i").drop_duplicates("i")
-        if len(pdf) > max_points:
-            raise ValueError(f"{len(pdf)} candidate changes in one series: resample or raise jump")
-        idx = pdf["i"].to_numpy()
-        s = pdf[[f"s_{f}" for f in features]].to_numpy()
-        q = pdf["squares"].to_numpy()
-        cuts = idx[optimal_cuts(idx, s, q, float(pdf["penalty"].iloc[0]), min_size)]
-        out = pd.DataFrame({"regime": np.arange(len(cuts) - 1, dtype="int32"), "start_idx": cuts[:-1], "end_idx": cuts[1:]})
-        for c in [*series_cols, "penalty"]:
-            out[c] = pdf[c].iloc[0]
-        return out[names]
-
-    return spread.groupBy(*series_cols, "penalty").applyInPandas(solve, schema)
+        return search_exactly(points.join(chosen, list(series_cols)), series_cols, min_size, block)
+    return search_exactly(points.withColumn("penalty", F.lit(chosen.first()["penalty"])), series_cols, min_size, block)
 
 
 def _split_gain(features: Sequence[str], left: str, right: str) -> Column:
@@ -210,11 +137,11 @@ def _split_gain(features: Sequence[str], left: str, right: str) -> Column:
     return gain
 
 
-def local_binary_cuts(idx: np.ndarray, s: np.ndarray, pen: float, min_size: int) -> list[int]:
-    """Greedy splits of one short candidate table; returns row numbers of the changes."""
-    found, stack = [], [(0, len(idx) - 1)]
+def local_binary_cuts(idx: np.ndarray, s: np.ndarray, pen: float, min_size: int, limit: float = math.inf) -> list[tuple[int, float]]:
+    """Greedy splits of one short candidate table: row numbers of the changes and their strengths."""
+    found, stack = [], [(0, len(idx) - 1, limit)]
     while stack:
-        a, b = stack.pop()
+        a, b, limit = stack.pop()
         inner = np.arange(a + 1, b)
         inner = inner[(idx[inner] - idx[a] >= min_size) & (idx[b] - idx[inner] >= min_size)]
         if not len(inner):
@@ -225,21 +152,25 @@ def local_binary_cuts(idx: np.ndarray, s: np.ndarray, pen: float, min_size: int)
         # the later row wins a tie
         k = len(gain) - 1 - int(np.argmax(gain[::-1]))
         if gain[k] > pen:
-            found.append(int(idx[inner[k]]))
-            stack += [(a, int(inner[k])), (int(inner[k]), b)]
+            strength = min(limit, float(gain[k]))
+            found.append((int(idx[inner[k]]), strength))
+            stack += [(a, int(inner[k]), strength), (int(inner[k]), b, strength)]
     return found
 
 
-def detect_binseg(
+def binseg_cuts(
     points: DataFrame, series_cols: Sequence[str], min_size: int, *, pen: float | None = None, n_bkps: int | None = None,
     local_points: int = 200_000,
-) -> DataFrame:
-    """Greedy binary segmentation by penalty, or to a fixed number of changes.
+) -> tuple[DataFrame, DataFrame]:
+    """Cuts (series, cut, strength) of greedy binary segmentation, and (series, n_rows).
 
     Every round finds the best split of all active segments of all series in one aggregate over the candidate rows.
     With a penalty segments are independent, so all split in the same round, settled ones drop out, and a segment
     with at most ``local_points`` candidates is finished inside one task. With ``n_bkps`` each round splits the best
     segment of each series.
+
+    The strength of a cut is the least gain on its way down the tree of splits: with any penalty at or above ``pen`` exactly the cuts
+    that are stronger than it are made.
     """
     features = [c[2:] for c in points.columns if c.startswith("s_")]
     sums = [f"s_{f}" for f in features]
@@ -248,7 +179,7 @@ def detect_binseg(
     bounds = slim.groupBy(*series_cols).agg(F.min_by(ends, "i").alias("left"), F.max_by(ends, "i").alias("right"),
                                             F.max("n_rows").alias("n_rows"))
     bounds = cut_lineage(bounds)
-    inner = slim.filter((F.col("i") > 0) & (F.col("i") < F.col("n_rows")))
+    inner = slim.filter((F.col("i") > 0) & (F.col("i") < F.col("n_rows"))).withColumn("limit", F.lit(math.inf))
     if series_cols:
         active = cut_lineage(inner.drop("n_rows").join(bounds.drop("n_rows"), list(series_cols)))
     else:
@@ -259,7 +190,7 @@ def detect_binseg(
         active = cut_lineage(inner.drop("n_rows").withColumns(fixed_end))
     spark = points.sparkSession
     key_fields = [f for f in points.schema.fields if f.name in series_cols]
-    cut_schema = T.StructType([*key_fields, T.StructField("cut", T.LongType())])
+    cut_schema = T.StructType([*key_fields, T.StructField("cut", T.LongType()), T.StructField("strength", T.DoubleType())])
     cuts = spark.createDataFrame([], cut_schema)
     segment = [*series_cols, "__from"]
     rounds = 0
@@ -268,21 +199,22 @@ def detect_binseg(
         work = active.withColumn("__from", F.col("left.i")).filter(room).withColumn("__gain", _split_gain(features, "left", "right"))
         best = work.groupBy(*segment).agg(
             F.max_by(F.struct("i", *sums), F.struct("__gain", "i")).alias("__cut"), F.max("__gain").alias("__gain"),
-            F.count(F.lit(1)).alias("__size"))
+            F.least(F.max("__gain"), F.min("limit")).alias("__strength"), F.count(F.lit(1)).alias("__size"))
+        cut = [F.col("__cut.i").alias("cut"), F.col("__strength").alias("strength")]
         if n_bkps is None:
             best = best.filter(F.col("__gain") > pen)
             small = best.filter(F.col("__size") <= local_points)
             ends_flat = [F.col(f"{side}.{c}").alias(f"__{side}_{c}") for side in ("left", "right") for c in ("i", *sums)]
-            mine = work.select(*segment, "i", *sums, *ends_flat).join(small.select(*segment), segment)
+            mine = work.select(*segment, "i", *sums, "limit", *ends_flat).join(small.select(*segment), segment)
             local = mine.groupBy(*segment).applyInPandas(
                 _local_task(series_cols, sums, pen, min_size, cut_schema), cut_schema)
             best = best.filter(F.col("__size") > local_points)
-            settled = best.select(*series_cols, F.col("__cut.i").alias("cut")).unionByName(local)
+            settled = best.select(*series_cols, *cut).unionByName(local)
         else:
             order = W.partitionBy(*series_cols).orderBy(F.col("__gain").desc(), F.col("__cut.i").desc())
             best = best.withColumn("__r", F.row_number().over(order)).filter("__r = 1")
-            settled = best.select(*series_cols, F.col("__cut.i").alias("cut"))
-        best = cut_lineage(best.select(*segment, "__cut"))
+            settled = best.select(*series_cols, *cut)
+        best = cut_lineage(best.select(*segment, "__cut", "__strength"))
         cuts = cut_lineage(cuts.unionByName(settled))
         rounds += 1
         if best.isEmpty() or (n_bkps is not None and rounds >= n_bkps):
@@ -292,12 +224,36 @@ def detect_binseg(
         moved = keyed.join(best, segment, "inner" if n_bkps is None else "left")
         goes_left, goes_right = F.col("i") < F.col("__cut.i"), F.col("i") > F.col("__cut.i")
         active = cut_lineage(moved.filter(F.col("__cut").isNull() | goes_left | goes_right).select(
-            *series_cols, "i", *sums,
+            *series_cols, "i", *sums, F.coalesce("__strength", "limit").alias("limit"),
             F.when(goes_right, F.col("__cut")).otherwise(F.col("left")).alias("left"),
             F.when(goes_left, F.col("__cut")).otherwise(F.col("right")).alias("right")))
     if n_bkps == 0:
         cuts = spark.createDataFrame([], cut_schema)
-    return _segments_from_cuts(cuts, bounds.select(*series_cols, "n_rows"), series_cols)
+    return cuts, bounds.select(*series_cols, "n_rows")
+
+
+def detect_binseg(
+    points: DataFrame, series_cols: Sequence[str], min_size: int, *, pen: float | None = None, n_bkps: int | None = None,
+    local_points: int = 200_000,
+) -> DataFrame:
+    """Greedy binary segmentation by penalty, or to a fixed number of changes."""
+    cuts, totals = binseg_cuts(points, series_cols, min_size, pen=pen, n_bkps=n_bkps, local_points=local_points)
+    return _segments_from_cuts(cuts.drop("strength"), totals, series_cols)
+
+
+def segments_by_penalty(cuts: DataFrame, totals: DataFrame, series_cols: Sequence[str], penalties: Sequence[float] | DataFrame) -> DataFrame:
+    """Segments (series, penalty, ...) that the cuts (series, cut, strength) of one search give for every penalty.
+
+    ``penalties`` are numbers for all series, or a table with one penalty per series.
+    """
+    if isinstance(penalties, DataFrame):
+        tried = totals.join(penalties, list(series_cols)) if series_cols else totals.withColumn("penalty", F.lit(penalties.first()["penalty"]))
+    else:
+        tried = totals.withColumn("penalty", F.explode(F.array(*[F.lit(float(p)) for p in penalties])))
+    keys = [*series_cols, "penalty"]
+    # the table of penalties is a few rows a series
+    stronger = cuts.join(tried.drop("n_rows"), list(series_cols)) if series_cols else cuts.join(F.broadcast(tried.drop("n_rows")))
+    return _segments_from_cuts(stronger.filter(F.col("strength") > F.col("penalty")).select(*keys, "cut"), tried, keys)
 
 
 def _local_task(series_cols: Sequence[str], sums: Sequence[str], pen: float, min_size: int, schema: T.StructType):
@@ -306,7 +262,8 @@ def _local_task(series_cols: Sequence[str], sums: Sequence[str], pen: float, min
         one = pdf.iloc[0]
         idx = np.concatenate([[one["__left_i"]], pdf["i"].to_numpy(), [one["__right_i"]]]).astype("int64")
         s = np.vstack([[one[f"__left_{c}"] for c in sums], pdf[list(sums)].to_numpy(), [one[f"__right_{c}"] for c in sums]]).astype(float)
-        out = pd.DataFrame({"cut": np.array(local_binary_cuts(idx, s, pen, min_size), dtype="int64")})
+        found = local_binary_cuts(idx, s, pen, min_size, float(one["limit"]))
+        out = pd.DataFrame({"cut": np.array([c for c, _ in found], dtype="int64"), "strength": np.array([g for _, g in found], dtype=float)})
         for c in series_cols:
             out[c] = pdf[c].iloc[0]
         return out[[f.name for f in schema.fields]]
@@ -342,14 +299,29 @@ def window_gain(filled: DataFrame, series_cols: Sequence[str], time_col: str, fe
     return scored.filter(usable).select(*series_cols, INDEX, TOTAL, "gain")
 
 
-def detect_window(
+def nearest_greater(height: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each inner element the nearest one to the left that is greater, and to the right that is greater or equal. The ends are infinite."""
+    left, right = np.zeros(len(height), np.int64), np.zeros(len(height), np.int64)
+    stack = [0]
+    for k in range(1, len(height)):
+        while height[stack[-1]] <= height[k] and stack[-1] != 0:
+            right[stack.pop()] = k
+        left[k] = stack[-1]
+        stack.append(k)
+    return left, right
+
+
+def window_cuts(
     filled: DataFrame, series_cols: Sequence[str], time_col: str, features: Sequence[str], min_size: int, jump: int, *,
     pen: float | None = None, n_bkps: int | None = None, width: int | None = None, points: DataFrame | None = None,
     chunk: str = DEFAULT_CHUNK,
-) -> DataFrame:
-    """Sliding-window detection: candidates are gain maxima within half a window, taken from the highest gain down.
+) -> tuple[DataFrame, DataFrame]:
+    """Cuts (series, cut, strength) of sliding-window detection, and (series, n_rows).
 
-    A candidate is accepted while it lowers the total cost by more than ``pen``; the first failure stops the series.
+    Candidates are gain maxima within half a window, taken from the highest gain down; one is accepted while it lowers the total cost by more
+    than ``pen``, and the first failure stops the series. Until then all higher candidates are cuts, so the segment that a candidate
+    splits lies between its nearest higher candidates, and no choice waits for another: only the least gain so far is carried
+    down, the strength of a cut. With any penalty at or above ``pen`` exactly the cuts that are stronger than it are made.
     """
     width = width or max(3 * min_size, min_size + 1)
     gains = cut_lineage(window_gain(filled, series_cols, time_col, features, width, jump, chunk))
@@ -370,9 +342,8 @@ def detect_window(
         (F.col("__turn") == 0) & (F.col("gain") > F.col("__others"))).select(*series_cols, INDEX, "gain")
     totals = gains.groupBy(*series_cols).agg(F.max(TOTAL).alias("n_rows"))
     if n_bkps is not None:
-        best = W.partitionBy(*series_cols).orderBy(F.col("gain").desc(), F.col(INDEX).desc())
-        cuts = peaks.withColumn("__r", F.row_number().over(best)).filter(F.col("__r") <= n_bkps)
-        return _segments_from_cuts(cuts.select(*series_cols, F.col(INDEX).alias("cut")), totals, series_cols)
+        best = top_k(peaks, n_bkps, [F.col("gain").desc(), F.col(INDEX).desc()], series_cols) if n_bkps else peaks.limit(0)
+        return best.select(*series_cols, F.col(INDEX).alias("cut"), F.col("gain").alias("strength")), totals
     points = points if points is not None else change_table(filled, series_cols, time_col, features, jump, chunk=chunk)
     sums = [f"s_{f}" for f in features]
     joined = points.select(*series_cols, "n_rows", "i", *sums).join(
@@ -380,31 +351,34 @@ def detect_window(
     # peaks with their sums, plus the two ends
     slim = joined.filter(F.col("gain").isNotNull() | (F.col("i") == 0) | (F.col("i") == F.col("n_rows")))
     key_fields = [f for f in points.schema.fields if f.name in series_cols]
-    schema = T.StructType([*key_fields, T.StructField("cut", T.LongType())])
+    schema = T.StructType([*key_fields, T.StructField("cut", T.LongType()), T.StructField("strength", T.DoubleType())])
 
     def accept(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i").drop_duplicates("i")
-        ordered = pdf.dropna(subset=["gain"]).sort_values(["gain", "i"], ascending=False)
-        total = pdf[pdf["i"].isin([0, pdf["n_rows"].iloc[0]])]
-        at = {int(r["i"]): r[sums].to_numpy(dtype=float) for _, r in total.iterrows()}
-        bounds, taken = sorted(at), []
-        for _, r in ordered.iterrows():
-            i, here = int(r["i"]), r[sums].to_numpy(dtype=float)
-            k = int(np.searchsorted(bounds, i))
-            a, b = bounds[k - 1], bounds[k]
-            diff = (here - at[a]) / (i - a) - (at[b] - here) / (b - i)
-            if (i - a) * (b - i) / (b - a) * float(diff @ diff) <= pen:
-                break
-            at[i] = here
-            bounds.insert(k, i)
-            taken.append(i)
-        out = pd.DataFrame({"cut": np.array(taken, dtype="int64")})
+        i, s, height = pdf["i"].to_numpy(), pdf[sums].to_numpy(dtype=float), pdf["gain"].fillna(np.inf).to_numpy()
+        left, right = nearest_greater(height)
+        inner = np.arange(1, len(i) - 1)
+        a, b = left[inner], right[inner]
+        nl, nr = (i[inner] - i[a]).astype(float), (i[b] - i[inner]).astype(float)
+        diff = (s[inner] - s[a]) / nl[:, None] - (s[b] - s[inner]) / nr[:, None]
+        gain = nl * nr / (nl + nr) * (diff * diff).sum(axis=1)
+        down = np.lexsort((-i[inner], -height[inner]))
+        strength = np.minimum.accumulate(gain[down]) if len(down) else gain
+        made = strength > pen
+        out = pd.DataFrame({"cut": i[inner][down][made], "strength": strength[made]})
         for c in series_cols:
             out[c] = pdf[c].iloc[0]
         return out[[f.name for f in schema.fields]]
 
-    cuts = slim.groupBy(*series_cols).applyInPandas(accept, schema)
-    return _segments_from_cuts(cuts, totals, series_cols)
+    return slim.groupBy(*series_cols).applyInPandas(accept, schema), totals
+
+
+def detect_window(
+    filled: DataFrame, series_cols: Sequence[str], time_col: str, features: Sequence[str], min_size: int, jump: int, **options,
+) -> DataFrame:
+    """Sliding-window detection by penalty, or a fixed number of the highest gains."""
+    cuts, totals = window_cuts(filled, series_cols, time_col, features, min_size, jump, **options)
+    return _segments_from_cuts(cuts.drop("strength"), totals, series_cols)
 
 
 def segment_times(segments: DataFrame, points: DataFrame, series_cols: Sequence[str]) -> DataFrame:
@@ -448,29 +422,50 @@ def label_rows(df: DataFrame, segments: DataFrame, series_cols: Sequence[str], t
 
 def tune_penalty(
     df: DataFrame, series_cols: Sequence[str], time_col: str, features: Sequence[str] | None = None,
-    penalties: Sequence[float] = tuple(fixed.PENALTIES), *, min_size: int = 60, jump: int = 5,
+    penalties: Sequence[float] = tuple(fixed.PENALTIES), *, method: str = "pelt", min_size: int = 60, jump: int = 5,
     target: str | None = "PSI200", chunk: str = DEFAULT_CHUNK,
 ) -> DataFrame:
     """Per penalty: number of regimes, their mean length and how much of the target they explain.
 
-    One grouped job over series and penalties. The explained share comes from the target's prefix sums at the segment
-    bounds, so no row is labelled for it.
+    The explained share comes from the target's prefix sums at the segment bounds, so no row is labelled for it.
     """
     features = list(features) if features is not None else regime_features(df)
     target = target if target in df.columns else None
     filled = settled_features(df, series_cols, time_col, features, target, chunk)
     points = cut_lineage(change_table(filled, series_cols, time_col, features, jump, target=target, chunk=chunk))
-    return sweep_penalties(points, series_cols, penalties, min_size)[0]
+    found = segments_of_penalties(filled, points, series_cols, time_col, features, penalties, method, min_size, jump, chunk)[0]
+    return penalty_measures(cut_lineage(found), points, series_cols)
+
+
+def segments_of_penalties(
+    filled: DataFrame, points: DataFrame, series_cols: Sequence[str], time_col: str, features: Sequence[str], penalties: Sequence[float],
+    method: str, min_size: int, jump: int, chunk: str = DEFAULT_CHUNK,
+) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Segments (series, penalty, ...) for every penalty, and a function for one penalty per series, at or above the least.
+
+    The exact search takes all penalties together. The greedy methods search once, with the least penalty: every cut has a strength, and a
+    higher penalty keeps those that are stronger.
+    """
+    if method == "pelt":
+        return detect_pelt(points, series_cols, penalties, min_size), lambda chosen: search_chosen(points, chosen, series_cols, min_size)
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}")
+    least = float(min(penalties))
+    if method == "binseg":
+        cuts, totals = binseg_cuts(points, series_cols, min_size, pen=least)
+    else:
+        cuts, totals = window_cuts(filled, series_cols, time_col, features, min_size, jump, pen=least, points=points, chunk=chunk)
+    cuts, totals = cut_lineage(cuts), cut_lineage(totals)
+    return segments_by_penalty(cuts, totals, series_cols, penalties), lambda chosen: segments_by_penalty(cuts, totals, series_cols, chosen)
 
 
-def sweep_penalties(points: DataFrame, series_cols: Sequence[str], penalties: Sequence[float], min_size: int) -> tuple[DataFrame, DataFrame]:
-    """Measures per penalty, and the segmentations they describe, from one grouped job over a change table."""
-    found = cut_lineage(detect_pelt(points, series_cols, penalties, min_size))
+def penalty_measures(found: DataFrame, points: DataFrame, series_cols: Sequence[str]) -> DataFrame:
+    """(series, penalty, n_regimes, avg_seg_len, r2_target) of segmentations, from a change table."""
     size = (F.col("__n") / F.col("n_regimes")).alias("avg_seg_len")
     counts = [F.count(F.lit(1)).cast("int").alias("n_regimes"), F.max("end_idx").alias("__n")]
     if "y_n" not in points.columns:
         out = found.groupBy(*series_cols, "penalty").agg(*counts)
-        return out.select(*series_cols, "penalty", "n_regimes", size, F.lit(None).cast("double").alias("r2_target")), found
+        return out.select(*series_cols, "penalty", "n_regimes", size, F.lit(None).cast("double").alias("r2_target"))
     side = points.select(*series_cols, "i", F.struct("y_n", "y_s", "y_q").alias("y"))
     at_start = side.select(*series_cols, F.col("i").alias("start_idx"), F.col("y").alias("__a"))
     at_end = side.select(*series_cols, F.col("i").alias("end_idx"), F.col("y").alias("__b"))
@@ -481,7 +476,7 @@ def sweep_penalties(points: DataFrame, series_cols: Sequence[str], penalties: Se
         F.sum(q).alias("__yq"))
     sst = F.col("__yq") - F.coalesce(F.try_divide(F.col("__ys") * F.col("__ys"), F.col("__yn")), F.lit(0.0))
     r2 = F.when(sst <= 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.try_divide(F.col("__sse"), sst)))
-    return out.select(*series_cols, "penalty", "n_regimes", size, r2.alias("r2_target")), found
+    return out.select(*series_cols, "penalty", "n_regimes", size, r2.alias("r2_target"))
 
 
 def pick_penalty(

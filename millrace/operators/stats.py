@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions.columns import adjusted_kurtosis, adjusted_skewness, floor_time, safe_corr, sum_of_squares
 from millrace.operators.joins import pair_features
 from millrace.operators.quality import per_column
-from millrace.operators.quantiles import average_rank, exact_quantiles
+from millrace.operators.quantiles import average_ranks, exact_quantiles
 from millrace.operators.select import numeric_columns
 
 
@@ -78,7 +78,7 @@ def regime_corr(
                  F.when(F.col(c).isNotNull(), F.col(target).cast("double")).alias("y")) for c in cols]))
     long = df.select(*regime_cols, pairs.alias("__p")).select(*regime_cols, "__p.*")
     by = [*regime_cols, "feature"]
-    ranked = average_rank(average_rank(long, by, "x", "__rx"), by, "y", "__ry")
+    ranked = average_ranks(long, by, {"x": "__rx", "y": "__ry"})
     corr = ranked.groupBy(*regime_cols).pivot("feature", list(cols)).agg(safe_corr("__rx", "__ry"))
     counts = df.groupBy(*regime_cols).agg(F.count(F.lit(1)).alias("n_samples"))
     return counts.join(corr.withColumnsRenamed({c: f"corr_{c}" for c in cols}), list(regime_cols))

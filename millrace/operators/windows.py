@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -120,6 +120,29 @@ def shift_rows(
     return out.select(*[F.col(f"__v_{c}").alias(c) if c in shifts else F.col(c) for c in df.columns])
 
 
+def shift_rows_by(
+    df: DataFrame, series_cols: Sequence[str], time_col: str, shifts: DataFrame, features: Sequence[str], *, trim: bool = False,
+    chunk: str = DEFAULT_CHUNK,
+) -> DataFrame:
+    """``shift_rows`` with a shift per series and feature, given as rows (series, feature, shift); none means 0.
+
+    Values move to the row number they belong to, in long form, and are gathered there again: two shuffles by (series, row), whatever the shifts.
+    """
+    numbered = cut_lineage(row_index(df, series_cols, time_col, name="__i", total="__n", chunk=chunk))
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("__c")
+    long = numbered.select(*series_cols, "__i", cells).select(*series_cols, "__i", "__c.feature", "__c.v")
+    moved = long.join(shifts.select(*series_cols, "feature", "shift"), [*series_cols, "feature"], "left").withColumn(
+        "__i", F.col("__i") + F.coalesce("shift", F.lit(0)))
+    wide = moved.groupBy(*series_cols, "__i").agg(
+        *[F.max(F.when(F.col("feature") == f, F.col("v"))).cast(df.schema[f].dataType).alias(f"__v_{f}") for f in features])
+    reach = shifts.groupBy(*series_cols).agg(F.greatest(F.max("shift"), F.lit(0)).alias("__back"), F.greatest(-F.min("shift"), F.lit(0)).alias("__ahead"))
+    out = numbered.join(wide, [*series_cols, "__i"], "left").join(reach, list(series_cols), "left")
+    if trim:
+        inside = (F.col("__i") >= F.coalesce("__back", F.lit(0))) & (F.col("__i") < F.col("__n") - F.coalesce("__ahead", F.lit(0)))
+        out = out.filter(inside).dropna(subset=[f"__v_{f}" for f in features])
+    return out.select(*[F.col(f"__v_{c}").alias(c) if c in features else F.col(c) for c in df.columns])
+
+
 def diff_prev(df: DataFrame, series_cols: Sequence[str], time_col: str, col: str, name: str, **options) -> DataFrame:
     return framed(df, series_cols, time_col, 1, 0, lambda w: {name: F.col(col) - F.lag(col).over(w)}, **options)
 
@@ -196,41 +219,53 @@ def savgol_matrix(width: int, poly: int) -> np.ndarray:
 
 def savgol(
     df: DataFrame, series_cols: Sequence[str], time_col: str, cols: Sequence[str], width: int = 11, poly: int = 2, *,
-    suffix: str = "_smooth", larger: bool = False, rows_per_chunk: int = DEFAULT_ROWS, chunk: str = DEFAULT_CHUNK,
+    suffix: str = "_smooth", larger: bool = False, step: str | None = None, rows_per_chunk: int = DEFAULT_ROWS, chunk: str = DEFAULT_CHUNK,
     tie_cols: Sequence[str] = (),
 ) -> DataFrame:
     """Least-squares polynomial smoothing; the ends use the fit of the first and last full window.
 
-    A series shorter than the window gets the largest odd window that it fills.
+    A series shorter than the window gets the largest odd window that it fills. The weights of a row depend on its place in its window
+    alone, so they are a table of ``width`` places, and smoothing is a sum of products over the rows around. How many of those
+    there are also tells how near the ends of the series are; with ``step``, on a regular grid, no row is numbered. A NULL among the rows gives NULL.
     """
     width = odd_window(width, larger)
+    if width == 1:
+        return df.select("*", *[F.col(c).cast("double").alias(f"{c}{suffix}") for c in cols])
+    reach, held = width - 1, {c: f"__x_{c}" for c in cols}
 
-    def compute(values: np.ndarray, positions: np.ndarray, total: int) -> np.ndarray:
-        n, own = len(values), min(width, total - 1 + total % 2)
-        half = own // 2
-        fitted = savgol_matrix(own, min(poly, own - 1))
-        out = np.full(n, np.nan)
-        if n >= own:
-            views = np.lib.stride_tricks.sliding_window_view(values, own)
-            out[half:n - half] = views @ fitted[half]
-            if positions[0] == 0:
-                out[:half] = fitted[:half] @ values[:own]
-            if positions[-1] == total - 1:
-                out[n - half:] = fitted[own - half:] @ values[n - own:]
-        return out
+    def build(w: W) -> dict[str, Column]:
+        around = w.rowsBetween(-reach, reach)
+        return {"__p": F.count(F.lit(1)).over(w.rowsBetween(-reach, -1)), "__a": F.count(F.lit(1)).over(w.rowsBetween(1, reach)),
+                **{name: F.collect_list(F.struct(F.col(c).cast("double").alias("v"))).over(around) for c, name in held.items()}}
 
-    return _per_chunk(df, series_cols, time_col, cols, width - 1, width - 1, compute, suffix, rows_per_chunk, chunk, tie_cols)
+    out = framed(df, series_cols, time_col, reach, reach, build, step=step, tie_cols=tie_cols, chunk=chunk, rows_per_chunk=rows_per_chunk)
+    there = F.col("__p") + F.col("__a") + 1  # all of a series that is shorter than the window
+    own = F.when(there >= width, width).otherwise(there - 1 + there % 2)
+    half = F.floor(own / 2)
+    place = F.when(F.col("__p") < half, F.col("__p")).when(F.col("__a") < half, own - 1 - F.col("__a")).otherwise(half)
+    # as many rows as a window has places, for each odd size up to the window's
+    weights = [(size, k, [float(x) for x in row]) for size in range(1, width + 1, 2) for k, row in enumerate(savgol_matrix(size, min(poly, size - 1)))]
+    table = df.sparkSession.createDataFrame(weights, "__own int, __k int, __weights array<double>")
+    placed = out.withColumns({"__own": own.cast("int"), "__k": place.cast("int")}).join(F.broadcast(table), ["__own", "__k"])
+
+    def smooth(name: str) -> Column:
+        used = F.slice(F.col(name), (F.col("__p") - F.col("__k") + 1).cast("int"), F.col("__own"))
+        return F.aggregate(F.zip_with(used, "__weights", lambda x, y: x["v"] * y), F.lit(0.0), lambda total, x: total + x)
+
+    return placed.select(*df.columns, *[smooth(name).alias(f"{c}{suffix}") for c, name in held.items()])
 
 
 def lowess(
     df: DataFrame, series_cols: Sequence[str], time_col: str, col: str, frac: float = 0.3, *, iterations: int = 3,
-    suffix: str = "_lowess", block: int = 4096, chunk: str = DEFAULT_CHUNK, tie_cols: Sequence[str] = (),
+    suffix: str = "_lowess", block: int = 1024, chunk: str = DEFAULT_CHUNK, tie_cols: Sequence[str] = (),
 ) -> DataFrame:
     """Local linear regression over the ``frac`` nearest rows with tricube weights and robustness rounds.
 
-    A fit may span a large part of the series, so it is never gathered: rows are sent to the blocks of fits that need
-    them, every (fit block, row block) pair yields partial weighted sums, and the sums are added per row. NULL rows
-    are left out, as if absent.
+    A fit may span a large part of the series, so it is never gathered. A tricube weight is a polynomial in the distance on
+    either side of a row, so all rows of a block that lies wholly on one side, inside the neighbourhoods of all fits of another block, enter
+    through their moments; only blocks at the borders of the neighbourhoods, and the block of the fits itself, are sent there row by
+    row: some eight blocks, whatever the length. Moments are summed along the series within stretches of half a neighbourhood, which keeps
+    them small, so a stretch of any length takes two of them. NULL rows are left out, as if absent.
     """
     base = df.filter(F.col(col).isNotNull())
     points = cut_lineage(row_index(base, series_cols, time_col, tie_cols=tie_cols, name="__i", total="__n", chunk=chunk)
@@ -252,50 +287,145 @@ def lowess(
     return points.join(fitted, [*series_cols, "__i"]).select(*df.columns, F.col("__fit").alias(name))
 
 
+#: Powers of the distance: 9 of the tricube weight and 2 of the regression.
+POWERS = 12
+FIT_SUMS = ["__s0", "__s1", "__s2", "__t0", "__t1"]
+
+
+def neighbourhood_start(i, n: int, k: int):
+    """First of the ``k`` rows nearest to row ``i`` of ``n``; of two equally far the earlier one belongs."""
+    return np.clip(i - k // 2, 0, n - k)
+
+
+def _needed_blocks(n: int, k: int, block: int, half: int) -> list[tuple[int, int, int, int]]:
+    """(fit block, row block, sign, kind) for one series: rows of border blocks (kind 0) and moments summed up to a block (kind 1, with the sign)."""
+    found = []
+    last = (n - 1) // block
+    for t in range(last + 1):
+        low, high = (int(neighbourhood_start(x, n, k)) for x in (t * block, min(n, (t + 1) * block) - 1))
+        # blocks wholly between the farthest start and the fits, and between the fits and the nearest end
+        sides = ((-(-high // block), t), (t + 1, (low + k) // block))
+        border = set(range(low // block, (high + k - 1) // block + 1))
+        for a, b in sides:
+            if b - a < 2:
+                continue
+            border -= set(range(a, b))
+            # pieces within stretches of `half` rows
+            while a < b:
+                stretch = a * block // half
+                upto = min(b, -(-(stretch + 1) * half // block))
+                found.append((t, upto - 1, 1, 1))
+                if (a - 1) * block // half == stretch and a:
+                    found.append((t, a - 1, -1, 1))
+                a = upto
+        found += [(t, s, 1, 0) for s in sorted(border)]
+    return found
+
+
 def _local_fits(points: DataFrame, series_cols: Sequence[str], col: str, frac: float, block: int) -> DataFrame:
-    nearest = F.greatest(F.floor(F.col("__n") * F.lit(frac) + F.lit(1e-10)), F.lit(2)).cast("long")
-    placed = points.select(*series_cols, "__i", "__n", "__w", F.col(col).cast("double").alias("__y")).withColumn("__k", nearest)
-    reach = F.col("__k")
-    first = F.greatest(F.floor((F.col("__i") - reach) / block), F.lit(0)).cast("long")
-    last = F.least(F.floor((F.col("__i") + reach) / block), F.floor((F.col("__n") - 1) / block)).cast("long")
-    spread = placed.withColumn("__target", F.explode(F.sequence(first, last))).withColumn(
-        "__source", F.floor(F.col("__i") / block).cast("long"))
+    nearest = F.least(F.greatest(F.floor(F.col("__n") * F.lit(frac) + F.lit(1e-10)), F.lit(2)), F.greatest("__n", F.lit(2))).cast("long")
+    own_block = F.floor(F.col("__i") / block).cast("long")
+    placed = points.select(*series_cols, "__i", "__n", "__w", F.col(col).cast("double").alias("__y")).withColumns(
+        {"__k": nearest, "__source": own_block})
+    half = F.greatest(F.floor(F.col("__k") / 2), F.lit(block)).cast("long")
     key_fields = [f for f in points.schema.fields if f.name in series_cols]
-    sums = ["__s0", "__s1", "__s2", "__t0", "__t1"]
-    schema = T.StructType(key_fields + [T.StructField("__i", T.LongType())] + [T.StructField(s, T.DoubleType()) for s in sums])
-
-    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        total, k = int(pdf["__n"].iloc[0]), int(pdf["__k"].iloc[0])
-        target = int(pdf["__target"].iloc[0])
+    wide = T.StructType(key_fields + [T.StructField("__i", T.LongType())] + [T.StructField(s, T.DoubleType()) for s in FIT_SUMS])
+    names = wide.fieldNames()
+
+    # which blocks meet, from a row per series
+    plan_schema = T.StructType(key_fields + [T.StructField(c, T.LongType()) for c in ("__target", "__source", "__sign", "__kind", "__n", "__k", "__half")])
+
+    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                rows = _needed_blocks(int(row["__n"]), int(row["__k"]), block, int(row["__half"]))
+                for at in range(0, len(rows), 50_000):
+                    out = pd.DataFrame(rows[at:at + 50_000], columns=["__target", "__source", "__sign", "__kind"])
+                    for c in [*series_cols, "__n", "__k", "__half"]:
+                        out[c] = row[c]
+                    yield out[plan_schema.fieldNames()]
+
+    series = placed.groupBy(*series_cols).agg(F.max("__n").alias("__n"), F.max("__k").alias("__k")).filter(F.col("__n") > 0)
+    needs = cut_lineage(series.withColumn("__half", half).mapInPandas(plan, plan_schema))
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Rows of a border block, one by one."""
+        total, k, target = (int(pdf[c].iloc[0]) for c in ("__n", "__k", "__target"))
         rows = np.arange(target * block, min(total, (target + 1) * block))
         source, y, robust = pdf["__i"].to_numpy(), pdf["__y"].to_numpy(), pdf["__w"].to_numpy()
-        acc = np.zeros((len(sums), len(rows)))
+        acc = np.zeros((len(FIT_SUMS), len(rows)))
         for begin in range(0, len(rows), 512):
             part = rows[begin:begin + 512]
-            left = np.clip(part - (k - 1) // 2, 0, total - k)
-            if k % 2 == 0:  # the k-th neighbour is equally far on both sides; take the earlier one
-                left = np.clip(part - k // 2, 0, total - k)
+            left = neighbourhood_start(part, total, k)
             far = np.maximum(part - left, left + k - 1 - part)
             d = source[None, :] - part[:, None]
-            near = (source[None, :] >= left[:, None]) & (source[None, :] <= (left + k - 1)[:, None])
+            inside = (source[None, :] >= left[:, None]) & (source[None, :] <= (left + k - 1)[:, None])
             share = np.abs(d) / np.maximum(far, 1)[:, None]
             # the usual cut-offs: full weight very near, none at the edge of the neighbourhood
             tri = np.where(share <= 0.001, 1.0, np.where(share < 0.999, (1 - np.minimum(share, 1) ** 3) ** 3, 0.0))
-            w = np.where(near, tri, 0.0) * robust[None, :]
+            w = np.where(inside, tri, 0.0) * robust[None, :]
             acc[0, begin:begin + 512] = w.sum(1)
             acc[1, begin:begin + 512] = (w * d).sum(1)
             acc[2, begin:begin + 512] = (w * d * d).sum(1)
             acc[3, begin:begin + 512] = (w * y[None, :]).sum(1)
             acc[4, begin:begin + 512] = (w * d * y[None, :]).sum(1)
-        out = pd.DataFrame({s: acc[j] for j, s in enumerate(sums)})
+        return _fit_rows(pdf, rows, acc)
+
+    def far_off(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Moments of whole blocks on either side."""
+        total, k, target, half = (int(pdf[c].iloc[0]) for c in ("__n", "__k", "__target", "__half"))
+        rows = np.arange(target * block, min(total, (target + 1) * block))
+        middle = target * block + block / 2
+        acc = np.zeros((len(FIT_SUMS), len(rows)))
+        far = np.maximum(rows - neighbourhood_start(rows, total, k), neighbourhood_start(rows, total, k) + k - 1 - rows).astype(float)
+        before = (pdf["__source"] < target).to_numpy()
+        for side, mine in ((-1.0, before), (1.0, ~before)):
+            if not mine.any():
+                continue
+            sums = np.zeros((2, POWERS))  # about the middle of the fits, in units of `half`
+            for r in pdf[mine].to_dict("records"):
+                shift = (r["_stretch"] * half - middle) / half
+                for q, kind in enumerate(("a", "b")):
+                    own = np.array([r[f"_{kind}{m}"] for m in range(POWERS)])
+                    for m in range(POWERS):
+                        sums[q, m] += r["__sign"] * sum(math.comb(m, j) * own[j] * shift ** (m - j) for j in range(m + 1))
+            # about each fit, in units of its own reach
+            step, unit = (middle - rows) / half, half / far
+            about = np.zeros((2, POWERS, len(rows)))
+            for m in range(POWERS):
+                about[:, m] = sum(math.comb(m, j) * sums[:, j][:, None] * step[None, :] ** (m - j) for j in range(m + 1)) * unit ** m
+            for p in range(3):
+                for q in range(2 if p < 2 else 1):
+                    value = sum(c * side ** m * about[q, m + p] for m, c in ((0, 1), (3, -3), (6, 3), (9, -1))) * far ** p
+                    acc[(3 if q else 0) + p] += value
+        return _fit_rows(pdf, rows, acc)
+
+    def _fit_rows(pdf: pd.DataFrame, rows: np.ndarray, acc: np.ndarray) -> pd.DataFrame:
+        out = pd.DataFrame({s: acc[j] for j, s in enumerate(FIT_SUMS)})
         out.insert(0, "__i", rows)
         for c in series_cols:
             out[c] = pdf[c].iloc[0]
-        return out[[f.name for f in schema.fields]]
-
-    parts = spread.groupBy(*series_cols, "__target", "__source").applyInPandas(partial, schema)
-    s = parts.groupBy(*series_cols, "__i").agg(*[F.sum(x).alias(x) for x in sums])
-    s0, s1, s2, t0, t1 = (F.col(x) for x in sums)
+        return out[names]
+
+    by_row = placed.join(needs.filter("__kind = 0").select(*series_cols, "__source", "__target"), [*series_cols, "__source"])
+    parts = by_row.groupBy(*series_cols, "__target", "__source").applyInPandas(near, wide)
+    whole = needs.filter("__kind = 1")
+    if not whole.isEmpty():
+        # moments of each block about the start of its stretch, summed along the stretch
+        stretch = F.floor(F.col("__source") * block / half).cast("long")
+        u = (F.col("__i") - stretch * half) / half
+        powers = [F.lit(1.0), u]
+        for _ in range(POWERS - 2):
+            powers.append(powers[-1] * u)
+        moments = placed.groupBy(*series_cols, "__source", stretch.alias("_stretch")).agg(
+            *[F.sum(F.col("__w") * x).alias(f"_a{m}") for m, x in enumerate(powers)],
+            *[F.sum(F.col("__w") * F.col("__y") * x).alias(f"_b{m}") for m, x in enumerate(powers)])
+        along = W.partitionBy(*series_cols, "_stretch").orderBy("__source").rowsBetween(W.unboundedPreceding, 0)
+        summed = moments.select(*series_cols, "__source", "_stretch", *[F.sum(f"_{q}{m}").over(along).alias(f"_{q}{m}") for q in "ab" for m in range(POWERS)])
+        asked = whole.drop("__kind").join(summed, [*series_cols, "__source"])
+        parts = parts.unionByName(asked.groupBy(*series_cols, "__target").applyInPandas(far_off, wide))
+    s = parts.groupBy(*series_cols, "__i").agg(*[F.sum(x).alias(x) for x in FIT_SUMS])
+    s0, s1, s2, t0, t1 = (F.col(x) for x in FIT_SUMS)
     spread_x = s2 - F.try_divide(s1 * s1, s0)
     slope = F.when(spread_x > 1e-12, F.try_divide(t1 - F.try_divide(s1 * t0, s0), spread_x))
     mean_x, mean_y = F.try_divide(s1, s0), F.try_divide(t0, s0)

@@ -11,6 +11,7 @@ from millrace.operators import quantiles as K
 from millrace.operators import windows as V
 from millrace.operators.chunks import prefix_sums as prefix_sums_of
 from millrace.operators.chunks import row_index as number_rows
+from millrace.plans.catalogue import recursion as S
 from millrace.plans.catalogue.base import FU, GU, HU, TYPES, W, R, events, hourly_by_user, query, wide
 
 USER = ["user_id"]
@@ -98,7 +99,7 @@ def _savgol_sql(width: int = 11, poly: int = 2) -> str:
 @query(_savgol_sql())
 def savgol(spark, d):
     """Parabola over 11 rows; every user's grid is longer than the window."""
-    return V.savgol(filled(spark, d), USER, "ts", ["value"], 11, 2).select("user_id", "ts", F.col("value_smooth").alias("smooth"))
+    return V.savgol(filled(spark, d), USER, "ts", ["value"], 11, 2, **STEP).select("user_id", "ts", F.col("value_smooth").alias("smooth"))
 
 
 @query()
@@ -166,7 +167,8 @@ def local_maxima(spark, d):
     return P.local_maxima(numbered, USER, "row_index", "value")
 
 
-@query()
+@query(f"WITH RECURSIVE {FU}, v0 AS (SELECT user_id, i, value AS v FROM fu), {S.tops('v0', 'user_id')}, t2 AS (SELECT * FROM tp WHERE v >= 30), "
+       f"{S.thinned('t2', 'user_id', 15)} SELECT user_id, i AS row_index, {R('v')} AS value FROM th")
 def find_peaks(spark, d):
     """Peaks of at least 30, at least 15 rows apart, the higher ones first."""
     numbered = number_rows(filled(spark, d), USER, "ts")

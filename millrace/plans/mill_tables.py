@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,7 +13,8 @@ from millrace.operators.chunks import CHUNK, DEFAULT_CHUNK
 from millrace.operators.grid import chunk_first, fill_gaps, resample_mean, resample_median, shift_time
 from millrace.operators.joins import join_tag_dim, semi_new_rows
 from millrace.operators.select import filter_bounds, filter_time_range, select_existing
-from millrace.sources.sinks import path_has_data, stored_max, write_replace
+from millrace.session import kept_table
+from millrace.sources.sinks import MONTH, append_marks, path_has_data, stored_limits, with_month
 
 TIME_SHIFT = "2 hours"
 OVERLAP = "6 hours"
@@ -71,22 +72,39 @@ def build_mill_table(
     return align_mills(compose_features(log, dim, mills, **options), mills, features)
 
 
+def log_since(log: DataFrame, tag_dim: DataFrame, limits: Mapping[str, object], overlap: str) -> DataFrame:
+    """Rows of the log that the mills in ``limits`` (mill to stored maximum) may need: per tag those since its mills' oldest maximum minus ``overlap``.
+
+    A condition for each group of tags with one bound reaches the scan, so a mill that has stopped does not widen what is read for the tags of others.
+    """
+    dim = tag_dim.filter(F.col("mill").isin(list(limits))).select("mill", "tag_id").distinct().collect()  # tags times mills
+    bounds: dict[int, object] = {}
+    for row in dim:
+        since = limits[row["mill"]] - pd.Timedelta(overlap).to_pytimedelta()
+        bounds[row["tag_id"]] = min(since, bounds.get(row["tag_id"], since))
+    wanted = F.lit(False)
+    for since in sorted(set(bounds.values())):
+        wanted = wanted | (F.col("tag_id").isin([t for t, own in bounds.items() if own == since]) & (F.col("ts") > F.lit(since)))
+    return log.filter(wanted)
+
+
 def new_mill_rows(
     log: DataFrame, tag_dim: DataFrame, stored: DataFrame | None, *, mills: Sequence[str], features: Sequence[str],
     overlap: str = OVERLAP, **options,
 ) -> DataFrame:
-    """Rows to append: built from the log since the oldest stored maximum minus ``overlap``, newer than their mill's.
+    """Rows to append: built from the log since each mill's stored maximum minus ``overlap``, newer than that maximum.
 
     ``stored`` is the table of maxima per mill (mill, max_ts) or None. The overlap must cover the clock offset and the
-    longest gap that filling bridges; rows not newer than the maximum are discarded.
+    longest gap that filling bridges; rows not newer than the maximum are discarded. Mills with one maximum are built together.
     """
     if stored is None:
         return build_mill_table(log, tag_dim, mills=mills, features=features, **options)
     known = {r["mill"]: r["max_ts"] for r in stored.filter(F.col("mill").isin(list(mills))).collect()}  # a row per mill asked for
+    dim = tag_dim.filter(F.col("feature").isin(list(features)))
     new = [m for m in mills if m not in known]
     parts = []
     if known:
-        recent = log.filter(F.col("ts") > F.lit(min(known.values()) - pd.Timedelta(overlap).to_pytimedelta()))
+        recent = log_since(log, dim, known, overlap)
         parts.append(build_mill_table(recent, tag_dim, mills=[m for m in mills if m in known], features=features, **options))
     if new:  # mills without stored rows are built from the whole log, the others are not
         parts.append(build_mill_table(log, tag_dim, mills=new, features=features, **options))
@@ -95,15 +113,22 @@ def new_mill_rows(
 
 
 def incremental_load(log: DataFrame, tag_dim: DataFrame, path: str, *, mills: Sequence[str], features: Sequence[str], **options) -> None:
-    """Bring the mill table at ``path`` up to date: full build when absent or empty, else append what is newer."""
+    """Bring the mill table at ``path`` up to date: full build when absent or empty, else append what is newer.
+
+    The table is partitioned by mill and month, and each run notes the maxima of what it wrote, so a later run reads
+    neither old months of the table nor, for a mill that goes on, what another one's pause would need.
+    """
     spark = log.sparkSession
-    if not path_has_data(spark, path):
-        write_replace(build_mill_table(log, tag_dim, mills=mills, features=features,
-                                       **{k: v for k, v in options.items() if k != "overlap"}), path)
-        return
-    limits = stored_max(spark.read.parquet(path), ["mill"], "ts")
-    fresh = new_mill_rows(log, tag_dim, limits, mills=mills, features=features, **options)
-    fresh.write.mode("append").partitionBy("mill").parquet(path)
+    there = path_has_data(spark, path)
+    if there:
+        by_month = MONTH in spark.read.parquet(path).columns
+        fresh = new_mill_rows(log, tag_dim, stored_limits(spark, path, ["mill"], "ts"), mills=mills, features=features, **options)
+    else:
+        by_month = True
+        fresh = build_mill_table(log, tag_dim, mills=mills, features=features, **{k: v for k, v in options.items() if k != "overlap"})
+    fresh = kept_table(with_month(fresh, "ts") if by_month else fresh)
+    fresh.write.mode("append" if there else "overwrite").partitionBy("mill", *([MONTH] if by_month else [])).parquet(path)
+    append_marks(fresh, path, ["mill"], "ts")
 
 
 def load_clean(

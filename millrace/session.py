@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,3 +62,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably so that loops and reused inputs are not recomputed."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def kept_table(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back; with ``partition_by`` a filter reads only its folders."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

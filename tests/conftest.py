@@ -13,7 +13,7 @@ os.environ.setdefault("PYARROW_IGNORE_TIMEZONE", "1")
 
 def make_spark() -> SparkSession:
     spark = build_session(
-        "millrace-tests", master="local[8]", **{
+        "millrace-tests", master=f"local[{os.environ.get('TEST_CPUS', '8')}]", **{
             "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="run-"),
             "spark.sql.streaming.stateStore.providerClass":

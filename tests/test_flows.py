@@ -1,5 +1,6 @@
 """Mill tables, increments, shift reports, sinks and streams."""
 
+import re
 from datetime import timedelta
 
 import numpy as np
@@ -86,6 +87,50 @@ def test_increments_equal_one_build(spark, tmp_path):
     np.testing.assert_allclose(got[FEATURES], want[FEATURES], rtol=1e-9)
 
 
+def test_increments_do_not_read_old_months(spark, tmp_path):
+    """A mill that stopped in May does not widen what is read of the others, and months before a mark are not read at all."""
+    log = sensor_log(60)
+    old = log.copy()
+    old["ts"] = old["ts"] - pd.Timedelta("31 days")
+    stopped = set(dim(spark).filter("mill = 'Mill02' AND feature <> 'FE'").toPandas()["tag_id"])
+    whole = pd.concat([old, log[~log["tag_id"].isin(stopped)]])
+    path, settings = tmp_path / "mills", {"mills": MILLS, "features": FEATURES}
+    df = spark.createDataFrame(whole).repartition(4)
+    MT.incremental_load(df.filter("ts < '2024-06-01 20:00:00'"), dim(spark), str(path), **settings)
+    limits = {r["mill"]: r["max_ts"] for r in sinks.stored_limits(spark, str(path), ["mill"], "ts").collect()}
+    assert limits == {r["mill"]: r["m"] for r in spark.read.parquet(str(path)).groupBy("mill").agg(F.max("ts").alias("m")).collect()}
+    months = {m.name for m in (path / "mill=Mill01").iterdir()}
+    assert "month=2024-06" in months and len(months) > 1
+    stored = spark.read.parquet(str(path))
+    beyond = sinks.stored_since(stored, sinks.known_marks(spark, str(path), ["mill"]), ["mill"], "ts")
+    assert beyond.count() == 0
+    scan = next(x for x in beyond._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan parquet" in x)
+    filters = scan[scan.index("PartitionFilters"):]
+    # each mill from the month of its own mark on: the one that stopped in May does not open May for the other
+    assert re.search(r"mill#\d+ <=> Mill01\) AND \(month#\d+ >= 2024-06", filters) and re.search(r"mill#\d+ <=> Mill02\) AND \(month#\d+ >= 2024-05", filters)
+    MT.incremental_load(df, dim(spark), str(path), **settings)
+    got = spark.read.parquet(str(path)).filter("mill = 'Mill01' AND month = '2024-06'").toPandas()
+    assert got["ts"].max() > pd.Timestamp("2024-06-02") and not got.duplicated("ts").any()
+    since = MT.log_since(df, dim(spark), {"Mill01": pd.Timestamp("2024-06-02"), "Mill02": pd.Timestamp("2024-05-01")}, "6 hours")
+    shared = {r["tag_id"] for r in dim(spark).filter("feature = 'FE'").collect()}
+    assert {r["tag_id"] for r in since.filter("ts < '2024-06-01 12:00:00'").select("tag_id").distinct().collect()} <= stopped | shared
+
+
+def test_a_run_that_did_not_note_its_marks(spark, tmp_path):
+    rows = [("a", "2024-05-30 10:00:00", 1), ("b", "2024-06-01 00:00:00", 2)]
+    table = lambda rows: spark.createDataFrame(rows, "mill string, ts string, v int").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = str(tmp_path / "t")
+    sinks.write_append_new(table(rows), path, ["mill"], "ts")
+    # rows beyond the marks, and a series that has none
+    table([("a", "2024-05-31 10:00:00", 3), ("c", "2024-01-01 00:00:00", 4)]).write.mode("append").partitionBy("mill").parquet(path)
+    sinks.write_append_new(table([("a", "2024-05-31 10:00:00", 5), ("a", "2024-05-31 11:00:00", 6), ("c", "2023-12-31 00:00:00", 7), ("c", "2024-01-02 00:00:00", 8),
+                            ("b", "2024-06-01 00:00:00", 9), ("d", "2020-01-01 00:00:00", 10)]), path, ["mill"], "ts")
+    assert sorted(r["v"] for r in spark.read.parquet(path).collect()) == [1, 2, 3, 4, 6, 8, 10]
+    sinks.write_append_new(table(rows), path, ["mill"], "ts")
+    assert spark.read.parquet(path).count() == 7
+    assert not sinks.path_has_data(spark, str(tmp_path / "nowhere")) and not sinks.path_has_data(spark, str(tmp_path))
+
+
 def test_one_sample_per_time_of_a_feature(spark):
     rows = [("2024-06-01 00:00:10", 1, 5.0), ("2024-06-01 00:00:10", 2, 7.0), ("2024-06-01 00:00:40", 1, 6.0), ("2024-06-01 00:01:20", 2, 9.0)]
     log = spark.createDataFrame(rows, "ts string, tag_id int, value double").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -216,3 +261,48 @@ def test_stream_fill_across_batches(spark, tmp_path):
         filled.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
     got = {r["seq"]: r["value"] for r in spark.read.parquet(out).collect()}
     assert got == {1: 5.0, 2: 5.0, 3: None, 4: 5.0, 5: 7.0, 6: 7.0, 7: 1.0, 8: 1.0, 9: 7.0}
+
+
+def test_stream_fill_in_time_order(spark, tmp_path):
+    """Rows leave when the watermark has passed them: out of order within a batch and across batches, a backlog at once, and rows that are too late."""
+    schema = "tag string, ts timestamp, seq bigint, value double"
+    rng = np.random.default_rng(5)
+    rows = []
+    for tag in ("a", "b"):
+        for i in range(240):  # one every ten seconds
+            rows.append((tag, D0 + timedelta(seconds=10 * i), len(rows), None if rng.random() < 0.7 else float(i)))
+    moved = [rows[i] for i in sorted(range(len(rows)), key=lambda i: rows[i][1] + timedelta(seconds=float(rng.uniform(0, 150))))]
+    end = max(r[1] for r in rows)
+
+    def run(name, batches, **options):
+        source, out, mark = (str(tmp_path / f"{name}-{n}") for n in ("in", "out", "mark"))
+        for batch in batches:
+            spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+            filled = streams.stream_step_fill(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), ["tag"], late="3 minutes", **options)
+            filled.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(out).toPandas()
+
+    whole = pd.DataFrame(rows, columns=["tag", "ts", "seq", "value"]).sort_values(["tag", "ts"])
+    whole["value"] = whole.groupby("tag")["value"].ffill()
+    due = whole[whole["ts"] < pd.Timestamp(end - timedelta(minutes=3)).floor("1min")]
+    stale = [("a", D0 - timedelta(hours=1), 9001, 77.0), ("b", D0, 9002, 88.0)]
+    thirds = [moved[:160], moved[160:320], moved[320:], [*stale, ("c", end, 9003, 1.0)]]
+    for name, batches in (("one", [moved, [("c", end, 9003, 1.0)]]), ("many", thirds)):
+        got = run(name, batches).sort_values(["tag", "ts"]).reset_index(drop=True)
+        assert list(got["seq"]) == list(due["seq"])
+        np.testing.assert_allclose(got["value"].to_numpy(dtype=float), due["value"].to_numpy(dtype=float))
+    with pytest.raises(ValueError, match="late or ttl"):
+        streams.stream_step_fill(spark.createDataFrame(rows[:1], schema), ["tag"], ttl_ms=5, late="1 minute")
+
+
+def test_a_replayed_batch_leaves_no_late_rows(spark, tmp_path):
+    path, late = str(tmp_path / "out"), str(tmp_path / "late")
+    write = streams.insert_only_newer(path, late, ["tag"], "ts")
+    schema = "tag string, ts timestamp, value double"
+    first = spark.createDataFrame([("a", D0, 1.0), ("b", D0 + timedelta(hours=2), None)], schema)
+    second = spark.createDataFrame([("a", D0 + timedelta(hours=1), 2.0), ("b", D0 + timedelta(hours=1), 3.0), ("a", D0 - timedelta(hours=3), 4.0)], schema)
+    write(first, 0)
+    for _ in range(2):
+        write(second, 1)
+    assert sorted(str(r["value"]) for r in spark.read.parquet(path).collect()) == ["1.0", "2.0", "None"]
+    assert {r["value"] for r in spark.read.parquet(late).collect()} == {3.0, 4.0}

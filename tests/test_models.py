@@ -89,6 +89,28 @@ def test_planted_lag(spark, planted, step):
     assert aligned.select(F.corr("x", "y")).first()[0] > 0.9
 
 
+def test_a_lag_per_series(spark):
+    rng = np.random.default_rng(14)
+    parts, want = [], {}
+    for k, planted, n in (("p", 3, 300), ("q", 9, 260), ("r", -4, 280)):
+        x, z = rng.normal(0, 1, n), rng.normal(0, 1, n)
+        y = np.roll(x, planted) + np.roll(z, -2) + rng.normal(0, 0.1, n)
+        own = pd.DataFrame({"k": k, "ts": T0 + pd.to_timedelta(np.arange(n), unit="min"), "x": x, "z": z, "y": y, "note": np.arange(n)})
+        parts.append(own)
+        moved = own.assign(x=own["x"].shift(planted), z=own["z"].shift(-2))
+        want[k] = moved.iloc[max(planted, 0):n - max(2, -planted)]
+    df = spark.createDataFrame(pd.concat(parts)).repartition(6)
+    out = L.align_by_best_lag(df, "ts", "y", ["x", "z"], series_cols=["k"], max_lag=15, chunk="40 minutes")
+    assert out.columns == df.columns
+    got = out.toPandas().sort_values(["k", "ts"])
+    for k, own in want.items():
+        mine = got[got["k"] == k]
+        assert list(mine["note"]) == list(own["note"])
+        np.testing.assert_allclose(mine[["x", "z", "y"]].to_numpy(), own[["x", "z", "y"]].to_numpy())
+        alone = L.align_by_best_lag(df.filter(F.col("k") == k), "ts", "y", ["x", "z"], max_lag=15, chunk="40 minutes").toPandas().sort_values("ts")
+        np.testing.assert_allclose(mine[["x", "z", "y"]].to_numpy(), alone[["x", "z", "y"]].to_numpy())
+
+
 def test_ccf_with_gaps_matches_pandas(spark):
     rng = np.random.default_rng(9)
     n = 300

@@ -9,7 +9,7 @@ from millrace.operators import binning as B
 from millrace.operators import quality as Q
 from millrace.operators import stats as S
 from millrace.operators.dedup import top_k
-from millrace.operators.quantiles import average_rank, exact_quantiles, grouped_quantile, order_statistics
+from millrace.operators.quantiles import average_rank, average_ranks, cumulative_counts, exact_quantiles, grouped_quantile, order_statistics
 
 
 def values(kind, n=3000):
@@ -102,7 +102,7 @@ def test_rank_of_a_large_group(spark):
     pdf = pd.DataFrame({"g": np.where(np.arange(len(v)) % 5 == 0, "b", "a"), "i": np.arange(len(v)), "v": v})
     df = spark.createDataFrame(pdf).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
     for by in (["g"], []):
-        got = average_rank(df, by, "v", "r", per_piece=4).toPandas().sort_values("i")["r"].to_numpy(dtype=float)
+        got = average_rank(df, by, "v", "r", pieces=5).toPandas().sort_values("i")["r"].to_numpy(dtype=float)
         want = (pdf.groupby("g")["v"].rank() if by else pdf["v"].rank()).to_numpy()
         np.testing.assert_allclose(got, want)
 
@@ -113,7 +113,7 @@ def test_quantile_per_group(spark, kind):
     pdf = pd.DataFrame({"g": np.where(np.arange(len(v)) % 6 == 0, "b", "a"), "v": v})
     df = spark.createDataFrame(pdf).repartition(5)
     for prob in (0.0, 0.3, 0.5, 1.0):
-        got = {r["g"]: r["q"] for r in grouped_quantile(df, ["g"], "v", prob, "q", per_piece=9).collect()}
+        got = {r["g"]: r["q"] for r in grouped_quantile(df, ["g"], "v", prob, "q", pieces=7).collect()}
         assert got == pytest.approx(pdf.groupby("g")["v"].quantile(prob).to_dict(), rel=1e-12)
     assert grouped_quantile(df, [], "v", 0.5, "q").first()[0] == pytest.approx(np.median(v))
 
@@ -139,3 +139,24 @@ def test_histogram_edges(spark):
     assert list(h["n"]) == list(np.histogram([0, 1, 2, 3, 10, 10], bins=5)[0])
     assert Q.histogram(df.filter("v > 100"), "v").count() == 0
     assert Q.histogram(df.filter("v = 10"), "v", 3).agg(F.sum("n")).first()[0] == 2
+
+
+def test_ranges_stay_even_with_a_heavy_tail(spark):
+    """One value at 1e12 does not empty the ranges of all others, and a group of most rows is spread over many."""
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({"g": np.where(rng.random(4000) < 0.9, "hot", "cold"), "v": rng.normal(0, 1, 4000), "w": rng.integers(0, 40, 4000).astype(float)})
+    pdf.loc[17, "v"], pdf.loc[18, "v"] = 1e12, -1e300
+    df = spark.createDataFrame(pdf).repartition(4)
+    table = cumulative_counts(df, ["g"], "v", pieces=16)
+    assert table.filter("g = 'hot'").count() == pdf[pdf["g"] == "hot"]["v"].nunique()
+    counts = df.groupBy("g", "v").count().repartitionByRange(16, "g", "v").groupBy(F.spark_partition_id()).count().collect()
+    assert len(counts) == 16 and max(r["count"] for r in counts) < 3 * 4000 / 16
+    both = average_ranks(df, ["g"], {"v": "rv", "w": "rw"}, pieces=9).toPandas()
+    for c in ("v", "w"):
+        np.testing.assert_allclose(both[f"r{c}"], both.groupby("g")[c].rank())
+
+
+def test_spearman_takes_few_exchanges(spark):
+    pdf = pd.DataFrame({"regime": [0] * 30 + [1] * 30, "a": np.arange(60.0), "y": np.tile(np.arange(30.0), 2)})
+    plan = S.regime_corr(spark.createDataFrame(pdf), "y", ["a"], "spearman")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") <= 8

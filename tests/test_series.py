@@ -101,6 +101,16 @@ def test_savgol(spark, rows):
         np.testing.assert_allclose(g["v_smooth"].to_numpy(dtype=float), [*np.polyval(first, np.arange(5)), *np.polyval(last, np.arange(4, 9))], rtol=1e-8)
 
 
+def test_savgol_on_a_grid_needs_no_python_and_one_exchange(spark):
+    pdf = sample(300, 0.0)
+    df = frame(spark, pdf[pdf["k"] != "one"])
+    by_step = V.savgol(df, ["k"], "ts", ["v"], 11, 2, step="1 minute", chunk="1 hour")
+    got, want = back(by_step), back(V.savgol(df, ["k"], "ts", ["v"], 11, 2, rows_per_chunk=50))
+    np.testing.assert_allclose(got["v_smooth"], want["v_smooth"], rtol=1e-12)
+    plan = by_step._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def direct_lowess(y, frac, iterations):
     n, x = len(y), np.arange(len(y), dtype=float)
     k = max(int(frac * n + 1e-10), 2)
@@ -134,6 +144,26 @@ def test_lowess(spark, block, iterations):
     np.testing.assert_allclose(got["v_lowess"], want, rtol=1e-7)
 
 
+@pytest.mark.parametrize(("frac", "block"), [(0.3, 16), (0.05, 16), (0.9, 50), (0.31, 333)])
+def test_lowess_by_moments(spark, frac, block):
+    rng = np.random.default_rng(2)
+    parts = [pd.DataFrame({"k": k, "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(n), unit="min"),
+                           "v": 1000 * level + 50 * np.sin(np.arange(n) / 90) + rng.normal(0, 3, n) + 400 * (rng.random(n) < 0.02)})
+             for k, n, level in (("a", 1500, 1), ("b", 700, -3), ("c", 17, 0))]
+    pdf = pd.concat(parts)
+    got = back(V.lowess(frame(spark, pdf), ["k"], "ts", "v", frac, iterations=2, block=block, chunk="3 hours"))
+    want = np.concatenate([direct_lowess(g["v"].to_numpy(), frac, 2) for _, g in pdf.groupby("k", sort=True)])
+    np.testing.assert_allclose(got["v_lowess"], want, rtol=1e-6, atol=1e-6)
+
+
+def test_lowess_sends_each_row_to_few_blocks():
+    n, block = 1_000_000, 1024
+    for k in (3 * block, n // 10, n // 3):
+        needs = V._needed_blocks(n, k, block, max(k // 2, block))
+        assert len(needs) <= 20 * (n / block + 1)
+        assert len({(t, s) for t, s, _, kind in needs if kind == 0}) <= 8 * (n / block + 1)
+
+
 def test_row_index_and_prefix_sums(spark):
     pdf = sample(irregular=True)
     for chunk in CHUNKS:
