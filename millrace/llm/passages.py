@@ -36,6 +36,8 @@ SHINGLE = 5
 REACH = 60
 #: Groups of so many windows are worth the bounds of what each can reach.
 BOUNDED = 8
+#: Windows that a task compares at a time, more where a group is larger.
+PART = 2048
 U = np.uint64
 
 
@@ -112,7 +114,8 @@ def settle(found: DataFrame, many: int) -> DataFrame:
     same, every = W.partitionBy("route", "same"), W.partitionBy("route")
     low, high, several = F.col("low"), F.col("high"), F.col("low") < F.col("high")
     row, before = F.row_number().over(same.orderBy("key", "c")), F.lag("key").over(same.orderBy("key", "c"))
-    classed = found.withColumns({"one": row == 1, "new": F.coalesce(before != F.col("key"), F.lit(True)), "low": F.min("key").over(same), "high": F.max("key").over(same)})
+    # dealt by min-hash once, which serves the windows of both kinds
+    classed = found.repartition("route").withColumns({"one": row == 1, "new": F.coalesce(before != F.col("key"), F.lit(True)), "low": F.min("key").over(same), "high": F.max("key").over(same)})
     # two documents of a kind, so that kinds which have one document in common are compared by another
     totals = classed.withColumn("look", ~several | F.col("new") & F.col("key").isin(low, high)).select(
         "*", F.min("key").over(every).alias("first"), F.max("key").over(every).alias("last"),
@@ -288,10 +291,16 @@ def compared(rows: DataFrame, width: int, share: float) -> DataFrame:
             key, start, middle = (joined.column(i).to_numpy()[:whole].astype(np.int64) for i in (1, 2, 3))
             group = np.cumsum(np.append(0, np.diff(sort[:whole]) != 0))
             # a min-hash of one document only has nothing to be compared with
-            shared = np.bincount(group)[group] > 1
-            columns = match_groups(sort[:whole][shared], key[shared], start[shared], middle[shared],
-                                   joined.column(4).slice(0, whole).filter(pa.array(shared)).to_pylist(), width, share) if shared.any() else np.zeros((0, 5), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[:, i]) for i in range(5)], ["key", "start", "end", "partner", "link"])
+            shared = np.flatnonzero(np.bincount(group)[group] > 1)
+            at = 0
+            while at < len(shared):  # whole groups, some PART rows at a time
+                last = group[shared[min(len(shared), at + PART) - 1]]
+                end = int(np.searchsorted(group[shared], last)) if last != group[shared[at]] else at
+                end = end if end > at else int(np.searchsorted(group[shared], last, "right"))
+                some = shared[at:end]
+                at = end
+                columns = match_groups(sort[some], key[some], start[some], middle[some], joined.column(4).take(pa.array(some)).to_pylist(), width, share)
+                yield pa.RecordBatch.from_arrays([pa.array(columns[:, i]) for i in range(5)], ["key", "start", "end", "partner", "link"])
 
         for batch in batches:
             held.append(batch)
