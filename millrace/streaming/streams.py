@@ -137,8 +137,8 @@ def ordered_fill_processor(key_names: Sequence[str], bucket_ms: int) -> Stateful
             lists = [T.StructField("ts", T.ArrayType(T.LongType())), T.StructField("seq", T.ArrayType(T.LongType())), T.StructField("value", T.ArrayType(T.DoubleType()))]
             self.waiting = handle.getMapState("waiting", T.StructType([T.StructField("bucket", T.LongType())]), T.StructType(lists))
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-            passed = timer_values.getCurrentWatermarkInMs()
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            passed = timerValues.getCurrentWatermarkInMs()
             for frame in rows:
                 us = frame["ts"].to_numpy().astype("datetime64[us]").astype("int64")
                 for bucket, part in frame.assign(us=us).groupby(us // (1000 * bucket_ms), sort=True):
@@ -153,8 +153,8 @@ def ordered_fill_processor(key_names: Sequence[str], bucket_ms: int) -> Stateful
                     self.waiting.updateValue((int(bucket),), mine)
             return iter([])
 
-        def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-            passed = timer_values.getCurrentWatermarkInMs()
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            passed = timerValues.getCurrentWatermarkInMs()
             ready = sorted(b for (b,) in self.waiting.keys() if (b + 1) * bucket_ms <= passed)
             held = self.last.get()[0] if self.last.exists() else None
             for bucket in ready:  # all that are due, in order, whatever timer came first
