@@ -15,6 +15,7 @@ are read; other columns pass through.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -108,7 +109,7 @@ def _copies(epochs: float) -> Column:
     key = F.struct("__h", "doc_id", "__size")
     early = F.coalesce(key < F.col("__end"), F.lit(True)) & (F.col("__rest") > 0)
     more = F.when(early | F.coalesce(key == F.col("__fit"), F.lit(False)), 1).otherwise(0)
-    return F.least(F.col("__whole") + more, F.lit(int(epochs))).cast("int")
+    return F.least(F.col("__whole") + more, F.lit(math.ceil(epochs))).cast("int")
 
 
 def mixed_sizes(docs: DataFrame, max_epochs: float = 2.0, **settings) -> DataFrame:

@@ -96,7 +96,7 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int, gram: int, grams: Hash
     last = starts[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)]
     whole = extents.between(extents.prefix(data), first, last + length)
     count, distance = last - first + 1, at - first
-    return first, count, distance, h[at], _mixed(whole + (count * 512 + distance).astype(np.uint64))
+    return first, count, distance, h[at], _mixed(whole + ((count << field_bits(length)) + distance).astype(np.uint64))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[list, list, list]]:
@@ -120,9 +120,16 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[li
         yield keys, offsets, parts
 
 
+def field_bits(length: int) -> int:
+    """Bits that hold a run's number of windows and the distance of its anchor, both at most ``length``; the rest is for its place."""
+    if not 0 < length < 2 ** 15:
+        raise ValueError("length must be between 1 and 32767")
+    return max(9, length.bit_length())
+
+
 # a run in one number: first window, number of windows, distance of the anchor, "settled", "stands for several"
-def _pack(first, count, distance, settled, several):
-    return (first << 20) | (count << 11) | (distance << 2) | (settled.astype(np.int64) << 1) | several
+def _pack(first, count, distance, settled, several, bits):
+    return (first << (2 * bits + 2)) | (count << (bits + 2)) | (distance << 2) | (settled.astype(np.int64) << 1) | several
 
 
 def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -140,7 +147,7 @@ def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
             stands[one] = True
             route = np.where(stands, anchor, _mixed(anchor + first.astype(np.uint64) * U(0x9E3779B97F4A7C15)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(keys, np.int64)[part]), pa.array(_pack(place, count, distance, ~stands, times[which] > 1)),
+                [pa.array(np.array(keys, np.int64)[part]), pa.array(_pack(place, count, distance, ~stands, times[which] > 1, field_bits(length))),
                  pa.array(same.view(np.int64)), pa.array(route.view(np.int64))], ["key", "run", "same", "route"])
 
     return docs.mapInArrow(find, "key long, run long, same long, route long")
@@ -164,6 +171,8 @@ def windows_around(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     """For each asked run its bytes, by anchor; for a hot anchor a row per window, by the window's hash."""
     listed = asked.groupBy("key").agg(F.collect_list(F.struct("run", "route", "hot")).alias("runs"))
     joined = docs.join(listed, "key")
+    bits = field_bits(length)
+    mask = (1 << bits) - 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes(3)
@@ -177,7 +186,7 @@ def windows_around(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
                         if (r["run"], r["route"]) in seen:  # repeated rows
                             continue
                         seen.add((r["run"], r["route"]))
-                        first, count, off = r["run"] >> 20, (r["run"] >> 11) & 511, (r["run"] >> 2) & 511
+                        first, count, off = r["run"] >> (2 * bits + 2), (r["run"] >> (bits + 2)) & mask, (r["run"] >> 2) & mask
                         piece = text[first:first + count + length - 1]
                         if not r["hot"]:
                             sort.append(r["route"])
@@ -280,7 +289,8 @@ def repeated_intervals(docs: DataFrame, length: int = 200, gram: int = 32, many:
     """key, start, end of bytes to remove, for documents (key, text); intervals of a key may overlap."""
     marks = kept(settle(anchored(docs, length, gram), many))
     asked = marks.filter("asked")
-    first, count = F.shiftright("run", 20), F.shiftright("run", 11).bitwiseAND(511)
+    bits = field_bits(length)
+    first, count = F.shiftright("run", 2 * bits + 2), F.shiftright("run", bits + 2).bitwiseAND((1 << bits) - 1)
     whole = marks.filter("whole").select("key", first.alias("start"), (first + count + (length - 1)).alias("end"))
     return whole.union(compared(windows_around(docs, asked, length), length))
 

@@ -104,6 +104,14 @@ def test_mixing(spark, rows):
         assert taken.get(r.doc_id, 0) * r.size == r.taken
 
 
+def test_a_fractional_maximum_keeps_its_fraction(spark):
+    rows = [(i, "w " * 10, "s") for i in range(50)] + [(100 + i, "w " * 10, "t") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixed_sizes(docs, weights=(1, 1), max_epochs=1.5).toPandas()
+    assert set(got["target"]) == {750.0} and (got["taken"] <= 2 * got["size"]).all()
+    assert got.assign(s=got["doc_id"] >= 100).groupby("s")["taken"].sum().tolist() == [750, 750]
+
+
 def test_fingerprints_and_components(docs, rows):
     def one(t):
         w = (t or "").encode().lower().split()
@@ -237,6 +245,27 @@ def test_repeated_bytes(docs, rows, many):
     assert Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got) == want
 
 
+@pytest.mark.parametrize("length", [60, 200, 600, 1000])
+def test_repeated_bytes_of_any_length(spark, length):
+    """A block that two texts share, a copy within a text of some 3 MB, and a repeat across the border of a piece."""
+    draw = random.Random(length)
+    noise = lambda n: bytes(draw.choices(range(97, 123), k=n))
+    block, inner, edge = noise(3000), noise(1500), noise(2500)
+    long = noise(900_000) + inner + noise(repeats.PIECE - 900_000 - 1500 - 1200) + edge + noise(1_800_000) + inner + noise(4000)
+    texts = [noise(500) + block + noise(271), block + noise(40), long, noise(77) + edge, noise(2000), noise(length - 1)]
+    rows = [(i, t.decode()) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length).collect()}
+    spans = {i: [(x.start, x.end) for x in r.spans] for i, r in got.items()}
+    at = [long.index(inner), long.rindex(inner), long.index(edge)]
+    assert spans == {0: [(500, 3500)], 1: [(0, 3000)], 2: sorted([(at[0], at[0] + 1500), (at[1], at[1] + 1500), (at[2], at[2] + 2500)]), 3: [(77, 2577)], 4: [], 5: []}
+    assert got[0].kept == texts[0][:500] + texts[0][3500:]
+
+
+def test_repeated_bytes_refuses_lengths_that_do_not_fit(spark):
+    with pytest.raises(ValueError, match="length"):
+        repeats.without_repeats(spark.createDataFrame([(1, "a")], "doc_id long, text string"), 40_000)
+
+
 def unigram_model(v: pieces.Vocabulary) -> bytes:
     """The vocabulary as a model file of the published library, with our scores."""
     def number(x: int) -> bytes:
