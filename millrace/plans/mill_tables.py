@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,15 +54,17 @@ def compose_features(
 
 
 def align_mills(composed: DataFrame, mills: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """Rows (mill, ts, features): minutes at which every feature the mill delivers has a value."""
+    """Rows (mill, ts, features): minutes at which every feature the mill delivers has a value.
+
+    The minutes are written once, so that counting what a mill delivers does not compose the log a second time.
+    """
     cells = F.explode(F.array(*[F.struct(F.lit(m).alias("mill"), F.col(m).alias("value")) for m in mills]))
     long = composed.select("feature", "ts", cells.alias("__c")).select("feature", "ts", "__c.*").filter("value is not null")
-    wide = long.groupBy("mill", "ts").agg(
-        F.count(F.lit(1)).alias("__k"),
-        *[F.max(F.when(F.col("feature") == f, F.col("value"))).alias(f) for f in features])
-    # a feature takes part for a mill when it delivered anything at all
-    delivered = long.groupBy("mill", "feature").agg(F.lit(1).alias("__one")).groupBy("mill").agg(F.count("__one").alias("__need"))
-    return wide.join(delivered, "mill").filter(F.col("__k") == F.col("__need")).select("mill", "ts", *features)
+    wide = kept_table(long.groupBy("mill", "ts").agg(*[F.max(F.when(F.col("feature") == f, F.col("value"))).alias(f) for f in features]))
+    # a feature takes part for a mill when it delivered anything at all: a row per mill
+    delivered = wide.groupBy("mill").agg(*[F.max(F.col(f).isNotNull()).alias(f"__d_{f}") for f in features])
+    there = [F.col(f).isNotNull() | ~F.col(f"__d_{f}") for f in features]
+    return wide.join(delivered, "mill").filter(reduce(lambda x, y: x & y, there)).select("mill", "ts", *features)
 
 
 def build_mill_table(
