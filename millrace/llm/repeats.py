@@ -158,7 +158,8 @@ def settle(found: DataFrame, many: int) -> DataFrame:
     settled, several = F.col("run").bitwiseAND(2) != 0, F.col("run").bitwiseAND(1) != 0
     weight = F.when(several, 2).otherwise(1)
     same, every = W.partitionBy("route", "same"), W.partitionBy("route")
-    once = found.withColumn("one", F.row_number().over(same.orderBy("key", "run")) == 1).withColumn("twins", F.sum(weight).over(same))
+    # dealt by anchor once, which serves the windows of both kinds
+    once = found.repartition("route").withColumn("one", F.row_number().over(same.orderBy("key", "run")) == 1).withColumn("twins", F.sum(weight).over(same))
     totals = once.select(
         "*", F.sum(weight).over(every).alias("all"), F.sum(F.when((F.col("twins") < 2) & ~settled, 1).otherwise(0)).over(every).alias("open"),
         F.sum(F.col("one").cast("int")).over(every).alias("kinds"))
