@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -53,7 +54,7 @@ def bins_kmeans(
     """One-dimensional k-means: edges midway between sorted centres.
 
     Lloyd rounds from quantile starts, all features in one aggregate per round, until the squared moves of a feature's
-    centres are below ``tolerance`` of its variance; a centre that loses its rows stays.
+    centres are below ``tolerance`` of its variance; a centre that loses its rows stays. Features that have not settled after ``rounds`` are named in a warning.
     Features with fewer distinct values than bins take quantile bins.
     """
     distinct = df.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
@@ -82,6 +83,8 @@ def bins_kmeans(
             centres[c] = updated
             if drift <= tolerance * spread[c]:
                 moving.discard(c)
+    if moving:
+        warnings.warn(f"k-means has not settled after {rounds} rounds: {', '.join(sorted(moving))}", stacklevel=2)
     edges = {
         c: sorted({ranges[c][0], *[(a + b) / 2 for a, b in zip(v, v[1:])], ranges[c][1]}) for c, v in centres.items()}
     return {**edges, **(bins_quantile(df, rest, n_bins, direct_rows) if rest else {})}

@@ -252,7 +252,19 @@ def trials_export(spark, d):
     return O.trials_export(_search(spark, d), _PARAMS, "2025-07-14 10:00:00", "2025-07-14 10:00:05")
 
 
-@query(digits=4)
+def _rounds_sql(rounds: int = 3) -> str:
+    """Candidates of each round within the range of the best tenth of the round before."""
+    parts = [f"WITH m AS (SELECT avg(l_quantity) AS qm, avg(l_tax) AS tm FROM lineitem), n AS (SELECT count(*) AS n FROM part), "
+             "b0 AS (SELECT min(l_quantity) * 0.95 AS ql, max(l_quantity) * 1.05 AS qh, min(l_tax) * 0.95 AS tl, max(l_tax) * 1.05 AS th FROM lineitem)"]
+    for r in range(rounds):
+        parts.append(f"c{r} AS (SELECT t, ql + {_draw('l_quantity', 42 + r)} * (qh - ql) AS q, tl + {_draw('l_tax', 42 + r)} * (th - tl) AS x FROM (SELECT unnest(range(n)) AS t FROM n), b{r})")
+        parts.append(f"s{r} AS (SELECT t + {r} * n AS trial_number, q, x, -(pow(q - qm, 2) + pow(x - tm, 2)) AS value FROM c{r}, m, n WHERE q + x < 40)")
+        parts.append(f"b{r + 1} AS (SELECT min(q) AS ql, max(q) AS qh, min(x) AS tl, max(x) AS th FROM (SELECT *, row_number() OVER (ORDER BY value DESC, trial_number) AS r FROM s{r}), n WHERE r <= greatest(2, (n * 0.1)::BIGINT))")
+    every = " UNION ALL ".join(f"SELECT * FROM s{r}" for r in range(rounds))
+    return ", ".join(parts) + f" SELECT trial_number, {R('value', 4)} AS value FROM ({every}) z ORDER BY z.value DESC, trial_number LIMIT 5"
+
+
+@query(_rounds_sql(), digits=4)
 def search_in_rounds(spark, d):
     """Bounds shrink around the best tenth between rounds."""
     return O.recommendations(_search(spark, d, rounds=3), _PARAMS, 5).drop("params")

@@ -102,7 +102,25 @@ def savgol(spark, d):
     return V.savgol(filled(spark, d), USER, "ts", ["value"], 11, 2, **STEP).select("user_id", "ts", F.col("value_smooth").alias("smooth"))
 
 
-@query()
+def _lowess_sql(frac: float = 0.1, rounds: int = 3) -> str:
+    """Every fit from the rows of its own neighbourhood; each round weighs rows by the residuals of the one before."""
+    cells = " UNION ALL ".join(f"SELECT '{t}' AS event_type, ts, coalesce(last_value({t} IGNORE NULLS) OVER (ORDER BY ts), "
+                               f"first_value({t} IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS y FROM w" for t in TYPES)
+    out = (f"WITH {W}, x AS ({cells}), b AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM x), "
+           f"k AS (SELECT *, greatest(floor(n * {frac} + 1e-10), 2)::BIGINT AS k FROM b), l AS (SELECT *, least(greatest(i - k // 2, 0), n - k) AS l FROM k), "
+           "p0 AS (SELECT *, greatest(i - l, l + k - 1 - i) AS h, 1.0::DOUBLE AS r FROM l)")
+    for k in range(rounds + 1):
+        out += (f", j{k} AS (SELECT p.event_type, p.i, (q.i - p.i)::DOUBLE AS d, q.y, q.r * CASE WHEN abs(q.i - p.i) <= 0.001 * p.h THEN 1 WHEN abs(q.i - p.i) < 0.999 * p.h THEN pow(1 - pow(abs(q.i - p.i) / p.h::DOUBLE, 3), 3) ELSE 0 END AS w "
+                f"FROM p{k} p JOIN p{k} q ON q.event_type = p.event_type AND q.i BETWEEN p.l AND p.l + p.k - 1), "
+                f"s{k} AS (SELECT event_type, i, sum(w) AS s0, sum(w * d) AS s1, sum(w * d * d) AS s2, sum(w * y) AS t0, sum(w * d * y) AS t1 FROM j{k} GROUP BY ALL), "
+                f"f{k} AS (SELECT event_type, i, t0 / s0 - coalesce(CASE WHEN s2 - s1 * s1 / s0 > 1e-12 THEN (t1 - s1 * t0 / s0) / (s2 - s1 * s1 / s0) END * s1 / s0, 0) AS fit FROM s{k})")
+        if k < rounds:
+            out += (f", e{k} AS (SELECT p.*, abs(y - fit) AS e FROM p{k} p JOIN f{k} USING (event_type, i)), m{k} AS (SELECT *, median(e) OVER (PARTITION BY event_type) AS m FROM e{k}), "
+                    f"p{k + 1} AS (SELECT event_type, ts, y, i, n, k, l, h, CASE WHEN m = 0 THEN (e = 0)::INT WHEN e < 6 * m THEN pow(1 - pow(e / (6 * m), 2), 2) ELSE 0 END AS r FROM m{k})")
+    return out + f" SELECT event_type, ts, {R('y')} AS value, {R('fit')} AS value_lowess FROM p{rounds} JOIN f{rounds} USING (event_type, i)"
+
+
+@query(_lowess_sql())
 def lowess(spark, d):
     h = G.fill_gaps(wide(spark, d), [], "ts", TYPES, "both")
     cells = F.explode(F.array(*[F.struct(F.lit(t).alias("event_type"), F.col(t).alias("value")) for t in TYPES]))

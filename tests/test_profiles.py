@@ -160,3 +160,10 @@ def test_spearman_takes_few_exchanges(spark):
     pdf = pd.DataFrame({"regime": [0] * 30 + [1] * 30, "a": np.arange(60.0), "y": np.tile(np.arange(30.0), 2)})
     plan = S.regime_corr(spark.createDataFrame(pdf), "y", ["a"], "spearman")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") <= 8
+
+
+def test_kmeans_says_when_it_has_not_settled(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame(pd.DataFrame({"v": np.concatenate([rng.normal(0, 1, 300), rng.normal(30, 6, 300)])}))
+    with pytest.warns(UserWarning, match="1 rounds: v"):
+        B.bins_kmeans(df, ["v"], 5, rounds=1)
