@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import kept
 
-PIECE = 1 << 20
+PIECE = 1 << 19
 U = np.uint64
 
 
@@ -234,7 +234,7 @@ def equal_windows(group: np.ndarray, distance: np.ndarray, bodies: list[bytes],
     return row[hit], window[hit]
 
 
-def compared(rows: DataFrame, length: int, rows_at_once: int = 4096) -> DataFrame:
+def compared(rows: DataFrame, length: int, rows_at_once: int = 2048) -> DataFrame:
     """key, start, end of the bytes covered by windows that occur again, from the rows of ``windows_around``."""
     def intervals(keys: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((starts, keys))
