@@ -251,7 +251,7 @@ def test_repeated_bytes_of_any_length(spark, length):
     draw = random.Random(length)
     noise = lambda n: bytes(draw.choices(range(97, 123), k=n))
     block, inner, edge = noise(3000), noise(1500), noise(2500)
-    long = noise(900_000) + inner + noise(repeats.PIECE - 900_000 - 1500 - 1200) + edge + noise(1_800_000) + inner + noise(4000)
+    long = noise(900_000) + inner + noise(2 * repeats.PIECE - 900_000 - 1500 - 1200) + edge + noise(1_800_000) + inner + noise(4000)
     texts = [noise(500) + block + noise(271), block + noise(40), long, noise(77) + edge, noise(2000), noise(length - 1)]
     rows = [(i, t.decode()) for i, t in enumerate(texts)]
     got = {r.doc_id: r for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length).collect()}
