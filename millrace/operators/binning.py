@@ -130,16 +130,20 @@ def smart_binning(
     return apply_bins(df, edges), bin_info(df, edges, method)
 
 
+def _per_bin(df: DataFrame, edges: Mapping[str, Sequence[float]]) -> DataFrame:
+    """(feature, bin, n, m, sse) of the bins that hold rows: a value's bin is found once, and bins are summed with map-side combine."""
+    placed = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"), right_closed_bin(c, e).alias("bin")) for c, e in edges.items()])).alias("__p")
+    rows = df.select(placed).select("__p.*").filter("bin is not null")
+    return rows.groupBy("feature", "bin").agg(F.count("x").alias("n"), F.avg("x").alias("m"), (F.var_pop("x") * F.count("x")).alias("sse"))
+
+
 def bin_info(df: DataFrame, edges: Mapping[str, Sequence[float]], method: str) -> DataFrame:
-    cols = list(edges)
-    counts = df.agg(*[
-        F.array(*[F.count_if(right_closed_bin(c, edges[c]) == k) for k in range(len(edges[c]) - 1)]).alias(c) for c in cols])
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.lit(method).alias("method"),
-                 F.array(*[F.lit(float(e)) for e in edges[c]]).alias("bins"), F.col(c).alias("bin_counts")) for c in cols]))
-    info = counts.select(rows.alias("__r")).select("__r.*")
-    # bins without rows are not listed
-    return info.withColumn("bin_counts", F.filter("bin_counts", lambda n: n > 0))
+    found = _per_bin(df, edges).groupBy("feature").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda b: b["n"]).alias("bin_counts"))
+    named = df.sparkSession.createDataFrame([(c, method, [float(x) for x in e]) for c, e in edges.items()], "feature string, method string, bins array<double>")
+    # a row per feature; bins without rows are not listed
+    return named.join(F.broadcast(found), "feature", "left").withColumn("bin_counts", F.coalesce("bin_counts", F.array().cast("array<bigint>")))
 
 
 def edges_from_info(info: DataFrame) -> Edges:
@@ -149,16 +153,8 @@ def edges_from_info(info: DataFrame) -> Edges:
 
 def binning_quality(df: DataFrame, edges: Mapping[str, Sequence[float]]) -> DataFrame:
     """Bins in use, their sizes, balance, and how much of the feature its bin means retain."""
-    cols = list(edges)
     # the correlation with the bin mean is sqrt(between / total), all of it from sums per bin
-    stats = []
-    for c in cols:
-        for k in range(max(len(edges[c]) - 1, 1)):
-            x = F.when(right_closed_bin(c, edges[c]) == k, F.col(c).cast("double"))
-            stats.append(F.struct(
-                F.lit(c).alias("feature"), F.count(x).alias("n"), F.avg(x).alias("m"),
-                (F.var_pop(x) * F.count(x)).alias("sse")))
-    per_bin = df.agg(F.array(*stats).alias("__a")).select(F.explode("__a").alias("__b")).select("__b.*").filter("n > 0")
+    per_bin = _per_bin(df, edges)
     mean = F.sum(F.col("n") * F.col("m")).over(W.partitionBy("feature")) / F.sum("n").over(W.partitionBy("feature"))
     spread = per_bin.withColumn("__between", F.col("n") * F.pow(F.col("m") - mean, F.lit(2.0)))
     within, between = F.sum("sse"), F.sum("__between")

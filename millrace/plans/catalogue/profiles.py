@@ -208,7 +208,25 @@ def bins_supervised(spark, d):
     return _info(spark, d, "entropy", "l_tax")
 
 
-@query()
+def _kmeans_sql(n: int = 5) -> str:
+    """Lloyd rounds over the distinct values of each feature and their counts."""
+    parts, ends = [], []
+    for c in _BINNED:
+        low, high = "CASE WHEN k = 1 THEN '-inf'::DOUBLE ELSE (m[k - 1] + m[k]) / 2 END", f"CASE WHEN k = {n} THEN 'inf'::DOUBLE ELSE (m[k] + m[k + 1]) / 2 END"
+        inside = f"p.x > {low} AND p.x <= {high}"
+        mean = f"list_sum(list_transform(v, lambda p: CASE WHEN {inside} THEN p.x * p.n ELSE 0 END)) / nullif(list_sum(list_transform(v, lambda p: CASE WHEN {inside} THEN p.n ELSE 0 END)), 0)"
+        starts = ", ".join(f"quantile_cont({c}, {(k + 0.5) / n})" for k in range(n))
+        even = ", ".join(f"min({c}) + (max({c}) - min({c})) * {(k + 0.5) / n}" for k in range(n))
+        parts.append(f"v_{c} AS (SELECT list({{'x': x, 'n': n}}) AS v, min(x) AS a, max(x) AS b FROM (SELECT {c}::DOUBLE AS x, count(*) AS n FROM lineitem WHERE {c} IS NOT NULL GROUP BY 1))")
+        parts.append(f"k_{c} AS (SELECT 0 AS r, CASE WHEN len(list_distinct([{starts}])) < {n} THEN [{even}] ELSE [{starts}] END::DOUBLE[] AS m, var_pop({c}) AS s, false AS done FROM lineitem "
+                     f"UNION ALL SELECT r + 1, u, s, list_sum(list_transform(list_zip(u, m), lambda z: pow(z[1] - z[2], 2))) <= 1e-4 * s "
+                     f"FROM (SELECT r, m, s, list_sort(list_transform(range(1, {n + 1}), lambda k: coalesce({mean}, m[k]))) AS u FROM k_{c}, v_{c} WHERE NOT done AND r < 100))")
+        ends.append(f"SELECT DISTINCT '{c}' AS feature, 'kmeans' AS method, {R('edge')} AS edge FROM (SELECT unnest([a, b] || list_transform(range(1, {n}), lambda k: (m[k] + m[k + 1]) / 2)) AS edge "
+                    f"FROM (SELECT * FROM k_{c} ORDER BY r DESC LIMIT 1), v_{c})")
+    return "WITH RECURSIVE " + ", ".join(parts) + " " + " UNION ALL ".join(ends)
+
+
+@query(_kmeans_sql())
 def bins_kmeans(spark, d):
     return _info(spark, d, "kmeans")
 
