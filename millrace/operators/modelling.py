@@ -23,6 +23,7 @@ from millrace.operators.select import filter_bounds_strict
 from millrace.session import cut_lineage
 
 PREDICTION = "prediction"
+WEIGHT = "__weight"
 
 # Training parameters.
 BOOSTING = {"n_estimators": 300, "learning_rate": 0.05, "max_depth": 6, "subsample": 0.8, "colsample": 0.8, "early_stopping_rounds": 30}
@@ -169,36 +170,61 @@ def _boost(gbt: GBTRegressor, train: DataFrame, watched: DataFrame | None, round
         now = min(rounds, 2 * now)
 
 
+def weighted_rows(df: DataFrame, features: Sequence[str], target: str, slices: int | None = None) -> DataFrame:
+    """Equal rows as one row with their number in ``__weight``; the features as they are, the target as double.
+
+    With ``slices`` the rows of one combination of features are put together in up to that many, dealt by a hash of the target, under
+    their mean target: all that a squared error sees of rows that no tree can tell apart. Rows that are all different stay as many.
+    """
+    rows = df.select(*features, F.col(target).cast("double").alias(target))
+    if slices is None:
+        return rows.groupBy(*features, target).agg(F.count(F.lit(1)).cast("double").alias(WEIGHT))
+    dealt = rows.withColumn("__slice", F.pmod(F.xxhash64(target), F.lit(slices)))
+    return dealt.groupBy(*features, "__slice").agg(F.avg(target).alias(target), F.count(F.lit(1)).cast("double").alias(WEIGHT))
+
+
 def train_gbt(
     df: DataFrame, features: Sequence[str], target: str, *, n_estimators: int = BOOSTING["n_estimators"],
     learning_rate: float = BOOSTING["learning_rate"], max_depth: int = BOOSTING["max_depth"],
     subsample: float = BOOSTING["subsample"], colsample: float = BOOSTING["colsample"], absolute_error: bool = False,
     early_stop: bool = True, patience: int = BOOSTING["early_stopping_rounds"], seed: int = 42, rows_per_partition: int = 100_000,
+    slices: int = 64,
 ) -> FittedModel:
     """Boosted trees. Rows with ``is_train`` false watch for early stopping; without the column all rows train.
 
     Training goes on until ``patience`` rounds in a row have not lowered the absolute error of the watched rows, and the model
-    keeps its trees up to the best round. Columns are drawn per node. Each round is a few short jobs over the training rows, so these are
-    persisted in partitions of about ``rows_per_partition``: few for a small table, as many as it takes for a large one.
+    keeps its trees up to the best round. Columns are drawn per node.
+
+    Each round is a few short jobs over the training rows, so rows that no round can tell apart are first put together with a weight:
+    equal rows, or for the squared error rows of equal features, in up to ``slices`` that are drawn separately for a round's
+    subsample. They are persisted in partitions of about ``rows_per_partition``, each in a fixed order, as the draw goes by position.
     """
     require_columns(df, [*features, target])
     split = "is_train" in df.columns
     train = df.filter("is_train") if split else df
-    n, scaling = train.count(), fit_scaling(train, features)
+    scaling = fit_scaling(train, features)
     prepared = PipelineModel(stages=[
         scaling_stage(scaling, features),
         VectorAssembler(inputCols=[f"__z_{c}" for c in features], outputCol="__features", handleInvalid="error")])
 
-    def ready(rows: DataFrame, parts: int) -> DataFrame:
-        return prepared.transform(rows).select("__features", F.col(target).cast("double").alias(target)).repartition(parts).persist()
+    def ready(rows: DataFrame) -> DataFrame:
+        held = rows.persist()
+        try:
+            parts = max(1, -(-held.count() // rows_per_partition))
+            keys = [c for c in held.columns if c != WEIGHT]
+            dealt = held.repartition(parts, *keys).sortWithinPartitions(*keys)
+            out = prepared.transform(dealt).select("__features", target, WEIGHT).persist()
+            out.count()
+        finally:
+            held.unpersist()
+        return out
 
     gbt = GBTRegressor(
         stepSize=learning_rate, maxDepth=max_depth, subsamplingRate=subsample,
         featureSubsetStrategy=str(colsample) if colsample < 1 else "all", lossType="absolute" if absolute_error else "squared",
-        seed=seed, featuresCol="__features", labelCol=target, predictionCol=PREDICTION)
-    parts = max(1, -(-n // rows_per_partition))
-    fitted_on = ready(train, parts)
-    watched = ready(df.filter(~F.col("is_train")), parts) if split and early_stop else None
+        seed=seed, featuresCol="__features", labelCol=target, weightCol=WEIGHT, predictionCol=PREDICTION)
+    fitted_on = ready(weighted_rows(train, features, target, None if absolute_error else slices))
+    watched = ready(weighted_rows(df.filter(~F.col("is_train")), features, target)) if split and early_stop else None
     try:
         model, best, score = _boost(gbt, fitted_on, watched, n_estimators, patience)
     finally:
@@ -253,8 +279,8 @@ def predict_batch(model: FittedModel, df: DataFrame, defaults: Mapping[str, floa
 
 
 def learning_curve(model: FittedModel, df: DataFrame, loss: str = "squared") -> list[float]:
-    """Error after each boosting round."""
-    ready = PipelineModel(model.pipeline.stages[:-1]).transform(df)
+    """Error after each boosting round; equal rows are evaluated once."""
+    ready = PipelineModel(model.pipeline.stages[:-1]).transform(weighted_rows(df, model.features, model.target))
     return model.regressor.evaluateEachIteration(ready, loss)
 
 

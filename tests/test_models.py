@@ -45,6 +45,29 @@ def test_boosting_learns_saves_and_scores(spark, data, tmp_path):
     assert registry["features"] == ["a", "b"] and registry["files_complete"] and registry["training_history"]["best_score"] == pytest.approx(row["mae"])
 
 
+@pytest.mark.parametrize("absolute", [False, True])
+def test_copies_of_rows_weigh_and_change_no_tree(data, absolute):
+    few = data.select(F.round("a").alias("a"), F.round("b").alias("b"), "y", F.lit(True).alias("is_train"))
+    many = few.crossJoin(data.sparkSession.range(5)).drop("id")
+    once, often = (M.train_gbt(rows, ["a", "b"], "y", n_estimators=8, max_depth=3, absolute_error=absolute, early_stop=False) for rows in (few, many))
+    cells = few.select("a", "b").distinct()
+    want = {(r["a"], r["b"]): r["prediction"] for r in M.predict_batch(once, cells).collect()}
+    got = {(r["a"], r["b"]): r["prediction"] for r in M.predict_batch(often, cells).collect()}
+    assert got == pytest.approx(want)
+    assert M.learning_curve(often, many) == pytest.approx(M.learning_curve(once, few))
+
+
+def test_equal_rows_are_held_once(data):
+    few = data.select(F.round("a").alias("a"), F.round("b").alias("b"), "y")
+    many = few.crossJoin(data.sparkSession.range(5)).drop("id")
+    same = M.weighted_rows(many, ["a", "b"], "y")
+    assert same.count() == few.distinct().count() and same.agg(F.sum(M.WEIGHT)).first()[0] == 10_000
+    dealt = M.weighted_rows(many, ["a", "b"], "y", slices=4)
+    assert dealt.count() <= 4 * few.select("a", "b").distinct().count()
+    row = dealt.agg(F.sum(M.WEIGHT).alias("n"), F.sum(F.col("y") * F.col(M.WEIGHT)).alias("s")).first()
+    assert row["n"] == 10_000 and row["s"] == pytest.approx(many.agg(F.sum("y")).first()[0])
+
+
 def test_missing_features_are_errors(data):
     model = M.train_linear(data, ["a", "b"], "y")
     with pytest.raises(ValueError, match="missing features: b"):
