@@ -5,6 +5,7 @@ together. What an earlier start offers to the ends of a block is computed for ti
 minimum per end; the recursion inside a block is one task per series, which holds a block and nothing of the rest. Starts that
 cannot win any more are dropped between blocks, the others go on as rows. Each block leaves a table of predecessors; at the end
 these are walked back, a block at a time, from the end of the series to its start. Rounds are blocks of the longest series.
+Short series are packed, some ``PACK`` rows to a group, and searched side by side.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from millrace.session import kept_table
 
 BLOCK = 50_000
 TILE = 2_000
+PACK = 10_000
+SHORT = 1_000
 NEVER = np.iinfo(np.int64).max
 
 
@@ -63,6 +66,49 @@ def block_search(
     return best, back, until
 
 
+def short_search(
+    idx: np.ndarray, s: np.ndarray, q: np.ndarray, pen: np.ndarray, min_size: int, outer: np.ndarray, source: np.ndarray, size: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``block_search`` for several series side by side: a row of the arrays is a series, filled up with any rows after its ``size``."""
+    n, m = idx.shape
+    best, back, until = np.full((n, m), np.inf), np.full((n, m), -1, np.int64), np.full((n, m), NEVER, np.int64)
+    every = np.arange(n)
+    for e in range(m):
+        here = idx[:, e]
+        reach = np.full((n, 1), np.inf)
+        if e:
+            length = here[:, None] - idx[:, :e]
+            ds = s[:, e, None, :] - s[:, :e]
+            reach = best[:, :e] + (q[:, e, None] - q[:, :e]) - (ds * ds).sum(axis=2) / length
+            reach[(length < min_size) | (until[:, :e] <= idx[:, e - 1, None])] = np.inf
+        k = reach.argmin(axis=1)
+        least = reach[every, k]
+        inner = least < outer[:, e]
+        best[:, e] = np.where(here == 0, -pen, np.where(inner, least, outer[:, e]) + pen)
+        back[:, e] = np.where(inner & (here != 0), idx[every, k], np.where(np.isfinite(outer[:, e]) & (here != 0), source[:, e], -1))
+        if e:
+            lost = np.isfinite(reach) & (reach > best[:, e, None]) & (e < size)[:, None]
+            until[:, :e] = np.where(lost, np.minimum(until[:, :e], here[:, None] + min_size), until[:, :e])
+    return best, back, until
+
+
+def series_bounds(pdf: pd.DataFrame, keys: Sequence[str], order: str) -> tuple[pd.DataFrame, np.ndarray]:
+    """Rows by series and ``order``, one per place, and where the series begin, the end of the last included."""
+    number = pdf.groupby(list(keys), sort=False, dropna=False).ngroup().to_numpy() if keys else np.zeros(len(pdf), np.int64)
+    place = pdf[order].to_numpy()
+    down = np.lexsort((place, number))
+    number, place = number[down], place[down]
+    new = np.concatenate([[True], (number[1:] != number[:-1]) | (place[1:] != place[:-1])])
+    return pdf.iloc[down[new]].reset_index(drop=True), np.append(np.flatnonzero(np.diff(number[new], prepend=-1)), new.sum())
+
+
+def packed(df: DataFrame, series_cols: Sequence[str], rows: int, pack: int = PACK):
+    """Groups of whole series with about ``pack`` of all ``rows`` rows each: a group per series costs more than a short series' work."""
+    packs = max(1, -(-rows // pack))
+    number = F.pmod(F.xxhash64(*series_cols), F.lit(packs)) if series_cols else F.lit(0)
+    return df.withColumn("__pack", number).groupBy("__pack")
+
+
 def _offers(starts: pd.DataFrame, ends: pd.DataFrame, sums: Sequence[str], min_size: int) -> np.ndarray:
     """Cost of each end (column) from each start (row), infinite where the start is too near or out."""
     i, e = starts["i"].to_numpy(), ends["i"].to_numpy()
@@ -84,7 +130,8 @@ def search_exactly(points: DataFrame, series_cols: Sequence[str], min_size: int,
     key_schema = [points.schema[c] for c in keys]
     number = F.floor(F.col("i") / block).cast("long")
     table = kept_table(points.select(*keys, "i", *sums, "squares", number.alias("block")), ["block"])
-    last = table.agg(F.max("block")).first()[0]
+    sizes = {r["block"]: r["count"] for r in table.groupBy("block").count().collect()}
+    last = max(sizes, default=None)
     segment_schema = T.StructType([*key_schema, *[T.StructField(c, T.LongType()) for c in ("start_idx", "end_idx", "__rank", "__next")]])
     if last is None:
         return points.sparkSession.createDataFrame([], T.StructType([*key_schema, T.StructField("regime", T.IntegerType()),
@@ -95,10 +142,26 @@ def search_exactly(points: DataFrame, series_cols: Sequence[str], min_size: int,
     left = row.fieldNames()
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i").drop_duplicates("i").reset_index(drop=True)
-        best, back, until = block_search(
-            pdf["i"].to_numpy(), pdf[sums].to_numpy(), pdf["squares"].to_numpy(), float(pdf["penalty"].iloc[0]), min_size,
-            pdf["reach"].fillna(np.inf).to_numpy(), pdf["source"].fillna(-1).to_numpy().astype(np.int64))
+        pdf, at = series_bounds(pdf, keys, "i")
+        i, s, q, pen = pdf["i"].to_numpy(), pdf[sums].to_numpy(), pdf["squares"].to_numpy(), pdf["penalty"].to_numpy(dtype=float)
+        outer, source = pdf["reach"].fillna(np.inf).to_numpy(dtype=float), pdf["source"].fillna(-1).to_numpy().astype(np.int64)
+        best, back, until = np.empty(len(i)), np.empty(len(i), np.int64), np.empty(len(i), np.int64)
+        length = np.diff(at)
+        for k in np.flatnonzero(length > SHORT):
+            own = slice(at[k], at[k + 1])
+            best[own], back[own], until[own] = block_search(i[own], s[own], q[own], float(pen[at[k]]), min_size, outer[own], source[own])
+        short = np.flatnonzero(length <= SHORT)
+        short = short[np.argsort(length[short], kind="stable")]
+        while len(short):
+            # the longest together with as many others as make some 100,000 places
+            m = length[short[-1]]
+            short, some = np.split(short, [max(0, len(short) - 100_000 // m)])
+            place = np.arange(m)
+            over = np.maximum(place[None, :] - (length[some] - 1)[:, None], 0)
+            rows = at[some][:, None] + place[None, :] - over
+            found = short_search(i[rows] + over, s[rows], q[rows], pen[at[some]], min_size, outer[rows], source[rows], length[some])
+            for whole, part in zip((best, back, until), found, strict=True):
+                whole[rows[over == 0]] = part[over == 0]
         return pdf.assign(best=best, back=back, until=until)[left]
 
     def offer(starts: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
@@ -142,33 +205,36 @@ def search_exactly(points: DataFrame, series_cols: Sequence[str], min_size: int,
         else:
             least = by_tile(starts, ends, offer, offer_schema).groupBy(*keys, "i").agg(F.min(F.struct("reach", "source")).alias("__o"))
             offered = ends.join(least.select(*keys, "i", "__o.*"), [*keys, "i"], "left")
-        solved = kept_table(offered.groupBy(*keys).applyInPandas(inside, row))
+        solved = kept_table(packed(offered, keys, sizes.get(b, 0)).applyInPandas(inside, row))
         blocks.append(solved)
         if b < last:
             new = solved if starts is None else by_tile(starts, solved, outlive, row).unionByName(solved)
             starts = kept_table(new.filter((F.col("until") > (b + 1) * block) & (F.col("best") < float("inf"))))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        """From the series' place ``__next`` back to the first row before the block."""
-        back = dict(zip(pdf["i"].to_numpy().tolist(), pdf["back"].to_numpy().tolist(), strict=True))
-        at, rank, low = int(pdf["__next"].iloc[0]), int(pdf["__rank"].iloc[0]), int(pdf["i"].min())
+        """From each series' place ``__next`` back to the first row before the block."""
+        pdf, bounds = series_bounds(pdf, keys, "i")
+        i, back, to, reached = (pdf[c].to_numpy().tolist() for c in ("i", "back", "__next", "__rank"))
         rows = []
-        while at > 0 and at >= low:
-            start = max(0, back[at])  # without a start the rest is one segment
-            rank += 1
-            rows.append((start, at, rank))
-            at = start
-        out = pd.DataFrame(rows, columns=["start_idx", "end_idx", "__rank"], dtype="int64")
-        out["__next"] = at
+        for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            before = dict(zip(i[a:z], back[a:z], strict=True))
+            at, rank, low, first = to[a], reached[a], i[a], len(rows)
+            while at > 0 and at >= low:
+                start = max(0, before[at])  # without a start the rest is one segment
+                rank += 1
+                rows.append((a, start, at, rank, 0))
+                at = start
+            rows[first:] = [(*r[:4], at) for r in rows[first:]]
+        out = pd.DataFrame(rows, columns=["__row", "start_idx", "end_idx", "__rank", "__next"], dtype="int64")
         for c in keys:
-            out[c] = pdf[c].iloc[0]
+            out[c] = pdf[c].to_numpy()[out["__row"].to_numpy()]
         return out[segment_schema.fieldNames()]
 
     at = table.groupBy(*keys).agg(F.max("i").alias("__next")).withColumn("__rank", F.lit(0).cast("long"))
     segments = None
     for b in reversed(range(last + 1)):
         here = blocks[b].select(*keys, "i", "back").join(at.filter((F.col("__next") >= b * block) & (F.col("__next") > 0)), keys)
-        found = here.groupBy(*keys).applyInPandas(walk, segment_schema)
+        found = packed(here, keys, sizes.get(b, 0)).applyInPandas(walk, segment_schema)
         found = kept_table(found) if last else found
         segments = found if segments is None else segments.unionByName(found)
         if b:
