@@ -187,7 +187,7 @@ def train_gbt(
     df: DataFrame, features: Sequence[str], target: str, *, n_estimators: int = BOOSTING["n_estimators"],
     learning_rate: float = BOOSTING["learning_rate"], max_depth: int = BOOSTING["max_depth"],
     subsample: float = BOOSTING["subsample"], colsample: float = BOOSTING["colsample"], absolute_error: bool = False,
-    early_stop: bool = True, patience: int = BOOSTING["early_stopping_rounds"], seed: int = 42, rows_per_partition: int = 100_000,
+    early_stop: bool = True, patience: int = BOOSTING["early_stopping_rounds"], seed: int = 42, rows_per_partition: int = 32_000,
     slices: int = 64,
 ) -> FittedModel:
     """Boosted trees. Rows with ``is_train`` false watch for early stopping; without the column all rows train.
@@ -197,7 +197,8 @@ def train_gbt(
 
     Each round is a few short jobs over the training rows, so rows that no round can tell apart are first put together with a weight:
     equal rows, or for the squared error rows of equal features, in up to ``slices`` that are drawn separately for a round's
-    subsample. They are persisted in partitions of about ``rows_per_partition``, each in a fixed order, as the draw goes by position.
+    subsample. They are kept in partitions of about ``rows_per_partition``, each in a fixed order, as the draw goes by position. They are
+    written once rather than persisted: every task of a round carries its lineage, which then ends at the files.
     """
     require_columns(df, [*features, target])
     split = "is_train" in df.columns
@@ -213,11 +214,9 @@ def train_gbt(
             parts = max(1, -(-held.count() // rows_per_partition))
             keys = [c for c in held.columns if c != WEIGHT]
             dealt = held.repartition(parts, *keys).sortWithinPartitions(*keys)
-            out = prepared.transform(dealt).select("__features", target, WEIGHT).persist()
-            out.count()
+            return cut_lineage(prepared.transform(dealt).select("__features", target, WEIGHT))
         finally:
             held.unpersist()
-        return out
 
     gbt = GBTRegressor(
         stepSize=learning_rate, maxDepth=max_depth, subsamplingRate=subsample,
@@ -225,12 +224,7 @@ def train_gbt(
         seed=seed, featuresCol="__features", labelCol=target, weightCol=WEIGHT, predictionCol=PREDICTION)
     fitted_on = ready(weighted_rows(train, features, target, None if absolute_error else slices))
     watched = ready(weighted_rows(df.filter(~F.col("is_train")), features, target)) if split and early_stop else None
-    try:
-        model, best, score = _boost(gbt, fitted_on, watched, n_estimators, patience)
-    finally:
-        for held in (fitted_on, watched):
-            if held is not None:
-                held.unpersist()
+    model, best, score = _boost(gbt, fitted_on, watched, n_estimators, patience)
     params = {
         "n_estimators": n_estimators, "learning_rate": learning_rate, "max_depth": max_depth, "subsample": subsample,
         "colsample": colsample, "loss": "absolute" if absolute_error else "squared"}

@@ -68,6 +68,16 @@ def test_equal_rows_are_held_once(data):
     assert row["n"] == 10_000 and row["s"] == pytest.approx(many.agg(F.sum("y")).first()[0])
 
 
+def test_rounds_start_from_written_rows(data, monkeypatch):
+    """The lineage that every task of a round carries ends at the written training rows."""
+    seen, real = [], M._boost
+    monkeypatch.setattr(M, "_boost", lambda gbt, train, *rest: seen.append(train) or real(gbt, train, *rest))
+    M.train_gbt(data.withColumn("is_train", F.lit(True)), ["a", "b"], "y", n_estimators=2, max_depth=2, early_stop=False, rows_per_partition=500)
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" in plan and "InMemory" not in plan and "Exchange" not in plan
+    assert seen[0].rdd.getNumPartitions() == -(-seen[0].count() // 500) > 1
+
+
 def test_missing_features_are_errors(data):
     model = M.train_linear(data, ["a", "b"], "y")
     with pytest.raises(ValueError, match="missing features: b"):
