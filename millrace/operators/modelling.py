@@ -272,10 +272,31 @@ def predict_batch(model: FittedModel, df: DataFrame, defaults: Mapping[str, floa
     return scored.drop(*[f"__z_{f}" for f in model.features], "__features")
 
 
+def feature_cells(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
+    """One row per combination of features: number ``__weight``, mean target, and the squares ``__within`` around that mean.
+
+    A combination with a NULL target has a NULL mean.
+    """
+    y, n = F.col(target).cast("double"), F.count(F.lit(1)).cast("double")
+    return df.groupBy(*features).agg(
+        F.when(F.count(y) == n, F.avg(y)).alias(target), n.alias(WEIGHT), (F.var_pop(y) * n).alias("__within"))
+
+
 def learning_curve(model: FittedModel, df: DataFrame, loss: str = "squared") -> list[float]:
-    """Error after each boosting round; equal rows are evaluated once."""
-    ready = PipelineModel(model.pipeline.stages[:-1]).transform(weighted_rows(df, model.features, model.target))
-    return model.regressor.evaluateEachIteration(ready, loss)
+    """Error after each boosting round; equal rows are evaluated once.
+
+    The squared error of rows of equal features is that of their mean plus their squares around it, which no round changes, so there each
+    combination of features is evaluated once.
+    """
+    ready = PipelineModel(model.pipeline.stages[:-1])
+    if loss != "squared":
+        return model.regressor.evaluateEachIteration(ready.transform(weighted_rows(df, model.features, model.target)), loss)
+    cells = feature_cells(df, model.features, model.target).persist()
+    try:
+        same = cells.agg(F.sum("__within") / F.sum(WEIGHT)).first()[0]
+        return [error + same for error in model.regressor.evaluateEachIteration(ready.transform(cells), loss)]
+    finally:
+        cells.unpersist()
 
 
 def prediction_frame(scored: DataFrame, time_col: str, actual: str, keep: Sequence[str] = ()) -> DataFrame:

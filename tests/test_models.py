@@ -78,6 +78,23 @@ def test_rounds_start_from_written_rows(data, monkeypatch):
     assert seen[0].rdd.getNumPartitions() == -(-seen[0].count() // 500) > 1
 
 
+def test_learning_curve_looks_at_combinations_of_features(data, monkeypatch):
+    rows = data.select(F.round("a").alias("a"), F.round("b").alias("b"), "y")
+    model = M.train_gbt(rows, ["a", "b"], "y", n_estimators=5, max_depth=3, early_stop=False)
+    ready = M.PipelineModel(model.pipeline.stages[:-1]).transform(rows.withColumn(M.WEIGHT, F.lit(1.0)))
+    want = model.regressor.evaluateEachIteration(ready, "squared")
+    seen, real = [], type(model.regressor).evaluateEachIteration
+
+    def counted(self, dataset, loss):
+        seen.append(dataset.count())
+        return real(self, dataset, loss)
+
+    monkeypatch.setattr(type(model.regressor), "evaluateEachIteration", counted)
+    assert M.learning_curve(model, rows) == pytest.approx(want, rel=1e-12)
+    assert seen == [rows.select("a", "b").distinct().count()] and seen[0] < rows.count()
+    assert M.learning_curve(model, rows, "absolute") == pytest.approx(real(model.regressor, ready, "absolute"))
+
+
 def test_missing_features_are_errors(data):
     model = M.train_linear(data, ["a", "b"], "y")
     with pytest.raises(ValueError, match="missing features: b"):
