@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.columns import clean_double, floor_time
+from millrace.functions.columns import clean_double, floor_time, unordered_mean
 from millrace.session import ensure_checkpoint_dir, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,7 +80,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hourly_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series per user: mean per hour, hours without events absent."""
     e = events(spark, sf_dir)
-    return e.groupBy("user_id", floor_time("ts", "1 hour").alias("ts")).agg(F.avg("value").alias("value"))
+    return e.groupBy("user_id", floor_time("ts", "1 hour").alias("ts")).agg(unordered_mean("value").alias("value"))
 
 
 def hourly_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:

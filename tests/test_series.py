@@ -5,11 +5,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions.columns import unordered_mean
 from millrace.operators import grid as G
 from millrace.operators import windows as V
 from millrace.operators.chunks import prefix_sums, row_index
 from millrace.operators.joins import asof_join
 from millrace.operators.peaks import find_peaks
+from millrace.plans.catalogue import QUERIES
 
 
 def sample(n=400, gaps=0.4, seed=1, irregular=False):
@@ -259,3 +261,20 @@ def test_grid_matches_no_points_by_shuffle_and_sums_up_chunks_by_hash(spark):
     filled = G.fill_gaps(grid, ["k"], "ts", ["v"], "both")
     assert "SortAggregate" not in filled._jdf.queryExecution().executedPlan().toString()
     assert {(r["k"], r["n"]) for r in filled.filter("v is null").groupBy("k").agg(F.count("*").alias("n")).collect()} == set()
+
+
+@pytest.mark.parametrize("order", [(0.1, 0.2, 0.3), (0.3, 0.2, 0.1)])
+def test_flat_top_does_not_depend_on_the_order_of_addition(spark, tmp_path, order):
+    """Hours with means 0.1, 0.2, 0.2 (of three values), 0.1: added in the first order the three give a mean above 0.2."""
+    rows = [(0, 0.1), (1, 0.2), *[(2, v) for v in order], (3, 0.1)]
+    pdf = pd.DataFrame([(i, pd.Timestamp("2024-01-01") + pd.Timedelta(hours=h, minutes=i), 7, v) for i, (h, v) in enumerate(rows)],
+                       columns=["event_id", "ts", "user_id", "value"])
+    spark.createDataFrame(pdf).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["local_maxima"](spark, str(tmp_path)).collect()
+    assert [(r["row_index"], r["value"]) for r in got] == [(1, 0.2)]
+
+
+def test_mean_of_values_beyond_decimals(spark):
+    df = spark.createDataFrame([("a", 1e300), ("a", 3e300), ("b", 1e-30), ("b", 3e-30), ("c", None), ("d", 2.0), ("d", None)], "k string, x double")
+    got = {r["k"]: r["m"] for r in df.groupBy("k").agg(unordered_mean("x").alias("m")).collect()}
+    assert got == {"a": 2e300, "b": 2e-30, "c": None, "d": 2.0}
