@@ -27,6 +27,7 @@ HOME = "__home"
 POSITION = "__pos"
 DEFAULT_CHUNK = "1 day"
 DEFAULT_ROWS = 100_000
+GRID_POINTS = 1_000
 
 
 def time_position(time_col: str) -> Column:
@@ -48,6 +49,13 @@ def with_time_chunk(df: DataFrame, time_col: str, chunk: str = DEFAULT_CHUNK) ->
     return df.withColumn(CHUNK, chunk_of(time_position(time_col), duration_micros(chunk)))
 
 
+def grid_chunk(step: str, chunk: str = DEFAULT_CHUNK) -> str:
+    """The default chunk of a grid holds at least ``GRID_POINTS`` points: a day of hours would be 24 rows, nearly as many summary rows
+    and border copies as data. A chunk that is named stays as it is."""
+    least = GRID_POINTS * duration_micros(step)
+    return f"{least} us" if chunk == DEFAULT_CHUNK and least > duration_micros(chunk) else chunk
+
+
 def carry(
     df: DataFrame,
     series_cols: Sequence[str],
@@ -184,7 +192,7 @@ def framed(
     """
     if step is not None:
         unit = duration_micros(step)
-        length = max(duration_micros(chunk), unit * max(1, before + after))
+        length = max(duration_micros(grid_chunk(step, chunk)), unit * max(1, before + after))
         placed = with_halo(df, time_position(time_col), length, before * unit, after * unit)
     else:
         numbered = row_index(df, series_cols, time_col, tie_cols=tie_cols, name="__i", chunk=chunk)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.columns import unordered_mean
 from millrace.operators import grid as G
 from millrace.operators import windows as V
-from millrace.operators.chunks import prefix_sums, row_index
+from millrace.operators.chunks import grid_chunk, prefix_sums, row_index
 from millrace.operators.joins import asof_join
 from millrace.operators.peaks import find_peaks
 from millrace.plans.catalogue import QUERIES
@@ -278,3 +278,20 @@ def test_mean_of_values_beyond_decimals(spark):
     df = spark.createDataFrame([("a", 1e300), ("a", 3e300), ("b", 1e-30), ("b", 3e-30), ("c", None), ("d", 2.0), ("d", None)], "k string, x double")
     got = {r["k"]: r["m"] for r in df.groupBy("k").agg(unordered_mean("x").alias("m")).collect()}
     assert got == {"a": 2e300, "b": 2e-30, "c": None, "d": 2.0}
+
+
+def test_fill_from_both_sides_sorts_rows_once(spark):
+    pdf = sample(gaps=0.6)
+    pdf.loc[pdf.index[:30], "v"] = np.nan
+    df = spark.createDataFrame(pdf).repartition(5)
+    want = pdf.sort_values(["k", "ts"]).groupby("k")["v"].transform(lambda v: v.ffill().bfill()).to_numpy()
+    for chunk in ("1 day", "11 minutes"):
+        filled = G.fill_gaps(df, ["k"], "ts", ["v"], "both", step="1 minute", chunk=chunk)
+        assert np.allclose(filled.toPandas().sort_values(["k", "ts"])["v"].to_numpy(dtype=float), want, equal_nan=True)
+    plan = filled._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 3  # over the rows once, over the chunk summary up and down
+
+
+def test_default_chunk_of_a_grid_is_not_a_few_rows():
+    assert grid_chunk("1 minute") == "1 day" and grid_chunk("1 hour", "2 days") == "2 days"
+    assert pd.Timedelta(grid_chunk("1 hour")) == pd.Timedelta("1000 hours")
