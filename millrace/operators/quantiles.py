@@ -125,21 +125,40 @@ def _bracket_order(box: tuple) -> tuple:
 
 
 def cumulative_counts(df: DataFrame, by: Sequence[str], col: str, pieces: int | None = None) -> DataFrame:
-    """Per group and distinct value: ``__n`` rows of the value and ``__upto`` rows at or below it.
+    """Per group and distinct value: ``__n`` rows of the value and ``__upto`` rows at or below it."""
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("__n"))
+    return running_counts(counts, by, col, {"__n": "__upto"}, pieces)
+
+
+def running_counts(
+    counts: DataFrame, by: Sequence[str], col: str, upto: Mapping[str, str], pieces: int | None = None,
+    totals: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Running sums of count columns along the values of a group, one row per (group, value); ``totals`` adds a group's whole sums.
 
     The counts are sorted by ranges that Spark samples over (group, value), so a range holds about as many distinct values as any other, however
     the values are spread and whatever a group's share of them. They are written once, accumulated per range, and chained by the sums of a
     group's ranges: a table of some rows per group and range. ``pieces`` sets the number of ranges.
     """
-    counts = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("__n"))
     ranged = counts.repartitionByRange(*([pieces] if pieces else []), *by, col)
     placed = kept_table(ranged.withColumn("__piece", F.spark_partition_id()))
-    sums = placed.groupBy(*by, "__piece").agg(F.sum("__n").alias("__sum"))
+    sums = placed.groupBy(*by, "__piece").agg(*[F.sum(n).alias(f"__sum_{n}") for n in upto])
     earlier = W.partitionBy(*by).orderBy("__piece").rowsBetween(W.unboundedPreceding, -1)
-    base = sums.select(*by, "__piece", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
-    inside = F.sum("__n").over(W.partitionBy(*by, "__piece").orderBy(col).rowsBetween(W.unboundedPreceding, 0))
+    whole = W.partitionBy(*by).orderBy("__piece").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    base = sums.select(
+        *by, "__piece", *[F.coalesce(F.sum(f"__sum_{n}").over(earlier), F.lit(0)).alias(f"__base_{n}") for n in upto],
+        *[F.sum(f"__sum_{n}").over(whole).alias(name) for n, name in (totals or {}).items()])
+    inside = W.partitionBy(*by, "__piece").orderBy(col).rowsBetween(W.unboundedPreceding, 0)
     return placed.join(base.hint("shuffle_hash"), [*by, "__piece"]).select(
-        *by, col, "__n", (F.col("__base") + inside).alias("__upto"))
+        *counts.columns, *[(F.col(f"__base_{n}") + F.sum(n).over(inside)).alias(name) for n, name in upto.items()], *(totals or {}).values())
+
+
+def centred_ranks(counts: DataFrame, by: Sequence[str], col: str, names: Mapping[str, str], pieces: int | None = None) -> DataFrame:
+    """Add per count column the mean rank that the rows of a value share, less the mean rank of the group; both are exact halves."""
+    upto, totals = ({n: f"__{k}_{n}" for n in names} for k in ("upto", "all"))
+    table = running_counts(counts, by, col, upto, pieces, totals)
+    return table.select(*counts.columns, *[
+        (F.col(upto[n]) - (F.col(n) + F.col(totals[n])) / F.lit(2.0)).alias(name) for n, name in names.items()])
 
 
 def average_rank(df: DataFrame, by: Sequence[str], col: str, name: str, pieces: int | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions.columns import adjusted_kurtosis, adjusted_skewness, floor_time, safe_corr, sum_of_squares
 from millrace.operators.joins import pair_features
 from millrace.operators.quality import per_column
-from millrace.operators.quantiles import average_ranks, exact_quantiles
+from millrace.operators.quantiles import centred_ranks, exact_quantiles
 from millrace.operators.select import numeric_columns
 
 
@@ -72,16 +72,37 @@ def regime_corr(
             F.count(F.lit(1)).alias("n_samples"), *[safe_corr(target, c).alias(f"corr_{c}") for c in cols])
     if method != "spearman":
         raise ValueError("method must be 'pearson' or 'spearman'")
-    # ranks are taken over the complete pairs of each feature
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.when(F.col(target).isNotNull(), F.col(c).cast("double")).alias("x"),
-                 F.when(F.col(c).isNotNull(), F.col(target).cast("double")).alias("y")) for c in cols]))
-    long = df.select(*regime_cols, pairs.alias("__p")).select(*regime_cols, "__p.*")
-    by = [*regime_cols, "feature"]
-    ranked = average_ranks(long, by, {"x": "__rx", "y": "__ry"})
-    corr = ranked.groupBy(*regime_cols).pivot("feature", list(cols)).agg(safe_corr("__rx", "__ry"))
-    counts = df.groupBy(*regime_cols).agg(F.count(F.lit(1)).alias("n_samples"))
-    return counts.join(corr.withColumnsRenamed({c: f"corr_{c}" for c in cols}), list(regime_cols))
+    return _rank_corr(df, target, cols, regime_cols)
+
+
+def _rank_corr(df: DataFrame, target: str, cols: Sequence[str], regime_cols: Sequence[str]) -> DataFrame:
+    """Ranks are taken over the complete pairs of each feature.
+
+    A value of the target is counted once, for all features, and its ranks are joined to the rows, which are summed per value of a feature: what
+    the correlation needs of a feature's rank is the sum of the target's ranks beside each value. So rows are shuffled by the target
+    and then only sums per value, and a feature's ranks are never joined back.
+    """
+    number = range(len(cols))
+    x, n, r = ([f"__{k}{i}" for i in number] for k in "xnr")
+    group = F.struct(*regime_cols).alias("__g")  # a struct matches in joins where a regime is NULL
+    rows = df.select(group, F.col(target).cast("double").alias("__y"), *[F.col(c).cast("double").alias(x[i]) for i, c in enumerate(cols)])
+    rows = rows.filter(F.col("__y").isNotNull())
+    targets = rows.groupBy("__g", "__y").agg(*[F.count(x[i]).alias(n[i]) for i in number])
+    ranks = centred_ranks(targets, ["__g"], "__y", dict(zip(n, r))).drop(*n)
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("__f"), F.col(x[i]).alias("__x"), F.col(r[i]).alias("__r")) for i in number])).alias("__c")
+    long = rows.join(ranks, ["__y", "__g"]).select("__g", cells).select("__g", "__c.*").filter(F.col("__x").isNotNull())
+    beside = long.groupBy("__g", "__f", "__x").agg(
+        F.count(F.lit(1)).alias("__n"), F.sum("__r").alias("__sum"), F.sum(F.col("__r") * F.col("__r")).alias("__yy"))
+    table = centred_ranks(beside, ["__g", "__f"], "__x", {"__n": "__own"})
+    terms = {"xy": F.col("__own") * F.col("__sum"), "xx": F.col("__n") * F.col("__own") * F.col("__own"), "yy": F.col("__yy")}
+
+    def total(i: int, k: str) -> Column:
+        return F.sum(F.when(F.col("__f") == i, terms[k]))
+
+    corr = table.groupBy("__g").agg(*[
+        F.try_divide(total(i, "xy"), F.sqrt(total(i, "xx")) * F.sqrt(total(i, "yy"))).alias(f"corr_{c}") for i, c in enumerate(cols)])
+    counts = df.groupBy(*regime_cols).agg(F.count(F.lit(1)).alias("n_samples")).withColumn("__g", group)
+    return counts.join(corr, "__g", "left").drop("__g")
 
 
 def segment_r2(df: DataFrame, value_col: str, regime_col: str = "regime", by: Sequence[str] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import binning as B
 from millrace.operators import quality as Q
+from millrace.operators import quantiles
 from millrace.operators import stats as S
 from millrace.operators.dedup import top_k
 from millrace.operators.quantiles import average_rank, average_ranks, cumulative_counts, exact_quantiles, grouped_quantile, order_statistics
@@ -162,6 +163,29 @@ def test_spearman_takes_few_exchanges(spark):
     assert plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") <= 8
 
 
+def test_spearman_counts_a_target_once_for_all_features(spark, monkeypatch):
+    """Gaps of its own per feature, ties, and rows without a regime; what is written is a row per value, not per value and feature."""
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"regime": rng.choice(["a", "b", "none"], 600), "y": rng.normal(0, 1, 600).round(2), "p": rng.integers(0, 4, 600).astype(float),
+                        "q": rng.normal(0, 1, 600), "r": np.where(rng.random(600) < 0.98, 5.0, 6.0)})
+    for c in ("y", "p", "q"):
+        pdf.loc[rng.random(600) < 0.1, c] = np.nan
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "regime string, y double, p double, q double, r double").repartition(4)
+    df = df.withColumn("regime", F.nullif("regime", F.lit("none")))
+    written = []
+    kept = quantiles.kept_table
+    monkeypatch.setattr(quantiles, "kept_table", lambda *a: written.append(kept(*a)) or written[-1])
+    got = {r["regime"]: r for r in S.regime_corr(df, "y", ["p", "q", "r"], "spearman").collect()}
+    assert set(got) == {"a", "b", None}
+    for name, rows in pdf.groupby("regime"):
+        own = got[None if name == "none" else name]
+        assert own["n_samples"] == len(rows)
+        for c in ("p", "q", "r"):
+            both = rows[["y", c]].dropna().rank()
+            assert own[f"corr_{c}"] == pytest.approx(both["y"].corr(both[c]), abs=1e-12)
+    assert written[0].count() == len(pdf.dropna(subset="y").drop_duplicates(["regime", "y"]))
+
+
 def test_kmeans_says_when_it_has_not_settled(spark):
     rng = np.random.default_rng(3)
     df = spark.createDataFrame(pd.DataFrame({"v": np.concatenate([rng.normal(0, 1, 300), rng.normal(30, 6, 300)])}))
