@@ -36,20 +36,41 @@ SHINGLE = 5
 REACH = 60
 #: Groups of so many windows are worth the bounds of what each can reach.
 BOUNDED = 8
+#: In groups of so many only windows that have enough in common are paired.
+CROWD = 32
 #: Windows that a task compares at a time, more where a group is larger.
 PART = 2048
+#: Windows with their shingles in a batch.
+ROWS = 8192
+#: Bytes of texts whose shingles are found together.
+TEXTS = 1 << 18
+#: Pairs that are listed at a time, more where the first round left has more.
+LISTED = 1 << 18
 U = np.uint64
 
 
-def shingles(text: bytes, hashes: Hashes) -> np.ndarray:
-    """Hashes of all runs of five words, ASCII letters lower-cased."""
-    plain = b" ".join(text.lower().split())
+def shingles(texts: list[bytes | None], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of five words, ASCII letters lower-cased, text after text, and where each text begins, with the end of the last."""
+    plain = b"\n".join(b" ".join((text or b"").lower().split()) for text in texts)
     data = np.frombuffer(plain, np.uint8)
-    gaps = np.flatnonzero(data == 32)
-    if not plain or len(gaps) < SHINGLE - 1:
-        return np.zeros(0, np.uint64)
+    gaps = np.flatnonzero((data == 32) | (data == 10))
+    if len(gaps) < SHINGLE - 1:
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     starts, ends = np.append(0, gaps + 1), np.append(gaps, len(plain))
-    return hashes.between(hashes.prefix(data), starts[:len(starts) - SHINGLE + 1], ends[SHINGLE - 1:])
+    text_of = np.append(0, np.cumsum(data[gaps] == 10))
+    first = np.flatnonzero(text_of[:len(starts) - SHINGLE + 1] == text_of[SHINGLE - 1:])
+    tokens = hashes.between(hashes.prefix(data), starts[first], ends[first + SHINGLE - 1])
+    return tokens, np.searchsorted(text_of[first], np.arange(len(texts) + 1))
+
+
+def parts_of(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about TEXTS bytes together."""
+    sums = np.cumsum([len(text or b"") for text in texts])
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(sums, TEXTS + (sums[at - 1] if at else 0), "right")))
+        yield at, end
+        at = end
 
 
 def compact_windows(order: np.ndarray, width: int) -> list[tuple[int, int, int]]:
@@ -70,38 +91,29 @@ def windows_of(docs: DataFrame, functions: int, width: int) -> DataFrame:
     """Compact windows of documents (key, text): route (function and min-hash), same (hash of the whole window), key, l, c, r."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes(5)
-        keys, spans, routes, sames = [], [], [], []
-
-        def flush() -> pa.RecordBatch:
-            rows = np.concatenate(spans)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(routes).view(np.int64)), pa.array(np.concatenate(sames).view(np.int64)), pa.array(np.concatenate(keys)),
-                 *[pa.array(rows[:, i].astype(np.int32)) for i in range(3)]], ["route", "same", "key", "l", "c", "r"])
-            for held in (keys, spans, routes, sames):
-                held.clear()
-            return out
-
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                tokens = shingles(text.as_py() or b"", hashes)
-                if len(tokens) < width:
+            keys, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).cast(pa.binary()).to_pylist()
+            for low, high in parts_of(texts):
+                tokens, starts = shingles(texts[low:high], hashes)
+                long = np.flatnonzero(np.diff(starts) >= width)
+                if not len(long):
                     continue
                 # equal shingles of a text are ordered by a hash of their place, so that the tree stays shallow
-                noise = _mixed(np.arange(1, len(tokens) + 1, dtype=np.uint64)) & U(0xFFFF)
+                noise = _mixed((np.arange(1, len(tokens) + 1) - np.repeat(starts[:-1], np.diff(starts))).astype(np.uint64)) & U(0xFFFF)
                 total = np.append(U(0), np.cumsum(tokens * (_mixed(tokens) | U(1))))
                 for f in range(functions):
                     hashed = _mixed(tokens * U(2 * f + 3) + U(f))
-                    rows = np.array(compact_windows((hashed & ~U(0xFFFF)) | noise, width), np.int64)
-                    spans.append(rows)
-                    routes.append(hashed[rows[:, 1]] ^ U(f * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-                    place = (rows[:, 1] - rows[:, 0]).astype(np.uint64) * U(0x9E3779B97F4A7C15) + (rows[:, 2] - rows[:, 0]).astype(np.uint64)
+                    order = (hashed & ~U(0xFFFF)) | noise
+                    found = [compact_windows(order[starts[i]:starts[i + 1]], width) for i in long]
+                    rows, of = np.concatenate([np.array(x, np.int64) for x in found]), np.repeat(long, [len(x) for x in found])
+                    begin, middle, end = (rows + starts[of][:, None]).T
+                    route = hashed[middle] ^ U(f * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+                    place = (middle - begin).astype(np.uint64) * U(0x9E3779B97F4A7C15) + (end - begin).astype(np.uint64)
                     # a sum over the window, with its two ends: equal windows agree, others by chance of 2^-64 only
-                    sames.append(_mixed(_mixed(total[rows[:, 2] + 1] - total[rows[:, 0]]) + place + tokens[rows[:, 0]] * U(3) + tokens[rows[:, 2]] * U(5)))
-                    keys.append(np.full(len(rows), key, np.int64))
-                if sum(map(len, spans)) > 50_000:
-                    yield flush()
-        if spans:
-            yield flush()
+                    same = _mixed(_mixed(total[end + 1] - total[begin]) + place + tokens[begin] * U(3) + tokens[end] * U(5))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(route.view(np.int64)), pa.array(same.view(np.int64)), pa.array(keys[low + of]), *[pa.array(rows[:, i].astype(np.int32)) for i in range(3)]],
+                        ["route", "same", "key", "l", "c", "r"])
 
     return docs.mapInArrow(find, "route long, same long, key long, l int, c int, r int")
 
@@ -137,24 +149,30 @@ def around(docs: DataFrame, asked: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes(5)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                route, key, start, middle, body = [], [], [], [], []
-                for k, text, own in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    tokens = (_mixed(shingles(text, hashes)) >> U(32)).astype(np.uint32)
-                    for w in own:
-                        low, high = max(w["l"], w["c"] - REACH), min(w["r"], w["c"] + REACH) + 1
-                        n, held = w["shares"], tokens[low:high].tobytes()
-                        block = (k >> 7) % n
-                        for pair in [(min(block, x), max(block, x)) for x in range(n) if x != block] or [(0, 0)]:
-                            route.append((w["route"] + (pair[0] * n + pair[1]) * 0x51ED270B7F4A7C15 + 2 ** 63) % 2 ** 64 - 2 ** 63)
-                            key.append(k)
-                            start.append(low)
-                            middle.append(w["c"] - low)
-                            body.append(held)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(route, pa.int64()), pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(middle, pa.int32()), pa.array(body, pa.binary())],
-                    ["sort", "key", "start", "middle", "body"])
+            keys, texts, own = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2)
+            ends, fields = own.offsets.to_numpy(), {name: own.values.field(i).to_numpy() for i, name in enumerate(("route", "l", "c", "r", "shares"))}
+            for at, end in parts_of(texts):
+                tokens, starts = shingles(texts[at:end], hashes)
+                tokens = (_mixed(tokens) >> U(32)).astype(np.uint32)
+                route, left, middle, right, shares = (fields[name][ends[at]:ends[end]] for name in ("route", "l", "c", "r", "shares"))
+                of = np.repeat(np.arange(at, end), np.diff(ends[at:end + 1]))
+                low, high = np.maximum(left, middle - REACH).astype(np.int64), np.minimum(right, middle + REACH).astype(np.int64) + 1
+                # each pair of blocks that a window's block is in
+                n, times = shares.astype(np.int64), np.maximum(1, shares - 1)
+                row = np.repeat(np.arange(len(of)), times)
+                block, other = ((keys[of] >> 7) % n)[row], np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                other += (other >= block) & (n[row] > 1)
+                pair = (np.minimum(block, other) * n[row] + np.maximum(block, other)).astype(np.uint64)
+                sort = (route[row].view(U) + pair * U(0x51ED270B7F4A7C15)).view(np.int64)
+                for some in np.array_split(np.arange(len(row)), -(-len(row) // ROWS)):
+                    of_row = row[some]
+                    size = (high - low)[of_row]
+                    stops = np.cumsum(size)
+                    body = tokens[np.arange(stops[-1]) + np.repeat((starts[of - at] + low)[of_row] - stops + size, size)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(sort[some]), pa.array(keys[of[of_row]]), pa.array(low[of_row].astype(np.int32)), pa.array((middle - low)[of_row].astype(np.int32)),
+                         pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(np.append(0, 4 * stops).astype(np.int32)), pa.py_buffer(body)])],
+                        ["sort", "key", "start", "middle", "body"])
 
     return docs.join(listed, "key").select("key", "text", "own").mapInArrow(cut, "sort long, key long, start int, middle int, body binary")
 
@@ -175,41 +193,107 @@ def bounds(hit: np.ndarray, size: np.ndarray, middle: np.ndarray, share: float,
     return np.where(starts.any(axis=1), starts.argmax(axis=1), wide + 1), np.where(stops.any(axis=1), wide - stops[:, ::-1].argmax(axis=1), 0)
 
 
-def _matches(rows: np.ndarray, against: np.ndarray, tokens: np.ndarray, size: np.ndarray, middles: np.ndarray, width: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Per pair (row, row to hold it against) the interval [a, b) of the first that matches, all of its matches together; b = 0 if there is none of ``width``."""
-    first, last = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-    place = np.arange(tokens.shape[1])
-    for at in range(0, len(rows), 2048):
-        own, other = rows[at:at + 2048], against[at:at + 2048]
-        held, pair = np.unique(other, return_inverse=True)
-        inside = place[None, :] < size[held][:, None]
-        known = np.unique((np.arange(len(held))[:, None] << 32 | tokens[held])[inside])
-        asked = pair[:, None] << 32 | tokens[own]
-        spot = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-        hit = (known[spot] == asked) & (place[None, :] < size[own][:, None])
-        some = np.flatnonzero(hit.sum(axis=1) >= share * width)
-        if len(some):
-            a, b = bounds(hit[some], size[own[some]], middles[own[some]], share, width)
-            good = b > 0
-            first[at + some[good]], last[at + some[good]] = a[good], b[good]
-    return first, last
-
-
-def reachable(group: np.ndarray, lows: np.ndarray, highs: np.ndarray, tokens: np.ndarray, size: np.ndarray, middles: np.ndarray, width: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+def widens(hit: np.ndarray, size: np.ndarray, middle: np.ndarray, low: np.ndarray, high: np.ndarray, share: float) -> np.ndarray:
+    """Rows of ``hit`` of which an interval around ``middle`` with ``share`` of hits can begin before ``low`` or end after ``high``; none that do are missed."""
+    sums = np.zeros((len(hit), hit.shape[1] + 1), np.float32)
+    np.cumsum(hit - np.float32(share), axis=1, out=sums[:, 1:])
+    place, middle = np.arange(hit.shape[1] + 1, dtype=np.int16)[None, :], middle[:, None].astype(np.int16)
+    least = lambda x: np.where(x, sums, np.float32(np.inf)).min(axis=1) - np.float32(1e-3)
+    most = lambda x: np.where(x, sums, np.float32(-np.inf)).max(axis=1)
+    after = place > middle
+    return (most(after) >= least(place < low[:, None].astype(np.int16))) | (
+        most((place > high[:, None].astype(np.int16)) & (place <= size[:, None].astype(np.int16))) >= least(~after))
+
+
+class Hits:
+    """Which places of windows hold a shingle of another window, by the numbers of their shingles in their group."""
+
+    def __init__(self, kinds: np.ndarray, none: int) -> None:
+        self.kinds, self.none = kinds, none  # the number of places beyond a window
+        self.slot = np.full(none + 1, -1, np.int16)
+
+    def of(self, rest: np.ndarray, leader: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per pair the places of ``rest`` that the leader holds, and those of the leader that ``rest`` holds. A group has one leader."""
+        wide = self.kinds.shape[1]
+        one, which = np.unique(leader, return_inverse=True)
+        own = self.kinds[one]
+        self.slot[own] = np.arange(wide, dtype=np.int16)[None, :]
+        self.slot[self.none] = -1
+        found, slots = self.slot[self.kinds[rest]], self.slot[own]
+        self.slot[own] = -1
+        held = np.zeros((len(rest), wide + 1), bool)
+        np.put_along_axis(held, found.astype(np.intp) % (wide + 1), True, axis=1)
+        held[:, wide] = False
+        return found >= 0, np.take_along_axis(held, slots[which].astype(np.intp) % (wide + 1), axis=1)
+
+
+def reachable(kinds: np.ndarray, lows: np.ndarray, highs: np.ndarray, size: np.ndarray, middles: np.ndarray, width: int, share: float) -> tuple[np.ndarray, np.ndarray]:
     """Bounds of what each class can match in its group: all its shingles that another document of the group has are taken as hits."""
-    place = np.arange(tokens.shape[1])
-    inside = place[None, :] < size[:, None]
-    number = np.unique(group, return_inverse=True)[1]
-    kinds, where = np.unique((number[:, None] << 32 | tokens)[inside], return_inverse=True)
-    low, high = np.full(len(kinds), np.iinfo(np.int64).max), np.full(len(kinds), np.iinfo(np.int64).min)
-    np.minimum.at(low, where, np.broadcast_to(lows[:, None], tokens.shape)[inside])
-    np.maximum.at(high, where, np.broadcast_to(highs[:, None], tokens.shape)[inside])
-    hit = np.zeros(tokens.shape, bool)
+    inside = np.arange(kinds.shape[1])[None, :] < size[:, None]
+    where = kinds[inside]
+    low, high = np.full(int(kinds.max()) + 1, np.iinfo(np.int64).max), np.full(int(kinds.max()) + 1, np.iinfo(np.int64).min)
+    np.minimum.at(low, where, np.broadcast_to(lows[:, None], kinds.shape)[inside])
+    np.maximum.at(high, where, np.broadcast_to(highs[:, None], kinds.shape)[inside])
+    hit = np.zeros(kinds.shape, bool)
     hit[inside] = (low < high)[where]
     found = [bounds(hit[i:i + 2048], size[i:i + 2048], middles[i:i + 2048], share, width) for i in range(0, len(hit), 2048)]
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
+class Shared:
+    """Pairs of classes of a group that can have ``least`` places of one in common, by the rank of the earlier, some at a time.
+
+    The commonest shingles of a class that together have fewer than ``least`` of its places make no match alone: a class it can match
+    holds one of its other, rare ones. A group is ``dense`` that is small, or in which that lists more pairs than there are.
+    """
+
+    def __init__(self, number: np.ndarray, rank: np.ndarray, kinds: np.ndarray, size: np.ndarray, least: int) -> None:
+        self.rank, n, groups = rank, len(size), np.bincount(number)
+        size = np.where(groups[number] < CROWD, 0, size)
+        inside = np.arange(kinds.shape[1])[None, :] < size[:, None]
+        code, places = np.unique(kinds[inside].astype(np.int64) * n + np.repeat(np.arange(n), size), return_counts=True)
+        kind, owner = code // n, code % n
+        common = np.bincount(kind)[kind]
+        falling = np.lexsort((-common, owner))
+        rare = np.zeros(len(code), bool)
+        rare[falling] = np.cumsum(places[falling]) - (np.cumsum(size) - size)[owner[falling]] >= least
+        keep = common > 1
+        kind, owner, rare = kind[keep], owner[keep], rare[keep]
+        # a rare shingle leads to all later holders, another one to those for which it is rare
+        self.holders, self.few = owner, owner[rare]
+        here, end, before = np.arange(len(kind)), np.searchsorted(kind, kind, "right"), np.append(0, np.cumsum(rare))
+        first, count = np.where(rare, here + 1, before[here + 1]), np.where(rare, end - here - 1, before[end] - before[here + 1])
+        self.dense = ((groups < CROWD) | (np.bincount(number[owner], count, len(groups)) > groups * (groups - 1) / 2))[number]
+        use = np.flatnonzero((count > 0) & ~self.dense[owner])
+        use = use[np.argsort(rank[owner[use]], kind="stable")]
+        self.owner, self.rare, self.first, self.count = owner[use], rare[use], first[use], count[use]
+        self.sums, self.ranks = np.cumsum(self.count), rank[self.owner]
+        self.next, self.listed = 0, [np.zeros(0, np.int64)] * 3
+
+    def _list(self) -> None:
+        """The next entries, all those of a rank together."""
+        low = self.next
+        last = min(len(self.sums) - 1, int(np.searchsorted(self.sums, LISTED + (self.sums[low - 1] if low else 0))))
+        high = self.next = int(np.searchsorted(self.ranks, self.ranks[last], "right"))
+        first, count, rare = self.first[low:high], self.count[low:high], self.rare[low:high]
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - first, count)
+        wide = np.repeat(rare, count)
+        later = np.empty(len(at), np.int64)
+        later[wide], later[~wide] = self.holders[at[wide]], self.few[at[~wide]]
+        pairs = np.unique(np.repeat(self.owner[low:high], count) * len(self.rank) + later)
+        earlier, later = pairs // len(self.rank), pairs % len(self.rank)
+        order = np.lexsort((later, self.rank[earlier]))
+        self.listed = [self.rank[earlier[order]], later[order], earlier[order]]
+
+    def of(self, rank: int) -> tuple[np.ndarray, np.ndarray]:
+        """(later, earlier) where the earlier has this rank; ranks are asked for in order."""
+        while self.next < len(self.ranks) and self.ranks[self.next] <= rank:
+            self._list()
+        ranks, later, earlier = self.listed
+        some = slice(np.searchsorted(ranks, rank), np.searchsorted(ranks, rank, "right"))
+        return later[some], earlier[some]
+
+
 def match_groups(group: np.ndarray, keys: np.ndarray, starts: np.ndarray, middles: np.ndarray, bodies: list[bytes], width: int, share: float) -> np.ndarray:
     """Rows (key, start, end, partner, link) in shingles, for windows in order of ``group``.
 
@@ -227,43 +311,58 @@ def match_groups(group: np.ndarray, keys: np.ndarray, starts: np.ndarray, middle
     np.maximum.at(highs, of, keys)
 
     size = np.array([len(b) // 4 for b in bodies])
-    tokens = np.zeros((len(bodies), int(size.max())), np.int64)
-    flat = np.frombuffer(b"".join(bodies), np.uint32)
-    tokens[np.arange(tokens.shape[1])[None, :] < size[:, None]] = flat
     first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     length = np.diff(np.append(first, len(group)))
+    # shingles are numbered, those of each group apart
+    number = np.repeat(np.arange(len(first)), length)
+    each, kind = np.unique(np.repeat(number, size) << 32 | np.frombuffer(b"".join(bodies), np.uint32), return_inverse=True)
+    kinds = np.full((len(bodies), int(size.max())), len(each), np.int32)
+    kinds[np.arange(kinds.shape[1])[None, :] < size[:, None]] = kind
     head, rank = np.repeat(first, length), np.arange(len(group)) - np.repeat(first, length)
     least, most = np.full(len(group), -1), np.full(len(group), np.iinfo(np.int64).max)
     large = np.repeat(length, length) >= BOUNDED
     if large.any():
-        least[large], most[large] = reachable(group[large], lows[large], highs[large], tokens[large], size[large], middles_of[large], width, share)
-    low, high = np.full(len(group), tokens.shape[1] + 1), np.zeros(len(group), np.int64)
+        least[large], most[large] = reachable(kinds[large], lows[large], highs[large], size[large], middles_of[large], width, share)
+    low, high = np.full(len(group), kinds.shape[1] + 1), np.zeros(len(group), np.int64)
     below, above = np.full(len(group), np.iinfo(np.int64).max), np.full(len(group), np.iinfo(np.int64).min)
     # the members of a class match each other from end to end
     own = np.flatnonzero((lows < highs) & (size >= width))
     low[own], high[own], below[own], above[own] = 0, size[own], lows[own], highs[own]
     # what can match nothing at all has nothing left to reach; it is never linked, so it is passed over by itself
-    idle, linked, left = most == 0, Groups(len(group)), np.arange(len(group))
+    idle, linked = most == 0, Groups(len(group))
+    least_hits = int(np.ceil(share * width - 1e-9))
+    shared, hits_of = Shared(number, rank, kinds, size, least_hits), Hits(kinds, len(each))
+    left = np.flatnonzero(shared.dense)
     for at in range(int(length.max()) - 1):
         left = left[rank[left] > at]
-        leader = head[left] + at
+        later, earlier = shared.of(at)
+        if not len(left) + len(later):
+            continue
+        leader, rest = np.append(head[left] + at, earlier), np.append(left, later)
+        order = np.argsort(rest, kind="stable")
+        leader, rest = leader[order], rest[order]
         done = (low <= least) & (high >= most)
-        apart = (lows[left] < highs[left]) | (lows[leader] < highs[leader]) | (lows[left] != lows[leader])
-        use = apart & ~(done[left] & done[leader] & (linked.root[left] == linked.root[leader])) & ~(idle[left] | idle[leader])
-        rest, leader = left[use], leader[use]
+        apart = (lows[rest] < highs[rest]) | (lows[leader] < highs[leader]) | (lows[rest] != lows[leader])
+        use = apart & ~(done[rest] & done[leader] & (linked.root[rest] == linked.root[leader])) & ~(idle[rest] | idle[leader])
+        rest, leader = rest[use], leader[use]
         if not len(rest):
             continue
         near, same = np.zeros(len(rest), bool), linked.root[rest] == linked.root[leader]
-        for one, two in ((rest, leader), (leader, rest)):
-            some = np.flatnonzero(~(done[one] & same))
-            own, other = one[some], two[some]
-            a, b = _matches(own, other, tokens, size, middles_of, width, share)
-            hits = b > 0
-            near[some[hits]] = True
-            np.minimum.at(low, own[hits], a[hits])
-            np.maximum.at(high, own[hits], b[hits])
-            np.minimum.at(below, own[hits], lows[other[hits]])
-            np.maximum.at(above, own[hits], highs[other[hits]])
+        for one, two, hit in zip((rest, leader), (leader, rest), hits_of.of(rest, leader), strict=True):
+            some = np.flatnonzero(~(done[one] & same) & (hit.sum(axis=1) >= least_hits))
+            # a match of two windows that are linked already matters if it reaches further
+            known = np.flatnonzero(same[some] & large[one[some]] & (high[one[some]] > 0))
+            own = one[some[known]]
+            some = np.delete(some, known[~widens(hit[some[known]], size[own], middles_of[own], low[own], high[own], share)])
+            for at_once in np.array_split(some, len(some) // 2048 + 1):
+                own, other = one[at_once], two[at_once]
+                a, b = bounds(hit[at_once], size[own], middles_of[own], share, width)
+                hits = b > 0
+                near[at_once[hits]] = True
+                np.minimum.at(low, own[hits], a[hits])
+                np.maximum.at(high, own[hits], b[hits])
+                np.minimum.at(below, own[hits], lows[other[hits]])
+                np.maximum.at(above, own[hits], highs[other[hits]])
         linked.link(rest[near], leader[near])
     found = np.flatnonzero(high[of] > 0)
     mine, key = of[found], member_keys[found]
@@ -312,7 +411,7 @@ def compared(rows: DataFrame, width: int, share: float) -> DataFrame:
     return rows.repartition("sort").sortWithinPartitions("sort").mapInArrow(solve, "key long, start long, end long, partner long, link long")
 
 
-def near_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, functions: int = 2, many: int = 4096) -> DataFrame:
+def near_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, functions: int = 2, many: int = 16384) -> DataFrame:
     """doc_id, start, end (words [start, end)), partner_id, component_id: the passages that another document nearly repeats, joined per document."""
     width, share = min_words - SHINGLE + 1, 2 * similarity / (1 + similarity)
     keyed = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", "text").alias("key"))

@@ -436,6 +436,52 @@ def test_classes_of_equal_windows_stand_for_their_members(seed):
     assert all(any(int(r[3]) in found for (_, key), found in partners.items() if key == r[0]) and r[3] != r[0] for r in got)
 
 
+def crowd(n: int) -> list[tuple[int, np.ndarray]]:
+    """Windows around one phrase too short for a passage: every sixth is a near copy of one text or of part of it, the others have nothing else in common."""
+    draw = np.random.default_rng(12)
+    word = lambda n: draw.integers(1, 2 ** 32, n, dtype=np.uint32)
+    base, rows = word(121), []
+    for i in range(n):
+        own, cut = base.copy(), int(draw.integers(0, 14))
+        own[draw.integers(0, 121, draw.integers(0, 12))] = word(1)[0]
+        if i % 6:
+            own[:50], own[75:] = word(50), word(46)
+        elif i % 4:
+            own[:int(draw.integers(0, 45))] = word(1)[0]
+        rows.append((60 - cut, own[cut:]))
+    return rows
+
+
+@pytest.mark.parametrize("listed", [40, 1 << 18])
+def test_windows_of_a_crowd_are_paired_by_what_they_share(monkeypatch, listed):
+    rows, share, seen, real = crowd(180), 8 / 9, [], passages.bounds
+    monkeypatch.setattr(passages, "LISTED", listed)
+    monkeypatch.setattr(passages, "bounds", lambda hit, *rest: seen.append(len(hit)) or real(hit, *rest))
+    n = len(rows)
+    got = passages.match_groups(np.zeros(n, int), np.arange(n), np.zeros(n, int), np.array([m for m, _ in rows]), [x.tobytes() for _, x in rows], 46, share)
+    want, pairs = set(), 0
+    for i, (middle, x) in enumerate(rows):
+        sums = [np.append(0, np.cumsum(np.isin(x, y))) for j, (_, y) in enumerate(rows) if i != j]
+        spans = [(p, q) for s in sums if s[-1] > 40 for p in range(middle + 1) for q in range(max(p + 46, middle + 1), len(x) + 1) if s[q] - s[p] >= share * (q - p) - 1e-9]
+        pairs += sum(s[-1] > 40 for s in sums)
+        if spans:
+            want.add((i, min(p for p, _ in spans), max(q for _, q in spans)))
+    assert {tuple(map(int, r[:3])) for r in got} == want and len(want) >= 20 and len({int(r[4]) for r in got}) == 1
+    # the bounds of all windows, and fewer intervals than there are pairs that share enough
+    assert sum(seen) - n < pairs < n * (n - 1) / 20
+
+
+def test_shingles_of_many_texts_are_those_of_each():
+    hashes = passages.Hashes(5)
+    texts = [b"a b c d e f", None, b"", b" a\tB  c\nd ", b"A b c d e", b"f g h i j k l " * 20, b"x"]
+    tokens, starts = passages.shingles(texts, hashes)
+    for text, low, high in zip(texts, starts[:-1], starts[1:], strict=True):
+        alone, ends = passages.shingles([text], hashes)
+        assert list(tokens[low:high]) == list(alone) and list(ends) == [0, len(alone)]
+    assert list(np.diff(starts)) == [2, 0, 0, 0, 1, 136, 0] and tokens[0] == tokens[2]
+    assert list(passages.parts_of([b"x" * passages.TEXTS, None, b"y"])) == [(0, 2), (2, 3)] and list(passages.parts_of([])) == []
+
+
 def test_repetitive_texts_are_compared_in_little_time(spark):
     rows = [(1, "y z " * 50_000), (2, "y z " * 50_000 + "end"), (3, "z y y " * 30_000), (4, "y " * 100_000)]
     begin = time.perf_counter()
