@@ -16,6 +16,7 @@ from pyspark.util import inheritable_thread_target
 
 from millrace import fixed_values as fixed
 from millrace.functions.columns import adjusted_kurtosis, adjusted_skewness, sum_of_squares
+from millrace.operators import boosting
 from millrace.operators.chunks import DEFAULT_CHUNK, row_index
 from millrace.operators.quality import per_column
 from millrace.operators.quantiles import exact_quantiles
@@ -155,9 +156,12 @@ def best_round(errors: Sequence[float], patience: int) -> tuple[int, bool]:
 def _boost(gbt: GBTRegressor, train: DataFrame, watched: DataFrame | None, rounds: int, patience: int) -> tuple[GBTRegressionModel, int | None, float | None]:
     """Fitted trees, the best round and its absolute error on the watched rows.
 
-    A run of fewer rounds has the first trees of a longer one, so twice the patience is tried first, and then twice as many rounds
+    Few features are few cells of bins, for which a round is one job. Otherwise MLlib fits. A run of fewer rounds has the first trees of a longer one, so twice the patience is tried first, and then twice as many rounds
     each time: at most twice the rounds of the whole are trained, and far fewer where the best round comes early.
     """
+    found = boosting.boost(gbt, train, watched, rounds, lambda errors: best_round(errors, patience))
+    if found:
+        return found
     if watched is None:
         return gbt.setMaxIter(rounds).fit(train), None, None
     now = min(rounds, 2 * patience)
@@ -262,14 +266,22 @@ def feature_importance(spark: SparkSession, model: FittedModel) -> DataFrame:
 
 
 def predict_batch(model: FittedModel, df: DataFrame, defaults: Mapping[str, float] | None = None) -> DataFrame:
-    """Score a batch or stream. A missing feature is an error unless a default is given for it."""
+    """Score a batch or stream. A missing feature is an error unless a default is given for it.
+
+    Boosted trees of few thresholds make few cells, which are scored once each for a batch; its rows look their cell up.
+    """
     absent = [f for f in model.features if f not in df.columns]
     unknown = [f for f in absent if f not in (defaults or {})]
     if unknown:
         raise ValueError(f"missing features: {', '.join(unknown)}")
     complete = df.withColumns({f: F.lit(float(defaults[f])) for f in absent}) if absent else df
-    scored = model.pipeline.transform(complete)
-    return scored.drop(*[f"__z_{f}" for f in model.features], "__features")
+    helpers = [f"__z_{f}" for f in model.features]
+    if isinstance(model.regressor, GBTRegressionModel) and not df.isStreaming and PREDICTION not in df.columns:
+        scaled = PipelineModel(model.pipeline.stages[:-2]).transform(complete)
+        scored = boosting.score_by_cells(model.regressor, scaled, [F.col(f"`{c}`") for c in helpers], PREDICTION)
+        if scored is not None:
+            return scored.drop(*helpers)
+    return model.pipeline.transform(complete).drop(*helpers, "__features")
 
 
 def feature_cells(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:

@@ -3,8 +3,11 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
+from millrace.operators import boosting
 from millrace.operators import lags as L
 from millrace.operators import modelling as M
 from millrace.operators import search as O
@@ -95,6 +98,68 @@ def test_learning_curve_looks_at_combinations_of_features(data, monkeypatch):
     assert M.learning_curve(model, rows, "absolute") == pytest.approx(real(model.regressor, ready, "absolute"))
 
 
+def boosted_rows(spark, n):
+    rows = spark.range(0, n, 1, 3).select(
+        (F.rand(1) - 0.5).alias("a"), (F.floor(F.rand(2) * 50) / 7 - 3).alias("b"), F.floor(F.rand(3) * 4 + 1).cast("double").alias(M.WEIGHT), F.randn(5).alias("e"))
+    rows = rows.withColumn("y", F.col("a") * 30 + F.col("b") * F.col("b") + F.col("e"))
+    return VectorAssembler(inputCols=["a", "b"], outputCol="__features").transform(rows).select("__features", "y", M.WEIGHT, "a", "b").cache()
+
+
+@pytest.mark.parametrize(("n", "loss"), [(3000, "squared"), (24_000, "squared"), (24_000, "absolute")])
+def test_rounds_by_cells_give_the_trees_of_mllib(spark, monkeypatch, n, loss):
+    """Also where bins come from a sample, and where samples of some rounds are taken ahead."""
+    monkeypatch.setattr(boosting, "AHEAD", 4)
+    rows = boosted_rows(spark, n)
+    gbt = GBTRegressor(maxIter=7, stepSize=0.3, maxDepth=4, subsamplingRate=0.8, featureSubsetStrategy="0.8", lossType=loss, seed=42,
+                       featuresCol="__features", labelCol="y", weightCol=M.WEIGHT, predictionCol="prediction")
+    want = gbt.fit(rows)
+    got, best, score = boosting.boost(gbt, rows.select("__features", "y", M.WEIGHT), None, 7, None)
+    assert (best, score) == (None, None) and got.getNumTrees == 7 and got.totalNumNodes == want.totalNumNodes and list(got.treeWeights) == list(want.treeWeights)
+    plain = lambda model: [x for x in model.toDebugString.split("\n") if "feature" in x]
+    assert plain(got)[1:] == plain(want)[1:]
+    np.testing.assert_allclose(got.featureImportances.toArray(), want.featureImportances.toArray())
+    ours, theirs = ([r[0] for r in m.transform(rows).select("prediction").collect()] for m in (got, want))
+    np.testing.assert_allclose(ours, theirs)
+    assert got.extractParamMap().keys() == {got.getParam(p.name) for p in want.extractParamMap()}
+
+
+def test_draws_are_those_of_spark(spark):
+    for seed in (0, 43, -7, 2 ** 40):
+        draw = spark.sparkContext._jvm.org.apache.spark.util.random.XORShiftRandom(seed)
+        assert boosting.draws(np.array([5, seed]), 600)[1].tolist() == [draw.nextDouble() for _ in range(600)]
+
+
+@pytest.mark.parametrize("absolute", [False, True])
+def test_each_round_is_trained_once(data, monkeypatch, absolute):
+    """Rounds go on from those before, with and without early stop; MLlib fits where there are too many cells, with the same result."""
+    fits, real = [], GBTRegressor.fit
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, *rest: fits.append(self.getMaxIter()) or real(self, *rest))
+    split = M.split_chronological(data, "ts").cache()
+    options = {"n_estimators": 9, "max_depth": 3, "learning_rate": 0.3, "patience": 2, "absolute_error": absolute}
+    model = M.train_gbt(split, ["a", "b"], "y", **options)
+    assert not fits
+    monkeypatch.setattr(boosting, "MOST_CELLS", 10)
+    again = M.train_gbt(split, ["a", "b"], "y", **options)
+    assert len(fits) > 1 and again.best_iteration == model.best_iteration and again.best_score == pytest.approx(model.best_score)
+
+
+def test_cells_are_scored_instead_of_rows(data, monkeypatch):
+    model = M.train_gbt(data, ["a", "b"], "y", n_estimators=12, max_depth=4, early_stop=False)
+    points = boosting.split_points(model.regressor)
+    rows = data.select("a", "b")
+    want = model.pipeline.transform(rows).select("a", "b", "prediction")
+    scored, real = [], type(model.regressor).transform
+    monkeypatch.setattr(type(model.regressor), "transform", lambda self, df, *rest: scored.append(df.count()) or real(self, df, *rest))
+    got = M.predict_batch(model, rows)
+    assert scored == [np.prod([len(p) + 1 for p in points])] and got.columns == ["a", "b", "prediction"]
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and got.count() == rows.count()
+    with pytest.raises(Exception, match="null or NaN"):
+        M.predict_batch(model, rows.withColumn("b", F.when(F.col("b") < 0, F.col("b")))).agg(F.sum("prediction")).collect()
+    monkeypatch.setattr(boosting, "MOST_SCORED", 10)
+    scored.clear()
+    assert M.predict_batch(model, rows).exceptAll(want).count() == 0 and scored == [rows.count()]
+
+
 def test_missing_features_are_errors(data):
     model = M.train_linear(data, ["a", "b"], "y")
     with pytest.raises(ValueError, match="missing features: b"):
