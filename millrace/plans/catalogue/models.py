@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.operators import modelling as M
 from millrace.operators import search as O
 from millrace.plans.catalogue.base import R, events, lineitem, query, table, work_folder
-from millrace.session import cut_lineage
+from millrace.session import kept_table
 from millrace.sources.tables import scan_model_registry as read_registry
 
 KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
@@ -116,7 +116,7 @@ def linear_coefficients(spark, d):
 
 def _boosted(spark, d, **options):
     li = lineitem(spark, d).select(*KEYS, *FEATURES, TARGET, F.col("l_shipdate").cast("timestamp").alias("ts"))
-    split = cut_lineage(M.split_chronological(li, "ts", 0.2, tie_cols=KEYS, chunk="30 days"))
+    split = kept_table(M.split_chronological(li, "ts", 0.2, tie_cols=KEYS, chunk="30 days"))
     return M.train_gbt(split, FEATURES, TARGET, **options), split
 
 
