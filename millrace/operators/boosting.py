@@ -157,7 +157,9 @@ def blocks(rows: DataFrame, label: str, weight: str, edges: list[np.ndarray]) ->
             x = batch.column(0).flatten().to_numpy().reshape(-1, len(edges))
             bins = [np.searchsorted(e, x[:, f]) for f, e in enumerate(edges)]
             cells.append(np.ravel_multi_index(bins, shape).astype(np.int32))
-            labels.append(batch.column(1).to_numpy())
+            labels.append(batch.column(1).to_numpy(zero_copy_only=False))
+            if not np.isfinite(labels[-1]).all():
+                raise ValueError("a label is NULL, NaN or infinite")
             weights.append(batch.column(2).to_numpy())
         if cells:
             held = [pa.array([np.concatenate(c).tobytes()], pa.binary()) for c in (cells, labels, weights)]

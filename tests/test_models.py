@@ -143,6 +143,12 @@ def test_each_round_is_trained_once(data, monkeypatch, absolute):
     assert len(fits) > 1 and again.best_iteration == model.best_iteration and again.best_score == pytest.approx(model.best_score)
 
 
+@pytest.mark.parametrize("odd", [None, float("nan"), float("inf")])
+def test_labels_that_are_no_numbers_are_errors(data, odd):
+    with pytest.raises(Exception, match="a label is NULL, NaN or infinite"):
+        M.train_gbt(data.withColumn("y", F.when(F.col("a") < 5, F.col("y")).otherwise(F.lit(odd).cast("double"))), ["a", "b"], "y", n_estimators=2, absolute_error=True)
+
+
 def test_cells_are_scored_instead_of_rows(data, monkeypatch):
     model = M.train_gbt(data, ["a", "b"], "y", n_estimators=12, max_depth=4, early_stop=False)
     points = boosting.split_points(model.regressor)
